@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -80,3 +81,32 @@ class Sink:
         out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(self.columns, self.schema, strict=True)], schema=self.schema)
         self.columns = [[] for _ in self.schema]
         return out
+
+
+#: Rows up to which a side of a join is broadcast: a few numbers a row, so about 100 MB at most.
+BROADCAST_ROWS = 2_000_000
+
+
+def join_sized(df: DataFrame, side: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Joins a side of narrow rows: broadcast if it has at most so many of them, by shuffle beyond."""
+    few = side.limit(limit + 1).count() <= limit
+    return df.join(F.broadcast(side) if few else side, on, how)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int) -> DataFrame:
+    """doc_id, text, y of the rows whose label may be learnt: labelled, with crc32(doc_id) mod modulus other than remainder.
+    Of several labels of a document the largest holds; null labels, ids and texts do not count."""
+    known = labels.where(~held_out(modulus, remainder)).groupBy("doc_id").agg(F.max(label).alias("y")).where("y IS NOT NULL AND doc_id IS NOT NULL")
+    return join_sized(docs.select("doc_id", "text").where("text IS NOT NULL"), known, "doc_id")
+
+
+def held_out(modulus: int, remainder: int) -> Column:
+    """Whether crc32 of doc_id as text (null: empty) leaves this remainder."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == remainder
+
+
+def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """About `most` rows at most, by a hash of the key: the same rows in each run, whatever the partitions."""
+    n = df.count()
+    share = min(1.0, most / max(n, 1))
+    return df.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else df
