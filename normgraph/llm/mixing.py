@@ -127,14 +127,13 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     up to there, joined by blanks, and n_chars (if docs has it) follows."""
     _, pieces, _ = mix(docs, **options)
     reads = pieces.groupBy("row", "epoch").agg(F.sum(F.col("to_word") - F.col("from_word")).cast("int").alias("taken"))
-    out = docs.withColumn("row", F.monotonically_increasing_id()).join(reads, "row")
+    out = docs.select(F.struct("*").alias("d"), F.monotonically_increasing_id().alias("row")).join(reads, "row")
     # epochs of a document are read in order, so only the last one can be cut, at its end
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    text = F.when(F.col("taken") < F.regexp_count("text", F.lit(WORD)), F.array_join(F.slice(words, 1, F.col("taken")), " ")).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    words = F.filter(F.split("d.text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    cut = F.when(F.col("taken") < F.regexp_count("d.text", F.lit(WORD)), F.array_join(F.slice(words, 1, F.col("taken")), " ")).otherwise(F.col("d.text"))
+    out = out.withColumn("cut", cut)
+    new = {"text": F.col("cut"), "n_chars": F.length("cut").cast("long")}
+    return out.select(*(new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col("d")[c].alias(c) for c in docs.columns))
 
 
 def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
