@@ -29,8 +29,22 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/normgraph-{uuid.uuid4().hex[:12]}-{name}"
 
 
+#: Bytes and rows of an Arrow batch at most, so that long texts do not fill a worker.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH_BYTES and BATCH_ROWS, unless it has lower bounds."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = spark.conf.get(key, None)
+        digits = "".join(c for c in now or "" if c.isdigit())
+        if not digits or int(digits) <= 0 or int(digits) > most:
+            spark.conf.set(key, str(most))
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later steps restart from it if an executor is lost."""
+    small_batches(df.sparkSession)
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -51,6 +65,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
