@@ -106,7 +106,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabu
         yield left[result]
 
     total = whole.agg(F.coalesce(F.sum("bins"), F.lit(0)).alias("first"))
-    few = ranked.where("bin >= bins").crossJoin(F.broadcast(total)).select(*result[:5], "class", "rank", "first").coalesce(1)
+    few = ranked.where("bin >= bins").crossJoin(F.broadcast(total)).select(*result[:5], "class", "rank", "first").repartition(1)
     few = few.mapInPandas(rest, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, filled long")
     out = alone.select(result).unionByName(shared.select(result)).unionByName(few)
     power = F.pow(F.lit(2), F.round(F.log2("filled"))).cast("long") == F.col("filled")
