@@ -115,7 +115,7 @@ def suggestions(records: DataFrame, of: DataFrame, similarity, k: int = 8) -> Da
 def crosstab(records: DataFrame, state: DataFrame) -> DataFrame:
     """Verdicts by action, undecided included. Decisions on records that are gone do not count."""
     both = records.select("id", F.coalesce("critic_verdict", F.lit("none")).alias("verdict")).join(state.select("id", "action"), "id", "left")
-    return both.groupBy("verdict").pivot("action", [*ACTIONS]).agg(F.count("*")).na.fill(0).join(both.groupBy("verdict").agg(F.count_if(F.col("action").isNull()).alias("undecided")), "verdict")
+    return both.groupBy("verdict").pivot("action", [*ACTIONS]).agg(F.count(F.lit(1))).na.fill(0).join(both.groupBy("verdict").agg(F.count_if(F.col("action").isNull()).alias("undecided")), "verdict")
 
 
 def status(records: DataFrame, state: DataFrame, orphans: DataFrame) -> DataFrame:

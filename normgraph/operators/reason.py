@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.tables import join_sized, stash
+from ..plans.tables import join_sized, sized, stash
 from ..schemas import OWL, RDF, RDFS
 
 TYPE, SUB, EQ = RDF + "type", RDFS + "subClassOf", OWL + "equivalentClass"
@@ -41,36 +41,48 @@ def closure(graph: DataFrame, most_rounds: int = 50) -> DataFrame:
     unions, domains, ranges, subproperties and inverses. Literals take part in no rule but domains and subproperties."""
     columns = ["s", "p", "o", "o_kind", "o_lang", "o_dt"]
     known = stash(graph.select(*columns).distinct(), "closure")
-    inter, union = lists(known, OWL + "intersectionOf", "c"), lists(known, OWL + "unionOf", "c")
-    some = _p(known, OWL + "onProperty", "c", "prop").join(_p(known, OWL + "someValuesFrom", "c", "filler"), "c")
-    axioms = {k: _p(known, RDFS + v, "prop", "to") for k, v in (("domain", "domain"), ("range", "range"), ("subprop", "subPropertyOf"))}
+    inter, union = (sized(lists(known, OWL + p, "c")) for p in ("intersectionOf", "unionOf"))
+    some = sized(_p(known, OWL + "onProperty", "c", "prop").join(_p(known, OWL + "someValuesFrom", "c", "filler"), "c"))
+    axioms = {k: sized(_p(known, RDFS + v, "prop", "to")) for k, v in (("domain", "domain"), ("range", "range"), ("subprop", "subPropertyOf"))}
     inverse = _p(known, OWL + "inverseOf", "prop", "to")
-    inverse = inverse.unionByName(inverse.select(F.col("to").alias("prop"), F.col("prop").alias("to"))).distinct()
+    inverse = sized(inverse.unionByName(inverse.select(F.col("to").alias("prop"), F.col("prop").alias("to"))).distinct())
+    # rules without axioms make no branch of a round's plan
+    there = {k: df.limit(1).count() > 0 for k, df in {"inter": inter, "union": union, "some": some, "inverse": inverse, **axioms}.items()}
     fresh = known
     for _ in range(most_rounds):
         types, new_types = _p(known, TYPE, "x", "c"), _p(fresh, TYPE, "x", "c")
         sub = _p(known, SUB, "c", "d").unionByName(_p(known, EQ, "c", "d")).unionByName(_p(known, EQ, "d", "c").select("c", "d")).distinct().where("c <> d")
+        sub = sized(sub)
         iri = lambda df, p: df.select(F.col("s"), F.lit(p).alias("p"), F.col("o"), F.when(F.startswith("o", F.lit("_:")), "bnode").otherwise("iri").alias("o_kind"), F.lit("").alias("o_lang"), F.lit("").alias("o_dt"))
         typed = lambda df: iri(df, TYPE)
         facts = fresh.where("p NOT LIKE 'http://www.w3.org/%'")
+        above = sub.join(sub.select(F.col("c").alias("d"), F.col("d").alias("e")), "d").where("c <> e")
         out = [
-            typed(join_sized(types, sub, "c").select(F.col("x").alias("s"), F.col("d").alias("o"))),  # subclasses and equivalents
-            iri(sub.join(sub.select(F.col("c").alias("d"), F.col("d").alias("e")), "d").where("c <> e").select(F.col("c").alias("s"), F.col("e").alias("o")), SUB),
+            typed(types.join(sub, "c").select(F.col("x").alias("s"), F.col("d").alias("o"))),  # members of subclasses and equivalents
+            iri(above.select(F.col("c").alias("s"), F.col("e").alias("o")), SUB),
             iri(_p(known, EQ, "c", "d").select(F.col("c").alias("s"), F.col("d").alias("o")), SUB),
-            typed(join_sized(new_types, inter, "c").select(F.col("x").alias("s"), F.col("item").alias("o"))),  # parts of an intersection
-            typed(join_sized(types.withColumnRenamed("c", "item"), inter, "item").groupBy("x", "c", "n").agg(F.count_distinct("item").alias("k")).where("k = n").select(F.col("x").alias("s"), F.col("c").alias("o"))),
-            typed(join_sized(new_types.withColumnRenamed("c", "item"), union, "item").select(F.col("x").alias("s"), F.col("c").alias("o"))),
         ]
-        edges = known.where("o_kind <> 'literal'").select(F.col("s").alias("x"), F.col("p").alias("prop"), F.col("o").alias("y"))
-        with_filler = join_sized(edges, some, "prop").join(types.select(F.col("x").alias("y"), F.col("c").alias("filler")), ["y", "filler"])
-        out.append(typed(with_filler.select(F.col("x").alias("s"), F.col("c").alias("o"))))
-        out.append(typed(join_sized(edges, some.where(F.col("filler") == OWL + "Thing"), "prop").select(F.col("x").alias("s"), F.col("c").alias("o"))))
+        if there["inter"]:
+            out.append(typed(new_types.join(inter, "c").select(F.col("x").alias("s"), F.col("item").alias("o"))))
+            parts = types.withColumnRenamed("c", "item").join(inter, "item").groupBy("x", "c", "n").agg(F.count_distinct("item").alias("k"))
+            out.append(typed(parts.where("k = n").select(F.col("x").alias("s"), F.col("c").alias("o"))))
+        if there["union"]:
+            out.append(typed(new_types.withColumnRenamed("c", "item").join(union, "item").select(F.col("x").alias("s"), F.col("c").alias("o"))))
+        if there["some"]:
+            edges = known.where("o_kind <> 'literal'").select(F.col("s").alias("x"), F.col("p").alias("prop"), F.col("o").alias("y")).join(some, "prop")
+            filled = edges.join(types.select(F.col("x").alias("y"), F.col("c").alias("filler")), ["y", "filler"])
+            out.append(typed(filled.unionByName(edges.where(F.col("filler") == OWL + "Thing").select(filled.columns)).select(F.col("x").alias("s"), F.col("c").alias("o"))))
         named = facts.withColumnRenamed("p", "prop")
-        out.append(typed(join_sized(named, axioms["domain"], "prop").select("s", F.col("to").alias("o"))))
-        out.append(typed(join_sized(named.where("o_kind <> 'literal'"), axioms["range"], "prop").select(F.col("o").alias("s"), F.col("to").alias("o"))))
-        out.append(join_sized(named, axioms["subprop"], "prop").select("s", F.col("to").alias("p"), "o", "o_kind", "o_lang", "o_dt"))
-        back = join_sized(named.where("o_kind <> 'literal'"), inverse, "prop")
-        out.append(back.select(F.col("o").alias("s"), F.col("to").alias("p"), F.col("s").alias("o"), F.when(F.startswith("s", F.lit("_:")), "bnode").otherwise("iri").alias("o_kind"), F.lit("").alias("o_lang"), F.lit("").alias("o_dt")))
+        nodes = named.where("o_kind <> 'literal'")
+        if there["domain"]:
+            out.append(typed(named.join(axioms["domain"], "prop").select("s", F.col("to").alias("o"))))
+        if there["range"]:
+            out.append(typed(nodes.join(axioms["range"], "prop").select(F.col("o").alias("s"), F.col("to").alias("o"))))
+        if there["subprop"]:
+            out.append(named.join(axioms["subprop"], "prop").select("s", F.col("to").alias("p"), "o", "o_kind", "o_lang", "o_dt"))
+        if there["inverse"]:
+            kind = F.when(F.startswith("s", F.lit("_:")), "bnode").otherwise("iri")
+            out.append(nodes.join(inverse, "prop").select(F.col("o").alias("s"), F.col("to").alias("p"), F.col("s").alias("o"), kind.alias("o_kind"), F.lit("").alias("o_lang"), F.lit("").alias("o_dt")))
         found = out[0]
         for df in out[1:]:
             found = found.unionByName(df)

@@ -194,7 +194,7 @@ def _join(left: DataFrame | None, right: DataFrame, maybe: set[str], how: str =
 def _solve(group: Group, triples: DataFrame) -> DataFrame:
     out: DataFrame | None = None
     for variable, items in group.values:
-        table = triples.sparkSession.createDataFrame([(x,) for x in items], f"{variable[1:]} string")
+        table = triples.sparkSession.createDataFrame([(lit[0] if (lit := _literal(x)) else x,) for x in items], f"{variable[1:]} string")
         out = _join(out, F.broadcast(table), set())
     # the most bound pattern first, then always one that shares a variable
     left = sorted(group.patterns, key=lambda t: sum(x.startswith("?") for x in t))

@@ -30,10 +30,14 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast in joins if it has at most `limit` rows now; for a side that is joined again and again."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def join_sized(df: DataFrame, side: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Joins a side that is broadcast if it has at most `limit` rows, and shuffled beyond."""
-    few = side.limit(limit + 1).count() <= limit
-    return df.join(F.broadcast(side) if few else side, on, how)
+    return df.join(sized(side, limit), on, how)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
