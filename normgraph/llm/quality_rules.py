@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import Sink, join_sized, read, rows
 from .stats import as_bytes, base_counts
 
-BUCKETS, THRESHOLD = 1 << 20, -0.25
+BUCKETS, THRESHOLD = 1 << 20, -0.5
 MIN_WORDS, MAX_REPEAT = 20, 30
 _SHIFT = np.uint32(32 - BUCKETS.bit_length() + 1)
 
