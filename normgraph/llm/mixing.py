@@ -110,8 +110,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     p = p.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))))
     at = F.col("block") * block
     p = p.withColumns({"from_word": F.greatest(at, F.col("start")) - F.col("start"), "to_word": F.least(at + block, F.col("end")) - F.col("start")})
-    slots = slots.select("slot", F.col("source").alias("s_source"), F.col("block").alias("s_block"))
-    pieces = p.join(slots, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("block") == F.col("s_block")))
+    named = slots.select("slot", F.col("source").alias("s_source"), F.col("block").alias("s_block"))
+    pieces = p.join(named, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("block") == F.col("s_block")))
     return known, pieces.select("slot", "source", "block", "row", "doc_id", "epoch", "from_word", "to_word", "start"), slots
 
 
