@@ -1,8 +1,8 @@
 """Toxicity by a linear model over character n-grams scaled by naive Bayes log-count ratios.
 
 Byte n-grams (3 to 7) of the lower-case text, words led by a blank, are hashed into BUCKETS. For each bucket, the log of the ratio
-of its smoothed shares of toxic and other training documents is counted over all of them; buckets whose ratio is not at least SIGMAS
-standard errors from even are dropped. A logistic model, fitted on a bounded sample, weighs log(1 + count) times that ratio.
+of its smoothed shares of toxic and other training documents is counted over all of them; used are the MOST_USED buckets whose ratios
+are the most standard errors from even, SIGMAS at least. A logistic model, fitted on a bounded sample, weighs log(1 + count) times that ratio.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import Sink, bounded_sample, held_out, labelled, read, rows
 
-BUCKETS, SIGMAS, SAMPLE = 1 << 20, 3.0, 20_000
+#: Most significant buckets used, and sampled rows of the logistic fit: they bound what reaches the driver.
+BUCKETS, SIGMAS, MOST_USED, SAMPLE = 1 << 20, 3.0, 16_384, 8_000
 MODULUS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 _SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
 _ODD = np.random.default_rng(3).integers(1 << 62, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
@@ -61,7 +62,9 @@ def count_ratios(train: DataFrame) -> np.ndarray:
     p, q = (toxic + 0.5) / (all_toxic + 1), (clean + 0.5) / (all_clean + 1)
     r = np.log(p) - np.log(q)
     error = np.sqrt(np.maximum(1 / (toxic + 0.5) - 1 / (all_toxic + 1), 0) + np.maximum(1 / (clean + 0.5) - 1 / (all_clean + 1), 0))
-    use = (at >= 0) & (np.abs(r) >= SIGMAS * error)
+    strength = np.where(at >= 0, np.abs(r) / np.maximum(error, 1e-9), 0)
+    order = np.lexsort((at, -strength))[:MOST_USED]
+    use = order[strength[order] >= SIGMAS]
     ratios[at[use]] = r[use]
     return ratios
 
@@ -107,7 +110,8 @@ def fit_logistic(at: list[np.ndarray], values: list[np.ndarray], y: np.ndarray,
     if not len(y) or y.min() == y.max():
         return np.zeros(size), -4.0 if not len(y) or y.min() == 0 else 4.0
     used, column = np.unique(np.concatenate(at), return_inverse=True)
-    value, row = np.concatenate(values).astype(float), np.repeat(np.arange(len(y)), [len(a) for a in at])
+    column = column.astype(np.int32)
+    value, row = np.concatenate(values), np.repeat(np.arange(len(y), dtype=np.int32), [len(a) for a in at])
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
         z = np.bincount(row, value * w[column], len(y)) + w[-1]
