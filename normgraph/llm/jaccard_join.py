@@ -123,9 +123,6 @@ def children(key: int, sketches: np.ndarray) -> Iterator[np.ndarray]:
         yield mix(draw[c] ^ (sketches[:, c].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))).view(np.int64)
 
 
-_OUT = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("sketch", pa.binary())])
-
-
 def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of equal keys, as (key, sets, sketches), in parts: a part may continue the key of the one before."""
     for batch in batches:
@@ -138,50 +135,44 @@ def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
             yield int(keys[low]), sets[low:high], sketches[low:high]
 
 
-def _compare(last: bool):
-    """Small buckets give the edges of a forest (a, b); larger ones rows of their children (key, a, sketch), but not the last time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Sink(_OUT, 8000)
-        key, held, size = None, [], 0  # held: parts of a bucket as long as it is small
-
-        def close() -> None:
-            if not held or size < 2:
-                return
-            sets, sketches = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            label = forest(likely(sketches))
-            least = np.full(len(sets), np.iinfo(np.int64).max)
-            np.minimum.at(least, label, sets)
-            for a, b in zip(sets, least[label], strict=True):
-                if a != b:
-                    out.add(None, a, b, None)
-
-        def descend(sets: np.ndarray, sketches: np.ndarray) -> None:
-            for kids in children(key, sketches):
-                for k, a, s in zip(kids, sets, sketches, strict=True):
-                    out.add(k, a, None, s.tobytes())
-
-        for now, sets, sketches in _groups(batches):
-            if now != key:
-                close()
-                key, held, size = now, [], 0
-            size += len(sets)
-            held.append((sets, sketches))
-            if size > SMALL and not last:
-                for h in held:
-                    descend(*h)
-                held = []
-            if out.full:
-                yield out.take()
-        close()
-        yield out.take()
-
-    return run
-
-
-def _level(found: DataFrame, last: bool = False) -> DataFrame:
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of the forest of each bucket; rows come sorted by key."""
+    out = Sink(pa.schema([("a", pa.int64()), ("b", pa.int64())]), 8000)
+    key, held = None, []
+
+    def close() -> None:
+        if sum(len(h[0]) for h in held) < 2:
+            return
+        sets, sketches = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        label = forest(likely(sketches))
+        least = np.full(len(sets), np.iinfo(np.int64).max)
+        np.minimum.at(least, label, sets)
+        for a, b in zip(sets, least[label], strict=True):
+            if a != b:
+                out.add(a, b)
+
+    for now, sets, sketches in _groups(batches):
+        if now != key:
+            close()
+            key, held = now, []
+        held.append((sets, sketches))
+        if out.full:
+            yield out.take()
+    close()
+    yield out.take()
+
+
+def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's rows in the children of its node. Needs no other row of the node, so large ones stay spread as they lie."""
+    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("sketch", pa.binary())])
+    for key, sets, sketches in _groups(batches):
+        for kids in children(key, sketches):
+            yield pa.RecordBatch.from_arrays([pa.array(kids), pa.array(sets), pa.array([s.tobytes() for s in sketches], pa.binary())], schema=schema)
+
+
+def _edges(found: DataFrame) -> DataFrame:
     dealt = found.select("key", "a", "sketch").repartition(partitions(found.sparkSession), "key").sortWithinPartitions("key")
-    return stash(dealt.mapInArrow(_compare(last), "key long, a long, b long, sketch binary"), "paths")
+    return stash(dealt.mapInArrow(_compare, "a long, b long"), "paths")
 
 
 def blocked(df: DataFrame, group: str, blocks: DataFrame, by: str) -> DataFrame:
@@ -193,19 +184,22 @@ def blocked(df: DataFrame, group: str, blocks: DataFrame, by: str) -> DataFrame:
 
 
 def likely_edges(sets: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Edges (a, b) of the buckets' forests. sets: row, keys, sketch."""
+    """Edges (a, b) of the buckets' forests. sets: row, keys, sketch. Buckets are counted first: rows of large ones go down a level where they
+    lie, and only small ones are gathered."""
     found = sets.select(F.explode("keys").alias("key"), F.col("row").alias("a"), "sketch")
     edges = []
-    for _ in range(depth):
-        level = _level(found)
-        edges.append(level.where("b IS NOT NULL").select("a", "b"))
-        found = level.where("b IS NULL").select("key", "a", "sketch")
-        if not found.limit(1).count():
+    for level in range(1, depth + 1):
+        large = stash(found.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL), "large")
+        some = large.limit(1).count() > 0
+        edges.append(_edges(join_sized(found, large, "key", "left_anti") if some else found))
+        if not some:
             break
-    else:  # buckets that stay large after all splits: compared in pairs of blocks
-        counts = found.groupBy("key").agg(F.ceil(F.count("*") / SMALL).alias("n_blocks"))
-        pairs = blocked(found, "key", counts, "a").withColumn("key", F.xxhash64("key", "low", "high"))
-        edges.append(_level(pairs, last=True).select("a", "b"))
+        rest = join_sized(found, large.select("key"), "key", "left_semi").select("key", "a", "sketch")
+        if level < depth:
+            found = stash(rest.mapInArrow(_descend, "key long, a long, sketch binary"), "deeper")
+        else:  # buckets that stay large after all splits: compared in pairs of blocks
+            pairs = blocked(rest, "key", large.select("key", F.ceil(F.col("n") / SMALL).alias("n_blocks")), "a")
+            edges.append(_edges(pairs.withColumn("key", F.xxhash64("key", "low", "high"))))
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
