@@ -28,7 +28,7 @@ from .stats import as_bytes
 
 LENGTH, GRAM, CELL = 400, 16, 128
 #: Distinct contexts of a core that one task constructs; a core with more is done by counting its strings' hashes.
-MOST_CONTEXTS = 100_000
+MOST_CONTEXTS = 50_000
 #: Strings of the small groups that are constructed together.
 BATCH = 4000
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
