@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Sink, join_sized, partitions, read, rows, stash
+from .common import BROADCAST_ROWS, Sink, forget, join_sized, partitions, read, rows, stash
 from .stats import as_bytes
 
 LENGTH, GRAM, CELL = 400, 16, 128
@@ -236,7 +236,9 @@ def spans(docs: DataFrame, length: int = LENGTH, width: int = CELL) -> DataFrame
     ranges = stash(ranges.unionByName(rest), "ranges")
     inside = varied.drop("first", "last").join(ranges, ["core", "whole"])
     ends = lambda df: df.select("row", (F.col("base") + F.col("first")).alias("low"), (F.col("base") + F.col("last") + length).alias("high"))
-    return ends(known.where("NOT varied")).unionByName(ends(inside))
+    out = stash(ends(known.where("NOT varied")).unionByName(ends(inside)), "spans")
+    forget(found, twice, varied, each, strings, ranges)
+    return out
 
 
 def removed(n: int, found: list) -> np.ndarray:
