@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Sink, join_sized, partitions, read, rows, stash
+from .common import Sink, forget, join_sized, partitions, read, rows, stash
 from .graph import components
 from .shingles import mix, shingles
 
@@ -183,13 +183,14 @@ def blocked(df: DataFrame, group: str, blocks: DataFrame, by: str) -> DataFrame:
     return both.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "n_blocks")
 
 
-def likely_edges(sets: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Edges (a, b) of the buckets' forests. sets: row, keys, sketch. Buckets are counted first: rows of large ones go down a level where they
+def likely_edges(sets: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges (a, b) of the buckets' forests, and the tables that hold them. sets: row, keys, sketch. Buckets are counted first: rows of large ones go down a level where they
     lie, and only small ones are gathered."""
     found = sets.select(F.explode("keys").alias("key"), F.col("row").alias("a"), "sketch")
-    edges = []
+    edges, others = [], []
     for level in range(1, depth + 1):
         large = stash(found.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SMALL), "large")
+        others.append(large)
         some = large.limit(1).count() > 0
         edges.append(_edges(join_sized(found, large, "key", "left_anti") if some else found))
         if not some:
@@ -197,13 +198,14 @@ def likely_edges(sets: DataFrame, depth: int = DEPTH) -> DataFrame:
         rest = join_sized(found, large.select("key"), "key", "left_semi").select("key", "a", "sketch")
         if level < depth:
             found = stash(rest.mapInArrow(_descend, "key long, a long, sketch binary"), "deeper")
+            others.append(found)
         else:  # buckets that stay large after all splits: compared in pairs of blocks
             pairs = blocked(rest, "key", large.select("key", F.ceil(F.col("n") / SMALL).alias("n_blocks")), "a")
             edges.append(_edges(pairs.withColumn("key", F.xxhash64("key", "low", "high"))))
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
-    return out
+    return out, edges + others
 
 
 def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -281,7 +283,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, runs
     sets = signed.groupBy("set_key").agg(F.min_by(F.struct("row", "size", "keys", "sketch"), "row").alias("s"), F.count("*").alias("n_docs"), F.min("doc_id").alias("least"))
     sets = stash(sets.select("set_key", "s.*", "n_docs", "least"), "sets")
     members = signed.select("row", "doc_id", "set_key")
-    likely_groups = stash(components(likely_edges(sets.where("size > 0"), depth)).withColumnRenamed("node", "row"), "groups")
+    edges, made = likely_edges(sets.where("size > 0"), depth)
+    likely_groups = stash(components(edges).withColumnRenamed("node", "row"), "groups")
+    forget(*made)
     inside = join_sized(sets.select("row", "size", "n_docs"), likely_groups, "row")
     blocks = inside.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("n_blocks"))
     texts = join_sized(docs.select("row", "text"), inside.select("row", "n_docs", "label"), "row")
@@ -293,6 +297,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, runs
     known = known.withColumns({"label": F.coalesce("label", "row"), "n_linked": F.coalesce("n_linked", F.lit(0))})
     names = known.groupBy("label").agg(F.min("least").alias("class_id"))
     known = stash(known.join(names, "label").select("set_key", "n_docs", "n_linked", "class_id", F.col("label").alias("class_row")), "known")
+    forget(sets, likely_groups, exact)
     out = members.join(known, "set_key")
     return out.select("row", "doc_id", "class_id", (F.col("n_linked") + F.col("n_docs") - 1).alias("n_links"), (F.col("n_docs") - 1).alias("n_equal"), "class_row")
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, stash
+from .common import forget, read, stash
 
 WEIGHTS, SHARE, EPOCHS, BLOCK = (3, 1, 2), 1.5, 2, 2048
 WORD = r"[^\x20\x09-\x0D]+"
@@ -103,6 +103,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     g = goals.select(F.col("source").alias("g_source"), "source_size", "target")
     known = placed(sizes).join(g, F.col("source").eqNullSafe(F.col("g_source"))).drop("g_source")
     known = stash(known, "placed")
+    forget(sizes)
     start = F.col("before") + F.col("epoch") * F.col("source_size")
     end = F.least(start + F.col("size"), F.floor("target"))
     p = known.where("size > 0").withColumn("epoch", F.explode(F.array(*(F.lit(e).cast("long") for e in range(epochs)))))
