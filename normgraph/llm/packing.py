@@ -85,7 +85,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabu
     by_class = Window.partitionBy("class")
     counts = found.groupBy("class", "worker").agg(F.count("*").alias("n")).select("class", "worker", (F.sum("n").over(by_class.orderBy("worker").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
     # one row a class: at most 2 * sqrt(capacity)
-    whole = found.groupBy("class").agg(F.floor(F.count("*") / F.first("class")).alias("bins")).select("class", "bins", (F.sum("bins").over(Window.orderBy("class").rowsBetween(Window.unboundedPreceding, 0)) - F.col("bins")).alias("base"))
+    whole = found.groupBy("class").agg(F.floor(F.count("*") / F.first("class")).alias("bins")).select("class", "bins", (F.sum("bins").over(Window.orderBy("class").rowsBetween(Window.unboundedPreceding, 0)) - F.col("bins")).alias("base"), F.sum("bins").over(Window.partitionBy()).alias("first"))
     ranked = found.join(counts, ["class", "worker"]).join(F.broadcast(whole), "class").withColumn("rank", F.col("before") + F.col("local"))
     ranked = ranked.withColumn("bin", F.floor(F.col("rank") / F.col("class")))
     result = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "filled"]
@@ -105,8 +105,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabu
         left["sequence_id"] = left["bin"] + left["first"]
         yield left[result]
 
-    total = whole.agg(F.coalesce(F.sum("bins"), F.lit(0)).alias("first"))
-    few = ranked.where("bin >= bins").crossJoin(F.broadcast(total)).select(*result[:5], "class", "rank", "first").repartition(1)
+    few = ranked.where("bin >= bins").select(*result[:5], "class", "rank", "first").repartition(1)
     few = few.mapInPandas(rest, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, filled long")
     out = alone.select(result).unionByName(shared.select(result)).unionByName(few)
     power = F.pow(F.lit(2), F.round(F.log2("filled"))).cast("long") == F.col("filled")
