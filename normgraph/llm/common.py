@@ -33,8 +33,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Holds the session's Arrow batches to BATCH_BYTES and BATCH_ROWS, unless it has lower bounds."""
+def hold_settings(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH_BYTES and BATCH_ROWS, unless it has lower bounds, and the number of partitions that files are
+    cut into: unset, it follows the cores alive at each read, so that an executor lost between two reads would number rows anew."""
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
         now = spark.conf.get(key, None)
         digits = "".join(c for c in now or "" if c.isdigit())
@@ -44,7 +47,7 @@ def small_batches(spark: SparkSession) -> None:
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later steps restart from it if an executor is lost."""
-    small_batches(df.sparkSession)
+    hold_settings(df.sparkSession)
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -65,7 +68,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    small_batches(spark)
+    hold_settings(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
