@@ -123,8 +123,14 @@ def held_out(modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
-def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
-    """About `most` rows at most, by a hash of the key: the same rows in each run, whatever the partitions."""
-    n = df.count()
-    share = min(1.0, most / max(n, 1))
-    return df.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else df
+def bounded_sample(df: DataFrame, most: int, *columns: str) -> DataFrame:
+    """A share of df's rows, somewhat over `most` of them if it has more, picked by the hash `pick` of the columns: the same rows in each run,
+    whatever the partitions. Rows of equal columns are picked together, so first_picked() has to follow for a bound."""
+    share = min(1.0, 1.1 * most / max(df.count(), 1))
+    picked = df.withColumn("pick", F.xxhash64(*columns, F.lit(17)))
+    return picked.where(F.shiftrightunsigned("pick", 12) < int(share * (1 << 52))) if share < 1 else picked
+
+
+def first_picked(df: DataFrame, most: int, *ties: str) -> DataFrame:
+    """The `most` rows of least `pick`, at most."""
+    return df.orderBy("pick", *ties).limit(most).drop("pick")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Sink, bounded_sample, held_out, labelled, read, rows
+from .common import Sink, bounded_sample, first_picked, held_out, labelled, read, rows
 from .stats import FEATURES, features
 
 SAMPLE, MODULUS, HELD_OUT, THRESHOLD = 20_000, 4, 2, 0.7
@@ -159,9 +159,9 @@ def with_features(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ensemble:
-    """Fits on about `sample` labelled rows at most, picked by a hash of doc_id."""
-    rows_in = bounded_sample(labelled(docs, labels, "quality", MODULUS, HELD_OUT), "doc_id", sample)
-    got = with_features(rows_in.withColumn("y", F.col("y").cast("int")), "y", "doc_id").toArrow().sort_by("doc_id")
+    """Fits on `sample` labelled rows at most, picked by a hash of doc_id and text."""
+    rows_in = bounded_sample(labelled(docs, labels, "quality", MODULUS, HELD_OUT), sample, "doc_id", "text")
+    got = first_picked(with_features(rows_in.withColumn("y", F.col("y").cast("int")), "pick", "y"), sample, "y").toArrow()
     x = np.stack([got[f].to_numpy() for f in FEATURES], 1) if len(got) else np.empty((0, len(FEATURES)))
     return fit(x, got["y"].to_numpy().astype(float))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Sink, bounded_sample, held_out, labelled, read, rows
+from .common import Sink, bounded_sample, first_picked, held_out, labelled, read, rows
 
 #: Most significant buckets used, and sampled rows of the logistic fit: they bound what reaches the driver.
 BUCKETS, SIGMAS, MOST_USED, SAMPLE = 1 << 20, 3.0, 16_384, 8_000
@@ -126,21 +126,21 @@ def fit_logistic(at: list[np.ndarray], values: list[np.ndarray], y: np.ndarray,
 
 
 def fit(train: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Weight of log(1 + count) of each bucket, and the offset. Ratios count all training rows, the logistic fit about `sample` rows at most."""
+    """Weight of log(1 + count) of each bucket, and the offset. Ratios count all training rows, the logistic fit `sample` rows at most."""
     ratios = count_ratios(train)
     shared = train.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Sink(pa.schema([("y", pa.int32()), ("at", pa.list_(pa.int32())), ("v", pa.list_(pa.float32()))]), 500)
-        for text, y in rows(batches, "text", "y"):
+        out = Sink(pa.schema([("pick", pa.int64()), ("y", pa.int32()), ("at", pa.list_(pa.int32())), ("v", pa.list_(pa.float32()))]), 500)
+        for pick, text, y in rows(batches, "pick", "text", "y"):
             found, values = inputs(text, shared.value)
-            out.add(y, found, values)
+            out.add(pick, y, found, values)
             if out.full:
                 yield out.take()
         yield out.take()
 
-    picked = bounded_sample(train.select("doc_id", "text", F.col("y").cast("int").alias("y")), "doc_id", sample)
-    got = picked.mapInArrow(run, "y int, at array<int>, v array<float>").toArrow()
+    picked = bounded_sample(train.select("doc_id", "text", F.col("y").cast("int").alias("y")), sample, "doc_id", "text")
+    got = first_picked(picked.mapInArrow(run, "pick long, y int, at array<int>, v array<float>"), sample, "y").toArrow()
     pick = lambda c: [np.asarray(x.values) for x in got[c]] if len(got) else []
     weights, offset = fit_logistic(pick("at"), pick("v"), got["y"].to_numpy().astype(float), BUCKETS)
     return (weights * ratios).astype(np.float32), offset

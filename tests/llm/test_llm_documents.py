@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from normgraph.llm import bpe, fingerprints, mixing, packing, quality_rules, rule_ensemble, shingles, stats, token_counts, toxicity, warc
+from normgraph.llm import bpe, common, fingerprints, mixing, packing, quality_rules, rule_ensemble, shingles, stats, token_counts, toxicity, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -305,3 +305,25 @@ def test_rule_ensemble(spark, docs, none):
     assert len(edge) == len(TEXTS) and all(0 <= r["score"] <= 1 for r in edge)
     assert rule_ensemble.score_documents(none, known).count() == 0
     assert len({r["score"] for r in rule_ensemble.score_documents(docs, known.where("false")).collect()}) == 1
+
+
+def test_sample_is_bounded_and_never_empty(spark):
+    spread = spark.range(200_000).selectExpr("id AS doc_id", "'t' AS text")
+    few = common.first_picked(common.bounded_sample(spread, 5, "doc_id", "text"), 5)
+    assert 1 <= few.count() <= 5
+    assert few.collect() == common.first_picked(common.bounded_sample(spread.repartition(7), 5, "doc_id", "text"), 5).collect()
+    hot = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS doc_id", "CASE WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS text")
+    assert common.first_picked(common.bounded_sample(hot, 50, "doc_id", "text"), 50).count() <= 50
+    assert common.first_picked(common.bounded_sample(hot, 5000, "doc_id", "text"), 5000).count() == 3000
+
+
+def test_files_are_cut_alike_whatever_executors_live(spark):
+    key = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    common.hold_settings(spark)
+    assert int(spark.conf.get(key)) == spark.sparkContext.defaultParallelism
+    spark.conf.set(key, "3")
+    common.hold_settings(spark)
+    assert spark.conf.get(key) == "3"
+    spark.conf.set(key, before) if before else spark.conf.unset(key)
