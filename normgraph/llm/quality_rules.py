@@ -2,8 +2,10 @@
 
 Byte n-grams (3 and 4) of each text are hashed into BUCKETS. Two multinomials over the buckets are fitted over all
 documents: the raw corpus's, smoothed by one count a bucket, and the trusted target's (documents labelled as of good quality), smoothed
-by that count times the target's share of the corpus, so that a bucket that nothing has reached is even at any size. A
-document's score is the mean log ratio over its n-grams; it is kept if that is at least THRESHOLD. No chance enters.
+by that count times the target's share of the corpus, so that a bucket that nothing has reached is even at any size. A class of near
+copies (as in jaccard_join) counts as one document in each, whatever its size: its distinct texts share a weight of 1 in the corpus, those with a
+trusted copy a weight of 1 in the target. A document's score is the mean log ratio over its n-grams; it is kept if that is at least
+THRESHOLD. No chance enters, but for the join's recall.
 """
 
 from __future__ import annotations
@@ -13,10 +15,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Sink, join_sized, read, rows
+from .common import Sink, join_sized, read, rows, stash
+from .jaccard_join import join
 from .stats import as_bytes, base_counts
 
 BUCKETS, THRESHOLD = 1 << 20, -0.5
@@ -35,37 +38,60 @@ def buckets(data: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's counts by bucket: at most BUCKETS rows."""
-    total = np.zeros((2, BUCKETS), np.int64)
-    held: tuple[list, list] = [], []
+    """A task's weighted counts by bucket: at most BUCKETS rows."""
+    total = np.zeros((2, BUCKETS))
+    held: list[tuple[np.ndarray, float, float]] = []
 
     def pour() -> None:
+        if not held:
+            return
+        found, sizes = np.concatenate([h[0] for h in held]), [len(h[0]) for h in held]
         for k in (0, 1):
-            if held[k]:
-                found = np.concatenate(held[k])
-                total[k] += np.bincount(found, minlength=BUCKETS)
-                held[k].clear()
+            total[k] += np.bincount(found, np.repeat([h[k + 1] for h in held], sizes), BUCKETS)
+        held.clear()
 
     size = 0
-    for text, trusted in rows(batches, "text", "trusted"):
+    for text, target, raw in rows(batches, "text", "target", "raw"):
         found = buckets(as_bytes(text))
-        held[1 if trusted else 0].append(found)
+        held.append((found, target, raw))
         size += len(found)
-        if size > 1 << 22:
+        if size > 1 << 21:
             pour()
             size = 0
     pour()
     at = np.flatnonzero(total.sum(0))
     for low in range(0, len(at), 1 << 16):
         part = at[low : low + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[1, part]), pa.array(total.sum(0)[part])], names=["bucket", "target", "raw"])
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[0, part]), pa.array(total[1, part])], names=["bucket", "target", "raw"])
+
+
+def _share(n: Column) -> Column:
+    """1 / n in steps of 2^-30, so that sums do not depend on their order."""
+    return F.when(n > 0, F.round(F.lit(float(1 << 30)) / n) / (1 << 30)).otherwise(0.0)
+
+
+def weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """row, target, raw: the weights of the rows of docs (doc_id, text) in the two multinomials, where they are not 0 and 1; row numbers them as
+    monotonically_increasing_id does."""
+    classes = join(docs).select("row", "class_row")
+    known = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("trusted", F.lit(1))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("text_key")).where("text_key IS NOT NULL")
+    marked = join_sized(texts, known, "doc_id", "left").select("row", "text_key", F.coalesce("trusted", F.lit(0)).alias("trusted"))
+    # equal texts are of one class
+    copies = stash(marked.join(classes, "row").groupBy("class_row", "text_key").agg(F.min("row").alias("row"), F.max("trusted").alias("trusted"), F.count("*").alias("n")), "texts")
+    members = copies.groupBy("class_row").agg(F.count("*").alias("n_texts"), F.sum("trusted").alias("n_trusted")).where("n_texts > 1")
+    shared = join_sized(copies, members, "class_row", "left")
+    first = shared.select("row", (F.col("trusted") * _share(F.coalesce("n_trusted", F.lit(1)))).alias("target"), _share(F.coalesce("n_texts", F.lit(1))).alias("raw"))
+    again = marked.join(copies.select("row"), "row", "left_anti").select("row", F.lit(0.0).alias("target"), F.lit(0.0).alias("raw"))
+    return stash(first.where("target > 0 OR raw < 1").unionByName(again), "weights")
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """The log ratio of each bucket. docs has doc_id and text, trusted the doc_ids of the target; counts cover every document."""
-    known = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("trusted", F.lit(True))
-    marked = join_sized(docs.select("doc_id", "text").where("text IS NOT NULL"), known, "doc_id", "left").select("text", "trusted")
-    counts = marked.mapInArrow(_count, "bucket int, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
+    docs = docs.select("doc_id", "text")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "text").where("text IS NOT NULL")
+    weighed = join_sized(numbered, weights(docs, trusted), "row", "left").select("text", F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("raw", F.lit(1.0)).alias("raw"))
+    counts = weighed.where("raw > 0").mapInArrow(_count, "bucket int, target double, raw double").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
     found = counts.toArrow()  # BUCKETS rows at most
     table = np.zeros((2, BUCKETS))
     table[0, found["bucket"].to_numpy()] = found["target"].to_numpy()

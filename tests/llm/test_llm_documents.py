@@ -266,6 +266,23 @@ def test_quality_rules(spark, docs, none):
     assert quality_rules.assess(none, trusted).count() == 0
 
 
+def test_quality_does_not_depend_on_copies(spark, tmp_path):
+    """A clean, unlabelled group of exact and near copies that holds a third of the rows."""
+    good = [" ".join(f"w{x}" for x in np.random.default_rng(i).integers(10 * i, 10 * i + 300, 150)) for i in range(80)]
+    junk = [" ".join(f"w{x}%%%***" for x in np.random.default_rng(i).integers(0, 500, 60)) for i in range(20)]
+    one = " ".join(f"w{x}" for x in np.random.default_rng(99).integers(0, 900, 150))
+    near = [" ".join([*one.split()[:-1], f"edit{k}"]) for k in range(25)]
+    trusted = spark.createDataFrame([(i,) for i in range(0, 80, 2)], "doc_id long")
+    scores = []
+    for name, group in (("one", [one]), ("many", [one] * 25 + near)):
+        _docs(spark, good + junk + group).repartition(3).write.parquet(str(tmp_path / name))
+        got = {r["doc_id"]: r for r in quality_rules.assess(spark.read.parquet(str(tmp_path / name)), trusted).collect()}
+        assert all(got[100 + i]["kept"] for i in range(len(group)))
+        assert all(got[i]["kept"] for i in range(80)) and not any(got[i]["kept"] for i in range(80, 100))
+        scores.append(got[100]["score"])
+    assert abs(scores[0] - scores[1]) < 0.05
+
+
 def _labels(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
