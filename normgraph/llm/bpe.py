@@ -1,7 +1,7 @@
 """Byte-level BPE from a tokenizers JSON file, with the byte length of every id.
 
 The ids are those of the tokenizers library (a test compares them); the engine is tiktoken's, which is several times faster.
-Strings of special tokens in a text are ordinary text.
+Encoder.encode() takes the file's added tokens in a text as tokens, as that library does by default; Encoder.ids() takes their strings as ordinary text.
 """
 
 from __future__ import annotations
@@ -34,13 +34,21 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec.get("added_tokens", ())}
+        added = spec.get("added_tokens", ())
+        if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")) or spec.get("normalizer"):
+            raise ValueError(f"{path}: added tokens that are more than their strings, or a normalizer, are not supported")
+        special = {t["content"]: t["id"] for t in added}
         byte = _byte_of()
         ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        self.encoding = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.n_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.encoding = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.n_bytes = np.zeros(max([*ranks.values(), *special.values()]) + 1, np.int64)
         for token, i in ranks.items():
             self.n_bytes[i] = len(token)
+        for token, i in special.items():
+            self.n_bytes[i] = len(token.encode())
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return np.array(self.encoding.encode(text, allowed_special="all") if text else (), "<u4")
 
     def ids(self, text: str | None) -> np.ndarray:
         return np.array(self.encoding.encode_ordinary(text) if text else (), "<u4")

@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, voca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, worker, seen, out = encoder(path), TaskContext.get().partitionId(), {}, Sink(_PIECE, 8000)
         for doc_id, text in rows(batches, "doc_id", "text"):
-            ids = np.append(bpe.ids(text), np.array([end_id], "<u4"))
+            ids = np.append(bpe.encode(text), np.array([end_id], "<u4"))
             at = 0
             for length in cut(len(ids), capacity):
                 k = capacity // length

@@ -100,7 +100,7 @@ def attribute_tokens(docs: DataFrame, key: str = "doc_id", fields: tuple[str, ..
                 position = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[bounds]
                 k = len(bounds) - 1
                 if len(data):
-                    tokens, crossing = allocate(bpe.n_bytes[bpe.ids(whole)], bounds, rule)
+                    tokens, crossing = allocate(bpe.n_bytes[bpe.encode(whole)], bounds, rule)
                 else:
                     tokens, crossing = np.zeros(k), np.zeros(k, np.int64)
                 keys.extend([name] * k)

@@ -137,6 +137,27 @@ def test_ids_are_the_tokenizers(docs):
         assert encoder.n_bytes[ids].sum() == len((text or "").encode())
 
 
+ADDED = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>\n  x", "é<|endoftext|>\n\n<|endoftext", "end  <|endoftext|>  'll 12"]
+
+
+def test_added_tokens_are_the_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(bpe.default_vocabulary())
+    want = [reference.encode(t or "", add_special_tokens=False).ids for t in [*TEXTS, *ADDED]]
+    encoder = bpe.encoder(bpe.default_vocabulary())
+    for text, ids in zip([*TEXTS, *ADDED], want, strict=True):
+        assert encoder.encode(text).tolist() == ids and encoder.n_bytes[ids].sum() == len((text or "").encode())
+    df = _docs(spark, [*TEXTS, *ADDED])
+    for r in packing.pack(df).collect():
+        part = np.array([*want[r["doc_id"]], 1], "<u4")[r["start"] : r["start"] + r["length"]]
+        assert zlib.crc32(part.tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(want[r["doc_id"]]) + 1
+    total = defaultdict(float)
+    for r in token_counts.attribute_tokens(df).collect():
+        total[r["doc_id"]] += r["n_tokens"]
+    assert dict(total) == {i: float(len(ids)) for i, ids in enumerate(want)}
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 5), min_size=1, max_size=20), st.data())
 def test_allocation(sizes, data):
