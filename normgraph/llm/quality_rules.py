@@ -96,7 +96,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     table = np.zeros((2, BUCKETS))
     table[0, found["bucket"].to_numpy()] = found["target"].to_numpy()
     table[1, found["bucket"].to_numpy()] = found["raw"].to_numpy()
-    share = max(table[0].sum(), 1) / max(table[1].sum(), 1)
+    if not table[0].any():
+        return np.zeros(BUCKETS, np.float32)
+    share = table[0].sum() / table[1].sum()
     return (np.log(table[0] + share) - np.log(table[1] + 1) - np.log(share)).astype(np.float32)
 
 
@@ -120,7 +122,7 @@ def assess(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) ->
     """A row for each row of docs (doc_id, text; more columns are ignored): counts, base_failed, score and kept.
 
     A null or empty text has no words, fails the base rules and scores 0. Rows with one doc_id are judged each on its own; a null
-    doc_id is never trusted. Without trusted documents all ratios favour none and only the base rules and the raw counts decide.
+    doc_id is never trusted. Without trusted n-grams all ratios are 0 and only the base rules decide.
     An empty table gives no rows."""
     shared = _ratios(docs, trusted)
 

@@ -304,6 +304,12 @@ def test_quality_does_not_depend_on_copies(spark, tmp_path):
     assert abs(scores[0] - scores[1]) < 0.05
 
 
+def test_quality_without_trusted_documents(spark, docs):
+    for known in (_labels(spark, []), _labels(spark, [(5, 0, 0), (7, None, 1)])):
+        got = quality_rules.assess(docs, quality_rules.trusted_ids(known)).collect()
+        assert any(r["kept"] for r in got) and all(r["score"] == 0 and r["kept"] == (not r["base_failed"]) for r in got)
+
+
 def _labels(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
