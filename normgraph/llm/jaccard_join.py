@@ -27,8 +27,8 @@ from .shingles import mix, shingles
 
 WIDTH, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.999999
 COORDINATES, SMALL, DEPTH = 64, 2000, 3
-#: Sketch bytes that have to agree: 4.5 standard errors below what similarity 0.8 gives.
-MIN_AGREE = 36
+#: Sketch bytes that have to agree: 5.7 standard errors below what similarity 0.8 gives; fewer agree with a probability of 8.2e-8.
+MIN_AGREE = 33
 #: Sets, and shingles, of a block of a candidate group.
 BLOCK_SETS, BLOCK_SHINGLES = 1000, 4_000_000
 
@@ -46,9 +46,23 @@ def found_by_run(similarity: float = THRESHOLD, depth: int = 2) -> float:
     return p
 
 
+def missed(runs: int, similarity: float = THRESHOLD, depth: int = DEPTH, least: int = MIN_AGREE) -> float:
+    """Probability that no run yields a pair, if its buckets are split down to the depth in all. The sketch filter and the runs share the
+    pair's COORDINATES minima, so it is summed over how many of them agree: among the roots' and among the others."""
+    roots = runs + runs // 4
+    some = lambda n, k: math.comb(n, k) * similarity**k * (1 - similarity) ** (n - k)
+    total = 0.0
+    for k in range(roots + 1):
+        for other in range(COORDINATES - roots + 1):
+            agree = k + other
+            below = found_by_run(agree / COORDINATES, depth - 1)
+            total += some(roots, k) * some(COORDINATES - roots, other) * (1.0 if agree < least else (1 - below) ** k)
+    return total
+
+
 def runs_for(recall: float = TARGET_RECALL) -> int:
     """Runs until a pair at the threshold is found with the target recall; a multiple of 4."""
-    return 4 * math.ceil(math.log(1 - recall) / math.log(1 - found_by_run()) / 4)
+    return next(r for r in range(4, COORDINATES, 4) if missed(r) <= 1 - recall)
 
 
 RUNS = runs_for()

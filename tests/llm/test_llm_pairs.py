@@ -1,6 +1,7 @@
 """Operators across documents, and the pipeline, against brute force."""
 
 import hashlib
+import math
 from collections import Counter
 
 import numpy as np
@@ -101,6 +102,19 @@ def test_recall_of_the_runs():
     assert met == n
 
 
+def test_recall_after_all_splits_and_the_sketch():
+    """Pairs of similarity 0.8, as 64 minima that agree with that probability, through roots, children and filter as the join takes them."""
+    assert jaccard_join.missed(jaccard_join.RUNS) <= 1.0001e-6
+    assert sum(math.comb(64, k) * 0.8**k * 0.2 ** (64 - k) for k in range(jaccard_join.MIN_AGREE)) <= 1e-6
+    rng, runs, n = np.random.default_rng(2), 4, 100_000
+    agree = rng.random((n, 64)) < 0.8
+    share, found = agree.mean(1), np.zeros(n, bool)
+    node = lambda below: np.where(rng.random(n) < 0.25, 1 - (1 - share * below) ** 2, share * below)
+    for root in jaccard_join.root_coordinates(runs):
+        found |= agree[:, root] & (rng.random(n) < node(node(1.0)))
+    assert abs((~found).mean() - jaccard_join.missed(runs)) < 0.004
+
+
 def test_components(spark):
     rng = np.random.default_rng(4)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 80, (60, 2))] + [(1000 + i, 1001 + i) for i in range(70)]
