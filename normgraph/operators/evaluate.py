@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +43,7 @@ def agreement(state: DataFrame) -> DataFrame:
     return kappa(pairs.where("first IS NOT NULL AND second IS NOT NULL"))
 
 
-def depths(edges: DataFrame, most: int = 100) -> DataFrame:
+def depths(edges: DataFrame) -> DataFrame:
     """node, depth: the longest chain of parents of each child of edges (child, parent); a chain that comes back to itself ends there.
 
     Round k finds the nodes with a chain of k parents, so a hierarchy takes as many rounds as it is deep; only a cycle needs paths, and chains
@@ -49,7 +51,7 @@ def depths(edges: DataFrame, most: int = 100) -> DataFrame:
     e = stash(edges.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL").distinct(), "edges")
     level = stash(e.select(F.col("child").alias("node"), F.col("parent").alias("at"), F.array("child").alias("path")), "chains")
     found = level.select("node", F.lit(1).alias("depth"))
-    for k in range(2, most + 1):
+    for k in itertools.count(2):
         level = stash(level.join(e, F.col("at") == F.col("child")).where(~F.array_contains("path", F.col("at"))).select("node", F.col("parent").alias("at"), F.array_append("path", F.col("child")).alias("path")).distinct(), "chains")
         if not level.limit(1).count():
             break

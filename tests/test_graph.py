@@ -140,3 +140,8 @@ def test_diagrams(spark):
     g = _graph(spark, HEAD + 'k:a rdfs:subClassOf k:b ; rdfs:label "A"@en . k:h rdfs:subClassOf k:b ; k:curationStatus "hand-authored" .')
     text = report.dot("h", report.hierarchy_lines(g, BASE, core_only=True))
     assert '"b" -> "h"' in text and '(+1 from the pipeline)' in text and '"a"' not in text
+
+
+def test_depth_beyond_a_hundred_rounds(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(102)], "child string, parent string").coalesce(1)
+    assert evaluate.depths(edges).agg({"depth": "max"}).first()[0] == 102
