@@ -14,25 +14,28 @@ GROUNDING_THRESHOLD, MERGE_THRESHOLD = 95.0, 90.0
 
 
 def with_chunks(records: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Each record with the text, kind and number of its chunk_file's chunk (chunks: file, text, type, number)."""
+    """Each record with the text, kind and number of its chunk_file's chunk (chunks: file, text, type, number); nulls where there is none."""
     side = chunks.select(F.col("file").alias("chunk_file"), F.col("text").alias("chunk_text"), F.col("type").alias("chunk_type"), F.col("number").alias("chunk_number"))
-    return join_sized(records, side, "chunk_file")
+    return join_sized(records, side, "chunk_file", "left")
 
 
 def ground(records: DataFrame, threshold: float = GROUNDING_THRESHOLD) -> DataFrame:
     """Adds grounded, grounding_method, grounding_score and grounding_reason to rows of with_chunks().
 
     A quote that is a substring of the normalised chunk is exact and never reaches the fuzzy score: `when` does not keep
-    rows from a Python UDF, so the two kinds are separate branches. An empty or null quote scores 0.
+    rows from a Python UDF, so the two kinds are separate branches. An empty or null quote scores 0. A record without a chunk text
+    scores 0 and is not grounded.
     """
     known = records.withColumns({"_q": F.coalesce(normalise(F.col("source_quote")), F.lit("")), "_t": F.coalesce(normalise(F.col("chunk_text")), F.lit(""))})
-    easy = (F.col("_q") == "") | F.contains("_t", "_q")
-    settled = known.where(easy).withColumns({"grounding_method": F.when(F.col("_q") != "", "exact"), "grounding_score": F.when(F.col("_q") != "", 100.0).otherwise(0.0)})
+    absent = F.col("chunk_text").isNull()
+    exact = (F.col("_q") != "") & ~absent
+    easy = (F.col("_q") == "") | absent | F.contains("_t", "_q")
+    settled = known.where(easy).withColumns({"grounding_method": F.when(exact, "exact"), "grounding_score": F.when(exact, 100.0).otherwise(0.0)})
     fuzzy = known.where(~easy).withColumn("grounding_score", F.bround(partial_ratio_column(F.col("_q"), F.col("_t")), 1))
     fuzzy = fuzzy.withColumn("grounding_method", F.when(F.col("grounding_score") >= threshold, "fuzzy"))
     both = settled.unionByName(fuzzy.select(settled.columns))
     at_home = matches_reference(F.col("article_ref"), F.col("chunk_type"), F.col("chunk_number"))
-    why = F.nullif(F.concat_ws("; ", F.when(F.col("grounding_method").isNull(), "quote not found"), F.when(~at_home, F.concat(F.lit("reference "), F.coalesce("article_ref", F.lit("")), F.lit(" does not match chunk")))), F.lit(""))
+    why = F.nullif(F.concat_ws("; ", F.when(absent, "chunk not found").when(F.col("grounding_method").isNull(), "quote not found"), F.when(~absent & ~at_home, F.concat(F.lit("reference "), F.coalesce("article_ref", F.lit("")), F.lit(" does not match chunk")))), F.lit(""))
     out = both.withColumn("grounding_reason", why).withColumn("grounded", F.col("grounding_reason").isNull())
     return out.drop("_q", "_t", "chunk_text", "chunk_type", "chunk_number")
 

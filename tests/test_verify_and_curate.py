@@ -30,6 +30,13 @@ def test_grounding(spark):
     assert got[5]["grounded"]
 
 
+def test_records_without_a_chunk_are_rejected(spark):
+    got = _ground(spark, [_record(0, quote="risk management system"), _record(1, quote="risk management system", file="gone.json"), _record(2, quote=None, file=None)])
+    assert sorted(got) == [0, 1, 2] and got[0]["grounded"]
+    for k in (1, 2):
+        assert not got[k]["grounded"] and got[k]["grounding_reason"] == "chunk not found" and got[k]["grounding_score"] == 0 and got[k]["grounding_method"] is None
+
+
 def test_merging(spark):
     rows = [
         (*_record(0, "Risk Management System", ref="Art. 9", confidence=0.8), "partially", ""),
