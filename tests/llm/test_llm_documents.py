@@ -158,6 +158,22 @@ def test_added_tokens_are_the_tokenizers(spark):
     assert dict(total) == {i: float(len(ids)) for i, ids in enumerate(want)}
 
 
+def test_very_long_runs(spark):
+    """Two million blanks, line breaks, letters and marks, alone, between words and beside an added token."""
+    from tokenizers import Tokenizer
+
+    reference, encoder = Tokenizer.from_file(bpe.default_vocabulary()), bpe.encoder(bpe.default_vocabulary())
+    runs = [c * 2_000_000 for c in (" ", "\n", "a", "!")] + [" \n\u3000" * 400_000]
+    texts = [*runs, f"a{runs[0]}b{runs[1]}", f"{runs[0]}<|endoftext|>{runs[1]}'ll{runs[4]}é", " " * (bpe.LONG_RUN - 1) + "x" + " " * bpe.LONG_RUN + "\n"]
+    want = [reference.encode(t, add_special_tokens=False).ids for t in texts]
+    for text, ids in zip(texts, want, strict=True):
+        assert encoder.encode(text).tolist() == ids
+    few = _docs(spark, texts[:2])
+    assert {r["doc_id"]: r["doc_tokens"] for r in packing.pack(few).collect()} == {0: len(want[0]) + 1, 1: len(want[1]) + 1}
+    total = {r["doc_id"]: r["n"] for r in token_counts.attribute_tokens(few, by="field").groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
+    assert total == {0: len(want[0]), 1: len(want[1])}
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 5), min_size=1, max_size=20), st.data())
 def test_allocation(sizes, data):
