@@ -68,11 +68,11 @@ def runs_for(recall: float = TARGET_RECALL) -> int:
 RUNS = runs_for()
 
 
-def minhashes(hashes: np.ndarray) -> np.ndarray:
-    """COORDINATES minima of a non-empty set."""
-    out = np.full(COORDINATES, np.uint64(0xFFFFFFFFFFFFFFFF))
+def minhashes(hashes: np.ndarray, n: int = COORDINATES) -> np.ndarray:
+    """The first n of the COORDINATES minima of a non-empty set."""
+    out = np.full(n, np.uint64(0xFFFFFFFFFFFFFFFF))
     for at in range(0, len(hashes), 2048):
-        np.minimum(out, ((hashes[at : at + 2048] ^ _XOR) * _ODD).min(1), out=out)
+        np.minimum(out, ((hashes[at : at + 2048] ^ _XOR[:n]) * _ODD[:n]).min(1), out=out)
     return out
 
 
