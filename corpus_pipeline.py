@@ -1,5 +1,12 @@
 """From raw documents to packed token sequences: quality rules, one document of each group of near copies, repeated
-passages out, sources mixed to their targets, and packing. Each stage's result is written and read again by the next."""
+passages out, sources mixed to their targets, and packing. Each stage's result is written and read again by the next.
+
+Every stage but the last returns the columns of documents. A null text counts as empty: the rules reject it, as they do texts of under 20 words.
+Rows are told apart by their place and not by doc_id, so repeated rows and null doc_ids are documents of their own: the join keeps one of equal
+or near-equal texts, that of the smallest doc_id (null last), of ties the first row. Repeated passages are judged on the join's result, and what is
+left of a text may be empty, which the mix never takes. Very long texts are read whole by every stage. Null sources are a source of their own.
+More columns of documents, whatever their names, are carried through to the packing, whose columns are those of packing.pack(). An empty table, or one of
+which nothing is kept, gives an empty result."""
 
 from __future__ import annotations
 
@@ -8,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from normgraph.llm import jaccard_join, mixing, packing, quality_rules, repeats
 from normgraph.llm.common import read, stash
 
+#: Bytes of a repeated passage that goes, shorter than op8's: fifty-one words of four letters, each with a blank.
+PASSAGE_BYTES = 51 * 5
+
 #: No SQL expresses the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
@@ -23,8 +33,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that occur more than once."""
-    return repeats.without_repeats(docs)
+    """Texts without the passages of PASSAGE_BYTES or more that occur more than once."""
+    return repeats.without_repeats(docs, PASSAGE_BYTES)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
