@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import BROADCAST_ROWS, Sink, forget, join_sized, partitions, read, rows, stash
 from .stats import as_bytes
@@ -241,16 +242,36 @@ def spans(docs: DataFrame, length: int = LENGTH, width: int = CELL) -> DataFrame
     return out
 
 
-def removed(n: int, found: list) -> np.ndarray:
-    """Ends of the maximal removed runs, as low, high, low, high, ..."""
-    if not found:
-        return np.empty(0, np.int64)
-    low, high = (np.array([x[k] for x in found]) for k in ("low", "high"))
-    order = np.argsort(low)
-    low, high = low[order], np.maximum.accumulate(high[order])
-    new = np.concatenate([[True], low[1:] > high[:-1]])
-    ends = np.append(np.flatnonzero(new)[1:], len(low)) - 1
-    return np.minimum(np.stack([low[new], high[ends]], 1).ravel(), n)
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, low, high of maximal spans. Rows come sorted by row and low, so a text's spans are merged as they pass, however many they are."""
+    out = Sink(pa.schema([("row", pa.int64()), ("low", pa.int64()), ("high", pa.int64())]), 8000)
+    now: list[int] | None = None
+    for row, low, high in rows(batches, "row", "low", "high"):
+        if now and now[0] == row and low <= now[2]:
+            now[2] = max(now[2], high)
+            continue
+        if now:
+            out.add(*now)
+        now = [row, low, high]
+        if out.full:
+            yield out.take()
+    if now:
+        out.add(*now)
+    yield out.take()
+
+
+def merged(found: DataFrame) -> DataFrame:
+    """row, low, high: the spans of found united, within each part of the rows' order and then over the parts, so a text with very many spans is
+    spread over tasks first."""
+    n = partitions(found.sparkSession)
+    near = found.repartition(n, "row", F.expr("low DIV 65536")).sortWithinPartitions("row", "low").mapInArrow(_merged, "row long, low long, high long")
+    return near.repartition(n, "row").sortWithinPartitions("row", "low").mapInArrow(_merged, "row long, low long, high long")
+
+
+def removed(n: int, found: list | None) -> np.ndarray:
+    """Ends of the removed runs, as low, high, low, high, ..."""
+    runs = sorted((x["low"], min(x["high"], n)) for x in found or ())
+    return np.array(runs, np.int64).ravel()
 
 
 def kept_bytes(data: bytes, runs: np.ndarray) -> bytes:
@@ -259,10 +280,11 @@ def kept_bytes(data: bytes, runs: np.ndarray) -> bytes:
 
 
 def _with_spans(docs: DataFrame, length: int, width: int) -> DataFrame:
-    """docs and the column __spans__."""
+    """d (the row of docs), text, spans."""
     row = F.monotonically_increasing_id().alias("row")
-    found = spans(docs.select(row, "text"), length, width).groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("__spans__"))
-    return docs.select(F.struct("*").alias("d"), row).join(found, "row", "left").select("d.*", "__spans__")
+    found = spans(docs.select(row, "text"), length, width)
+    runs = merged(found).groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    return docs.select(F.struct("*").alias("d"), row).join(runs, "row", "left").select("d", F.col("d.text").alias("text"), "spans")
 
 
 def digest(docs: DataFrame, length: int = LENGTH, width: int = CELL) -> DataFrame:
@@ -272,11 +294,12 @@ def digest(docs: DataFrame, length: int = LENGTH, width: int = CELL) -> DataFram
     included. A null text is empty; rows with one doc_id are texts of their own, so a repeated row is removed whole if it is long enough. No
     rows: none. docs has to give the same rows in the same partitions each time it is read, as files do."""
     marked = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, width)
+    marked = marked.select("d.doc_id", "text", "spans")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Sink(schema)
-        for doc_id, text, found in rows(batches, "doc_id", "text", "__spans__"):
+        for doc_id, text, found in rows(batches, "doc_id", "text", "spans"):
             data = as_bytes(text).tobytes()
             gone = removed(len(data), found)
             out.add(doc_id, len(data), int((gone[1::2] - gone[::2]).sum()), len(gone) // 2, hashlib.sha256(kept_bytes(data, gone)).hexdigest())
@@ -289,24 +312,22 @@ def digest(docs: DataFrame, length: int = LENGTH, width: int = CELL) -> DataFram
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, width: int = CELL) -> DataFrame:
     """docs with the repeated bytes taken out of text; what a cut leaves of a character goes too, and n_chars (if docs has it) follows."""
-    marked = _with_spans(docs, length, width)
     columns = docs.columns
+    # the texts of the marked rows alone go through Python; the other columns, whatever their names, wait beside them
+    marked = _with_spans(docs, length, width).select(F.struct(*(F.col(f"d.`{c}`") for c in columns if c != "text"), F.lit(1).alias("__more__")).alias("d"), "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index("text")
             texts = []
-            for text, found in rows([batch], "text", "__spans__"):
+            for text, found in rows([batch], "text", "spans"):
                 if found:
                     data = as_bytes(text).tobytes()
                     text = kept_bytes(data, removed(len(data), found)).decode("utf-8", "ignore")
                 texts.append(text)
-            new = pa.array(texts, batch.schema.field(at).type)
-            arrays = [new if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in columns]
-            yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema([batch.schema.field(c) for c in columns]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, batch.schema.field(1).type)], names=["d", "text"])
 
-    out = marked.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
+    out = marked.mapInArrow(run, StructType([marked.schema["d"], marked.schema["text"]]))
+    return out.select(*(F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"d.`{c}`").alias(c) for c in columns))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

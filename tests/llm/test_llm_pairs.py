@@ -206,7 +206,7 @@ def test_pipeline(spark, tmp_path):
     classes = _true_links([kept[i] for i in ids])[1]
     assert sorted(r["doc_id"] for r in one.collect()) == sorted({ids[c] for c in classes})
     rest = sorted(r["doc_id"] for r in one.collect())
-    want = dict(zip(rest, _true_repeats([kept[i] for i in rest], 400), strict=True))
+    want = dict(zip(rest, _true_repeats([kept[i] for i in rest], corpus_pipeline.PASSAGE_BYTES), strict=True))
     assert {r["doc_id"]: hashlib.sha256(r["text"].encode()).hexdigest() for r in cut.collect()} == {i: w[3] for i, w in want.items()}
     words = cut.agg(F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).first()["n"]
     taken = mixed.agg(F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).first()["n"]
@@ -216,6 +216,34 @@ def test_pipeline(spark, tmp_path):
     assert packed.agg(F.sum("length").alias("n")).first()["n"] == tokens == corpus_pipeline.run(spark, str(tmp_path)).agg(F.sum("length").alias("n")).first()["n"]
 
 
+def test_the_pipeline_takes_passages_of_over_fifty_words_out(spark):
+    """51 words that two documents share go, 30 stay; clean documents stay as they are."""
+    import corpus_pipeline
+
+    passage, short = (" ".join(f"{w}re" for w in _words(s, n)) for s, n in ((5, 51), (6, 30)))
+    clean = [" ".join(_words(100 + i, 200)) for i in range(6)]
+    texts = [f"{clean[0]}\n{passage}\n{clean[1]}", f"{clean[2]} {passage}", f"{clean[3]}\n{short}", f"{clean[4]} {short}", clean[5], None, ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCS)
+    out = {r["doc_id"]: r for r in corpus_pipeline.unrepeated(spark, docs, "").collect()}
+    assert out[0]["text"].split() == (clean[0] + " " + clean[1]).split() and out[1]["text"].split() == clean[2].split()
+    assert all(out[i]["text"] == texts[i] for i in range(2, 7))
+
+
+def test_the_pipeline_on_odd_tables(spark, tmp_path):
+    """Empty tables, and repeated rows, nulls in any column and more columns of clashing names."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, None), (7, None, None)], "doc_id long, quality int, toxic int")
+    long, other = " ".join(_words(1, 3000)), " ".join(_words(2, 80))
+    rows = [(1, long, "en", "a", 1, 5), (1, long, "en", "a", 1, 5), (None, other, None, None, None, None), (None, other, None, None, None, 2), (4, None, "en", "a", 0, 1), (5, "", "en", "a", 0, 1), (6, "few words", "en", "a", 9, 1)]
+    more = DOCS + ", row long"
+    for name, some in (("none", []), ("odd", rows)):
+        spark.createDataFrame(some, more).withColumns({"__spans__": F.lit("x"), "label": F.lit(1), "key": F.lit(2)}).write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.where("doc_id > 0" if some else "false").write.parquet(str(tmp_path / name / "labels.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert {r["doc_id"] for r in out} == ({1, None} if some else set())
+
+
 def test_registered():
     import __spark_entry__ as entry
 
