@@ -1,8 +1,8 @@
 """Toxicity by a linear model over character n-grams scaled by naive Bayes log-count ratios.
 
-Byte n-grams (3 to 7) of the lower-case text, words led by a blank, are hashed into BUCKETS. For each bucket, the log of the ratio
-of its smoothed shares of toxic and other training documents is counted over all of them; used are the MOST_USED buckets whose ratios
-are the most standard errors from even, SIGMAS at least. A logistic model, fitted on a bounded sample, weighs log(1 + count) times that ratio.
+N-grams of 3 to 7 characters (code points) of the lower-case text, words led by a blank, are hashed into BUCKETS. For each bucket, the log of the ratio
+of its smoothed shares of toxic and other training documents is counted over all of them; used are all buckets whose ratios are SIGMAS standard
+errors or more from even. A logistic model, fitted on a bounded sample, weighs log(1 + count) times that ratio.
 """
 
 from __future__ import annotations
@@ -17,23 +17,24 @@ from pyspark.sql import functions as F
 
 from .common import Sink, bounded_sample, first_picked, held_out, labelled, read, rows
 
-#: Most significant buckets used, and sampled rows of the logistic fit: they bound what reaches the driver.
-BUCKETS, SIGMAS, MOST_USED, SAMPLE = 1 << 20, 3.0, 16_384, 8_000
+#: SAMPLE: rows of the logistic fit at most, which bounds what reaches the driver.
+BUCKETS, SIGMAS, SAMPLE = 1 << 20, 3.0, 8_000
 MODULUS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 _SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
 _ODD = np.random.default_rng(3).integers(1 << 62, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def buckets(text: str | None) -> np.ndarray:
     """The bucket of each n-gram."""
-    data = np.frombuffer((" " + " ".join((text or "").lower().split()) + " ").encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint64)
-    out, packed = [], data
+    points = np.frombuffer((" " + " ".join((text or "").lower().split()) + " ").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    out, h = [], points
     for n in range(2, 8):
-        if len(data) < n:
+        if len(points) < n:
             break
-        packed = packed[: len(data) - n + 1] | (data[n - 1 :] << np.uint64(8 * (n - 1)))
+        h = h[: len(points) - n + 1] * _BASE + points[n - 1 :]
         if n >= 3:
-            out.append((packed * _ODD[n]) >> _SHIFT)
+            out.append(((h ^ (h >> np.uint64(29))) * _ODD[n]) >> _SHIFT)
     return np.concatenate(out).astype(np.int64) if out else np.empty(0, np.int64)
 
 
@@ -52,7 +53,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_ratios(train: DataFrame) -> np.ndarray:
     """The log-count ratio of each bucket, 0 where it is not significant; over every training row."""
-    counts = train.select("text", F.col("y").cast("int").alias("y")).mapInArrow(_count, "bucket int, clean long, toxic long")
+    counts = train.select("text", "y").mapInArrow(_count, "bucket int, clean long, toxic long")
     found = counts.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()  # BUCKETS + 1 rows at most
     at, clean, toxic = (found[c].to_numpy() for c in ("bucket", "clean", "toxic"))
     ratios = np.zeros(BUCKETS, np.float32)
@@ -62,9 +63,7 @@ def count_ratios(train: DataFrame) -> np.ndarray:
     p, q = (toxic + 0.5) / (all_toxic + 1), (clean + 0.5) / (all_clean + 1)
     r = np.log(p) - np.log(q)
     error = np.sqrt(np.maximum(1 / (toxic + 0.5) - 1 / (all_toxic + 1), 0) + np.maximum(1 / (clean + 0.5) - 1 / (all_clean + 1), 0))
-    strength = np.where(at >= 0, np.abs(r) / np.maximum(error, 1e-9), 0)
-    order = np.lexsort((at, -strength))[:MOST_USED]
-    use = order[strength[order] >= SIGMAS]
+    use = (at >= 0) & (np.abs(r) >= SIGMAS * np.maximum(error, 1e-9))
     ratios[at[use]] = r[use]
     return ratios
 
@@ -105,29 +104,50 @@ def minimise(f, x: np.ndarray, rounds: int = 150, memory: int = 10) -> np.ndarra
     return x
 
 
-def fit_logistic(at: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, size: int, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and offset of a ridge logistic regression over sparse rows."""
-    if not len(y) or y.min() == y.max():
-        return np.zeros(size), -4.0 if not len(y) or y.min() == 0 else 4.0
-    used, column = np.unique(np.concatenate(at), return_inverse=True)
-    column = column.astype(np.int32)
-    value, row = np.concatenate(values), np.repeat(np.arange(len(y), dtype=np.int32), [len(a) for a in at])
+#: Entries of the rows that a step of the loss takes at once.
+BLOCK = 1 << 20
 
-    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(row, value * w[column], len(y)) + w[-1]
-        error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
-        gradient = np.append(np.bincount(column, value * error[row], len(used)) / len(y) + penalty * w[:-1], error.mean())
-        return float(np.mean(np.logaddexp(0, z) - y * z) + penalty / 2 * (w[:-1] @ w[:-1])), gradient
 
-    w = minimise(loss, np.zeros(len(used) + 1))
+def logistic_loss(ends: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarray, penalty: float):
+    """Ridge logistic loss and gradient over sparse rows; row i holds the entries up to ends[i]. The last weight is the offset."""
+    cuts = [0]
+    while cuts[-1] < len(y):  # some rows, or one of more than BLOCK entries
+        done = ends[cuts[-1] - 1] if cuts[-1] else 0
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, done + BLOCK, "right"))))
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        total, gradient = 0.0, np.zeros(len(w))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            low, high = ends[a - 1] if a else 0, ends[b - 1]
+            row = np.repeat(np.arange(b - a), np.diff(ends[a:b], prepend=low))
+            x, c = value[low:high], column[low:high]
+            z = np.bincount(row, x * w[c], b - a) + w[-1]
+            error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[a:b]
+            gradient[:-1] += np.bincount(c, x * error[row], len(w) - 1)
+            gradient[-1] += error.sum()
+            total += float((np.logaddexp(0, z) - y[a:b] * z).sum())
+        gradient /= len(y)
+        gradient[:-1] += penalty * w[:-1]
+        return total / len(y) + penalty / 2 * float(w[:-1] @ w[:-1]), gradient
+
+    return loss
+
+
+def fit_logistic(ends: np.ndarray, at: np.ndarray, value: np.ndarray, y: np.ndarray, size: int, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and offset of a ridge logistic regression over sparse rows (see logistic_loss; at: buckets below size)."""
+    if not len(y) or y.min() == y.max():
+        return np.zeros(size), -4.0 if not len(y) or y.min() == 0 else 4.0
+    used = np.flatnonzero(np.bincount(at, minlength=size))
+    place = np.zeros(size, np.int32)
+    place[used] = np.arange(len(used))
+    w = minimise(logistic_loss(ends, place[at], value, y, penalty), np.zeros(len(used) + 1))
     out = np.zeros(size)
     out[used] = w[:-1]
     return out, float(w[-1])
 
 
-def fit(train: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Weight of log(1 + count) of each bucket, and the offset. Ratios count all training rows, the logistic fit `sample` rows at most."""
-    ratios = count_ratios(train)
+def sampled(train: DataFrame, ratios: np.ndarray, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ends, buckets, values and y of `sample` training rows at most."""
     shared = train.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,10 +159,19 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
                 yield out.take()
         yield out.take()
 
-    picked = bounded_sample(train.select("doc_id", "text", F.col("y").cast("int").alias("y")), sample, "doc_id", "text")
+    picked = bounded_sample(train.select("doc_id", "text", "y"), sample, "doc_id", "text")
     got = first_picked(picked.mapInArrow(run, "pick long, y int, at array<int>, v array<float>"), sample, "y").toArrow()
-    pick = lambda c: [np.asarray(x.values) for x in got[c]] if len(got) else []
-    weights, offset = fit_logistic(pick("at"), pick("v"), got["y"].to_numpy().astype(float), BUCKETS)
+    flat = lambda c, kind: np.concatenate([np.empty(0, kind), *(x.flatten().to_numpy(zero_copy_only=False) for x in got[c].chunks)])
+    sizes = [n for x in got["at"].chunks for n in np.diff(x.offsets.to_numpy())]
+    return np.cumsum(np.array(sizes, np.int64)), flat("at", np.int32), flat("v", np.float32), got["y"].to_numpy().astype(float)
+
+
+def fit(train: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+    """Weight of log(1 + count) of each bucket, and the offset. Ratios count all training rows, the logistic fit `sample` rows at most.
+    A label of 1 or more is toxic, any other is not."""
+    train = train.withColumn("y", (F.col("y") >= 1).cast("int"))
+    ratios = count_ratios(train)
+    weights, offset = fit_logistic(*sampled(train, ratios, sample), BUCKETS)
     return (weights * ratios).astype(np.float32), offset
 
 

@@ -2,13 +2,17 @@
 
 Archives are written by Spark's text writer: a record is header, blank line and payload, and the writer's line
 separator is the blank line that ends each record. So they can go to any store Spark writes, under its commit protocol.
-Each archive's index entries, sorted by URL key and timestamp, are a run; a range of keys goes to one task, which
-merges the runs' slices by a tree of losers, so the ranges in order hold one globally ordered capture history.
+They are read back by its text reader, a line at a time, so no archive is held whole. (Lines end with "\n" alone there; the reader takes a longer
+separator for less than it is where its buffer ends inside one.)
+Each archive's index entries, sorted by URL key and timestamp, are a run. Ranges of the whole key, as many as hold RANGE_ROWS entries each,
+go to a task each; Spark's external sort hands it the runs' slices one after the other, and a tree of losers merges them. The ranges in order
+hold one globally ordered capture history.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
@@ -17,21 +21,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Sink, fresh_path, partitions, read, stash
+from .common import Sink, fresh_path, hold_settings, join_sized, partitions, read, rows, stash
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 100
+#: Index entries of a range, about: what a task of the merge holds. Repeated digests up to which they are broadcast.
+RANGE_ROWS, BROADCAST_DIGESTS = 50_000, 500_000
 END = "\r\n\r\n"
 
 
 def with_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Adds payload_bytes, payload_digest and refers_to: of equal payloads of least_bytes or more, the smallest page_id is
     the response and the rest revisit it. A null page_id revisits unless all of the group are null; all rows of the smallest id are responses.
-    The group's smallest id is aggregated before the shuffle, and only digests seen twice are joined back, which AQE can split."""
+    The group's smallest id is aggregated before the shuffle, and only digests seen twice are joined back, which AQE can split; payloads too short
+    to be revisits have keys of their own there, so they do not meet in one task."""
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     pages = pages.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": F.sha2(F.col("html").cast("binary"), 256)})
-    first = pages.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return pages.join(first, "payload_digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))).drop("first_id")
+    long = F.col("payload_bytes") >= least_bytes
+    first = pages.where(long).groupBy(F.col("payload_digest").alias("_key")).agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    keyed = pages.withColumn("_key", F.when(long, F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
+    joined = join_sized(keyed, stash(first, "digests"), "_key", "left", BROADCAST_DIGESTS)
+    return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))).drop("first_id", "_key")
 
 
 def record_text() -> Column:
@@ -61,51 +71,50 @@ def write_archives(pages: DataFrame, path: str, records_per_archive: int = 20_00
     pages.select(record_text().alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_archive).text(path)
 
 
-class _Inflated:
-    """Exact reads from gzip bytes, a megabyte at a time."""
-
-    def __init__(self, data: bytes):
-        self.data, self.at, self.buffer = memoryview(data), 0, bytearray()
-        self.unzip = zlib.decompressobj(31)
-
-    def _more(self) -> bool:
-        if self.unzip.eof and self.unzip.unused_data:
-            self.data, self.at, self.unzip = memoryview(self.unzip.unused_data + bytes(self.data[self.at :])), 0, zlib.decompressobj(31)
-        if self.at >= len(self.data):
-            return False
-        self.buffer += self.unzip.decompress(self.data[self.at : self.at + (1 << 18)])
-        self.at += 1 << 18
-        return True
-
-    def head(self) -> bytes:
-        while (cut := self.buffer.find(b"\r\n\r\n")) < 0:
-            if not self._more():
-                return b""
-        out = bytes(self.buffer[:cut])
-        del self.buffer[: cut + 4]
-        return out
-
-    def body(self, n: int) -> bytes:
-        while len(self.buffer) < n:
-            if not self._more():
-                raise ValueError("an archive ends within a record")
-        out = bytes(self.buffer[:n])
-        del self.buffer[:n]
-        return out
-
-
-def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and payload of each record."""
-    source = _Inflated(data)
-    while head := source.head():
-        lines = head.decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"not a WARC record: {lines[0][:80]}")
-        fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-        payload = source.body(int(fields["content-length"]))
-        if source.body(4) != b"\r\n\r\n":
-            raise ValueError("a record does not end with a blank line")
-        yield fields, payload
+class _Records:
+    """Headers (names in lower case) and payload of each record of a stream of bytes; holds one record at a time."""
+
+    def __init__(self, name: str):
+        self.name, self.buffer, self.head = name, bytearray(), None
+
+    def feed(self, data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+        self.buffer += data
+        while True:
+            if self.head is None:
+                cut = self.buffer.find(b"\r\n\r\n")
+                if cut < 0:
+                    return
+                lines = self.buffer[:cut].decode().split("\r\n")
+                del self.buffer[: cut + 4]
+                if not lines[0].startswith("WARC/"):
+                    raise ValueError(f"{self.name}: not a WARC record: {lines[0][:80]}")
+                self.head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+            n = int(self.head["content-length"])
+            if len(self.buffer) < n + 4:
+                return
+            payload, end = bytes(self.buffer[:n]), self.buffer[n : n + 4]
+            if end != b"\r\n\r\n":
+                raise ValueError(f"{self.name}: a record does not end with a blank line")
+            del self.buffer[: n + 4]
+            head, self.head = self.head, None
+            yield head, payload
+
+    def close(self) -> None:
+        if self.head is not None or self.buffer:
+            raise ValueError(f"{self.name}: an archive ends within a record")
+
+
+def parse_archive(data: bytes, name: str = "archive") -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of a gzip archive, of one member or many."""
+    records, unzip = _Records(name), zlib.decompressobj(31)
+    for at in range(0, len(data), 1 << 18):
+        part = data[at : at + (1 << 18)]
+        while part:
+            if unzip.eof:
+                unzip = zlib.decompressobj(31)
+            yield from records.feed(unzip.decompress(part))
+            part = unzip.unused_data
+    records.close()
 
 
 def url_key(url: str | None) -> str:
@@ -161,39 +170,54 @@ def _order(row: tuple) -> tuple:
     return row[0], row[1], row[2] is not None, row[2] or 0, row[8], row[9]
 
 
+_RUN = _ENTRY.append(pa.field("place", pa.int64()))
+
+
+def _entry(path: str, n: int, head: dict[str, str], payload: bytes) -> tuple:
+    digest = head["warc-payload-digest"].removeprefix("sha256:")
+    kind, size = head["warc-type"], len(payload)
+    if kind == "revisit":
+        size = int(head["x-payload-length"])
+    elif hashlib.sha256(payload).hexdigest() != digest:
+        raise ValueError(f"{path}, record {n}: the payload does not match its digest")
+    url = head.get("warc-target-uri")
+    return url_key(url), head["warc-date"], _page(head.get("warc-record-id")), url, kind, size, digest, _page(head.get("warc-refers-to")), path, n
+
+
 def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One archive, one sorted run."""
-    out = Sink(_ENTRY)
-    for batch in batches:
-        for i in range(batch.num_rows):
-            path, content = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-            run = []
-            for n, (head, payload) in enumerate(parse_archive(content)):
-                digest = head["warc-payload-digest"].removeprefix("sha256:")
-                kind, size = head["warc-type"], len(payload)
-                if kind == "revisit":
-                    size = int(head["x-payload-length"])
-                elif hashlib.sha256(payload).hexdigest() != digest:
-                    raise ValueError(f"{path}, record {n}: the payload does not match its digest")
-                url = head.get("warc-target-uri")
-                run.append((url_key(url), head["warc-date"], _page(head.get("warc-record-id")), url, kind, size, digest, _page(head.get("warc-refers-to")), path, n))
-            for row in sorted(run, key=_order):
-                out.add(*row)
-                if out.full:
-                    yield out.take()
+    """One archive, one sorted run. Rows are an archive's lines, in order, one archive after the other."""
+    out, records, run = Sink(_RUN), None, []
+
+    def close() -> None:
+        if records:
+            records.close()
+            for place, row in enumerate(sorted(run, key=_order)):
+                out.add(*row, place)
+            run.clear()
+
+    for path, piece in rows(batches, "path", "value"):
+        if records is None or records.name != path:
+            close()
+            records = _Records(path)
+        for head, payload in records.feed(piece + b"\n"):
+            run.append(_entry(path, len(run), head, payload))
+        if out.full:
+            yield out.take()
+    close()
     yield out.take()
 
 
 def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The slices of the runs that fall in this range of keys, merged."""
-    slices: dict[str, list[tuple]] = {}
-    for batch in batches:
-        for row in zip(*(batch.column(batch.schema.get_field_index(f.name)).to_pylist() for f in _ENTRY), strict=True):
-            slices.setdefault(row[8], []).append((_order(row), row))
-    for run in slices.values():
-        run.sort(key=lambda x: x[0])  # linear if the shuffle kept the run's order, as it mostly does
+    """The slices of the runs that fall in this range of keys, merged. Rows come sorted by archive and place in its run."""
+    slices: list[list[tuple]] = []
+    archive = None
+    for row in rows(batches, *_ENTRY.names):
+        if row[8] != archive:
+            archive = row[8]
+            slices.append([])
+        slices[-1].append((_order(row), row))
     out = Sink(_ENTRY)
-    for _, row in loser_tree([slices[k] for k in sorted(slices)]):
+    for _, row in loser_tree(slices):
         out.add(*row)
         if out.full:
             yield out.take()
@@ -201,15 +225,17 @@ def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_index_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Index entries of the archives under path, each archive's sorted. Payloads are checked against their digests."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-    return files.mapInArrow(_runs, ENTRY)
+    """Index entries of the archives under path, each archive's sorted, with their place in its run. Payloads are checked against their digests."""
+    pieces = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.gz").text(path)
+    pieces = pieces.select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("value"))
+    return pieces.mapInArrow(_runs, f"{ENTRY}, place long")
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
     """All captures in the order of (url_key, captured, page_id): range partition i holds nothing after partition i + 1.
     Ranges are cut on the whole key, so the captures of one URL may spread over many."""
-    dealt = runs.repartitionByRange(partitions(runs.sparkSession), "url_key", "captured", "page_id", "archive", "ordinal")
+    n = max(partitions(runs.sparkSession), math.ceil(runs.count() / RANGE_ROWS))
+    dealt = runs.repartitionByRange(n, "url_key", "captured", "page_id", "archive", "ordinal").sortWithinPartitions("archive", "place")
     return dealt.mapInArrow(_merge, ENTRY)
 
 
@@ -218,6 +244,7 @@ def capture_history(pages: DataFrame, path: str | None = None) -> DataFrame:
     one if none is given, reads them back and returns the merged index, a row for each page. Null html is an empty payload;
     a null page_id or url leaves out the header and comes back as null. No pages: no rows."""
     spark = pages.sparkSession
+    hold_settings(spark)
     path = path or fresh_path(spark, "warc")
     write_archives(with_revisits(pages), path)
     return merge_runs(stash(read_index_runs(spark, path), "warc-runs"))

@@ -83,6 +83,41 @@ def test_fingerprints(spark, docs, none):
     assert twice.count() == 2 * len(TEXTS)
 
 
+def _plain_signature(text):
+    """Bin by bin, one shingle at a time."""
+    values = {}
+    for h in shingles.shingles(text).tolist():
+        b = h >> (64 - 9)
+        values[b] = min(values.get(b, h), h)
+    if not values:
+        return b""
+    out = []
+    for b in range(512):
+        at = b
+        if b not in values:
+            at = next((int(p) for p in fingerprints._PROBES[:, b] if int(p) in values), None)
+            if at is None:
+                at = min(values, key=lambda x: (x - b) % 512)
+        out.append(int(shingles.mix(np.array([values[at]], np.uint64))[0]) & 255)
+    return bytes(out)
+
+
+def test_signatures_are_those_of_the_plain_form():
+    for text in [*TEXTS, _prose(8, 3000), "a b c d e f g"]:
+        assert fingerprints.signature(text) == _plain_signature(text)
+
+
+@pytest.mark.parametrize("buckets", [1, 2, 7, 40])
+def test_every_row_meets_its_successor(spark, buckets):
+    df = spark.createDataFrame([(3 * i, str(i)) for i in range(50)] + [(None, "n"), (9, "again")], "doc_id long, text string").repartition(3)
+    order = [r["text"] for r in df.orderBy("doc_id", "text").collect()]
+    after = {}
+    for part in fingerprints.with_next(df, buckets).rdd.glom().collect():
+        rows = [r for r in part if not r["guest"]] + [r for r in part if r["guest"]][:1]
+        after |= {a["text"]: b["text"] for a, b in zip(rows, rows[1:], strict=False)}
+    assert after == dict(zip(order, [*order[1:], order[0]], strict=True))
+
+
 def test_the_estimate_is_unbiased():
     rng = np.random.default_rng(3)
     errors = []
@@ -114,6 +149,9 @@ def test_archives(spark, tmp_path):
             payloads[head["warc-record-id"]] = body
     assert payloads["<urn:page:6>"] == html[6].encode() and payloads["<urn:page:2>"] == b""
     assert warc.capture_history(pages.where("false"), f"file://{tmp_path}/e").count() == 0
+    text = [(i, f"http://x.org/{i % 3}", "line\r\n" * i + "\r\n\r\n" * (i % 4) + "\r" * (i % 3) + "\n" * (i % 2)) for i in range(60)]
+    many = warc.capture_history(spark.createDataFrame(text, "page_id long, url string, html string").repartition(7), f"file://{tmp_path}/m").collect()
+    assert {r["page_id"]: r["payload_bytes"] for r in many} == {i: len(h) for i, _, h in text}
     odd = spark.createDataFrame([(None, "u", "z" * 200), (4, "u", "z" * 200), (4, "u", "z" * 200)], "page_id long, url string, html string")
     assert sorted(r["record_type"] for r in warc.capture_history(odd, f"file://{tmp_path}/o").collect()) == ["response", "response", "revisit"]
 
@@ -351,6 +389,76 @@ def test_toxicity(spark, docs, none):
     assert all(r["predicted"] == 0 for r in toxicity.score_documents(docs, known.where("toxic = 0")).collect())
 
 
+def _grams(text):
+    t = " " + " ".join((text or "").lower().split()) + " "
+    return [t[i : i + n] for n in range(3, 8) for i in range(len(t) - n + 1)]
+
+
+def test_character_grams_and_ratios_against_brute_force(spark):
+    """N-grams are of characters; ratios are those of plain counts, of every significant n-gram, whatever their number."""
+    texts = [_prose(i, 30) + (" schönes übel" if i % 3 == 0 else " güte") for i in range(90)]
+    for t in [*texts, "日本語テキスト", "", None]:
+        assert len(toxicity.buckets(t)) == len(_grams(t))
+    assert toxicity.buckets("日本語x").size == toxicity.buckets("abcx").size
+    train = spark.createDataFrame([(t, int(i % 3 == 0)) for i, t in enumerate(texts)], "text string, y int")
+    ratios = toxicity.count_ratios(train)
+    counts = np.zeros((2, toxicity.BUCKETS))
+    for i, t in enumerate(texts):
+        counts[int(i % 3 == 0), np.unique(toxicity.buckets(t))] += 1
+    total = np.array([60, 30])
+    p, q = (counts[1] + 0.5) / (total[1] + 1), (counts[0] + 0.5) / (total[0] + 1)
+    error = np.sqrt(1 / (counts[1] + 0.5) - 1 / 31 + 1 / (counts[0] + 0.5) - 1 / 61)
+    want = np.where((np.abs(np.log(p / q)) >= 3 * error) & (counts.sum(0) > 0), np.log(p / q), 0)
+    assert (want != 0).sum() > 30 and np.allclose(ratios, want, atol=1e-5)
+
+
+def test_the_logistic_fit_is_at_its_minimum(spark, monkeypatch):
+    """The gradient, by plain loops, vanishes at the fit; blocks of rows make no difference; labels above 1 are toxic."""
+    texts = [_prose(i, 30) + (" vile" if i % 3 == 0 else " kind") for i in range(90)]
+    train = spark.createDataFrame([(i, t, int(i % 3 == 0)) for i, t in enumerate(texts)], "doc_id long, text string, y int")
+    ratios = toxicity.count_ratios(train)
+    ends, at, value, y = toxicity.sampled(train, ratios)
+    assert len(y) == 90 and y.sum() == 30
+    weights, offset = toxicity.fit_logistic(ends, at, value, y, toxicity.BUCKETS)
+    gradient, by_row = np.append(1e-4 * weights, 0.0), np.split(np.arange(len(at)), ends[:-1])
+    for entries, label in zip(by_row, y, strict=True):
+        error = 1 / (1 + np.exp(-(value[entries] @ weights[at[entries]] + offset))) - label
+        np.add.at(gradient, at[entries], value[entries] * error / 90)
+        gradient[-1] += error / 90
+    assert np.abs(gradient).max() < 1e-4
+    monkeypatch.setattr(toxicity, "BLOCK", 100)
+    again, _ = toxicity.fit_logistic(ends, at, value, y, toxicity.BUCKETS)
+    assert np.allclose(again, weights, atol=1e-4)
+    t = texts[0]
+    found, n = np.unique(toxicity.buckets(t), return_counts=True)
+    assert abs(toxicity.score(t, (weights * ratios).astype(np.float32), offset) - 1 / (1 + np.exp(-(np.log1p(n) @ (weights * ratios)[found] + offset)))) < 1e-5
+    a, b = (toxicity.fit(train.withColumn("y", F.col("y") * k)) for k in (1, 7))
+    assert np.array_equal(a[0], b[0]) and a[1] == b[1]
+
+
+def test_lasso_is_at_its_minimum():
+    """The conditions of the optimum: a used rule's gradient equals the penalty, an unused one's is within it."""
+    rng = np.random.default_rng(4)
+    x = (rng.random((400, 12)) < 0.4).astype(np.float32)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(2.0 * x[:, 0] - 1.5 * x[:, 3])))).astype(float)
+    w, offset = rule_ensemble.lasso_logistic(x, y, 0.01)
+    error = 1 / (1 + np.exp(-(x @ w + offset))) - y
+    gradient = x.T @ error / 400
+    assert 0 < (w != 0).sum() < 12 and abs(error.mean()) < 1e-4
+    assert np.allclose(gradient[w != 0], -0.01 * np.sign(w[w != 0]), atol=1e-4) and (np.abs(gradient[w == 0]) <= 0.01 + 1e-4).all()
+
+
+def test_rules_are_what_the_columns_hold(spark):
+    """Each path, checked bound by bound, against the compiled column."""
+    texts = [_prose(i, 60) if i % 3 else " ".join(f"W{x}%%%" for x in range(i % 50 + 10)) for i in range(120)]
+    model = rule_ensemble.train(_docs(spark, texts), _labels(spark, [(i, int(i % 3 > 0), 0) for i in range(120)]))
+    got = {r["doc_id"]: r["score"] for r in rule_ensemble.with_features(_docs(spark, texts), "doc_id").select("doc_id", model.column().alias("score")).collect()}
+    for i, t in enumerate(texts):
+        x = stats.features(t)
+        z = model.offset + sum(w for path, w in zip(model.rules, model.weights, strict=True) if all((x[f] > cut) == above for f, above, cut in path))
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_rule_ensemble(spark, docs, none):
     texts = [_prose(i, 60) if i % 3 else " ".join(f"W{x}%%%" for x in range(i % 50 + 10)) for i in range(240)]
     df, known = _docs(spark, texts, extra=True), _labels(spark, [(i, int(i % 3 > 0), 0) for i in range(240)])
