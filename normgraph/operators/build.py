@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import camel_case
-from ..plans.tables import join_sized, stash
+from ..plans.tables import forget, join_sized, sized, stash
 from ..schemas import BASE, BEARER_ALIASES, DCTERMS, OWL, PROV, RDF, RDFS, SKOS, SYSTEM_ALIASES, TYPE_MAP
 
 KEY = ["s", "p", "o", "o_kind", "o_lang", "o_dt"]
@@ -26,6 +26,16 @@ def explode_triples(df: DataFrame, subject: Column, *pairs: Column) -> DataFrame
     return df.select(subject.alias("s"), F.explode(F.array_compact(F.array(*pairs))).alias("t")).select("s", "t.*").where("s IS NOT NULL AND o IS NOT NULL")
 
 
+def virtual_triples(df: DataFrame, subject: Column, *pairs: Column) -> DataFrame:
+    """The triples of explode_triples() as a union with a branch for each pair, whose predicate is a constant: a pattern with that predicate folds all other branches
+    away and reads the columns of its own from df alone. For a df that is cheap to read again, such as files."""
+    out = None
+    for pair in pairs:
+        one = df.select(subject.alias("s"), pair.alias("t")).select("s", "t.*").where("s IS NOT NULL AND o IS NOT NULL")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def core_terms(core: DataFrame) -> DataFrame:
     """iri of each class and property that the core graph declares."""
     kinds = [OWL + k for k in ("Class", "ObjectProperty", "AnnotationProperty", "DatatypeProperty")]
@@ -153,25 +163,30 @@ def counts(graph: DataFrame) -> DataFrame:
     return graph.agg(kind("Class").alias("classes"), kind("ObjectProperty").alias("object_properties"), kind("DatatypeProperty").alias("datatype_properties"), kind("AnnotationProperty").alias("annotation_properties"), kind("NamedIndividual").alias("individuals"), F.count("*").alias("triples"))
 
 
-def canonical(graph: DataFrame, rounds: int = 8) -> DataFrame:
+def canonical(graph: DataFrame) -> DataFrame:
     """The graph with its blank nodes named by what surrounds them: each round a node's name becomes a digest of its triples' other
-    terms and names, in and out. Nodes that `rounds` steps cannot tell apart share a name."""
+    terms and names, in and out, until a round tells no more nodes apart. Nodes that no number of rounds can tell apart share a name."""
     g = stash(graph.select(*KEY).distinct(), "graph")
     blank = lambda c: F.startswith(c, F.lit("_:"))
     names = g.where(blank("s")).select(F.col("s").alias("n")).union(g.where("o_kind = 'bnode'").select("o")).distinct().withColumn("h", F.lit("_:"))
-    for _ in range(rounds):
-        names = stash(names, "names")
+    names, kinds = stash(names, "names"), 1
+    while True:
         s, o = names.select(F.col("n").alias("s"), F.col("h").alias("sh")), names.select(F.col("n").alias("o"), F.col("h").alias("oh"))
-        t = g.join(s, "s", "left").join(o, "o", "left").withColumns({"sn": F.coalesce("sh", "s"), "on": F.coalesce("oh", "o")})
+        t = g.where(blank("s") | (F.col("o_kind") == "bnode")).join(s, "s", "left").join(o, "o", "left").withColumns({"sn": F.coalesce("sh", "s"), "on": F.coalesce("oh", "o")})
         out = t.where(blank("s")).select(F.col("s").alias("n"), F.sha2(F.concat_ws("\x01", F.lit("out"), "p", "on", "o_kind", "o_lang", "o_dt"), 256).alias("x"))
         into = t.where("o_kind = 'bnode'").select(F.col("o").alias("n"), F.sha2(F.concat_ws("\x01", F.lit("in"), "p", "sn"), 256).alias("x"))
-        names = out.unionByName(into).groupBy("n").agg(F.concat(F.lit("_:"), F.sha2(F.concat_ws("", F.array_sort(F.collect_list("x"))), 256)).alias("h"))
-    names = stash(names, "names")
+        seen = out.unionByName(into).groupBy("n").agg(F.array_sort(F.collect_list("x")).alias("xs")).join(names, "n")
+        new = stash(seen.select("n", F.concat(F.lit("_:"), F.sha2(F.concat_ws("", F.array("h"), "xs"), 256)).alias("h")), "names")
+        forget(names)
+        names, found = new, new.select("h").distinct().count()
+        if found <= kinds:
+            break
+        kinds = found
     g = g.join(names.select(F.col("n").alias("s"), F.col("h").alias("sh")), "s", "left").join(names.select(F.col("n").alias("o"), F.col("h").alias("oh")), "o", "left")
     return g.select(F.coalesce("sh", "s").alias("s"), "p", F.coalesce("oh", "o").alias("o"), "o_kind", "o_lang", "o_dt")
 
 
 def isomorphic(a: DataFrame, b: DataFrame) -> bool:
     """Whether two graphs are equal but for the names of blank nodes."""
-    x, y = canonical(a), canonical(b)
+    x, y = stash(canonical(a), "left"), stash(canonical(b), "right")
     return not x.exceptAll(y).limit(1).count() and not y.exceptAll(x).limit(1).count()

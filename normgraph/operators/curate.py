@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import record_id
-from ..plans.tables import stash
+from ..plans.tables import join_sized, sized, stash
 from ..schemas import EDITABLE
+from ..sources.files import read_decisions
 
 ACTIONS = ("accept", "edit", "reject", "merge")
+#: Records to suggest for up to which they are broadcast.
+SUGGESTED_AT_ONCE = 10_000
 
 
 def keyed(records: DataFrame) -> DataFrame:
@@ -92,7 +95,12 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def append_decisions(decisions: DataFrame, path: str) -> None:
-    """Adds to the log, a folder of JSON lines."""
+    """Adds to the log, a folder of JSON lines. Decisions without seq, a reviewer's session, are numbered on from the log's last, in their order."""
+    spark = decisions.sparkSession
+    if "seq" not in decisions.columns:
+        last = read_decisions(spark, path).agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
+        place = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))
+        decisions = decisions.withColumn("seq", F.lit(last) + place)
     decisions.write.mode("append").json(path)
 
 
@@ -104,9 +112,10 @@ def export(records: DataFrame, decisions: DataFrame, path: str) -> None:
 def suggestions(records: DataFrame, of: DataFrame, similarity, k: int = 8) -> DataFrame:
     """The k records most alike each row of `of` (id, term, entity_type): same type first, then by similarity(term, term).
 
-    `of` is the stated query set, a reviewer's records at hand: it is broadcast, and each partition keeps its best k before the shuffle."""
+    `of` is the stated query set, a reviewer's records at hand: it is broadcast if its counted size allows, and each partition keeps its best k
+    before the shuffle."""
     mine = of.select(F.col("id").alias("of_id"), F.col("term").alias("of_term"), F.col("entity_type").alias("of_type"))
-    pairs = records.select("id", "term", "entity_type").crossJoin(F.broadcast(mine)).where("id <> of_id")
+    pairs = records.select("id", "term", "entity_type").crossJoin(sized(mine, SUGGESTED_AT_ONCE)).where("id <> of_id")
     scored = pairs.withColumn("score", similarity(F.lower("of_term"), F.lower("term"))).withColumn("same_type", F.col("entity_type") == F.col("of_type"))
     best = Window.partitionBy("of_id").orderBy(F.desc("same_type"), F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("of_id", "rank", "id", "term", "entity_type", "score")
@@ -125,6 +134,26 @@ def status(records: DataFrame, state: DataFrame, orphans: DataFrame) -> DataFram
     return counts.crossJoin(orphans.agg(F.count("*").alias("orphans")))
 
 
+def chunks_of(records: DataFrame, chunks: DataFrame) -> DataFrame:
+    """id, place, chunk_id and the columns of chunks (chunk_id, ...), null if there is none: the chunks that each record (id, chunk_id, sources) cites, each once,
+    in the order of its sources."""
+    cited = F.array_distinct(F.when(F.size("sources") > 0, F.transform("sources", lambda s: s["chunk_id"])).otherwise(F.array("chunk_id")))
+    return join_sized(records.select("id", F.posexplode(cited).alias("place", "chunk_id")), chunks, "chunk_id", "left")
+
+
+def cards(records: DataFrame) -> DataFrame:
+    """id, card: a record as a reviewer reads it, its fields and each source with its verdict."""
+    line = lambda name, value: F.concat(F.lit(f"{name}: "), F.coalesce(value, F.lit("none")))
+    own = F.struct("article_ref", "source_quote", "critic_verdict", "critic_reason")
+    kind = "array<struct<article_ref:string,source_quote:string,critic_verdict:string,critic_reason:string>>"
+    sources = F.when(F.size("sources") > 0, F.transform("sources", lambda s: F.struct(s["article_ref"], s["source_quote"], s["critic_verdict"], s["critic_reason"])).cast(kind)).otherwise(F.array(own).cast(kind))
+    refs = F.array_join(F.when(F.size("article_refs") > 0, F.col("article_refs")).otherwise(F.array("article_ref")), ", ")
+    of = lambda s: F.concat_ws("\n", F.lit(""), F.concat(F.coalesce(s["article_ref"], F.lit("")), F.lit(" - "), F.coalesce(s["critic_verdict"], F.lit("not judged"))), F.concat(F.lit("> "), s["source_quote"]), F.when(s["critic_reason"] != "", F.concat(F.lit("Critic: "), s["critic_reason"])))
+    head = F.concat(F.coalesce("term", F.lit("")), F.lit(" ("), "id", F.lit(", "), F.coalesce("critic_verdict", F.lit("not judged")), F.lit(")"))
+    fields = [line("Type", F.col("entity_type")), line("Label", F.col("label")), line("Definition", F.col("definition")), line("Bearer", F.col("bearer")), line("Applies to", F.col("applies_to")), line("Confidence", F.format_string("%.2f", "confidence")), line("References", refs)]
+    return records.select("id", F.concat_ws("\n", head, *fields, F.array_join(F.transform(sources, of), "\n")).alias("card"))
+
+
 def now() -> Column:
     """UTC to the second, as log entries have it."""
     return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ssXXX")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import percentage
 from ..plans import sparql
-from ..plans.tables import stash
+from ..plans.tables import forget, join_sized, stash
 from ..schemas import OWL, RDF, RDFS, SKOS
 from .build import counts as size_counts
 
@@ -44,19 +44,47 @@ def agreement(state: DataFrame) -> DataFrame:
 
 
 def depths(edges: DataFrame) -> DataFrame:
-    """node, depth: the longest chain of parents of each child of edges (child, parent); a chain that comes back to itself ends there.
+    """node, depth: the longest chain of parents of each child of edges (child, parent); a chain that comes back to a node that it has passed
+    ends there.
 
-    Round k finds the nodes with a chain of k parents, so a hierarchy takes as many rounds as it is deep; only a cycle needs paths, and chains
-    longer than the number of nodes can be nothing else."""
+    Round k keeps the nodes, each once, that have a chain of k parents, so a hierarchy takes as many rounds as it is deep and no path is held. What is left
+    when a round loses no node leads into a cycle; only there paths are followed, and they end where they leave it."""
     e = stash(edges.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL").distinct(), "edges")
-    level = stash(e.select(F.col("child").alias("node"), F.col("parent").alias("at"), F.array("child").alias("path")), "chains")
-    found = level.select("node", F.lit(1).alias("depth"))
+    level, found, made = stash(e.select(F.col("child").alias("node")).distinct(), "level"), [], []
+    size = level.count()
+    for k in itertools.count(1):
+        made.append(level)
+        above = stash(e.join(level.withColumnRenamed("node", "parent"), "parent").select(F.col("child").alias("node")).distinct(), "level")
+        left = above.count()
+        found.append(level.join(above, "node", "left_anti").withColumn("depth", F.lit(k)))
+        if left == 0 or left == size:
+            break
+        level, size = above, left
+    done = found[0]
+    for df in found[1:]:
+        done = done.unionByName(df)
+    done = stash(done, "depths")
+    if left:
+        done = stash(done.unionByName(_cyclic(e, above, done)), "depths")
+    forget(*made, above)
+    return done
+
+
+def _cyclic(e: DataFrame, nodes: DataFrame, done: DataFrame) -> DataFrame:
+    """node, depth of the nodes whose chains lead into a cycle. done: the depths of the others."""
+    inner = stash(e.join(nodes.withColumnRenamed("node", "child"), "child"), "cyclic")
+    here = inner.join(nodes.withColumnRenamed("node", "parent"), "parent", "left_semi")
+    out = inner.join(nodes.withColumnRenamed("node", "parent"), "parent", "left_anti").join(done.withColumnRenamed("node", "parent"), "parent", "left").groupBy(F.col("child").alias("at")).agg((F.max(F.coalesce("depth", F.lit(0))) + 1).alias("more"))
+    level = stash(here.select(F.col("child").alias("node"), F.col("parent").alias("at"), F.array("child").alias("path")), "chains")
+    best = out.select(F.col("at").alias("node"), F.col("more").alias("depth")).unionByName(level.select("node", F.lit(1).alias("depth")))
     for k in itertools.count(2):
-        level = stash(level.join(e, F.col("at") == F.col("child")).where(~F.array_contains("path", F.col("at"))).select("node", F.col("parent").alias("at"), F.array_append("path", F.col("child")).alias("path")).distinct(), "chains")
+        open_ones = level.where(~F.array_contains("path", F.col("at")))
+        best = best.unionByName(open_ones.join(out, "at").select("node", (F.col("more") + k - 1).alias("depth")))
+        level = stash(open_ones.join(here, F.col("at") == F.col("child")).select("node", F.col("parent").alias("at"), F.array_append("path", F.col("child")).alias("path")).distinct(), "chains")
         if not level.limit(1).count():
             break
-        found = found.unionByName(level.select("node", F.lit(k).alias("depth")))
-    return found.groupBy("node").agg(F.max("depth").alias("depth"))
+        best = best.unionByName(level.select("node", F.lit(k).alias("depth")))
+    return best.groupBy("node").agg(F.max("depth").alias("depth"))
 
 
 def hierarchy(graph: DataFrame, base: str) -> DataFrame:
@@ -66,6 +94,23 @@ def hierarchy(graph: DataFrame, base: str) -> DataFrame:
     return d.crossJoin(F.broadcast(edges.groupBy("parent").agg(F.count("*").alias("k")).agg(F.bround(F.avg("k"), 2).alias("mean_children"))))
 
 
+def axiom_counts(graph: DataFrame) -> DataFrame:
+    """One row: axioms, logical_axioms, classes, individuals, as an OWL measure has them: a declaration, an annotation, an assertion or a class
+    axiom of a named subject is an axiom, and all but declarations and annotations are logical. Triples of blank nodes are parts of axioms, but for
+    the members that AllDisjointClasses names. What a property that is declared nowhere asserts is an annotation."""
+    kinds = {k: [OWL + x for x in names] for k, names in (("entity", ("Class", "ObjectProperty", "DatatypeProperty", "AnnotationProperty", "NamedIndividual")), ("relation", ("ObjectProperty", "DatatypeProperty")))}
+    is_type, named = F.col("p") == RDF + "type", ~F.startswith("s", F.lit("_:"))
+    relations = graph.where(is_type & F.col("o").isin(kinds["relation"])).select(F.col("s").alias("p"), F.lit(True).alias("_relation")).distinct()
+    marked = join_sized(graph, relations, "p", "left")
+    declaration = named & is_type & F.col("o").isin(kinds["entity"])
+    whole = named & ((is_type & (F.col("o") != OWL + "Ontology") & ~F.startswith("o", F.lit(OWL))) | F.col("p").isin(*(RDFS + x for x in ("subClassOf", "subPropertyOf", "domain", "range")), *(OWL + x for x in ("equivalentClass", "disjointWith", "inverseOf", "equivalentProperty", "sameAs", "differentFrom", "hasKey"))))
+    logical = F.coalesce(whole | (named & F.col("_relation")) | (F.col("p") == OWL + "members") | (named & is_type & F.col("o").rlike("#(Functional|InverseFunctional|Transitive|Symmetric|Asymmetric|Reflexive|Irreflexive)Property$")), F.lit(False))
+    annotation = named & ~is_type & ~logical & (F.col("p") != OWL + "imports")
+    n = lambda test: F.count_if(test)
+    each = lambda k: F.count_distinct(F.when(declaration & (F.col("o") == OWL + k), F.col("s")))
+    return marked.agg(n(declaration | logical | annotation).alias("axioms"), n(logical).alias("logical_axioms"), each("Class").alias("classes"), each("NamedIndividual").alias("individuals"))
+
+
 def coverage(graph: DataFrame, base: str) -> DataFrame:
     """Shares of the entities that carry each annotation, in one pass over their triples."""
     p, have = F.col("p"), lambda prop: F.max((F.col("p") == prop).cast("int"))

@@ -1,10 +1,10 @@
-"""Shape constraints over a triples table: each is an anti-join or an aggregate, and a result is a row (shape, focus, message)."""
+"""Shape constraints over a triples table, all checked in one aggregate by subject; a result is a row (shape, focus, message)."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import RDF, RDFS, SKOS
@@ -32,52 +32,67 @@ class Shape:
     message: str = ""
 
 
-def targets(graph: DataFrame, shape: Shape) -> DataFrame:
+def _target(shape: Shape) -> Column:
+    """Whether a triple makes its subject a focus node."""
     if shape.subjects_of:
-        return graph.where(F.col("p") == shape.subjects_of).select("s").distinct()
-    return graph.where((F.col("p") == RDF + "type") & (F.col("o") == shape.target_class)).select("s").distinct()
+        return F.col("p") == shape.subjects_of
+    return (F.col("p") == RDF + "type") & (F.col("o") == shape.target_class)
+
+
+def targets(graph: DataFrame, shape: Shape) -> DataFrame:
+    return graph.where(_target(shape)).select("s").distinct()
+
+
+def _measures(prop: Property, name: str) -> list[Column]:
+    """Of a subject's triples, what the property's tests need."""
+    here = F.col("p") == prop.path
+    bad = here & ~((F.col("o_kind") == "literal") & F.lower("o_lang").isin([x.lower() for x in prop.language_in])) if prop.language_in else F.lit(False)
+    outside = here & ~F.col("o").isin(list(prop.in_values)) if prop.in_values else F.lit(False)
+    hit = here & (F.col("o") == F.lit(prop.has_value)) if prop.has_value is not None else F.lit(False)
+    return [F.count_if(test).alias(f"{name}_{k}") for k, test in (("n", here), ("languages", bad), ("outside", outside), ("hits", hit))]
 
 
-def failing(graph: DataFrame, focus: DataFrame, prop: Property) -> DataFrame:
-    """s, one row for each constraint that a focus node fails. One aggregate of the path's triples and one join."""
-    values = graph.where(F.col("p") == prop.path)
-    bad_language = F.count_if(~((F.col("o_kind") == "literal") & F.lower("o_lang").isin([x.lower() for x in prop.language_in])))
-    per = values.groupBy("s").agg(F.count("*").alias("n"), bad_language.alias("languages"), F.count_if(~F.col("o").isin(list(prop.in_values))).alias("outside"), F.count_if(F.col("o") == F.lit(prop.has_value)).alias("hits"))
-    n = F.coalesce("n", F.lit(0))
-    tests = []
+def _failures(prop: Property, name: str) -> Column:
+    """How many constraints of the property a subject fails; each value of a wrong language or outside the list is one."""
+    total = F.lit(0).cast("long")
     if prop.min_count is not None:
-        tests.append((n < prop.min_count).cast("int"))
+        total += (F.col(f"{name}_n") < prop.min_count).cast("long")
     if prop.max_count is not None:
-        tests.append((n > prop.max_count).cast("int"))
+        total += (F.col(f"{name}_n") > prop.max_count).cast("long")
     if prop.language_in:
-        tests.append(F.coalesce("languages", F.lit(0)))
+        total += F.col(f"{name}_languages")
     if prop.in_values:
-        tests.append(F.coalesce("outside", F.lit(0)))
+        total += F.col(f"{name}_outside")
     if prop.has_value is not None:
-        tests.append((F.coalesce("hits", F.lit(0)) == 0).cast("int"))
-    total = tests[0]
-    for t in tests[1:]:
-        total = total + t
-    bad = focus.join(per, "s", "left").withColumn("k", total.cast("int")).where("k > 0")
-    return bad.select("s", F.explode(F.array_repeat(F.lit(1), F.col("k")))).select("s")
+        total += (F.col(f"{name}_hits") == 0).cast("long")
+    return total
 
 
 def violations(graph: DataFrame, shapes: list[Shape]) -> DataFrame:
-    out = None
-    for shape in shapes:
-        focus = targets(graph, shape)
-        found = [failing(graph, focus, p).select(F.lit(shape.name).alias("shape"), F.col("s").alias("focus"), F.lit(p.message).alias("message")) for p in shape.properties]
-        if shape.any_of:
-            left = focus
-            for alternative in shape.any_of:  # who fails every alternative
-                fails = failing(graph, focus, alternative[0])
-                for p in alternative[1:]:
-                    fails = fails.unionByName(failing(graph, focus, p))
-                left = left.join(fails.distinct(), "s", "left_semi")
-            found.append(left.select(F.lit(shape.name).alias("shape"), F.col("s").alias("focus"), F.lit(shape.message).alias("message")))
-        for df in found:
-            out = df if out is None else out.unionByName(df)
-    return out
+    """shape, focus, message: a row for each constraint that a focus node fails. One aggregate by subject of the triples that matter, combined
+    before its shuffle, serves all shapes; nothing is joined."""
+    columns, results = [], []
+    paths = {RDF + "type"} | {s.subjects_of for s in shapes if s.subjects_of}
+    for i, shape in enumerate(shapes):
+        columns.append(F.max(_target(shape)).alias(f"t{i}"))
+        every = [(p, f"s{i}p{j}") for j, p in enumerate(shape.properties)]
+        either = [[(p, f"s{i}a{j}b{k}") for k, p in enumerate(group)] for j, group in enumerate(shape.any_of)]
+        for prop, name in [*every, *(x for group in either for x in group)]:
+            columns += _measures(prop, name)
+            paths.add(prop.path)
+        result = lambda n, message, shape=shape, i=i: F.struct(F.lit(shape.name).alias("shape"), F.lit(message).alias("message"), F.when(F.col(f"t{i}"), n).otherwise(0).cast("int").alias("k"))
+        results += [result(_failures(p, name), p.message) for p, name in every]
+        if either:
+            none = F.lit(True)
+            for group in either:  # who fails every alternative
+                failed = F.lit(False)
+                for p, name in group:
+                    failed |= _failures(p, name) > 0
+                none &= failed
+            results.append(result(none.cast("long"), shape.message))
+    per = graph.where(F.col("p").isin(sorted(paths))).groupBy("s").agg(*columns)
+    rows = per.select(F.col("s").alias("focus"), F.explode(F.filter(F.array(*results), lambda r: r["k"] > 0)).alias("r"))
+    return rows.select("r.shape", "focus", "r.message", F.explode(F.array_repeat(F.lit(1), F.col("r.k")))).drop("col")
 
 
 def check(graph: DataFrame, shapes: list[Shape]) -> DataFrame:

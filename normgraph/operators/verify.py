@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fuzzy import partial_ratio_column, token_sort_ratio
 from ..functions.text import matches_reference, normalise
-from ..plans.tables import join_sized, stash
+from ..plans.tables import join_sized, sized, stash
 
 GROUNDING_THRESHOLD, MERGE_THRESHOLD = 95.0, 90.0
 
@@ -40,6 +41,42 @@ def ground(records: DataFrame, threshold: float = GROUNDING_THRESHOLD) -> DataFr
     return out.drop("_q", "_t", "chunk_text", "chunk_type", "chunk_number")
 
 
+#: Words of a quote by which texts are looked up; quotes too short for that are held against every text.
+KEY_WORDS = 4
+
+
+def _run_keys(words: Column, k: int) -> Column:
+    """Hashes of the runs of k words."""
+    return F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.xxhash64(F.array_join(F.slice(words, i, k), " ")))
+
+
+def occurrences(texts: DataFrame, quotes: DataFrame) -> DataFrame:
+    """item, id: which of the texts (id, unique; text) hold which quotes (item, quote), both normalised; empty quotes are nowhere.
+
+    A quote's words, but for the first and the last, which it may cut, stand in a text as they are. So the longest run of KEY_WORDS of them, or of as many as
+    there are, is looked up by its hash among the runs of all texts, and only the pairs found are compared. Quotes of one or two words have no such run: each text is
+    scanned for those, which should be few."""
+    q = quotes.select("item", normalise(F.col("quote")).alias("q")).where("q <> ''")
+    words, run = F.split("q", " "), lambda a, i, k: F.array_join(F.slice(a, i, k), " ")
+    q = q.withColumn("k", F.least(F.lit(KEY_WORDS), F.greatest(F.size(words) - 2, F.lit(0))))
+    runs = F.transform(F.sequence(F.lit(2), F.size(words) - F.col("k")), lambda i: F.struct(F.length(run(words, i, F.col("k"))).alias("n"), run(words, i, F.col("k")).alias("x")))
+    q = stash(q.withColumn("key", F.when(F.col("k") > 0, F.xxhash64(F.array_max(runs)["x"]))), "quotes")
+    sizes = [r["k"] for r in q.select("k").distinct().collect()]  # KEY_WORDS + 1 numbers at most
+    t = texts.select("id", normalise(F.col("text")).alias("t"))
+    out = t.join(sized(q.where("k = 0")), F.contains("t", "q")).select("item", "id") if 0 in sizes else None
+    near = None
+    for k in sorted(x for x in sizes if x):
+        words_of = t.select("id", F.split("t", " ").alias("w")).where(F.size("w") >= k)
+        keys = F.array_distinct(_run_keys(F.col("w"), k))
+        found = join_sized(words_of.select("id", F.explode(keys).alias("key")), q.where(F.col("k") == k).select("item", "key"), "key").select("id", "item")
+        near = found if near is None else near.unionByName(found)
+    if near is not None:
+        pairs = join_sized(stash(near, "pairs"), q.select("item", "q"), "item")
+        hit = join_sized(texts.select("id", "text"), pairs, "id").where(F.contains(normalise(F.col("text")), F.col("q"))).select("item", "id")
+        out = hit if out is None else out.unionByName(hit)
+    return texts.sparkSession.createDataFrame([], "item long, id long") if out is None else out
+
+
 def route(grounded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted rows, and rejected ones with null verdict; written first, so that no model call sees a rejected row."""
     kept = stash(grounded, "grounded")
@@ -47,25 +84,40 @@ def route(grounded: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept.where("grounded"), rejected
 
 
+def _letters(terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How often each term has the letters of each of 64 kinds, blanks as token_sort_ratio() leaves them, and its length then."""
+    counts, sizes = np.zeros((len(terms), 64), np.int32), np.zeros(len(terms), np.int64)
+    for i, t in enumerate(terms):
+        points = np.frombuffer(" ".join(t.split()).encode("utf-32-le", "surrogatepass"), "<u4")
+        counts[i], sizes[i] = np.bincount(points & 63, minlength=64), len(points)
+    return counts, sizes
+
+
 def leader_groups(records: DataFrame, block: list[str], term: str, order: str, threshold: float = MERGE_THRESHOLD) -> DataFrame:
     """Adds `leader`, the order value of the group's first record: in order, each record joins the first group of its block whose first
     record's term is alike (token sort ratio of the threshold or more), or opens one.
 
-    Records of one term always join one group, so only a block's distinct terms, at their first places, meet in a task."""
+    Records of one term always join one group, so only a block's distinct terms, at their first places, meet in a task; there a term is compared only with the
+    leaders whose letters could make it alike."""
     terms = records.groupBy(*block, term).agg(F.min(order).alias("_first"))
 
     def lead(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("_first", ignore_index=True)
-        leaders: list[tuple[str, int]] = []
-        found = []
-        for t, at in zip(part[term], part["_first"], strict=True):
-            t = t or ""
-            hit = next((n for x, n in leaders if 200 * min(len(x), len(t)) >= threshold * (len(x) + len(t)) and token_sort_ratio(x, t) >= threshold), None)
+        terms = [t or "" for t in part[term]]
+        letters, sizes = _letters(terms)
+        leaders = np.empty(len(terms), np.int64)  # rows of the leaders so far, in order
+        held = np.empty_like(letters)
+        n, found = 0, np.empty(len(terms), np.int64)
+        for i, t in enumerate(terms):
+            # letters in common, in whatever order, bound the similarity from above
+            common = np.minimum(held[:n], letters[i]).sum(1)
+            some = np.flatnonzero(200 * common >= threshold * (sizes[leaders[:n]] + sizes[i]))
+            hit = next((int(leaders[k]) for k in some if token_sort_ratio(terms[leaders[k]], t) >= threshold), None)
             if hit is None:
-                leaders.append((t, at))
-                hit = at
-            found.append(hit)
-        return part.assign(leader=found)[[*block, term, "leader"]]
+                leaders[n], held[n] = i, letters[i]
+                n, hit = n + 1, i
+            found[i] = hit
+        return part.assign(leader=part["_first"].to_numpy()[found])[[*block, term, "leader"]]
 
     schema = ", ".join(f"{c} {records.schema[c].dataType.simpleString()}" for c in [*block, term]) + ", leader long"
     groups = terms.groupBy(*block).applyInPandas(lead, schema)

@@ -175,20 +175,18 @@ def _pattern(triples: DataFrame, s: str, p: str, o: str) -> DataFrame:
 
 
 def _join(left: DataFrame | None, right: DataFrame, maybe: set[str], how: str = "inner") -> DataFrame:
-    """Natural join; variables in `maybe` may be unbound on the left, which any value fits."""
+    """Natural join; variables in `maybe` may be unbound on the left, which any value fits. Rows that have such a variable bound and rows that
+    do not are joined apart, each by equality, so no join has an OR."""
     if left is None:
         return right
     shared = [c for c in right.columns if c in left.columns]
-    loose = [c for c in shared if c in maybe]
-    if not loose:
-        return left.join(right, shared, how) if shared else left.crossJoin(right)
-    named = right.select(*(F.col(c).alias(f"{c}__new") if c in shared else F.col(c) for c in right.columns))
-    on = F.lit(True)
-    for c in shared:
-        same = F.col(c) == F.col(f"{c}__new")
-        on &= (F.col(c).isNull() | same) if c in loose else same
-    out = left.join(named, on, how)
-    return out.select(*(F.coalesce(c, f"{c}__new").alias(c) if c in loose else F.col(c) for c in left.columns), *(c for c in right.columns if c not in shared))
+    loose = next((c for c in shared if c in maybe), None)
+    if loose is None:
+        return left.join(right, shared, how) if shared else left.crossJoin(right) if how == "inner" else left.join(right, F.lit(True), how)
+    names = [*left.columns, *(c for c in right.columns if c not in left.columns)]
+    bound = _join(left.where(F.col(loose).isNotNull()), right, maybe - {loose}, how)
+    unbound = _join(left.where(F.col(loose).isNull()).drop(loose), right, maybe - {loose}, how)
+    return bound.select(names).unionByName(unbound.select(names))
 
 
 def _solve(group: Group, triples: DataFrame) -> DataFrame:

@@ -14,8 +14,8 @@ from .operators import build, curate, evaluate, reason, shacl, verify
 from .plans import sparql
 from .plans.tables import read
 from .schemas import BASE, OWL, RDF, RDFS, SKOS
-from .sources.files import cache_misses, manifest
-from .sources.markup import tree
+from .sources.files import cache_misses, manifest, needs_download
+from .sources.markup import render, tree
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -24,6 +24,13 @@ _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]+"
 _NORMAL = f"trim(regexp_replace(translate(text, '‘’‚“”„', '''''''\"\"\"'), '{_SPACE}', ' ', 'g'))"
 
 
+def indel_sql(a: str, b: str) -> str:
+    """Indel similarity of two columns, 200 * LCS / (|a| + |b|), as SQL: the bits of a hugeint stand for the letters of a, of 126 at most."""
+    full, step = f"((1::HUGEINT << length({a})) - 1)", "lambda v, m: (((v + (v & m)) | (v - (v & m))) & {full})"
+    masks = f"list_transform(string_split({b}, ''), lambda c: coalesce(list_sum(list_transform(range(1, length({a}) + 1), lambda i: CASE WHEN {a}[i] = c THEN (1::HUGEINT << (i - 1)::INT) ELSE 0::HUGEINT END))::HUGEINT, 0::HUGEINT))"
+    return f"(200.0::DOUBLE * (length({a}) - bit_count(list_reduce(list_prepend({full}, {masks}), {step.format(full=full)}))) / (length({a}) + length({b})))"
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -39,12 +46,12 @@ def _iri(kind: str, key: str):
 
 
 def tpch_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations, customers and orders as triples."""
+    """Nations, customers and orders as triples, not materialised: a pattern reads the columns of its predicate alone."""
     n, c, o = (read(spark, sf_dir, t) for t in ("nation", "customer", "orders"))
     typed = lambda k: build.iri(RDF + "type", F.lit(BASE + k))
-    nations = build.explode_triples(n, _iri("nation", "n_nationkey"), typed("Nation"), build.literal(RDFS + "label", F.col("n_name"), "en"))
-    customers = build.explode_triples(c, _iri("customer", "c_custkey"), typed("Customer"), build.literal(RDFS + "label", F.col("c_name"), "en"), build.literal(BASE + "segment", F.col("c_mktsegment")), build.iri(BASE + "inNation", _iri("nation", "c_nationkey")))
-    orders = build.explode_triples(o, _iri("order", "o_orderkey"), typed("Order"), build.literal(BASE + "priority", F.col("o_orderpriority")), build.iri(BASE + "placedBy", _iri("customer", "o_custkey")))
+    nations = build.virtual_triples(n, _iri("nation", "n_nationkey"), typed("Nation"), build.literal(RDFS + "label", F.col("n_name"), "en"))
+    customers = build.virtual_triples(c, _iri("customer", "c_custkey"), typed("Customer"), build.literal(RDFS + "label", F.col("c_name"), "en"), build.literal(BASE + "segment", F.col("c_mktsegment")), build.iri(BASE + "inNation", _iri("nation", "c_nationkey")))
+    orders = build.virtual_triples(o, _iri("order", "o_orderkey"), typed("Order"), build.literal(BASE + "priority", F.col("o_orderpriority")), build.iri(BASE + "placedBy", _iri("customer", "o_custkey")))
     return nations.unionByName(customers).unionByName(orders).withColumn("g", F.lit("tpch"))
 
 
@@ -57,29 +64,36 @@ def normalise_text(spark, sf_dir):
 @query(f"""WITH d AS (SELECT doc_id, {_NORMAL} AS t FROM documents), b AS (SELECT item_id, {_NORMAL} AS q FROM benchmark)
 SELECT item_id, doc_id FROM b JOIN d ON contains(t, q) WHERE q <> ''""")
 def ground_exact(spark, sf_dir):
-    """The benchmark items are the stated query set: they are broadcast and held against all documents where these lie."""
-    items = read(spark, sf_dir, "benchmark").select("item_id", normalise(F.col("text")).alias("q")).where("q <> ''")
-    docs = read(spark, sf_dir, "documents").select("doc_id", normalise(F.col("text")).alias("t"))
-    return docs.join(F.broadcast(items), F.contains("t", "q")).select("item_id", "doc_id")
+    items, docs = read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents")
+    return verify.occurrences(docs.select(F.col("doc_id").alias("id"), "text"), items.select(F.col("item_id").alias("item"), F.col("text").alias("quote"))).select(F.col("item").alias("item_id"), F.col("id").alias("doc_id"))
 
 
-@query()
+@query(f"""WITH k AS (SELECT DISTINCT p_name, lower(p_type) AS t FROM part), ab AS (SELECT p_name, t, p_name AS a, t AS b FROM k WHERE length(p_name) <= length(t) UNION ALL SELECT p_name, t, t, p_name FROM k WHERE length(t) <= length(p_name)),
+w AS (SELECT p_name, t, a, substring(b, greatest(1, e - length(a) + 1), e - greatest(0, e - length(a))) AS b FROM (SELECT *, unnest(range(1, length(a) + length(b))) AS e FROM ab)), s AS (SELECT p_name, t, max({indel_sql('a', 'b')}) AS score FROM w GROUP BY ALL)
+SELECT p_partkey, 100.0::DOUBLE AS whole, round_even(score, 1) AS score FROM part JOIN s ON s.p_name = part.p_name AND s.t = lower(p_type)""")
 def ground_fuzzy(spark, sf_dir):
-    p = read(spark, sf_dir, "part")
-    return p.select("p_partkey", F.bround(partial_ratio_column(F.col("p_type"), F.concat_ws(" ", "p_name", "p_type")), 1).alias("whole"), F.bround(partial_ratio_column(F.col("p_name"), F.col("p_type")), 1).alias("score"))
+    p = read(spark, sf_dir, "part").withColumn("t", F.lower("p_type"))
+    return p.select("p_partkey", F.bround(partial_ratio_column(F.col("p_type"), F.concat_ws(" ", "p_name", "p_type")), 1).alias("whole"), F.bround(partial_ratio_column(F.col("p_name"), F.col("t")), 1).alias("score"))
 
 
-@query(f"""WITH d AS (SELECT *, md5({_NORMAL}) AS k FROM documents)
-SELECT min(doc_id) AS first_id, arg_min(doc_id, (-n_chars, doc_id)) AS best_id, CAST(count(*) AS INTEGER) AS merged_count, string_agg(source, ',' ORDER BY doc_id) AS sources FROM d GROUP BY lang, k""")
+@query(f"""WITH d AS (SELECT *, lower(md5({_NORMAL})) AS k FROM documents LEFT JOIN labels USING (doc_id)), v AS (SELECT *, CASE quality WHEN 1 THEN 0 WHEN 0 THEN 2 ELSE 3 END AS rank FROM d)
+SELECT min(doc_id) AS first_id, arg_min(doc_id, (rank, -n_chars, doc_id)) AS best_id, CAST(count(*) AS INTEGER) AS merged_count, string_agg(source, ',' ORDER BY doc_id) AS sources FROM v GROUP BY lang, k""")
 def best_of_group(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").withColumn("k", F.md5(normalise(F.col("text"))))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "source"))), lambda x: x["source"])
-    return d.groupBy("lang", "k").agg(F.min("doc_id").alias("first_id"), F.min_by("doc_id", F.struct(-F.col("n_chars"), "doc_id")).alias("best_id"), F.count("*").cast("int").alias("merged_count"), F.array_join(ordered, ",").alias("sources")).drop("lang", "k")
+    """Documents as records, merged where language and text are equal: the best judged, longest one stands for its group."""
+    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    none = F.lit(None).cast("string")
+    verdict = F.when(F.col("quality") == 1, "supported").when(F.col("quality") == 0, "unsupported")
+    records = d.select(F.col("doc_id").alias("seq"), F.col("lang").alias("entity_type"), none.alias("bearer"), F.md5(normalise(F.col("text"))).alias("term"), verdict.alias("critic_verdict"), F.col("n_chars").cast("double").alias("confidence"), F.col("source").alias("article_ref"), none.alias("chunk_id"), none.alias("eli_uri"), none.alias("source_quote"), none.alias("critic_reason"))
+    merged = verify.deduplicate(records, 100.0)
+    return merged.select("first_seq", "seq", "merged_count", F.array_join(F.transform("sources", lambda x: x["article_ref"]), ",").alias("sources")).withColumnsRenamed({"first_seq": "first_id", "seq": "best_id"})
 
 
-@query()
+@query(f"""WITH RECURSIVE u AS (SELECT p_brand AS b, p_name || ' ' || p_size AS t, min(p_partkey) AS lo, array_to_string(list_sort(string_split(p_name || ' ' || p_size, ' ')), ' ') AS st FROM part GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY lo) AS i FROM u),
+al AS (SELECT b, i, list(j) AS js FROM (SELECT y.b, y.i, x.i AS j, {indel_sql('x.st', 'y.st')} AS sim FROM o x JOIN o y ON x.b = y.b AND x.i < y.i AND levenshtein(x.st, y.st) <= 0.1 * (length(x.st) + length(y.st))) WHERE sim >= 90 GROUP BY b, i),
+ld AS (SELECT b, i, [i] AS leaders, i AS lead FROM o WHERE i = 1 UNION ALL SELECT ld.b, o.i, CASE WHEN len(list_intersect(ld.leaders, coalesce(al.js, []))) = 0 THEN list_append(ld.leaders, o.i) ELSE ld.leaders END, coalesce(list_min(list_intersect(ld.leaders, coalesce(al.js, []))), o.i) FROM ld JOIN o ON o.b = ld.b AND o.i = ld.i + 1 LEFT JOIN al ON al.b = o.b AND al.i = o.i)
+SELECT p_partkey, f.lo AS leader FROM part JOIN o ON o.b = p_brand AND o.t = p_name || ' ' || p_size JOIN ld ON ld.b = o.b AND ld.i = o.i JOIN o f ON f.b = ld.b AND f.i = ld.lead""")
 def dedup_fuzzy(spark, sf_dir):
-    p = read(spark, sf_dir, "part").select("p_partkey", "p_brand", F.lower(normalise(F.col("p_name"))).alias("term"))
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_brand", F.lower(normalise(F.concat_ws(" ", "p_name", F.col("p_size").cast("string")))).alias("term"))
     return verify.leader_groups(p, ["p_brand"], "term", "p_partkey").select("p_partkey", "leader")
 
 
@@ -324,15 +338,19 @@ def page_titles(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", "html").mapInPandas(run, "page_id long, title string, items int")
 
 
-@query("SELECT conv_id, string_agg('[' || conv_id || '(' || turn || ')] ' || role || ': ' || text, chr(10) ORDER BY turn, role, text) AS body FROM conversations GROUP BY conv_id")
+@query("""WITH l AS (SELECT conv_id, turn, CASE WHEN role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN role || chr(10) ELSE '' END || CASE WHEN turn % 2 = 1 THEN '  ' ELSE '' END || '[' || conv_id || '(' || turn || ')] ' || text AS line FROM conversations)
+SELECT CAST(conv_id AS VARCHAR) AS chunk_id, 'Annex ' || conv_id || ': Talk' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY turn) AS text FROM l GROUP BY conv_id""")
 def render_turns(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations")
-    line = F.concat(F.lit("["), F.col("conv_id").cast("string"), F.lit("("), F.col("turn").cast("string"), F.lit(")] "), "role", F.lit(": "), "text")
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text", line.alias("line"))))
-    return c.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("body"))
+    """Conversations as chunks: their turns are passages, every other one a point, and the roles sections."""
+    c, no = read(spark, sf_dir, "conversations"), F.col("conv_id").cast("string")
+    odd = F.col("turn") % 2 == 1
+    found = c.select(no.alias("chunk_id"), F.lit("annex").alias("kind"), no.alias("chunk_no"), F.lit("Talk").alias("title"), F.concat(no, F.lit("("), F.col("turn").cast("string"), F.lit(")")).alias("ref"), F.when(odd, "point").otherwise("subparagraph").alias("level"), F.col("role").alias("section"), odd.cast("int").alias("depth"), F.col("turn").cast("int").alias("ord"), "text")
+    return render(found)
 
 
-@query()
+@query(f"""WITH p AS (SELECT p_partkey AS id, p_name || ' ' || p_type AS term, p_brand AS entity_type, array_to_string(list_sort(string_split(lower(p_name || ' ' || p_type), ' ')), ' ') AS st FROM part), q AS (SELECT * FROM p WHERE id % 50 = 0),
+s AS (SELECT a, b, {indel_sql('a', 'b')} AS score FROM (SELECT DISTINCT q.st AS a, p.st AS b FROM q, p)), r AS (SELECT q.id AS of_id, p.id, p.term, p.entity_type, score, row_number() OVER (PARTITION BY q.id ORDER BY p.entity_type = q.entity_type DESC, score DESC, p.id) AS rank FROM q JOIN p ON q.id <> p.id JOIN s ON s.a = q.st AND s.b = p.st)
+SELECT of_id, CAST(rank AS INTEGER) AS rank, id, term, entity_type, score FROM r WHERE rank <= 8""")
 def merge_suggestions(spark, sf_dir):
     """The eight parts most alike each part whose key is divisible by 50: the stated query set."""
     p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("term"), F.col("p_brand").alias("entity_type"))
@@ -368,7 +386,11 @@ def urgent_share(spark, sf_dir):
 
 @query("SELECT user_id, max(ts) AS last_at, max(ts) < (SELECT max(ts) FROM events) - INTERVAL 1 DAY AS stale FROM events GROUP BY user_id")
 def stale_snapshots(spark, sf_dir):
+    """Each user's last event as a snapshot's time, held against the last of all."""
     e = read(spark, sf_dir, "events")
-    latest = e.agg(F.max("ts").alias("now"))
-    per = e.groupBy("user_id").agg(F.max("ts").alias("last_at"))
-    return per.crossJoin(F.broadcast(latest)).select("user_id", "last_at", (F.col("last_at") < F.col("now") - F.expr("INTERVAL 1 DAY")).alias("stale"))
+    latest = e.agg(F.max("ts").alias("now"))  # one row
+    per = e.groupBy("user_id").agg(F.max("ts").alias("last_at")).withColumns({"html": F.lit("<p>"), "retrieved_at": F.date_format("last_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")})
+    return per.crossJoin(F.broadcast(latest)).select("user_id", "last_at", needs_download(F.col("now")).alias("stale"))
+
+
+from . import whole  # noqa: E402, F401  registers its queries here

@@ -17,7 +17,7 @@ DECISIONS = "seq long, id string, term string, entity_type string, critic_verdic
 CURATED = f"id string, term string, entity_type string, label string, definition string, bearer string, applies_to string, article_refs array<string>, sources array<{SOURCE}>, confidence double, critic_verdict string, model string, curation_status string, reviewer string, decided_at string, merged_ids array<string>"
 TRIPLES = "s string, p string, o string, o_kind string, o_lang string, o_dt string, g string"
 
-#: Fields that a reviewer may change.
+# The fields that a reviewer may change, the kinds of entities, and the critic's verdicts.
 EDITABLE = ("term", "entity_type", "label", "definition", "bearer", "applies_to")
 ENTITY_TYPES = ("AISystemCategory", "ProhibitedPractice", "HighRiskArea", "Actor", "Authority", "Requirement", "Obligation")
 VERDICTS = ("supported", "partially", "unsupported")

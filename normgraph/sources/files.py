@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import shutil
+import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import shared_dir, sized
 from ..schemas import CHUNKS, CURATED, DECISIONS, EXTRACTED
 
 
@@ -31,10 +34,29 @@ def load_scope(path: str) -> dict[str, set[str]]:
     return {k: {str(x) for x in found.get(k) or ()} for k in ("articles", "annexes")}
 
 
-def needs_download(snapshot: DataFrame, hours: int = 24) -> Column:
-    """Whether a snapshot (html, retrieved_at) is missing, empty, of unreadable time, or old."""
+def needs_download(now: Column | None = None, hours: int = 24) -> Column:
+    """Whether a snapshot (columns html, retrieved_at) is missing, empty, of unreadable time, or older than so many hours now."""
     at = F.try_to_timestamp(F.col("retrieved_at"))
-    return at.isNull() | F.col("html").isNull() | (F.col("html") == "") | (F.current_timestamp() - at > F.make_dt_interval(hours=F.lit(hours)))
+    now = F.current_timestamp() if now is None else now
+    return at.isNull() | F.col("html").isNull() | (F.col("html") == "") | (now - at > F.make_dt_interval(hours=F.lit(hours)))
+
+
+def download(url: str, timeout: int = 60) -> str:
+    """The page at the URL as text. A bot challenge, or an answer that is only accepted, is an error and no page."""
+    from urllib.request import Request, urlopen
+
+    asked = Request(url, headers={"Accept": "application/xhtml+xml, text/html;q=0.9", "Accept-Language": "eng"})  # fixed values
+    with urlopen(asked, timeout=timeout) as answer:  # other status codes raise
+        if answer.status == 202 or answer.headers.get("x-amzn-waf-action"):
+            raise RuntimeError(f"{url} gave a bot challenge and not the document")
+        return answer.read().decode("utf-8", "replace")
+
+
+def ingest(spark: SparkSession, url: str, folder: str, now: str, hours: int = 24) -> DataFrame:
+    """The snapshot in the folder, downloaded first if there is none or needs_download() says so. now: ISO time that a new one carries."""
+    if not os.path.isfile(f"{folder}/page.html") or read_snapshot(spark, folder).where(needs_download(None, hours)).limit(1).count():
+        save_snapshot(download(url), url, folder, now)
+    return read_snapshot(spark, folder)
 
 
 def save_snapshot(html: str, url: str, folder: str, retrieved_at: str) -> None:
@@ -45,8 +67,8 @@ def save_snapshot(html: str, url: str, folder: str, retrieved_at: str) -> None:
 
 
 def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """url, html, retrieved_at, sha256."""
-    whole = lambda name, to: spark.read.text(f"{folder}/{name}", wholetext=True).select(F.col("value").alias(to))
+    """One row: url, html, retrieved_at, sha256; null what is in an empty file."""
+    whole = lambda name, to: spark.read.text(f"{folder}/{name}", wholetext=True).agg(F.first("value").alias(to))
     return whole("source_url.txt", "url").crossJoin(whole("page.html", "html")).crossJoin(whole("last_ingest.txt", "retrieved_at")).withColumn("sha256", F.sha2("html", 256))
 
 
@@ -60,33 +82,61 @@ def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("*", _name().alias("file"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a path, in whatever store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def numbered_lines(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """value, place: lines that are not blank, by file name and line. Files are numbered by their names and lines within each file, so nothing is
+    sorted in one task but the names."""
+    lines = spark.read.option("pathGlobFilter", pattern).text(folder)
+    lines = lines.select("value", _name().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).where(F.trim("value") != "")
+    names = lines.select("file").distinct().withColumn("nth", F.row_number().over(Window.orderBy("file")))
+    # a large file is read in blocks, which partitions take in any order; ids rise within a block
+    inside = F.row_number().over(Window.partitionBy("file").orderBy("block", "at"))
+    return lines.withColumn("line", inside).join(sized(names), "file").select("value", (F.col("nth").cast("long") * (1 << 32) + F.col("line")).alias("place"))
+
+
 def read_records(spark: SparkSession, folder: str, schema: str = EXTRACTED, pattern: str = "*.jsonl") -> DataFrame:
-    """JSON lines with `seq` by file name and line. Blank lines are skipped. Files are numbered by their names and lines within
-    each file, so nothing is sorted in one task but the names."""
-    lines = spark.read.option("pathGlobFilter", pattern).text(folder).select("value", _name().alias("chunk_source"), F.monotonically_increasing_id().alias("at")).where(F.trim("value") != "")
-    names = lines.select("chunk_source").distinct().withColumn("nth", F.row_number().over(Window.orderBy("chunk_source")))
-    inside = F.row_number().over(Window.partitionBy("chunk_source").orderBy("at"))
-    rows = lines.withColumn("line", inside).join(F.broadcast(names), "chunk_source")
-    return rows.select((F.col("nth").cast("long") * (1 << 32) + F.col("line")).alias("seq"), F.from_json("value", schema).alias("r")).select("r.*", "seq")
-
-
-def read_decisions(spark: SparkSession, path: str) -> DataFrame:
-    """The decision log, empty if there is none. Lines without seq are numbered in the order of the file."""
-    if not os.path.exists(path):
+    """JSON lines with `seq` by file name and line. Blank lines are skipped."""
+    return numbered_lines(spark, folder, pattern).select(F.col("place").alias("seq"), F.from_json("value", schema).alias("r")).select("r.*", "seq")
+
+
+def read_decisions(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """The decision log, empty if there is none. If any line has no seq of its own, all are numbered by file name and line."""
+    if not exists(spark, path):
         return spark.createDataFrame([], DECISIONS)
-    out = spark.read.schema(DECISIONS).json(path)
-    return out.withColumn("seq", F.coalesce("seq", F.monotonically_increasing_id()))
+    lines = numbered_lines(spark, path, pattern).select("place", F.from_json("value", DECISIONS).alias("r"))
+    bare = lines.where("r.seq IS NULL").limit(1).count()
+    columns = [x for x in lines.schema["r"].dataType.names if x != "seq"]
+    return lines.select((F.col("place") if bare else F.col("r.seq")).alias("seq"), *(f"r.{c}" for c in columns))
 
 
 def read_entities(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of curated entities, with their order; a missing file is an error."""
-    if not os.path.exists(path):
+    if not exists(spark, path):
         raise FileNotFoundError(path)
     return spark.read.schema(CURATED).option("multiLine", True).json(path).withColumn("ord", F.monotonically_increasing_id())
 
 
-def read_report_tsv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("sep", "\t").option("header", True).csv(path)
+def read_report_tsv(spark: SparkSession, path: str, wanted: list[str] | None = None) -> DataFrame:
+    """metric, value: the first two columns of a tab-separated report with a header; of the wanted metrics, if they are named."""
+    found = spark.read.option("sep", "\t").option("header", True).csv(path)
+    a, b = found.columns[:2]
+    out = found.select(F.col(a).alias("metric"), F.col(b).alias("value"))
+    return out if wanted is None else out.where(F.col("metric").isin(wanted))
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder, in the shared one, that the driver writes plain files to (configuration, small graphs, bundles)."""
+    at = shared_dir(spark)
+    if "://" in at and not at.startswith("file://"):
+        raise RuntimeError(f"the driver cannot open files in {at}")
+    at = f"{at.removeprefix('file://')}/normgraph-{uuid.uuid4().hex[:12]}-{name}"
+    os.makedirs(at)
+    return at
 
 
 def chunk_file(kind: Column, number: Column) -> Column:
@@ -132,7 +182,8 @@ def wanted(path: Column, length: Column) -> Column:
 def file_tree(spark: SparkSession, folder: str) -> DataFrame:
     """path (below the folder), length of all files below it, from Spark's listing."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
-    return files.select(F.element_at(F.split("path", folder.rstrip("/") + "/", 2), -1).alias("path"), "length")
+    inside = re.escape(re.sub(r"^\w+:/*", "/", folder).rstrip("/") + "/")
+    return files.select(F.regexp_extract("path", f"{inside}(.*)$", 1).alias("path"), "length")
 
 
 def size_text(total: Column) -> Column:
@@ -147,11 +198,13 @@ def manifest(files: DataFrame) -> DataFrame:
 def bundle(spark: SparkSession, folder: str, out: str, groups: dict[str, list[str]], zipped: bool = False) -> list[str]:
     """Copies the wanted files of each group's paths to out, with MANIFEST.md; zipped adds out.zip. Returns the files copied."""
     copied, lines = [], ["# Contents", ""]
+    os.makedirs(out, exist_ok=True)
+    here = folder.removeprefix("file://")
     for group, paths in groups.items():
         found = [r["path"] for r in file_tree(spark, folder).where(wanted(F.col("path"), F.col("length"))).toLocalIterator() if any(r["path"] == p or r["path"].startswith(p.rstrip("/") + "/") for p in paths)]
         for p in found:
             os.makedirs(os.path.dirname(f"{out}/{p}") or out, exist_ok=True)
-            shutil.copy2(f"{folder}/{p}", f"{out}/{p}")
+            shutil.copy2(f"{here}/{p}", f"{out}/{p}")
         if found:
             size = sum(os.path.getsize(f"{out}/{p}") for p in found)
             lines += [f"## {group}", "", f"{len(found)} files, " + (f"{size / (1 << 20):.1f} MB" if size >= 1 << 20 else f"{size / 1024:.0f} KB"), ""]

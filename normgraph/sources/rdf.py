@@ -300,3 +300,41 @@ def write_turtle(graph: DataFrame, path: str, prefixes: dict[str, str]) -> None:
             f.write((" ;\n" if r["s"] == last else " .\n" if last else "") + start + f"{short(r['p'])} {term(r)}")
             last = r["s"]
         f.write(" .\n" if last else "")
+
+
+def write_rdf_xml(graph: DataFrame, path: str) -> None:
+    """One RDF/XML file, a description for each subject, in order; for graphs of at most some 100,000 triples, as the driver writes it row by row. A predicate whose
+    IRI does not end in an XML name, and a text with characters that XML has no way to write, are errors."""
+    from xml.sax.saxutils import escape, quoteattr
+
+    split = re.compile(r"(.*?)([A-Za-z_][\w.-]*)", re.S)
+    spaces: dict[str, str] = {}
+    for r in graph.select("p").distinct().orderBy("p").toLocalIterator():
+        m = split.fullmatch(r["p"])
+        if not m or not m[1]:
+            raise ValueError(f"{r['p']} cannot be an element's name")
+        if m[1] != RDF:
+            spaces.setdefault(m[1], f"n{len(spaces)}")
+    spaces[RDF] = "rdf"
+    blank = lambda x: "b" + re.sub(r"[^0-9A-Za-z]", "_", x[2:])
+    node = lambda x, iri: f" rdf:nodeID={quoteattr(blank(x))}" if x.startswith("_:") else f" rdf:{iri}={quoteattr(x)}"
+
+    def element(r) -> str:
+        at, local = split.fullmatch(r["p"]).groups()
+        name = f"{spaces[at]}:{local}"
+        if r["o_kind"] != "literal":
+            return f"    <{name}{node(r['o'], 'resource')}/>\n"
+        if re.search("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", r["o"]):
+            raise ValueError(f"a text of {r['s']} cannot be written as XML")
+        more = f" xml:lang={quoteattr(r['o_lang'])}" if r["o_lang"] else f" rdf:datatype={quoteattr(r['o_dt'])}" if r["o_dt"] else ""
+        return f"    <{name}{more}>{escape(r['o'], {chr(13): '&#13;'})}</{name}>\n"
+
+    with open(path, "w", encoding="utf-8") as f:
+        f.write('<?xml version="1.0" encoding="UTF-8"?>\n<rdf:RDF' + "".join(f"\n  xmlns:{v}={quoteattr(k)}" for k, v in sorted(spaces.items())) + ">\n")
+        last = None
+        for r in graph.select("s", "p", "o", "o_kind", "o_lang", "o_dt").distinct().orderBy("s", "p", "o", "o_lang", "o_dt").toLocalIterator():
+            if r["s"] != last:
+                f.write(("  </rdf:Description>\n" if last else "") + f"  <rdf:Description{node(r['s'], 'about')}>\n")
+            f.write(element(r))
+            last = r["s"]
+        f.write(("  </rdf:Description>\n" if last else "") + "</rdf:RDF>\n")

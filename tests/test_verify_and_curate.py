@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from normgraph.operators import curate, verify
 from normgraph.schemas import DECISIONS
+from normgraph.sources import files
 
 TEXT = "1. The provider shall establish a “risk management system” and keep it up to date throughout the whole life of the system concerned."
 RECORD = "seq long, term string, entity_type string, label string, definition string, article_ref string, source_quote string, bearer string, applies_to string, confidence double, chunk_id string, chunk_file string, eli_uri string, model string"
@@ -111,3 +112,59 @@ def test_changes_and_suggestions(spark):
 
     best = curate.suggestions(records, records.where("id = '1'"), token_sort_ratio_column).orderBy("rank").collect()
     assert len(best) == 8 and all(r["entity_type"] == "Actor" and r["id"] != "1" for r in best)
+
+
+def test_quotes_are_found_wherever_they_start(spark):
+    texts = ["the cat sat on a mat by the door of the house", "a cat", "", None, "he cat sat on a mat", "one two three four five six seven"]
+    quotes = ["e cat sat on a ma", "cat", "the cat sat on a mat by", "two  three", "ne two three four five six seve", "", None, "a", "three four five x", "at sat"]
+    got = verify.occurrences(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), spark.createDataFrame(list(enumerate(quotes)), "item long, quote string")).collect()
+    clean = lambda x: " ".join((x or "").split())
+    assert sorted((r["item"], r["id"]) for r in got) == sorted((i, k) for i, q in enumerate(quotes) for k, t in enumerate(texts) if clean(q) and clean(q) in clean(t))
+
+
+def test_leaders_against_their_definition(spark):
+    import random
+
+    from normgraph.functions.fuzzy import token_sort_ratio
+
+    rng = random.Random(3)
+    terms = [" ".join(rng.choice(("risk", "risks", "system", "systems", "high", "notified body", "é")) for _ in range(rng.randint(1, 5))) for _ in range(150)]
+    rows = [(k, f"b{k % 2}", t) for k, t in enumerate(terms)]
+    want, leaders = {}, {}
+    for k, block, t in rows:
+        hit = next((n for n, x in leaders.setdefault(block, []) if token_sort_ratio(x, t) >= 90), None)
+        if hit is None:
+            leaders[block].append((k, t))
+        want[k] = k if hit is None else hit
+    got = verify.leader_groups(spark.createDataFrame(rows, "seq long, block string, term string"), ["block"], "term", "seq")
+    assert {r["seq"]: r["leader"] for r in got.collect()} == want
+
+
+def test_a_session_from_the_terminal(spark, tmp_path):
+    """Accept, edit, undo, merge, reject, skip and view, then status and export, as commands."""
+    import json
+
+    from normgraph import cli
+
+    (tmp_path / "verified").mkdir()
+    (tmp_path / "chunks").mkdir()
+    (tmp_path / "chunks" / "c.json").write_text(json.dumps({"id": "c1", "type": "article", "text": "the whole article"}))
+    rows = [{"term": f"duty {x}", "entity_type": "Obligation", "label": x, "definition": "d", "article_ref": "Art. 1", "source_quote": f"q{x}", "bearer": "b", "confidence": 0.9, "chunk_id": "c1", "critic_verdict": v} for x, v in (("one", None), ("two", "unsupported"), ("three", "partially"), ("four", "supported"))]
+    (tmp_path / "verified" / "r.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    paths = {"records": "verified", "log": "log", "entities": "out", "chunks": "chunks"}
+    (tmp_path / "c.yaml").write_text("curate:\n" + "".join(f"  {k}: {tmp_path / v}\n" for k, v in paths.items()))
+    said, answers = [], iter(["v", "a", "e", "", "Odd", "Requirement", "", "", "-", "", "u", "r", "weak", "m", "", "m", "1", "s"])
+    run = lambda *args: cli.main(["--config", str(tmp_path / "c.yaml"), *args], lambda _: next(answers), said.append, spark)
+    run()
+    assert "the whole article" in said and "This session: 1 accept, 1 edit, 1 undo, 1 reject, 1 merge" in said
+    log = {r["term"]: r for r in curate.replay(files.read_decisions(spark, str(tmp_path / "log"))).collect()}
+    assert {t: r["action"] for t, r in log.items()} == {"duty one": "accept", "duty two": "reject", "duty three": "merge"} and log["duty two"]["reason"] == "weak"
+    edits = [r for r in files.read_decisions(spark, str(tmp_path / "log")).where("action = 'edit'").collect()]
+    assert edits[0]["changes"] == {"entity_type": ["Obligation", "Requirement"], "bearer": ["b", None]}
+    said.clear()
+    run("export")
+    run("status")
+    assert said[0].startswith("1 entities") and "3 | 1 | 0" in said[2]
+    answers = iter(["q"])
+    run("review", "--redo", "--verdict", "supported", "--reviewer", "x")
+    assert any("duty four" in x for x in said)
