@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import Sink, bounded_sample, first_picked, held_out, labelled, read, rows
 
 #: SAMPLE: rows of the logistic fit at most, which bounds what reaches the driver.
-BUCKETS, SIGMAS, SAMPLE = 1 << 20, 3.0, 8_000
+BUCKETS, SIGMAS, SAMPLE = 1 << 20, 3.0, 4_000
 MODULUS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 _SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
 _ODD = np.random.default_rng(3).integers(1 << 62, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
@@ -75,7 +75,7 @@ def inputs(text: str | None, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return found, np.log1p(counts) * ratios[found]
 
 
-def minimise(f, x: np.ndarray, rounds: int = 150, memory: int = 10) -> np.ndarray:
+def minimise(f, x: np.ndarray, rounds: int = 100, memory: int = 8) -> np.ndarray:
     """Limited-memory BFGS with step halving; f gives value and gradient."""
     value, g = f(x)
     steps: list[tuple[np.ndarray, np.ndarray, float]] = []
@@ -96,7 +96,7 @@ def minimise(f, x: np.ndarray, rounds: int = 150, memory: int = 10) -> np.ndarra
                 break
             size /= 2
         s, d = -size * q, g_new - g
-        if size < 1e-10 or value - new < 1e-9 * max(1.0, abs(value)):
+        if size < 1e-10 or value - new < 1e-8:
             return x + s if new < value else x
         x, value, g = x + s, new, g_new
         if s @ d > 1e-12:
@@ -119,11 +119,12 @@ def logistic_loss(ends: np.ndarray, column: np.ndarray, value: np.ndarray, y: np
         total, gradient = 0.0, np.zeros(len(w))
         for a, b in zip(cuts, cuts[1:], strict=False):
             low, high = ends[a - 1] if a else 0, ends[b - 1]
-            row = np.repeat(np.arange(b - a), np.diff(ends[a:b], prepend=low))
-            x, c = value[low:high], column[low:high]
-            z = np.bincount(row, x * w[c], b - a) + w[-1]
+            x, c, sizes = value[low:high], column[low:high], np.diff(ends[a:b], prepend=low)
+            z, some = np.full(b - a, w[-1]), sizes > 0
+            if high > low:
+                z[some] += np.add.reduceat(x * w[c], (ends[a:b] - sizes - low)[some])
             error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[a:b]
-            gradient[:-1] += np.bincount(c, x * error[row], len(w) - 1)
+            gradient[:-1] += np.bincount(c, x * np.repeat(error, sizes), len(w) - 1)
             gradient[-1] += error.sum()
             total += float((np.logaddexp(0, z) - y[a:b] * z).sum())
         gradient /= len(y)
