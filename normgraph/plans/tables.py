@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+#: Tables of stash() that forget() has not deleted.
+_made: set[str] = set()
 
 #: Rows up to which a narrow side of a join is broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -29,15 +31,27 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._stash_path = path
+    _made.add(path)
     return back
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _made.discard(path)
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables of stash() that nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._stash_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._stash_path)
+
+
+def forget_all(spark: SparkSession) -> None:
+    """Deletes all tables that operators have written so far, once no result of theirs is read any more. What a process leaves behind otherwise
+    lies in the shared folder under names that start with normgraph-."""
+    for path in sorted(_made):
+        _delete(spark, path)
 
 
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -97,7 +97,7 @@ def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     none, text = F.lit(None).cast("string"), lambda x: F.lit(x)
     return p.select(
         F.concat("p_name", F.lit(" of "), F.lower("p_type"), F.when(F.col("p_size") % 2 == 0, "s").otherwise("")).alias("term"), F.lit("Obligation").alias("entity_type"), F.col("p_name").alias("label"), F.col("p_type").alias("definition"),
-        F.concat(F.lit("Art. "), F.col("p_size").cast("string")).alias("article_ref"), F.concat(F.lit("q "), F.col("p_partkey").cast("string")).alias("source_quote"), F.when(F.col("p_size") > 10, F.col("p_brand")).alias("bearer"), none.alias("applies_to"),
+        F.concat(F.lit("Art. "), F.col("p_size").cast("string")).alias("article_ref"), F.concat(F.lit("q "), F.col("p_partkey").cast("string")).alias("source_quote"), F.when(F.col("p_size") > 2, F.col("p_brand")).alias("bearer"), none.alias("applies_to"),
         (F.col("p_size") / 100).alias("confidence"), F.concat(F.lit("art_"), F.col("p_size").cast("string")).alias("chunk_id"), F.concat(F.lit("art_"), F.lpad(F.col("p_size").cast("string"), 3, "0"), F.lit(".json")).alias("chunk_file"),
         F.when(F.col("p_size") % 3 > 0, F.concat(F.lit("http://e/"), F.col("p_size").cast("string"))).otherwise("").alias("eli_uri"), text("m").alias("model"), F.concat(F.lit("k"), F.col("p_partkey").cast("string")).alias("cache_key"),
         F.element_at(F.array(*map(F.lit, ("supported", "partially", "unsupported", None))), (F.col("p_partkey") % 4 + 1).cast("int")).alias("critic_verdict"), F.lit("because").alias("critic_reason"), F.col("p_partkey").alias("seq"),
@@ -105,7 +105,7 @@ def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TERM = "p_name || ' of ' || lower(p_type) || CASE WHEN p_size % 2 = 0 THEN 's' ELSE '' END"
-_RECORD = f"""r AS (SELECT p_partkey AS seq, {_TERM} AS term, 'Obligation' AS entity_type, p_name AS label, p_type AS definition, 'Art. ' || p_size AS article_ref, 'q ' || p_partkey AS source_quote, CASE WHEN p_size > 10 THEN p_brand END AS bearer, p_size / 100.0::DOUBLE AS confidence,
+_RECORD = f"""r AS (SELECT p_partkey AS seq, {_TERM} AS term, 'Obligation' AS entity_type, p_name AS label, p_type AS definition, 'Art. ' || p_size AS article_ref, 'q ' || p_partkey AS source_quote, CASE WHEN p_size > 2 THEN p_brand END AS bearer, p_size / 100.0::DOUBLE AS confidence,
 'art_' || p_size AS chunk_id, CASE WHEN p_size % 3 > 0 THEN 'http://e/' || p_size ELSE '' END AS eli_uri, CASE p_partkey % 4 WHEN 0 THEN 'supported' WHEN 1 THEN 'partially' WHEN 2 THEN 'unsupported' END AS critic_verdict, 'because' AS critic_reason FROM part)"""
 
 
