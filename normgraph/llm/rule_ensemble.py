@@ -159,9 +159,9 @@ def with_features(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ensemble:
-    """Fits on `sample` labelled rows at most, picked by a hash of doc_id and text."""
+    """Fits on `sample` labelled rows at most, picked by a hash of doc_id and text. A label of 1 or more is good, any other is not."""
     rows_in = bounded_sample(labelled(docs, labels, "quality", MODULUS, HELD_OUT), sample, "doc_id", "text")
-    got = first_picked(with_features(rows_in.withColumn("y", F.col("y").cast("int")), "pick", "y"), sample, "y").toArrow()
+    got = first_picked(with_features(rows_in.withColumn("y", (F.col("y") >= 1).cast("int")), "pick", "y"), sample, "y").toArrow()
     x = np.stack([got[f].to_numpy() for f in FEATURES], 1) if len(got) else np.empty((0, len(FEATURES)))
     return fit(x, got["y"].to_numpy().astype(float))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Sink, bounded_sample, first_picked, held_out, labelled, read, rows
+from .common import Sink, bounded_sample, first_picked, held_out, labelled, partitions, read, rows
 
 #: SAMPLE: rows of the logistic fit at most, which bounds what reaches the driver.
 BUCKETS, SIGMAS, SAMPLE = 1 << 20, 3.0, 4_000
@@ -38,34 +38,63 @@ def buckets(text: str | None) -> np.ndarray:
     return np.concatenate(out).astype(np.int64) if out else np.empty(0, np.int64)
 
 
+#: Ranges of buckets; a task's counts of a range are one row.
+RANGES = 256
+_COUNTS = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's numbers of toxic and other documents with each bucket, and (bucket -1) of all."""
-    total, n = np.zeros((2, BUCKETS), np.int64), [0, 0]
+    """A task's numbers of other and toxic documents with each bucket, a row for each range of buckets, and (part -1) of all."""
+    total, n = np.zeros((2, BUCKETS), "<u4"), np.zeros(2, "<u4")
     for text, y in rows(batches, "text", "y"):
         total[y][np.unique(buckets(text))] += 1
         n[y] += 1
-    at = np.flatnonzero(total.sum(0))
-    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([n[0]], pa.int64()), pa.array([n[1]], pa.int64())], names=["bucket", "clean", "toxic"])
-    for low in range(0, len(at), 1 << 16):
-        part = at[low : low + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[0, part]), pa.array(total[1, part])], names=["bucket", "clean", "toxic"])
+    if n.any():
+        width = BUCKETS // RANGES
+        parts = [n.tobytes(), *(total[:, k * width : (k + 1) * width].tobytes() for k in range(RANGES))]
+        for low in range(0, len(parts), 32):
+            some = parts[low : low + 32]
+            yield pa.RecordBatch.from_arrays([pa.array(range(low - 1, low - 1 + len(some)), pa.int32()), pa.array(some, pa.binary())], schema=_COUNTS)
+
+
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of the tasks' counts of each range, as 64-bit numbers. Rows come sorted by range and are added as they pass."""
+    now, total = None, np.empty(0)
+    whole = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([total.tobytes()], pa.binary())], schema=_COUNTS)
+    for part, counts in rows(batches, "part", "counts"):
+        if part != now:
+            if now is not None:
+                yield whole()
+            now, total = part, np.zeros(len(counts) // 4, "<i8")
+        total += np.frombuffer(counts, "<u4")
+    if now is not None:
+        yield whole()
+
+
+def document_counts(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of other and toxic documents with each bucket, and of all; over every training row."""
+    kind = "part int, counts binary"
+    counted = train.select("text", "y").mapInArrow(_count, kind).repartition(partitions(train.sparkSession), "part").sortWithinPartitions("part")
+    found = counted.mapInArrow(_sum, kind).toArrow()  # RANGES + 1 rows
+    counts, total = np.zeros((2, RANGES, BUCKETS // RANGES), np.int64), np.zeros(2, np.int64)
+    for part, data in zip(found["part"].to_pylist(), found["counts"].to_pylist(), strict=True):
+        both = np.frombuffer(data, "<i8").reshape(2, -1)
+        if part < 0:
+            total = both[:, 0]
+        else:
+            counts[:, part] = both
+    return counts.reshape(2, BUCKETS), total
 
 
 def count_ratios(train: DataFrame) -> np.ndarray:
     """The log-count ratio of each bucket, 0 where it is not significant; over every training row."""
-    counts = train.select("text", "y").mapInArrow(_count, "bucket int, clean long, toxic long")
-    found = counts.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()  # BUCKETS + 1 rows at most
-    at, clean, toxic = (found[c].to_numpy() for c in ("bucket", "clean", "toxic"))
-    ratios = np.zeros(BUCKETS, np.float32)
-    if not len(at):
-        return ratios
-    all_clean, all_toxic = (int(x[at == -1].sum()) for x in (clean, toxic))
+    counts, total = document_counts(train)
+    (clean, toxic), (all_clean, all_toxic) = counts, total.tolist()
     p, q = (toxic + 0.5) / (all_toxic + 1), (clean + 0.5) / (all_clean + 1)
     r = np.log(p) - np.log(q)
     error = np.sqrt(np.maximum(1 / (toxic + 0.5) - 1 / (all_toxic + 1), 0) + np.maximum(1 / (clean + 0.5) - 1 / (all_clean + 1), 0))
-    use = (at >= 0) & (np.abs(r) >= SIGMAS * np.maximum(error, 1e-9))
-    ratios[at[use]] = r[use]
-    return ratios
+    use = (clean + toxic > 0) & (np.abs(r) >= SIGMAS * np.maximum(error, 1e-9))
+    return np.where(use, r, 0).astype(np.float32)
 
 
 def inputs(text: str | None, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
