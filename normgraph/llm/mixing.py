@@ -8,6 +8,8 @@ A source's last block is cut to its target, and slots beyond it are left out; bl
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ WEIGHTS, SHARE, EPOCHS, BLOCK = (3, 1, 2), 1.5, 2, 2048
 WORD = r"[^\x20\x09-\x0D]+"
 _ALL_BEFORE = (Window.unboundedPreceding, 0)
 _CHUNK = 1 << 16
+RANGE_ROWS = 50_000
 _PHI = 0.6180339887498949
 
 
@@ -48,9 +51,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def placed(sizes: DataFrame) -> DataFrame:
-    """sizes with `before`: the words of the source before the document in its order. Sums of 4096 ranges of the order come first,
-    so that no task orders a whole source."""
-    part = F.conv(F.substring("place", 1, 3), 16, 10).cast("int")
+    """sizes with `before`: the words of the source before the document in its order. Sums of ranges of the order come first, 4096 or as many as hold
+    RANGE_ROWS documents each, so that no task orders a whole source."""
+    digits = max(3, math.ceil(math.log(max(sizes.count(), 1) / RANGE_ROWS, 16)))
+    part = F.conv(F.substring("place", 1, digits), 16, 10).cast("long")
     s = sizes.withColumn("part", part)
     sums = s.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
     sums = sums.withColumn("part_before", F.sum("part_size").over(Window.partitionBy("source").orderBy("part").rowsBetween(*_ALL_BEFORE)) - F.col("part_size"))

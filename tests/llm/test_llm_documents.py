@@ -318,6 +318,14 @@ def test_mixing(spark, none):
     assert mixing.taken_words(none).count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
+def test_mixing_in_finer_ranges(spark, monkeypatch):
+    rows = [(i, _prose(i, i % 50), "en", "ab"[i % 2], 0) for i in range(200)]
+    docs = spark.createDataFrame(rows, DOCS)
+    want = {(r["doc_id"], r["taken"]) for r in mixing.taken_words(docs).collect()}
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 0.01)
+    assert {(r["doc_id"], r["taken"]) for r in mixing.taken_words(docs).collect()} == want
+
+
 def test_quality_rules(spark, docs, none):
     good = [_prose(i, 60) for i in range(60)]
     junk = [" ".join(f"w{x}%%%***" for x in np.random.default_rng(i).integers(0, 500, 60)) for i in range(12)]
