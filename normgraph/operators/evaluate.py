@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import percentage
 from ..plans import sparql
 from ..plans.tables import forget, join_sized, stash
-from ..schemas import OWL, RDF, RDFS, SKOS
+from ..schemas import DCTERMS, OWL, RDF, RDFS, SKOS
 from .build import counts as size_counts
 
 # What a verdict suggests and what an action amounts to.
@@ -97,15 +97,17 @@ def hierarchy(graph: DataFrame, base: str) -> DataFrame:
 def axiom_counts(graph: DataFrame) -> DataFrame:
     """One row: axioms, logical_axioms, classes, individuals, as an OWL measure has them: a declaration, an annotation, an assertion or a class
     axiom of a named subject is an axiom, and all but declarations and annotations are logical. Triples of blank nodes are parts of axioms, but for
-    the members that AllDisjointClasses names. What a property that is declared nowhere asserts is an annotation."""
+    the members that AllDisjointClasses names. What a property that is declared nowhere asserts is an annotation; Dublin Core's are
+    annotations however declared; what is said of an ontology itself is no axiom."""
     kinds = {k: [OWL + x for x in names] for k, names in (("entity", ("Class", "ObjectProperty", "DatatypeProperty", "AnnotationProperty", "NamedIndividual")), ("relation", ("ObjectProperty", "DatatypeProperty")))}
     is_type, named = F.col("p") == RDF + "type", ~F.startswith("s", F.lit("_:"))
-    relations = graph.where(is_type & F.col("o").isin(kinds["relation"])).select(F.col("s").alias("p"), F.lit(True).alias("_relation")).distinct()
-    marked = join_sized(graph, relations, "p", "left")
+    relations = graph.where(is_type & F.col("o").isin(kinds["relation"]) & ~F.startswith("s", F.lit(DCTERMS))).select(F.col("s").alias("p"), F.lit(True).alias("_relation")).distinct()
+    headers = graph.where(is_type & (F.col("o") == OWL + "Ontology")).select("s").distinct()
+    marked = join_sized(join_sized(graph, headers, "s", "left_anti"), relations, "p", "left")
     declaration = named & is_type & F.col("o").isin(kinds["entity"])
-    whole = named & ((is_type & (F.col("o") != OWL + "Ontology") & ~F.startswith("o", F.lit(OWL))) | F.col("p").isin(*(RDFS + x for x in ("subClassOf", "subPropertyOf", "domain", "range")), *(OWL + x for x in ("equivalentClass", "disjointWith", "inverseOf", "equivalentProperty", "sameAs", "differentFrom", "hasKey"))))
+    whole = named & ((is_type & ~F.startswith("o", F.lit(OWL))) | F.col("p").isin(*(RDFS + x for x in ("subClassOf", "subPropertyOf", "domain", "range")), *(OWL + x for x in ("equivalentClass", "disjointWith", "inverseOf", "equivalentProperty", "sameAs", "differentFrom", "hasKey"))))
     logical = F.coalesce(whole | (named & F.col("_relation")) | (F.col("p") == OWL + "members") | (named & is_type & F.col("o").rlike("#(Functional|InverseFunctional|Transitive|Symmetric|Asymmetric|Reflexive|Irreflexive)Property$")), F.lit(False))
-    annotation = named & ~is_type & ~logical & (F.col("p") != OWL + "imports")
+    annotation = named & ~is_type & ~logical
     n = lambda test: F.count_if(test)
     each = lambda k: F.count_distinct(F.when(declaration & (F.col("o") == OWL + k), F.col("s")))
     return marked.agg(n(declaration | logical | annotation).alias("axioms"), n(logical).alias("logical_axioms"), each("Class").alias("classes"), each("NamedIndividual").alias("individuals"))

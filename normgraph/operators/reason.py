@@ -191,12 +191,13 @@ def check_classification(closed: DataFrame, expected: DataFrame, risk: list[str]
 
 
 def quality_report(graph: DataFrame, base: str) -> DataFrame:
-    """level, rule, subject: equivalent named classes and missing definitions (WARN), classes without superclass (INFO)."""
+    """level, rule, subject: equivalent named classes, and classes and properties without definition (WARN), classes without superclass (INFO)."""
     named = lambda c: ~F.startswith(c, F.lit("_:"))
     classes = graph.where((F.col("p") == TYPE) & (F.col("o") == OWL + "Class") & F.startswith("s", F.lit(base))).select("s").distinct()
     have = lambda p: graph.where(F.col("p").isin(p)).select("s").distinct()
     rows = lambda df, level, rule: df.select(F.lit(level).alias("level"), F.lit(rule).alias("rule"), F.col("s").alias("subject"))
-    entities = graph.where((F.col("p") == TYPE) & F.startswith("o", F.lit(OWL)) & F.startswith("s", F.lit(base))).select("s").distinct()
+    kinds = [OWL + k for k in ("Class", "ObjectProperty", "DatatypeProperty", "AnnotationProperty")]
+    entities = graph.where((F.col("p") == TYPE) & F.col("o").isin(kinds) & F.startswith("s", F.lit(base))).select("s").distinct()
     equal = graph.where((F.col("p") == EQ) & named("s") & named("o")).select("s")
     return rows(equal, "WARN", "equivalent_pair").unionByName(rows(entities.join(have(["http://www.w3.org/2004/02/skos/core#definition"]), "s", "left_anti"), "WARN", "missing_definition")).unionByName(rows(classes.join(have([SUB, EQ]), "s", "left_anti"), "INFO", "missing_superclass"))
 
