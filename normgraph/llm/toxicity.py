@@ -20,6 +20,8 @@ from .common import Sink, bounded_sample, first_picked, held_out, labelled, part
 #: SAMPLE: rows of the logistic fit at most, which bounds what reaches the driver.
 BUCKETS, SIGMAS, SAMPLE = 1 << 20, 3.0, 4_000
 MODULUS, HELD_OUT, THRESHOLD = 5, 0, 0.5
+#: Entries of the sampled rows that are taken at once.
+BLOCK = 1 << 20
 _SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
 _ODD = np.random.default_rng(3).integers(1 << 62, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -98,10 +100,10 @@ def count_ratios(train: DataFrame) -> np.ndarray:
 
 
 def inputs(text: str | None, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The significant buckets of a text and their scaled values."""
+    """The significant buckets of a text and how often each occurs, counted up to 32,767."""
     found = buckets(text)
     found, counts = np.unique(found[ratios[found] != 0], return_counts=True)
-    return found, np.log1p(counts) * ratios[found]
+    return found.astype(np.int32), np.minimum(counts, 32_767).astype(np.int16)
 
 
 def minimise(f, x: np.ndarray, rounds: int = 100, memory: int = 8) -> np.ndarray:
@@ -133,10 +135,6 @@ def minimise(f, x: np.ndarray, rounds: int = 100, memory: int = 8) -> np.ndarray
     return x
 
 
-#: Entries of the rows that a step of the loss takes at once.
-BLOCK = 1 << 20
-
-
 def logistic_loss(ends: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarray, penalty: float):
     """Ridge logistic loss and gradient over sparse rows; row i holds the entries up to ends[i]. The last weight is the offset."""
     cuts = [0]
@@ -167,10 +165,15 @@ def fit_logistic(ends: np.ndarray, at: np.ndarray, value: np.ndarray, y: np.ndar
     """Weights and offset of a ridge logistic regression over sparse rows (see logistic_loss; at: buckets below size)."""
     if not len(y) or y.min() == y.max():
         return np.zeros(size), -4.0 if not len(y) or y.min() == 0 else 4.0
-    used = np.flatnonzero(np.bincount(at, minlength=size))
     place = np.zeros(size, np.int32)
+    for low in range(0, len(at), BLOCK):
+        place[at[low : low + BLOCK]] = 1
+    used = np.flatnonzero(place)
     place[used] = np.arange(len(used))
-    w = minimise(logistic_loss(ends, place[at], value, y, penalty), np.zeros(len(used) + 1))
+    column = np.empty_like(at)
+    for low in range(0, len(at), BLOCK):
+        column[low : low + BLOCK] = place[at[low : low + BLOCK]]
+    w = minimise(logistic_loss(ends, column, value, y, penalty), np.zeros(len(used) + 1))
     out = np.zeros(size)
     out[used] = w[:-1]
     return out, float(w[-1])
@@ -181,19 +184,23 @@ def sampled(train: DataFrame, ratios: np.ndarray, sample: int = SAMPLE) -> tuple
     shared = train.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Sink(pa.schema([("pick", pa.int64()), ("y", pa.int32()), ("at", pa.list_(pa.int32())), ("v", pa.list_(pa.float32()))]), 500)
+        out = Sink(pa.schema([("pick", pa.int64()), ("y", pa.int32()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int16()))]), 500)
         for pick, text, y in rows(batches, "pick", "text", "y"):
-            found, values = inputs(text, shared.value)
-            out.add(pick, y, found, values)
+            out.add(pick, y, *inputs(text, shared.value))
             if out.full:
                 yield out.take()
         yield out.take()
 
     picked = bounded_sample(train.select("doc_id", "text", "y"), sample, "doc_id", "text")
-    got = first_picked(picked.mapInArrow(run, "pick long, y int, at array<int>, v array<float>"), sample, "y").toArrow()
+    got = first_picked(picked.mapInArrow(run, "pick long, y int, at array<int>, n array<short>"), sample, "y").toArrow()
     flat = lambda c, kind: np.concatenate([np.empty(0, kind), *(x.flatten().to_numpy(zero_copy_only=False) for x in got[c].chunks)])
-    sizes = [n for x in got["at"].chunks for n in np.diff(x.offsets.to_numpy())]
-    return np.cumsum(np.array(sizes, np.int64)), flat("at", np.int32), flat("v", np.float32), got["y"].to_numpy().astype(float)
+    ends = np.cumsum(np.array([n for x in got["at"].chunks for n in np.diff(x.offsets.to_numpy())], np.int64))
+    at, counts, y = flat("at", np.int32), flat("n", np.int16), got["y"].to_numpy().astype(float)
+    del got, flat  # the driver holds six bytes an entry here, and four more for its value
+    value = np.empty(len(at), np.float32)
+    for low in range(0, len(at), BLOCK):
+        value[low : low + BLOCK] = np.log1p(counts[low : low + BLOCK], dtype=np.float32) * ratios[at[low : low + BLOCK]]
+    return ends, at, value, y
 
 
 def fit(train: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
