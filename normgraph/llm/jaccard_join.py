@@ -325,3 +325,18 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_equal")
+
+
+OP4_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' '))) END AS sh FROM w),
+k AS (SELECT r, doc_id, len(sh) AS n, md5(array_to_string(list_sort(sh), chr(10))) AS same FROM s),
+u AS (SELECT r, unnest(list_transform(sh, lambda x: md5(x))) AS h FROM s),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM u a JOIN u b ON a.h = b.h AND a.r < b.r GROUP BY a.r, b.r),
+e AS (SELECT a, b FROM p JOIN k x ON x.r = a JOIN k y ON y.r = b WHERE 10 * c >= 8 * (x.n + y.n - c) UNION ALL SELECT x.r, y.r FROM k x JOIN k y ON x.r < y.r WHERE x.n = 0 AND y.n = 0),
+d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+t AS (SELECT r AS a, r AS b FROM k UNION SELECT t.a, d.b FROM t JOIN d ON d.a = t.b),
+c AS (SELECT t.a, min(k.doc_id) AS class_id FROM t JOIN k ON k.r = t.b GROUP BY t.a),
+l AS (SELECT a, count(*) AS n FROM d GROUP BY a), q AS (SELECT same, count(*) - 1 AS n FROM k GROUP BY same)
+SELECT k.doc_id, class_id, coalesce(l.n, 0) AS n_links, q.n AS n_equal FROM k JOIN c ON c.a = k.r LEFT JOIN l ON l.a = k.r JOIN q ON q.same = k.same
+"""

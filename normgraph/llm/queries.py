@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from .fingerprints import op1_document_fingerprints
-from .jaccard_join import op4_ngram_jaccard_join
+from .jaccard_join import OP4_SQL, op4_ngram_jaccard_join
 from .mixing import OP7_SQL, op7_mixing_sources
 from .packing import op6_harmonic_packing
 from .quality_rules import op10_quality_rules
-from .repeats import op8_suffix_dedup
+from .repeats import OP8_SQL, op8_suffix_dedup
 from .rule_ensemble import op5_rule_ensemble
 from .token_counts import op3_token_counts
 from .toxicity import op9_toxicity
@@ -29,4 +29,4 @@ QUERIES = {
     )
 }
 
-SQL = {"op2_warc_index_merge": OP2_SQL, "op7_mixing_sources": OP7_SQL}
+SQL = {"op2_warc_index_merge": OP2_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op7_mixing_sources": OP7_SQL, "op8_suffix_dedup": OP8_SQL}

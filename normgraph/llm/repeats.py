@@ -332,3 +332,19 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, width: int = CELL) ->
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(read(spark, sf_dir, "documents"))
+
+
+#: On bytes as pairs of hexadecimal digits.
+OP8_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+s AS (SELECT r, i, md5(substring(x, 2 * i + 1, 800)) AS h FROM (SELECT r, x, unnest(range(0, length(x) // 2 - 399)) AS i FROM d WHERE length(x) >= 800)),
+h AS (SELECT h FROM s GROUP BY h HAVING count(*) > 1),
+m AS (SELECT r, i, i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i) + 400, -1) AS opens FROM s SEMI JOIN h ON s.h = h.h),
+g AS (SELECT r, i, sum(opens::INT) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM m),
+z AS (SELECT r, k, min(i) AS low, max(i) + 400 AS high FROM g GROUP BY r, k),
+gap AS (SELECT z.r, coalesce(lag(high) OVER (PARTITION BY z.r ORDER BY low), 0) AS a, low AS b FROM z UNION ALL SELECT r, max(high), NULL FROM z GROUP BY r),
+kept AS (SELECT gap.r, string_agg(substring(x, 2 * a + 1, CASE WHEN b IS NULL THEN length(x) ELSE 2 * (b - a) END), '' ORDER BY a) AS x FROM gap JOIN d ON d.r = gap.r GROUP BY gap.r),
+n AS (SELECT r, sum(high - low) AS n_removed, count(*) AS n_spans FROM z GROUP BY r)
+SELECT doc_id, CAST(length(d.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN kept ON kept.r = d.r
+"""

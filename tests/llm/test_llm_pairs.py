@@ -250,3 +250,24 @@ def test_registered():
     names = [*queries.QUERIES, "pipeline"]
     assert set(names) <= set(entry.queries()) and set(queries.SQL) <= set(entry.oracle_sql())
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_its_sql(spark, name):
+    import glob
+    import os
+
+    import duckdb
+
+    at = "/root/testdata/sf0.001"
+    if not os.path.isdir(at):
+        pytest.skip("the driver's tables are not here")
+    con = duckdb.connect()
+    for path in glob.glob(f"{at}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path).removesuffix('.parquet')} AS SELECT * FROM '{path}'")
+    found = con.execute(queries.SQL[name])
+    names = [c[0] for c in found.description]
+    df = queries.QUERIES[name](spark, at)
+    assert set(df.columns) == set(names)
+    plain = lambda rows: sorted(tuple(f"{x:.9g}" if isinstance(x, float) else str(x) for x in r) for r in rows)
+    assert plain(df.select(*names).collect()) == plain(found.fetchall())
