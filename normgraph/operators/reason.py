@@ -71,11 +71,12 @@ def _close_facts(known: DataFrame, sub: DataFrame, there: set[str], most_rounds:
     """The types (x, c) and the other facts (triples) that follow from known, in tables of their own, those of known first."""
     axioms = known.where(F.col("p").isin(*(RDFS + x for x in ("domain", "range", "subPropertyOf")), *(OWL + x for x in ("inverseOf", "onProperty", "someValuesFrom", "intersectionOf", "unionOf")), RDF + "first", RDF + "rest"))
     axioms = stash(axioms, "axioms")
-    inter, union = (sized(lists(axioms, OWL + p, "c")) if OWL + p in there else None for p in ("intersectionOf", "unionOf"))
-    some = sized(_p(axioms, OWL + "onProperty", "c", "prop").join(_p(axioms, OWL + "someValuesFrom", "c", "filler"), "c")) if OWL + "someValuesFrom" in there else None
-    domain, range_, subprop = (sized(_p(axioms, RDFS + x, "prop", "to")) if RDFS + x in there else None for x in ("domain", "range", "subPropertyOf"))
+    fixed = lambda df: sized(stash(df, "axioms"))  # noqa: E731  each round joins them, none makes them anew
+    inter, union = (fixed(lists(axioms, OWL + p, "c")) if OWL + p in there else None for p in ("intersectionOf", "unionOf"))
+    some = fixed(_p(axioms, OWL + "onProperty", "c", "prop").join(_p(axioms, OWL + "someValuesFrom", "c", "filler"), "c")) if OWL + "someValuesFrom" in there else None
+    domain, range_, subprop = (fixed(_p(axioms, RDFS + x, "prop", "to")) if RDFS + x in there else None for x in ("domain", "range", "subPropertyOf"))
     inverse = _p(axioms, OWL + "inverseOf", "prop", "to")
-    inverse = sized(inverse.unionByName(inverse.select(F.col("to").alias("prop"), F.col("prop").alias("to"))).distinct()) if OWL + "inverseOf" in there else None
+    inverse = fixed(inverse.unionByName(inverse.select(F.col("to").alias("prop"), F.col("prop").alias("to"))).distinct()) if OWL + "inverseOf" in there else None
     sub = sized(sub)
     types, facts = [stash(_p(known, TYPE, "x", "c"), "types")], [known.where(F.col("p") != TYPE)]
     new_types, new_facts = types[0], facts[0]
