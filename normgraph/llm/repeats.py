@@ -28,6 +28,8 @@ from .common import BROADCAST_ROWS, Sink, forget, join_sized, partitions, read,
 from .stats import as_bytes
 
 LENGTH, GRAM, CELL = 400, 16, 128
+#: Bytes of a passage of over fifty words: fifty-one words of four letters, with blanks between them.
+PASSAGE = 51 * 5 - 1
 #: Distinct contexts of a core that one task constructs; a core with more is done by counting its strings' hashes.
 MOST_CONTEXTS = 50_000
 #: Strings of the small groups that are constructed together.
@@ -280,34 +282,38 @@ def kept_bytes(data: bytes, runs: np.ndarray) -> bytes:
 
 
 def _with_spans(docs: DataFrame, length: int, width: int) -> DataFrame:
-    """d (the row of docs), text, spans."""
+    """d (the row of docs), row, text, spans."""
     row = F.monotonically_increasing_id().alias("row")
     found = spans(docs.select(row, "text"), length, width)
     runs = merged(found).groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    return docs.select(F.struct("*").alias("d"), row).join(runs, "row", "left").select("d", F.col("d.text").alias("text"), "spans")
+    return docs.select(F.struct("*").alias("d"), row).join(runs, "row", "left").select("d", "row", F.col("d.text").alias("text"), "spans")
 
 
-def digest(docs: DataFrame, length: int = LENGTH, width: int = CELL) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs (doc_id, text; more columns are ignored).
+def digest(docs: DataFrame, length: int = LENGTH, width: int = CELL, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_bytes of each row of docs (doc_id, text; more columns are ignored).
 
     A byte goes if it is covered by a string of `length` bytes that starts anywhere else too, in this text or another, overlaps
-    included. A null text is empty; rows with one doc_id are texts of their own, so a repeated row is removed whole if it is long enough. No
+    included. n_passage_bytes is how many are covered by such strings of `passage` bytes: they stay, but tell which texts hold a shorter passage that repeats. A
+    null text is empty; rows with one doc_id are texts of their own, so a repeated row is removed whole if it is long enough. No
     rows: none. docs has to give the same rows in the same partitions each time it is read, as files do."""
-    marked = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, width)
-    marked = marked.select("d.doc_id", "text", "spans")
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    short = merged(spans(docs.select(F.monotonically_increasing_id().alias("row"), "text"), passage, min(width, passage // 2)))
+    shared = stash(short.groupBy("row").agg(F.sum(F.col("high") - F.col("low")).alias("n_passage_bytes")), "passages")
+    marked = _with_spans(docs, length, width).join(shared, "row", "left")
+    marked = marked.select("d.doc_id", "text", "spans", F.coalesce("n_passage_bytes", F.lit(0)).alias("n_passage_bytes"))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_passage_bytes", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Sink(schema)
-        for doc_id, text, found in rows(batches, "doc_id", "text", "spans"):
+        for doc_id, text, found, passages in rows(batches, "doc_id", "text", "spans", "n_passage_bytes"):
             data = as_bytes(text).tobytes()
             gone = removed(len(data), found)
-            out.add(doc_id, len(data), int((gone[1::2] - gone[::2]).sum()), len(gone) // 2, hashlib.sha256(kept_bytes(data, gone)).hexdigest())
+            out.add(doc_id, len(data), int((gone[1::2] - gone[::2]).sum()), len(gone) // 2, hashlib.sha256(kept_bytes(data, gone)).hexdigest(), passages)
             if out.full:
                 yield out.take()
         yield out.take()
 
-    return marked.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, width: int = CELL) -> DataFrame:
@@ -334,17 +340,23 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(read(spark, sf_dir, "documents"))
 
 
+def _sql(length: int, n: int) -> str:
+    """Tables of the strings of so many bytes that repeat, and of the runs of bytes that they cover; n names them."""
+    return f"""s{n} AS (SELECT r, i, md5(substring(x, 2 * i + 1, {2 * length})) AS h FROM (SELECT r, x, unnest(range(0, length(x) // 2 - {length - 1})) AS i FROM d WHERE length(x) >= {2 * length})),
+h{n} AS (SELECT h FROM s{n} GROUP BY h HAVING count(*) > 1),
+m{n} AS (SELECT r, i, i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i) + {length}, -1) AS opens FROM s{n} SEMI JOIN h{n} ON s{n}.h = h{n}.h),
+g{n} AS (SELECT r, i, sum(opens::INT) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM m{n}),
+z{n} AS (SELECT r, k, min(i) AS low, max(i) + {length} AS high FROM g{n} GROUP BY r, k)"""
+
+
 #: On bytes as pairs of hexadecimal digits.
-OP8_SQL = """
+OP8_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
-s AS (SELECT r, i, md5(substring(x, 2 * i + 1, 800)) AS h FROM (SELECT r, x, unnest(range(0, length(x) // 2 - 399)) AS i FROM d WHERE length(x) >= 800)),
-h AS (SELECT h FROM s GROUP BY h HAVING count(*) > 1),
-m AS (SELECT r, i, i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i) + 400, -1) AS opens FROM s SEMI JOIN h ON s.h = h.h),
-g AS (SELECT r, i, sum(opens::INT) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM m),
-z AS (SELECT r, k, min(i) AS low, max(i) + 400 AS high FROM g GROUP BY r, k),
-gap AS (SELECT z.r, coalesce(lag(high) OVER (PARTITION BY z.r ORDER BY low), 0) AS a, low AS b FROM z UNION ALL SELECT r, max(high), NULL FROM z GROUP BY r),
+{_sql(LENGTH, 1)},
+{_sql(PASSAGE, 2)},
+gap AS (SELECT z1.r, coalesce(lag(high) OVER (PARTITION BY z1.r ORDER BY low), 0) AS a, low AS b FROM z1 UNION ALL SELECT r, max(high), NULL FROM z1 GROUP BY r),
 kept AS (SELECT gap.r, string_agg(substring(x, 2 * a + 1, CASE WHEN b IS NULL THEN length(x) ELSE 2 * (b - a) END), '' ORDER BY a) AS x FROM gap JOIN d ON d.r = gap.r GROUP BY gap.r),
-n AS (SELECT r, sum(high - low) AS n_removed, count(*) AS n_spans FROM z GROUP BY r)
-SELECT doc_id, CAST(length(d.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.x, d.x))) AS kept_sha256
-FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN kept ON kept.r = d.r
+n AS (SELECT r, sum(high - low) AS n_removed, count(*) AS n_spans FROM z1 GROUP BY r), p AS (SELECT r, sum(high - low) AS n FROM z2 GROUP BY r)
+SELECT doc_id, CAST(length(d.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.x, d.x))) AS kept_sha256, CAST(coalesce(p.n, 0) AS BIGINT) AS n_passage_bytes
+FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN kept ON kept.r = d.r LEFT JOIN p ON p.r = d.r
 """

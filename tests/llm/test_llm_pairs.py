@@ -154,8 +154,9 @@ def test_repeats(docs, monkeypatch, most, segment):
     monkeypatch.setattr(repeats, "MOST_CONTEXTS", most)
     monkeypatch.setattr(repeats, "_SEGMENT", segment)
     want = _true_repeats(_corpus(), 400)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.digest(docs).collect()}
-    assert got == dict(enumerate(want))
+    found = repeats.digest(docs).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found} == dict(enumerate(want))
+    assert {r["doc_id"]: r["n_passage_bytes"] for r in found} == {i: w[1] for i, w in enumerate(_true_repeats(_corpus(), repeats.PASSAGE))}
 
 
 def test_repeated_columns_against_their_definition():
