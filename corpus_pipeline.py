@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from normgraph.llm import jaccard_join, mixing, packing, quality_rules, repeats
 from normgraph.llm.common import read, stash
 
-#: Bytes of a repeated passage that goes, shorter than op8's: fifty-one words of four letters, with blanks between them.
-PASSAGE_BYTES = 51 * 5 - 1
+#: Bytes of a repeated passage that goes, shorter than op8's: one of over fifty words.
+PASSAGE_BYTES = repeats.PASSAGE
 
 #: No SQL expresses the stages; tests hold them against brute force.
 ORACLE_SQL = None
