@@ -27,7 +27,13 @@ def normalise(x: Column) -> Column:
 def camel_case(x: Column) -> Column:
     """ASCII letter and digit runs, the first letter of each in upper case and the rest kept; "Unnamed" if there are none."""
     words = F.filter(F.split(x, "[^0-9A-Za-z]+"), lambda w: w != "")
-    return F.coalesce(F.nullif(F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), ""), F.lit("")), F.lit("Unnamed"))
+    return F.coalesce(
+        F.nullif(
+            F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), ""),
+            F.lit(""),
+        ),
+        F.lit("Unnamed"),
+    )
 
 
 def local_name(iri: Column) -> Column:
@@ -61,7 +67,14 @@ def _record_key(fields: pd.DataFrame) -> pd.Series:
 
 def record_id(term: Column, entity_type: Column, definition: Column, bearer: Column, applies_to: Column, article_refs: Column) -> Column:
     """12 hex digits that depend on what a reviewer judges, and not on label or provenance."""
-    fields = F.struct(term.alias("term"), entity_type.alias("entity_type"), definition.alias("definition"), bearer.alias("bearer"), applies_to.alias("applies_to"), article_refs.alias("article_refs"))
+    fields = F.struct(
+        term.alias("term"),
+        entity_type.alias("entity_type"),
+        definition.alias("definition"),
+        bearer.alias("bearer"),
+        applies_to.alias("applies_to"),
+        article_refs.alias("article_refs"),
+    )
     return F.substring(F.sha2(_record_key(fields), 256), 1, 12)
 
 

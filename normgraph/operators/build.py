@@ -14,7 +14,13 @@ ARTICLE_PART = r"^(Art\. \d+|Annex [IVXLC]+)"
 
 
 def iri(p: str | Column, o: Column) -> Column:
-    return F.struct((F.lit(p) if isinstance(p, str) else p).alias("p"), o.alias("o"), F.lit("iri").alias("o_kind"), F.lit("").alias("o_lang"), F.lit("").alias("o_dt"))
+    return F.struct(
+        (F.lit(p) if isinstance(p, str) else p).alias("p"),
+        o.alias("o"),
+        F.lit("iri").alias("o_kind"),
+        F.lit("").alias("o_lang"),
+        F.lit("").alias("o_dt"),
+    )
 
 
 def literal(p: str, o: Column, lang: str = "", dt: str = "") -> Column:
@@ -23,7 +29,10 @@ def literal(p: str, o: Column, lang: str = "", dt: str = "") -> Column:
 
 def explode_triples(df: DataFrame, subject: Column, *pairs: Column) -> DataFrame:
     """A triple of the subject for each pair (iri() or literal()); those without object, or null, are left out."""
-    return df.select(subject.alias("s"), F.explode(F.array_compact(F.array(*pairs))).alias("t")).select("s", "t.*").where("s IS NOT NULL AND o IS NOT NULL")
+    return df.select(
+        subject.alias("s"),
+        F.explode(F.array_compact(F.array(*pairs))).alias("t"),
+    ).select("s", "t.*").where("s IS NOT NULL AND o IS NOT NULL")
 
 
 def virtual_triples(df: DataFrame, subject: Column, *pairs: Column) -> DataFrame:
@@ -44,7 +53,11 @@ def core_terms(core: DataFrame) -> DataFrame:
 
 def core_labels(core: DataFrame) -> DataFrame:
     """label (lower case), iri of the core terms; of several with a label the last by IRI."""
-    return core.where(F.col("p") == RDFS + "label").join(core_terms(core), F.col("s") == F.col("iri"), "left_semi").groupBy(F.lower("o").alias("label")).agg(F.max("s").alias("iri"))
+    return core.where(F.col("p") == RDFS + "label").join(
+        core_terms(core),
+        F.col("s") == F.col("iri"),
+        "left_semi",
+    ).groupBy(F.lower("o").alias("label")).agg(F.max("s").alias("iri"))
 
 
 def mint(entities: DataFrame, core: DataFrame, base: str = BASE) -> DataFrame:
@@ -58,12 +71,16 @@ def mint(entities: DataFrame, core: DataFrame, base: str = BASE) -> DataFrame:
     e = e.withColumn("core", F.when(F.col("is_core"), F.col("name")).otherwise(F.col("labelled")))
     nth = F.row_number().over(Window.partitionBy("name").orderBy("ord"))
     own = e.where("core IS NULL").withColumn("iri", F.when(nth > 1, F.concat("name", F.lit("_"), nth.cast("string"))).otherwise(F.col("name")))
-    return own.select("id", "iri", F.lit(False).alias("in_core")).unionByName(e.where("core IS NOT NULL").select("id", F.col("core").alias("iri"), F.lit(True).alias("in_core")))
+    return own.select("id", "iri", F.lit(False).alias("in_core")).unionByName(
+        e.where("core IS NOT NULL").select("id", F.col("core").alias("iri"), F.lit(True).alias("in_core"))
+    )
 
 
 def resolve(entities: DataFrame, column: str, types: tuple[str, ...], aliases: dict[str, str], base: str = BASE) -> DataFrame:
     """Adds `resolved`, the IRI that the column's value names: the first curated entity of the types with that term, else an alias, else null."""
-    known = entities.where(F.col("entity_type").isin(*types)).groupBy(F.lower(F.trim("term")).alias("_value")).agg(F.min_by("iri", "ord").alias("_entity"))
+    known = entities.where(F.col("entity_type").isin(*types)).groupBy(
+        F.lower(F.trim("term")).alias("_value")
+    ).agg(F.min_by("iri", "ord").alias("_entity"))
     value = F.lower(F.trim(column))
     table = F.create_map(*(F.lit(x) for k, v in aliases.items() for x in (k, base + v)))
     out = join_sized(entities.withColumn("_value", value), known, "_value", "left")
@@ -75,14 +92,28 @@ def run_id(entities: DataFrame) -> DataFrame:
     row = F.sha2(F.to_json(F.struct(*sorted(c for c in entities.columns if c != "ord")), {"ignoreNullFields": "false"}), 256)
     parts = entities.select("ord", row.alias("h")).groupBy(F.floor(F.col("ord") / 10_000).alias("part"))
     parts = parts.agg(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("ord", "h"))), lambda x: x["h"])), 256).alias("h"))
-    return parts.agg(F.substring(F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"])), 256), 1, 12).alias("run_id"))
+    return parts.agg(
+        F.substring(
+            F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"])), 256),
+            1,
+            12,
+        ).alias("run_id")
+    )
 
 
 def provenance(entities: DataFrame, base: str = BASE, source: str = "", title: str = "pipeline run") -> DataFrame:
     run = run_id(entities).withColumn("run", F.concat(F.lit(f"{base}run_"), "run_id"))
-    own = explode_triples(run, F.col("run"), iri(RDF + "type", F.lit(PROV + "Activity")), literal(RDFS + "label", F.concat(F.lit(f"{title} "), "run_id"), "en"), iri(DCTERMS + "source", F.lit(source or None).cast("string")))
+    own = explode_triples(
+        run,
+        F.col("run"),
+        iri(RDF + "type", F.lit(PROV + "Activity")),
+        literal(RDFS + "label", F.concat(F.lit(f"{title} "), "run_id"), "en"),
+        iri(DCTERMS + "source", F.lit(source or None).cast("string")),
+    )
     models = entities.where("model <> ''").select("model").distinct().crossJoin(F.broadcast(run))
-    return own.unionByName(explode_triples(models, F.col("run"), literal(DCTERMS + "description", F.concat(F.lit("extraction and verification model: "), "model"), "en")))
+    return own.unionByName(
+        explode_triples(models, F.col("run"), literal(DCTERMS + "description", F.concat(F.lit("extraction and verification model: "), "model"), "en"))
+    )
 
 
 def entity_triples(entities: DataFrame, base: str = BASE) -> DataFrame:
@@ -109,17 +140,34 @@ def entity_triples(entities: DataFrame, base: str = BASE) -> DataFrame:
     sources = e.select("iri", F.explode("sources").alias("x")).select("iri", "x.*").withColumn("eli", F.nullif("eli_uri", F.lit("")))
     part = F.nullif(F.regexp_extract("article_ref", ARTICLE_PART, 1), F.lit(""))
     out = one.unionByName(explode_triples(refs, F.col("iri"), literal(base + "articleRef", F.col("ref"))))
-    out = out.unionByName(explode_triples(sources, F.col("iri"), literal(base + "sourceQuote", F.col("source_quote")), iri(base + "hasLegalSource", F.col("eli"))))
-    return out.unionByName(explode_triples(sources, F.col("eli"), iri(RDF + "type", F.lit(base + "LegalProvision")), iri(RDF + "type", F.lit(OWL + "NamedIndividual")), literal(RDFS + "label", part, "en")))
+    out = out.unionByName(
+        explode_triples(sources, F.col("iri"), literal(base + "sourceQuote", F.col("source_quote")), iri(base + "hasLegalSource", F.col("eli")))
+    )
+    return out.unionByName(
+        explode_triples(
+            sources,
+            F.col("eli"),
+            iri(RDF + "type", F.lit(base + "LegalProvision")),
+            iri(RDF + "type", F.lit(OWL + "NamedIndividual")),
+            literal(RDFS + "label", part, "en"),
+        )
+    )
 
 
 def link_triples(entities: DataFrame, base: str = BASE) -> tuple[DataFrame, DataFrame]:
     """obligationOf and appliesToSystem links, their targets as individuals (punning), and warnings (kind, text) of values that name nothing."""
     open_ones = entities.where("NOT in_core")
     out, warnings = None, None
-    for column, prop, of, types, aliases in (("bearer", "obligationOf", ("Obligation",), ("Actor", "Authority"), BEARER_ALIASES), ("applies_to", "appliesToSystem", ("Obligation", "Requirement"), ("AISystemCategory",), SYSTEM_ALIASES)):
-        r = resolve(entities, column, types, aliases, base).join(open_ones.select("id"), "id", "left_semi").where(F.col("entity_type").isin(*of) & (F.trim(column) != ""))
-        t = explode_triples(r, F.col("iri"), iri(base + prop, F.col("resolved"))).unionByName(explode_triples(r, F.col("resolved"), iri(RDF + "type", F.lit(OWL + "NamedIndividual"))))
+    for column, prop, of, types, aliases in (
+        ("bearer", "obligationOf", ("Obligation",), ("Actor", "Authority"), BEARER_ALIASES),
+        ("applies_to", "appliesToSystem", ("Obligation", "Requirement"), ("AISystemCategory",), SYSTEM_ALIASES),
+    ):
+        r = resolve(entities, column, types, aliases, base).join(open_ones.select("id"), "id", "left_semi").where(
+            F.col("entity_type").isin(*of) & (F.trim(column) != "")
+        )
+        t = explode_triples(r, F.col("iri"), iri(base + prop, F.col("resolved"))).unionByName(
+            explode_triples(r, F.col("resolved"), iri(RDF + "type", F.lit(OWL + "NamedIndividual")))
+        )
         w = r.where("resolved IS NULL").select(F.lit(column).alias("kind"), F.col(column).alias("text")).distinct()
         out, warnings = (t, w) if out is None else (out.unionByName(t), warnings.unionByName(w))
     return out, warnings
@@ -127,16 +175,40 @@ def link_triples(entities: DataFrame, base: str = BASE) -> tuple[DataFrame, Data
 
 def header(spark: SparkSession, ontology: str, title: str, imports: str = "", license: str = "") -> DataFrame:
     one = spark.range(1)
-    return explode_triples(one, F.lit(ontology), iri(RDF + "type", F.lit(OWL + "Ontology")), literal(DCTERMS + "title", F.lit(title), "en"), iri(OWL + "imports", F.lit(imports or None).cast("string")), iri(DCTERMS + "license", F.lit(license or None).cast("string")))
+    return explode_triples(
+        one,
+        F.lit(ontology),
+        iri(RDF + "type", F.lit(OWL + "Ontology")),
+        literal(DCTERMS + "title", F.lit(title), "en"),
+        iri(OWL + "imports", F.lit(imports or None).cast("string")),
+        iri(DCTERMS + "license", F.lit(license or None).cast("string")),
+    )
 
 
-def generate(entities: DataFrame, core: DataFrame, base: str = BASE, ontology: str = "", source: str = "", imports: str = "", license: str = "") -> tuple[DataFrame, DataFrame]:
+def generate(
+    entities: DataFrame,
+    core: DataFrame,
+    base: str = BASE,
+    ontology: str = "",
+    source: str = "",
+    imports: str = "",
+    license: str = "",
+) -> tuple[DataFrame, DataFrame]:
     """The generated graph of the curated entities (CURATED columns and ord), and the warnings. Unknown types are warned of and left out."""
     run = run_id(entities).select(F.concat(F.lit(f"{base}run_"), "run_id").alias("run"))
     minted = stash(entities.join(mint(entities, core, base), "id").crossJoin(F.broadcast(run)), "minted")
     links, warnings = link_triples(minted.where(F.col("entity_type").isin(*TYPE_MAP)), base)
-    graph = header(entities.sparkSession, ontology or base.rstrip("#/"), "generated entities", imports, license).unionByName(provenance(entities, base, source)).unionByName(entity_triples(minted, base)).unionByName(links)
-    unknown = entities.where(~F.col("entity_type").isin(*TYPE_MAP)).select(F.lit("entity_type").alias("kind"), F.col("entity_type").alias("text")).distinct()
+    graph = header(
+        entities.sparkSession,
+        ontology or base.rstrip("#/"),
+        "generated entities",
+        imports,
+        license,
+    ).unionByName(provenance(entities, base, source)).unionByName(entity_triples(minted, base)).unionByName(links)
+    unknown = entities.where(~F.col("entity_type").isin(*TYPE_MAP)).select(
+        F.lit("entity_type").alias("kind"),
+        F.col("entity_type").alias("text"),
+    ).distinct()
     return graph.withColumn("g", F.lit("generated")).dropDuplicates(KEY), warnings.unionByName(unknown)
 
 
@@ -160,7 +232,14 @@ def without(graph: DataFrame, s: str | None = None, p: str | None = None, o: str
 def counts(graph: DataFrame) -> DataFrame:
     """Named subjects of each declared kind, and the triples."""
     kind = lambda k: F.count_distinct(F.when((F.col("p") == RDF + "type") & (F.col("o") == OWL + k) & ~F.startswith("s", F.lit("_:")), F.col("s")))
-    return graph.agg(kind("Class").alias("classes"), kind("ObjectProperty").alias("object_properties"), kind("DatatypeProperty").alias("datatype_properties"), kind("AnnotationProperty").alias("annotation_properties"), kind("NamedIndividual").alias("individuals"), F.count("*").alias("triples"))
+    return graph.agg(
+        kind("Class").alias("classes"),
+        kind("ObjectProperty").alias("object_properties"),
+        kind("DatatypeProperty").alias("datatype_properties"),
+        kind("AnnotationProperty").alias("annotation_properties"),
+        kind("NamedIndividual").alias("individuals"),
+        F.count("*").alias("triples"),
+    )
 
 
 def canonical(graph: DataFrame) -> DataFrame:
@@ -172,8 +251,13 @@ def canonical(graph: DataFrame) -> DataFrame:
     names, kinds = stash(names, "names"), 1
     while True:
         s, o = names.select(F.col("n").alias("s"), F.col("h").alias("sh")), names.select(F.col("n").alias("o"), F.col("h").alias("oh"))
-        t = g.where(blank("s") | (F.col("o_kind") == "bnode")).join(s, "s", "left").join(o, "o", "left").withColumns({"sn": F.coalesce("sh", "s"), "on": F.coalesce("oh", "o")})
-        out = t.where(blank("s")).select(F.col("s").alias("n"), F.sha2(F.concat_ws("\x01", F.lit("out"), "p", "on", "o_kind", "o_lang", "o_dt"), 256).alias("x"))
+        t = g.where(blank("s") | (F.col("o_kind") == "bnode")).join(s, "s", "left").join(o, "o", "left").withColumns(
+            {"sn": F.coalesce("sh", "s"), "on": F.coalesce("oh", "o")}
+        )
+        out = t.where(blank("s")).select(
+            F.col("s").alias("n"),
+            F.sha2(F.concat_ws("\x01", F.lit("out"), "p", "on", "o_kind", "o_lang", "o_dt"), 256).alias("x"),
+        )
         into = t.where("o_kind = 'bnode'").select(F.col("o").alias("n"), F.sha2(F.concat_ws("\x01", F.lit("in"), "p", "sn"), 256).alias("x"))
         seen = out.unionByName(into).groupBy("n").agg(F.array_sort(F.collect_list("x")).alias("xs")).join(names, "n")
         new = stash(seen.select("n", F.concat(F.lit("_:"), F.sha2(F.concat_ws("", F.array("h"), "xs"), 256)).alias("h")), "names")
@@ -182,7 +266,11 @@ def canonical(graph: DataFrame) -> DataFrame:
         if found <= kinds:
             break
         kinds = found
-    g = g.join(names.select(F.col("n").alias("s"), F.col("h").alias("sh")), "s", "left").join(names.select(F.col("n").alias("o"), F.col("h").alias("oh")), "o", "left")
+    g = g.join(
+        names.select(F.col("n").alias("s"), F.col("h").alias("sh")),
+        "s",
+        "left",
+    ).join(names.select(F.col("n").alias("o"), F.col("h").alias("oh")), "o", "left")
     return g.select(F.coalesce("sh", "s").alias("s"), "p", F.coalesce("oh", "o").alias("o"), "o_kind", "o_lang", "o_dt")
 
 

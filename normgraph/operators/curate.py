@@ -25,7 +25,9 @@ def keyed(records: DataFrame) -> DataFrame:
 
 def priority(verdict: Column, sources: Column) -> Column:
     """0 not judged somewhere, 1 unsupported somewhere, 2 verdicts differ, 3 partially supported, 4 supported."""
-    all_of = F.array_distinct(F.array_append(F.coalesce(F.transform(sources, lambda s: s["critic_verdict"]), F.array().cast("array<string>")), verdict))
+    all_of = F.array_distinct(
+        F.array_append(F.coalesce(F.transform(sources, lambda s: s["critic_verdict"]), F.array().cast("array<string>")), verdict)
+    )
     none = F.exists(all_of, lambda v: v.isNull())
     return F.when(none, 0).when(F.array_contains(all_of, "unsupported"), 1).when(F.size(all_of) > 1, 2).when(verdict == "partially", 3).otherwise(4)
 
@@ -42,7 +44,10 @@ def replay(decisions: DataFrame, key: str = "id", seq: str = "seq", action: str
     """The decision that holds for each id: the last, and none if that is an undo. `ord` is the place of the first one since the last undo: an
     overwritten decision keeps its place, one made after an undo goes to the end. Aggregates only, combined before the shuffle."""
     undo = F.col(action) == "undo"
-    last = decisions.groupBy(key).agg(F.max_by(F.struct(*decisions.columns), seq).alias("d"), F.coalesce(F.max(F.when(undo, F.col(seq))), F.lit(-1)).alias("_undone"))
+    last = decisions.groupBy(key).agg(
+        F.max_by(F.struct(*decisions.columns), seq).alias("d"),
+        F.coalesce(F.max(F.when(undo, F.col(seq))), F.lit(-1)).alias("_undone"),
+    )
     last = last.where(F.col(f"d.{action}") != "undo")
     since = decisions.join(last.select(key, "_undone"), key).where(F.col(seq) > F.col("_undone")).groupBy(key).agg(F.min(seq).alias("ord"))
     return last.select("d.*").join(since, key)
@@ -56,7 +61,10 @@ def resolve_merges(state: DataFrame) -> DataFrame:
     rounds, done = 0, n == 0
     while not done:
         far = links.select(F.col("id").alias("to"), F.col("to").alias("next"))
-        links = stash(links.join(far, "to", "left").select("id", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "chains")
+        links = stash(
+            links.join(far, "to", "left").select("id", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")),
+            "chains",
+        )
         rounds += 1
         done = not links.where("moved").limit(1).count() or 1 << rounds > 2 * n
         links = links.select("id", "to")
@@ -68,20 +76,56 @@ def build(records: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Curated entities, and the merged ids that have no entity to go to. records: of keyed(); state: of replay()."""
     decided = state.select("id", "action", "changes", "reviewer", F.col("timestamp").alias("decided_at"), F.col("ord").alias("place"))
     kept = records.join(decided, "id").where("action IN ('accept', 'edit', 'merge')")
-    edited = {f: F.when(F.coalesce((F.col("action") == "edit") & F.map_contains_key("changes", f), F.lit(False)), F.col("changes")[f][1]).otherwise(F.col(f)) for f in EDITABLE}
+    edited = {
+        f: F.when(
+            F.coalesce((F.col("action") == "edit") & F.map_contains_key("changes", f), F.lit(False)),
+            F.col("changes")[f][1],
+        ).otherwise(F.col(f)) for f in EDITABLE
+    }
     kept = kept.withColumns(edited)
     refs = F.when(F.size("article_refs") > 0, F.col("article_refs")).otherwise(F.array("article_ref"))
     own = F.struct("article_ref", "chunk_id", "eli_uri", "source_quote")
-    sources = F.when(F.size("sources") > 0, F.transform("sources", lambda s: F.struct(s["article_ref"].alias("article_ref"), s["chunk_id"].alias("chunk_id"), s["eli_uri"].alias("eli_uri"), s["source_quote"].alias("source_quote")))).otherwise(F.array(own))
-    kept = stash(kept.withColumns({"article_refs": refs, "sources": sources, "curation_status": F.when(F.col("action") == "edit", "edited").otherwise("accepted")}), "decided")
+    sources = F.when(
+        F.size("sources") > 0,
+        F.transform("sources", lambda s: F.struct(s["article_ref"].alias("article_ref"), s["chunk_id"].alias("chunk_id"), s["eli_uri"].alias("eli_uri"), s["source_quote"].alias("source_quote"))),
+    ).otherwise(F.array(own))
+    kept = stash(
+        kept.withColumns(
+            {"article_refs": refs, "sources": sources, "curation_status": F.when(F.col("action") == "edit", "edited").otherwise("accepted")}
+        ),
+        "decided",
+    )
     base = kept.where("action <> 'merge'")
     ends = resolve_merges(state)
     folded = kept.where("action = 'merge'").join(ends, "id")
     into = folded.groupBy("final").agg(F.array_sort(F.collect_list(F.struct("place", "id", "article_refs", "sources"))).alias("m"))
     out = base.join(into, base["id"] == into["final"], "left")
     more = F.coalesce("m", F.array().cast(into.schema["m"].dataType))
-    out = out.withColumns({"article_refs": F.array_distinct(F.concat("article_refs", F.flatten(F.transform(more, lambda x: x["article_refs"])))), "sources": F.concat("sources", F.flatten(F.transform(more, lambda x: x["sources"]))), "merged_ids": F.transform(more, lambda x: x["id"])})
-    columns = ["id", "term", "entity_type", "label", "definition", "bearer", "applies_to", "article_refs", "sources", "confidence", "critic_verdict", "model", "curation_status", "reviewer", "decided_at", "merged_ids"]
+    out = out.withColumns(
+        {
+            "article_refs": F.array_distinct(F.concat("article_refs", F.flatten(F.transform(more, lambda x: x["article_refs"])))),
+            "sources": F.concat("sources", F.flatten(F.transform(more, lambda x: x["sources"]))),
+            "merged_ids": F.transform(more, lambda x: x["id"]),
+        }
+    )
+    columns = [
+        "id",
+        "term",
+        "entity_type",
+        "label",
+        "definition",
+        "bearer",
+        "applies_to",
+        "article_refs",
+        "sources",
+        "confidence",
+        "critic_verdict",
+        "model",
+        "curation_status",
+        "reviewer",
+        "decided_at",
+        "merged_ids",
+    ]
     entities = out.orderBy("entity_type", F.lower("term"), "place").select(*columns)
     orphans = folded.join(base.select(F.col("id").alias("final")), "final", "left_anti").select("id")
     return entities, orphans
@@ -90,8 +134,20 @@ def build(records: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """id, changes (field: [old, new]) and the action they amount to: an edit that changes nothing is an accept."""
     both = old.select("id", F.struct(*EDITABLE).alias("o")).join(new.select("id", F.struct(*EDITABLE).alias("n")), "id")
-    pairs = F.array_compact(F.array(*(F.when(~F.col(f"o.{f}").eqNullSafe(F.col(f"n.{f}")), F.struct(F.lit(f).alias("k"), F.array(f"o.{f}", f"n.{f}").alias("v"))) for f in EDITABLE)))
-    return both.select("id", F.map_from_entries(pairs).alias("changes")).withColumn("action", F.when(F.size("changes") > 0, "edit").otherwise("accept"))
+    pairs = F.array_compact(
+        F.array(
+            *(
+                F.when(
+                    ~F.col(f"o.{f}").eqNullSafe(F.col(f"n.{f}")),
+                    F.struct(F.lit(f).alias("k"), F.array(f"o.{f}", f"n.{f}").alias("v")),
+                ) for f in EDITABLE
+            )
+        )
+    )
+    return both.select("id", F.map_from_entries(pairs).alias("changes")).withColumn(
+        "action",
+        F.when(F.size("changes") > 0, "edit").otherwise("accept"),
+    )
 
 
 def append_decisions(decisions: DataFrame, path: str) -> None:
@@ -116,21 +172,38 @@ def suggestions(records: DataFrame, of: DataFrame, similarity, k: int = 8) -> Da
     before the shuffle."""
     mine = of.select(F.col("id").alias("of_id"), F.col("term").alias("of_term"), F.col("entity_type").alias("of_type"))
     pairs = records.select("id", "term", "entity_type").crossJoin(sized(mine, SUGGESTED_AT_ONCE)).where("id <> of_id")
-    scored = pairs.withColumn("score", similarity(F.lower("of_term"), F.lower("term"))).withColumn("same_type", F.col("entity_type") == F.col("of_type"))
+    scored = pairs.withColumn(
+        "score",
+        similarity(F.lower("of_term"), F.lower("term")),
+    ).withColumn("same_type", F.col("entity_type") == F.col("of_type"))
     best = Window.partitionBy("of_id").orderBy(F.desc("same_type"), F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("of_id", "rank", "id", "term", "entity_type", "score")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
+        "of_id",
+        "rank",
+        "id",
+        "term",
+        "entity_type",
+        "score",
+    )
 
 
 def crosstab(records: DataFrame, state: DataFrame) -> DataFrame:
     """Verdicts by action, undecided included. Decisions on records that are gone do not count."""
     both = records.select("id", F.coalesce("critic_verdict", F.lit("none")).alias("verdict")).join(state.select("id", "action"), "id", "left")
-    return both.groupBy("verdict").pivot("action", [*ACTIONS]).agg(F.count(F.lit(1))).na.fill(0).join(both.groupBy("verdict").agg(F.count_if(F.col("action").isNull()).alias("undecided")), "verdict")
+    return both.groupBy("verdict").pivot("action", [*ACTIONS]).agg(F.count(F.lit(1))).na.fill(0).join(
+        both.groupBy("verdict").agg(F.count_if(F.col("action").isNull()).alias("undecided")),
+        "verdict",
+    )
 
 
 def status(records: DataFrame, state: DataFrame, orphans: DataFrame) -> DataFrame:
     """One row: decided, remaining, stale (decisions on records that are gone), orphans."""
     both = records.select("id", F.lit(1).alias("r")).join(state.select("id", F.lit(1).alias("d")), "id", "full")
-    counts = both.agg(F.count_if(F.col("r").isNotNull() & F.col("d").isNotNull()).alias("decided"), F.count_if(F.col("d").isNull()).alias("remaining"), F.count_if(F.col("r").isNull()).alias("stale"))
+    counts = both.agg(
+        F.count_if(F.col("r").isNotNull() & F.col("d").isNotNull()).alias("decided"),
+        F.count_if(F.col("d").isNull()).alias("remaining"),
+        F.count_if(F.col("r").isNull()).alias("stale"),
+    )
     return counts.crossJoin(orphans.agg(F.count("*").alias("orphans")))
 
 
@@ -146,11 +219,22 @@ def cards(records: DataFrame) -> DataFrame:
     line = lambda name, value: F.concat(F.lit(f"{name}: "), F.coalesce(value, F.lit("none")))
     own = F.struct("article_ref", "source_quote", "critic_verdict", "critic_reason")
     kind = "array<struct<article_ref:string,source_quote:string,critic_verdict:string,critic_reason:string>>"
-    sources = F.when(F.size("sources") > 0, F.transform("sources", lambda s: F.struct(s["article_ref"], s["source_quote"], s["critic_verdict"], s["critic_reason"])).cast(kind)).otherwise(F.array(own).cast(kind))
+    sources = F.when(
+        F.size("sources") > 0,
+        F.transform("sources", lambda s: F.struct(s["article_ref"], s["source_quote"], s["critic_verdict"], s["critic_reason"])).cast(kind),
+    ).otherwise(F.array(own).cast(kind))
     refs = F.array_join(F.when(F.size("article_refs") > 0, F.col("article_refs")).otherwise(F.array("article_ref")), ", ")
     of = lambda s: F.concat_ws("\n", F.lit(""), F.concat(F.coalesce(s["article_ref"], F.lit("")), F.lit(" - "), F.coalesce(s["critic_verdict"], F.lit("not judged"))), F.concat(F.lit("> "), s["source_quote"]), F.when(s["critic_reason"] != "", F.concat(F.lit("Critic: "), s["critic_reason"])))
     head = F.concat(F.coalesce("term", F.lit("")), F.lit(" ("), "id", F.lit(", "), F.coalesce("critic_verdict", F.lit("not judged")), F.lit(")"))
-    fields = [line("Type", F.col("entity_type")), line("Label", F.col("label")), line("Definition", F.col("definition")), line("Bearer", F.col("bearer")), line("Applies to", F.col("applies_to")), line("Confidence", F.format_string("%.2f", "confidence")), line("References", refs)]
+    fields = [
+        line("Type", F.col("entity_type")),
+        line("Label", F.col("label")),
+        line("Definition", F.col("definition")),
+        line("Bearer", F.col("bearer")),
+        line("Applies to", F.col("applies_to")),
+        line("Confidence", F.format_string("%.2f", "confidence")),
+        line("References", refs),
+    ]
     return records.select("id", F.concat_ws("\n", head, *fields, F.array_join(F.transform(sources, of), "\n")).alias("card"))
 
 

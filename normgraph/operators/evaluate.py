@@ -26,7 +26,10 @@ def kappa(pairs: DataFrame, first: str = "first", second: str = "second") -> Dat
     cells = pairs.groupBy(F.col(first).alias("a"), F.col(second).alias("b")).agg(F.count("*").alias("n"))
     rows, columns = cells.groupBy("a").agg(F.sum("n").alias("ra")), cells.groupBy("b").agg(F.sum("n").alias("cb"))
     expected = rows.join(columns, F.col("a") == F.col("b")).agg(F.coalesce(F.sum(F.col("ra").cast("double") * F.col("cb")), F.lit(0.0)).alias("e"))
-    observed = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("n"))), F.lit(0)).alias("o"))
+    observed = cells.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("n"))), F.lit(0)).alias("o"),
+    )
     both = observed.crossJoin(F.broadcast(expected))
     n = F.nullif("n", F.lit(0)).cast("double")
     pe, po = F.col("e") / (n * n), F.col("o") / n
@@ -74,13 +77,24 @@ def _cyclic(e: DataFrame, nodes: DataFrame, done: DataFrame) -> DataFrame:
     """node, depth of the nodes whose chains lead into a cycle. done: the depths of the others."""
     inner = stash(e.join(nodes.withColumnRenamed("node", "child"), "child"), "cyclic")
     here = inner.join(nodes.withColumnRenamed("node", "parent"), "parent", "left_semi")
-    out = inner.join(nodes.withColumnRenamed("node", "parent"), "parent", "left_anti").join(done.withColumnRenamed("node", "parent"), "parent", "left").groupBy(F.col("child").alias("at")).agg((F.max(F.coalesce("depth", F.lit(0))) + 1).alias("more"))
+    out = inner.join(
+        nodes.withColumnRenamed("node", "parent"),
+        "parent",
+        "left_anti",
+    ).join(done.withColumnRenamed("node", "parent"), "parent", "left").groupBy(F.col("child").alias("at")).agg((F.max(F.coalesce("depth", F.lit(0))) + 1).alias("more"))
     level = stash(here.select(F.col("child").alias("node"), F.col("parent").alias("at"), F.array("child").alias("path")), "chains")
     best = out.select(F.col("at").alias("node"), F.col("more").alias("depth")).unionByName(level.select("node", F.lit(1).alias("depth")))
     for k in itertools.count(2):
         open_ones = level.where(~F.array_contains("path", F.col("at")))
         best = best.unionByName(open_ones.join(out, "at").select("node", (F.col("more") + k - 1).alias("depth")))
-        level = stash(open_ones.join(here, F.col("at") == F.col("child")).select("node", F.col("parent").alias("at"), F.array_append("path", F.col("child")).alias("path")).distinct(), "chains")
+        level = stash(
+            open_ones.join(here, F.col("at") == F.col("child")).select(
+                "node",
+                F.col("parent").alias("at"),
+                F.array_append("path", F.col("child")).alias("path"),
+            ).distinct(),
+            "chains",
+        )
         if not level.limit(1).count():
             break
         best = best.unionByName(level.select("node", F.lit(k).alias("depth")))
@@ -89,7 +103,9 @@ def _cyclic(e: DataFrame, nodes: DataFrame, done: DataFrame) -> DataFrame:
 
 def hierarchy(graph: DataFrame, base: str) -> DataFrame:
     """One row: max_depth, mean_depth (of children), mean_children of parents; the child is in the namespace, the parent any IRI."""
-    edges = graph.where((F.col("p") == RDFS + "subClassOf") & (F.col("o_kind") == "iri") & F.startswith("s", F.lit(base))).select(F.col("s").alias("child"), F.col("o").alias("parent")).distinct()
+    edges = graph.where(
+        (F.col("p") == RDFS + "subClassOf") & (F.col("o_kind") == "iri") & F.startswith("s", F.lit(base))
+    ).select(F.col("s").alias("child"), F.col("o").alias("parent")).distinct()
     d = depths(edges).agg(F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"), F.bround(F.avg("depth"), 2).alias("mean_depth"))
     return d.crossJoin(F.broadcast(edges.groupBy("parent").agg(F.count("*").alias("k")).agg(F.bround(F.avg("k"), 2).alias("mean_children"))))
 
@@ -99,18 +115,40 @@ def axiom_counts(graph: DataFrame) -> DataFrame:
     axiom of a named subject is an axiom, and all but declarations and annotations are logical. Triples of blank nodes are parts of axioms, but for
     the members that AllDisjointClasses names. What a property that is declared nowhere asserts is an annotation; Dublin Core's are
     annotations however declared; what is said of an ontology itself is no axiom."""
-    kinds = {k: [OWL + x for x in names] for k, names in (("entity", ("Class", "ObjectProperty", "DatatypeProperty", "AnnotationProperty", "NamedIndividual")), ("relation", ("ObjectProperty", "DatatypeProperty")))}
+    kinds = {
+        k: [OWL + x for x in names] for k, names in (
+            ("entity", ("Class", "ObjectProperty", "DatatypeProperty", "AnnotationProperty", "NamedIndividual")),
+            ("relation", ("ObjectProperty", "DatatypeProperty")),
+        )
+    }
     is_type, named = F.col("p") == RDF + "type", ~F.startswith("s", F.lit("_:"))
-    relations = graph.where(is_type & F.col("o").isin(kinds["relation"]) & ~F.startswith("s", F.lit(DCTERMS))).select(F.col("s").alias("p"), F.lit(True).alias("_relation")).distinct()
+    relations = graph.where(
+        is_type & F.col("o").isin(kinds["relation"]) & ~F.startswith("s", F.lit(DCTERMS))
+    ).select(F.col("s").alias("p"), F.lit(True).alias("_relation")).distinct()
     headers = graph.where(is_type & (F.col("o") == OWL + "Ontology")).select("s").distinct()
     marked = join_sized(join_sized(graph, headers, "s", "left_anti"), relations, "p", "left")
     declaration = named & is_type & F.col("o").isin(kinds["entity"])
-    whole = named & ((is_type & ~F.startswith("o", F.lit(OWL))) | F.col("p").isin(*(RDFS + x for x in ("subClassOf", "subPropertyOf", "domain", "range")), *(OWL + x for x in ("equivalentClass", "disjointWith", "inverseOf", "equivalentProperty", "sameAs", "differentFrom", "hasKey"))))
-    logical = F.coalesce(whole | (named & F.col("_relation")) | (F.col("p") == OWL + "members") | (named & is_type & F.col("o").rlike("#(Functional|InverseFunctional|Transitive|Symmetric|Asymmetric|Reflexive|Irreflexive)Property$")), F.lit(False))
+    whole = named & (
+        (is_type & ~F.startswith("o", F.lit(OWL))) | F.col("p").isin(
+            *(RDFS + x for x in ("subClassOf", "subPropertyOf", "domain", "range")),
+            *(OWL + x for x in ("equivalentClass", "disjointWith", "inverseOf", "equivalentProperty", "sameAs", "differentFrom", "hasKey")),
+        )
+    )
+    logical = F.coalesce(
+        whole | (named & F.col("_relation")) | (F.col("p") == OWL + "members") | (
+            named & is_type & F.col("o").rlike("#(Functional|InverseFunctional|Transitive|Symmetric|Asymmetric|Reflexive|Irreflexive)Property$")
+        ),
+        F.lit(False),
+    )
     annotation = named & ~is_type & ~logical
     n = lambda test: F.count_if(test)
     each = lambda k: F.count_distinct(F.when(declaration & (F.col("o") == OWL + k), F.col("s")))
-    return marked.agg(n(declaration | logical | annotation).alias("axioms"), n(logical).alias("logical_axioms"), each("Class").alias("classes"), each("NamedIndividual").alias("individuals"))
+    return marked.agg(
+        n(declaration | logical | annotation).alias("axioms"),
+        n(logical).alias("logical_axioms"),
+        each("Class").alias("classes"),
+        each("NamedIndividual").alias("individuals"),
+    )
 
 
 def coverage(graph: DataFrame, base: str) -> DataFrame:
@@ -139,7 +177,10 @@ def coverage(graph: DataFrame, base: str) -> DataFrame:
 def reuse(core: DataFrame, alignments: DataFrame, base: str) -> DataFrame:
     classes = core.where((F.col("p") == RDF + "type") & (F.col("o") == OWL + "Class") & F.startswith("s", F.lit(base))).select("s").distinct()
     mapped = alignments.where(F.col("p").isin(SKOS + "closeMatch", SKOS + "exactMatch", SKOS + "relatedMatch", RDFS + "subClassOf")).select("s")
-    return classes.agg(F.count("*").alias("core_classes")).crossJoin(classes.intersect(mapped).agg(F.count("*").alias("aligned"))).withColumn("aligned_percent", percentage(F.col("aligned"), F.col("core_classes")))
+    return classes.agg(F.count("*").alias("core_classes")).crossJoin(classes.intersect(mapped).agg(F.count("*").alias("aligned"))).withColumn(
+        "aligned_percent",
+        percentage(F.col("aligned"), F.col("core_classes")),
+    )
 
 
 def questions(texts: dict[str, str], asserted: DataFrame, reasoned: DataFrame, reasoning: set[str]) -> DataFrame:
@@ -152,7 +193,10 @@ def questions(texts: dict[str, str], asserted: DataFrame, reasoned: DataFrame, r
 
 
 def answered(rows: DataFrame) -> DataFrame:
-    return rows.agg(F.count("*").alias("questions"), F.count_if(F.col("n") > 0).alias("answered")).withColumn("answered_percent", percentage(F.col("answered"), F.col("questions")))
+    return rows.agg(
+        F.count("*").alias("questions"),
+        F.count_if(F.col("n") > 0).alias("answered"),
+    ).withColumn("answered_percent", percentage(F.col("answered"), F.col("questions")))
 
 
 def read_questions(folder: str) -> dict[str, str]:
@@ -165,10 +209,29 @@ def read_questions(folder: str) -> dict[str, str]:
 def funnel(extracted: DataFrame, rejected: DataFrame, verified: DataFrame, curated: DataFrame, state: DataFrame) -> DataFrame:
     """One row of counts and rates from extraction to curation."""
     n = lambda df, name: df.agg(F.count("*").alias(name))
-    v = verified.agg(F.count("*").alias("verified_records"), F.count_if(F.col("grounding_method") == "exact").alias("exact"), *(F.count_if(F.col("critic_verdict").eqNullSafe(F.lit(x))).alias(f"verdict_{x or 'none'}") for x in ("supported", "partially", "unsupported", None)))
+    v = verified.agg(
+        F.count("*").alias("verified_records"),
+        F.count_if(F.col("grounding_method") == "exact").alias("exact"),
+        *(
+            F.count_if(F.col("critic_verdict").eqNullSafe(F.lit(x))).alias(f"verdict_{x or 'none'}") for x in (
+                "supported",
+                "partially",
+                "unsupported",
+                None,
+            )
+        ),
+    )
     s = state.agg(F.count("*").alias("decided"), *(F.count_if(F.col("action") == x).alias(f"{x}s") for x in ("accept", "edit", "reject", "merge")))
-    out = n(extracted, "extracted_records").crossJoin(n(rejected, "grounding_rejected")).crossJoin(v).crossJoin(n(curated, "curated_entities")).crossJoin(s).crossJoin(agreement(state).drop("n"))
-    return out.withColumns({"grounding_pass_percent": percentage(F.col("extracted_records") - F.col("grounding_rejected"), F.col("extracted_records")), "exact_quote_percent": percentage(F.col("exact"), F.col("verified_records")), "unchanged_percent": percentage(F.col("accepts"), F.col("decided"))}).drop("exact")
+    out = n(extracted, "extracted_records").crossJoin(
+        n(rejected, "grounding_rejected")
+    ).crossJoin(v).crossJoin(n(curated, "curated_entities")).crossJoin(s).crossJoin(agreement(state).drop("n"))
+    return out.withColumns(
+        {
+            "grounding_pass_percent": percentage(F.col("extracted_records") - F.col("grounding_rejected"), F.col("extracted_records")),
+            "exact_quote_percent": percentage(F.col("exact"), F.col("verified_records")),
+            "unchanged_percent": percentage(F.col("accepts"), F.col("decided")),
+        }
+    ).drop("exact")
 
 
 def by_type(curated: DataFrame) -> DataFrame:

@@ -31,7 +31,19 @@ def rule_extractor(chunk_id: str, text: str) -> list[dict]:
         if m := re.search(r"\b(\w+(?: \w+)?) shall (\w+(?: \w+){0,5})", body):
             quote = body[m.start() : m.end()]
             home = ref if ref.startswith("Annex") else f"Art. {ref}"
-            out.append({"term": m[2], "entity_type": "Obligation", "label": m[2], "definition": body, "article_ref": home, "source_quote": quote, "bearer": m[1], "applies_to": None, "confidence": 0.9})
+            out.append(
+                {
+                    "term": m[2],
+                    "entity_type": "Obligation",
+                    "label": m[2],
+                    "definition": body,
+                    "article_ref": home,
+                    "source_quote": quote,
+                    "bearer": m[1],
+                    "applies_to": None,
+                    "confidence": 0.9,
+                }
+            )
     return out
 
 
@@ -56,7 +68,9 @@ def valid(df: DataFrame) -> DataFrame:
 def parse_answers(df: DataFrame, column: str = "answer") -> DataFrame:
     """Rows of a model's JSON answers (an array of entities), with `valid`; unreadable JSON gives none."""
     kind = "array<struct<" + ENTITY.replace(" ", ":").replace(",:", ",") + ">>"
-    return valid(df.select("*", F.explode(F.from_json(column, kind, {"mode": "PERMISSIVE"})).alias("e")).select(*(c for c in df.columns if c != column), "e.*"))
+    return valid(
+        df.select("*", F.explode(F.from_json(column, kind, {"mode": "PERMISSIVE"})).alias("e")).select(*(c for c in df.columns if c != column), "e.*")
+    )
 
 
 def _call(extractor: Extractor):
@@ -75,23 +89,51 @@ def _call(extractor: Extractor):
     return run
 
 
-def extract(chunks: DataFrame, cache: DataFrame | None = None, extractor: Extractor = rule_extractor, model: str = "rules", think: bool = False, options: dict | None = None, prompt: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
+def extract(
+    chunks: DataFrame,
+    cache: DataFrame | None = None,
+    extractor: Extractor = rule_extractor,
+    model: str = "rules",
+    think: bool = False,
+    options: dict | None = None,
+    prompt: str = "",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Records with provenance, the answers to add to the cache (cache_key, answer), and counts by chunk (chunk_id, n, error).
 
     chunks: chunk_id, chunk_file, eli_uri, text (rendered). Cached answers are not asked for again; the rest are asked once and written."""
     keyed = stash(chunks.withColumn("cache_key", cache_key(F.col("text"), model, think, options or {}, prompt)), "keyed")
     ask = keyed if cache is None else cache_misses(keyed, cache)
-    fresh = stash(ask.select("chunk_id", "cache_key", "text").mapInPandas(_call(extractor), "chunk_id string, cache_key string, ok boolean, error string, answer string"), "answers")
+    fresh = stash(
+        ask.select("chunk_id", "cache_key", "text").mapInPandas(
+            _call(extractor),
+            "chunk_id string, cache_key string, ok boolean, error string, answer string",
+        ),
+        "answers",
+    )
     answers = fresh.select("chunk_id", "ok", "error", "answer")
     if cache is not None:
-        answers = answers.unionByName(cache_hits(keyed, cache).select("chunk_id", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"), "answer"))
+        answers = answers.unionByName(
+            cache_hits(keyed, cache).select("chunk_id", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"), "answer")
+        )
     answers = answers.join(keyed.select("chunk_id", "chunk_file", "eli_uri", "cache_key"), "chunk_id")
     records = parse_answers(answers.where("ok").drop("ok", "error")).where("valid").drop("valid").withColumn("model", F.lit(model))
-    counts = answers.join(records.groupBy("chunk_id").agg(F.count("*").alias("n")), "chunk_id", "left").select("chunk_id", F.coalesce("n", F.lit(0)).alias("n"), "error")
+    counts = answers.join(
+        records.groupBy("chunk_id").agg(F.count("*").alias("n")),
+        "chunk_id",
+        "left",
+    ).select("chunk_id", F.coalesce("n", F.lit(0)).alias("n"), "error")
     return records, fresh.where("ok").select("cache_key", "answer"), counts
 
 
-def critique(records: DataFrame, cache: DataFrame | None = None, critic: Critic = rule_critic, model: str = "rules", think: bool = False, options: dict | None = None, prompt: str = "") -> tuple[DataFrame, DataFrame]:
+def critique(
+    records: DataFrame,
+    cache: DataFrame | None = None,
+    critic: Critic = rule_critic,
+    model: str = "rules",
+    think: bool = False,
+    options: dict | None = None,
+    prompt: str = "",
+) -> tuple[DataFrame, DataFrame]:
     """Records (ENTITY columns, seq, text) with critic_verdict and critic_reason, and the answers to add to the cache. A failed call, or a verdict
     outside the closed list, leaves the verdict null and the reason says why. Rows of a chunk are asked one after the other, so a model can reuse the prompt's start."""
     record = F.struct(*_FIELDS)
@@ -115,6 +157,9 @@ def critique(records: DataFrame, cache: DataFrame | None = None, critic: Critic
     ask = ask.dropDuplicates(["cache_key"])
     if "chunk_id" in records.columns:
         ask = ask.repartition("chunk_id").sortWithinPartitions("chunk_id", "seq")
-    fresh = stash(ask.select("cache_key", "text", *_FIELDS).mapInPandas(run, "cache_key string, critic_verdict string, critic_reason string"), "verdicts")
+    fresh = stash(
+        ask.select("cache_key", "text", *_FIELDS).mapInPandas(run, "cache_key string, critic_verdict string, critic_reason string"),
+        "verdicts",
+    )
     known = fresh if cache is None else fresh.unionByName(cache.select(fresh.columns))
     return keyed.join(known, "cache_key", "left"), fresh.where("critic_verdict IS NOT NULL")

@@ -42,7 +42,14 @@ _COLUMNS = ["s", "p", "o", "o_kind", "o_lang", "o_dt"]
 
 def _triples(df: DataFrame, s: str, p: str, o: str) -> DataFrame:
     kind = F.when(F.startswith(o, F.lit("_:")), "bnode").otherwise("iri")
-    return df.select(F.col(s).alias("s"), F.lit(p).alias("p"), F.col(o).alias("o"), kind.alias("o_kind"), F.lit("").alias("o_lang"), F.lit("").alias("o_dt"))
+    return df.select(
+        F.col(s).alias("s"),
+        F.lit(p).alias("p"),
+        F.col(o).alias("o"),
+        kind.alias("o_kind"),
+        F.lit("").alias("o_lang"),
+        F.lit("").alias("o_dt"),
+    )
 
 
 def _all(frames: list[DataFrame]) -> DataFrame:
@@ -55,7 +62,12 @@ def _all(frames: list[DataFrame]) -> DataFrame:
 def _above(known: DataFrame) -> DataFrame:
     """c, d: each class and every other that stands above it, by subclass axioms and equivalence either way. By doubling."""
     equal = _p(known, EQ, "c", "d")
-    out = stash(_p(known, SUB, "c", "d").unionByName(equal).unionByName(equal.select(F.col("d").alias("c"), F.col("c").alias("d"))).where("c <> d").distinct(), "above")
+    out = stash(
+        _p(known, SUB, "c", "d").unionByName(equal).unionByName(
+            equal.select(F.col("d").alias("c"), F.col("c").alias("d"))
+        ).where("c <> d").distinct(),
+        "above",
+    )
     n = out.count()
     while n:
         side = sized(out.select(F.col("c").alias("d"), F.col("d").alias("e")))
@@ -69,14 +81,25 @@ def _above(known: DataFrame) -> DataFrame:
 
 def _close_facts(known: DataFrame, sub: DataFrame, there: set[str], most_rounds: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """The types (x, c) and the other facts (triples) that follow from known, in tables of their own, those of known first."""
-    axioms = known.where(F.col("p").isin(*(RDFS + x for x in ("domain", "range", "subPropertyOf")), *(OWL + x for x in ("inverseOf", "onProperty", "someValuesFrom", "intersectionOf", "unionOf")), RDF + "first", RDF + "rest"))
+    axioms = known.where(
+        F.col("p").isin(
+            *(RDFS + x for x in ("domain", "range", "subPropertyOf")),
+            *(OWL + x for x in ("inverseOf", "onProperty", "someValuesFrom", "intersectionOf", "unionOf")),
+            RDF + "first",
+            RDF + "rest",
+        )
+    )
     axioms = stash(axioms, "axioms")
     fixed = lambda df: sized(stash(df, "axioms"))  # noqa: E731  each round joins them, none makes them anew
     inter, union = (fixed(lists(axioms, OWL + p, "c")) if OWL + p in there else None for p in ("intersectionOf", "unionOf"))
-    some = fixed(_p(axioms, OWL + "onProperty", "c", "prop").join(_p(axioms, OWL + "someValuesFrom", "c", "filler"), "c")) if OWL + "someValuesFrom" in there else None
+    some = fixed(
+        _p(axioms, OWL + "onProperty", "c", "prop").join(_p(axioms, OWL + "someValuesFrom", "c", "filler"), "c")
+    ) if OWL + "someValuesFrom" in there else None
     domain, range_, subprop = (fixed(_p(axioms, RDFS + x, "prop", "to")) if RDFS + x in there else None for x in ("domain", "range", "subPropertyOf"))
     inverse = _p(axioms, OWL + "inverseOf", "prop", "to")
-    inverse = fixed(inverse.unionByName(inverse.select(F.col("to").alias("prop"), F.col("prop").alias("to"))).distinct()) if OWL + "inverseOf" in there else None
+    inverse = fixed(
+        inverse.unionByName(inverse.select(F.col("to").alias("prop"), F.col("prop").alias("to"))).distinct()
+    ) if OWL + "inverseOf" in there else None
     sub = sized(sub)
     types, facts = [stash(_p(known, TYPE, "x", "c"), "types")], [known.where(F.col("p") != TYPE)]
     new_types, new_facts = types[0], facts[0]
@@ -95,7 +118,10 @@ def _close_facts(known: DataFrame, sub: DataFrame, there: set[str], most_rounds:
             edges = lambda df: df.where("o_kind <> 'literal'").select(F.col("s").alias("x"), F.col("p").alias("prop"), F.col("o").alias("y")).join(some, "prop")
             filler = lambda df: df.select(F.col("x").alias("y"), F.col("c").alias("filler"))
             fresh = edges(new_facts)
-            found += [fresh.join(filler(_all(types)), ["y", "filler"]).select("x", "c"), fresh.where(F.col("filler") == OWL + "Thing").select("x", "c")]
+            found += [
+                fresh.join(filler(_all(types)), ["y", "filler"]).select("x", "c"),
+                fresh.where(F.col("filler") == OWL + "Thing").select("x", "c"),
+            ]
             if len(facts) > 1 or new_types is not types[0]:  # new edges have met all types already
                 found.append(edges(_all(facts)).join(filler(new_types), ["y", "filler"]).select("x", "c"))
         if domain is not None:
@@ -106,7 +132,16 @@ def _close_facts(known: DataFrame, sub: DataFrame, there: set[str], most_rounds:
             made.append(named.join(subprop, "prop").select("s", F.col("to").alias("p"), "o", "o_kind", "o_lang", "o_dt"))
         if inverse is not None:
             kind = F.when(F.startswith("s", F.lit("_:")), "bnode").otherwise("iri")
-            made.append(nodes.join(inverse, "prop").select(F.col("o").alias("s"), F.col("to").alias("p"), F.col("s").alias("o"), kind.alias("o_kind"), F.lit("").alias("o_lang"), F.lit("").alias("o_dt")))
+            made.append(
+                nodes.join(inverse, "prop").select(
+                    F.col("o").alias("s"),
+                    F.col("to").alias("p"),
+                    F.col("s").alias("o"),
+                    kind.alias("o_kind"),
+                    F.lit("").alias("o_lang"),
+                    F.lit("").alias("o_dt"),
+                )
+            )
         new_types = stash(_all(found).distinct().join(_all(types), ["x", "c"], "left_anti"), "types")
         more = new_types.limit(1).count()
         if more:
@@ -134,8 +169,14 @@ def closure(graph: DataFrame, most_rounds: int = 1000) -> DataFrame:
         there = {r["p"] for r in known.where("p LIKE 'http://www.w3.org/%'").select("p").distinct().collect()}  # the vocabularies' terms
         sub = _above(known)
         types, facts = _close_facts(known, sub, there, most_rounds)
-        derived = [_triples(x, "x", TYPE, "c") for x in types[1:]] + facts[1:] + [_triples(sub, "c", SUB, "d").join(known.where(F.col("p") == SUB), _COLUMNS, "left_anti")]
-        if not any(x.where(F.col("p").isin(SUB, EQ, RDFS + "domain", RDFS + "range", RDFS + "subPropertyOf") | (F.col("p") == OWL + "inverseOf")).limit(1).count() for x in facts[1:]):
+        derived = [_triples(x, "x", TYPE, "c") for x in types[1:]] + facts[1:] + [
+            _triples(sub, "c", SUB, "d").join(known.where(F.col("p") == SUB), _COLUMNS, "left_anti")
+        ]
+        if not any(
+            x.where(
+                F.col("p").isin(SUB, EQ, RDFS + "domain", RDFS + "range", RDFS + "subPropertyOf") | (F.col("p") == OWL + "inverseOf")
+            ).limit(1).count() for x in facts[1:]
+        ):
             return _all([known, *derived])
         known = stash(_all([known, *derived]).distinct(), "closure")  # a property has made axioms: once more
 
@@ -155,13 +196,22 @@ def clashes(graph: DataFrame) -> DataFrame:
     """x, c, d: members of two classes that are disjoint, by disjointWith or AllDisjointClasses."""
     pairs = _p(graph, OWL + "disjointWith", "c", "d")
     members = lists(graph, OWL + "members", "axiom").select("axiom", "item")
-    pairs = pairs.unionByName(members.select("axiom", F.col("item").alias("c")).join(members.select("axiom", F.col("item").alias("d")), "axiom").where("c < d").select("c", "d")).distinct()
+    pairs = pairs.unionByName(
+        members.select("axiom", F.col("item").alias("c")).join(
+            members.select("axiom", F.col("item").alias("d")),
+            "axiom",
+        ).where("c < d").select("c", "d")
+    ).distinct()
     types = _p(graph, TYPE, "x", "c")
     return join_sized(types, pairs, "c").join(types.select("x", F.col("c").alias("d")), ["x", "d"]).select("x", "c", "d").distinct()
 
 
 def check_parse(graph: DataFrame) -> DataFrame:
-    return graph.agg(F.count("*").alias("n")).select(F.lit("parse").alias("check"), F.when(F.col("n") > 0, "pass").otherwise("fail").alias("status"), F.concat("n", F.lit(" triples")).alias("detail"))
+    return graph.agg(F.count("*").alias("n")).select(
+        F.lit("parse").alias("check"),
+        F.when(F.col("n") > 0, "pass").otherwise("fail").alias("status"),
+        F.concat("n", F.lit(" triples")).alias("detail"),
+    )
 
 
 def check_profile(graph: DataFrame) -> DataFrame:
@@ -174,7 +224,11 @@ def check_profile(graph: DataFrame) -> DataFrame:
 def _result(check: str, problems: DataFrame, column: str, what: str) -> DataFrame:
     """One row; the first 20 problems are named."""
     few = problems.agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set(column)), 1, 20), ", ").alias("names"))
-    return few.select(F.lit(check).alias("check"), F.when(F.col("n") == 0, "pass").otherwise("fail").alias("status"), F.when(F.col("n") == 0, "none found").otherwise(F.concat("n", F.lit(f" {what}: "), "names")).alias("detail"))
+    return few.select(
+        F.lit(check).alias("check"),
+        F.when(F.col("n") == 0, "pass").otherwise("fail").alias("status"),
+        F.when(F.col("n") == 0, "none found").otherwise(F.concat("n", F.lit(f" {what}: "), "names")).alias("detail"),
+    )
 
 
 def check_consistency(closed: DataFrame) -> DataFrame:
@@ -185,7 +239,10 @@ def check_consistency(closed: DataFrame) -> DataFrame:
 
 def check_classification(closed: DataFrame, expected: DataFrame, risk: list[str]) -> DataFrame:
     """expected: individual, classes (array; empty: none of the risk classes)."""
-    types = _p(closed, TYPE, "individual", "c").join(superclasses(closed), "c", "left").select("individual", F.coalesce("d", "c").alias("c")).where(F.col("c").isin(risk)).distinct()
+    types = _p(closed, TYPE, "individual", "c").join(superclasses(closed), "c", "left").select(
+        "individual",
+        F.coalesce("d", "c").alias("c"),
+    ).where(F.col("c").isin(risk)).distinct()
     seen = expected.join(types, "individual", "left").groupBy("individual", "classes").agg(F.array_sort(F.collect_set("c")).alias("seen"))
     wrong = seen.where((F.size(F.array_except("classes", "seen")) > 0) | ((F.size("classes") == 0) & (F.size("seen") > 0)))
     return _result("classification", wrong, "individual", "individuals in the wrong classes")
@@ -200,12 +257,18 @@ def quality_report(graph: DataFrame, base: str) -> DataFrame:
     kinds = [OWL + k for k in ("Class", "ObjectProperty", "DatatypeProperty", "AnnotationProperty")]
     entities = graph.where((F.col("p") == TYPE) & F.col("o").isin(kinds) & F.startswith("s", F.lit(base))).select("s").distinct()
     equal = graph.where((F.col("p") == EQ) & named("s") & named("o")).select("s")
-    return rows(equal, "WARN", "equivalent_pair").unionByName(rows(entities.join(have(["http://www.w3.org/2004/02/skos/core#definition"]), "s", "left_anti"), "WARN", "missing_definition")).unionByName(rows(classes.join(have([SUB, EQ]), "s", "left_anti"), "INFO", "missing_superclass"))
+    return rows(equal, "WARN", "equivalent_pair").unionByName(
+        rows(entities.join(have(["http://www.w3.org/2004/02/skos/core#definition"]), "s", "left_anti"), "WARN", "missing_definition")
+    ).unionByName(rows(classes.join(have([SUB, EQ]), "s", "left_anti"), "INFO", "missing_superclass"))
 
 
 def check_report(graph: DataFrame, base: str) -> DataFrame:
     n = quality_report(graph, base).agg(*(F.count_if(F.col("level") == x).alias(x) for x in ("ERROR", "WARN", "INFO")))
-    return n.select(F.lit("report").alias("check"), F.when(F.col("ERROR") == 0, "pass").otherwise("fail").alias("status"), F.concat("ERROR", F.lit(" errors, "), "WARN", F.lit(" warnings, "), "INFO", F.lit(" info")).alias("detail"))
+    return n.select(
+        F.lit("report").alias("check"),
+        F.when(F.col("ERROR") == 0, "pass").otherwise("fail").alias("status"),
+        F.concat("ERROR", F.lit(" errors, "), "WARN", F.lit(" warnings, "), "INFO", F.lit(" info")).alias("detail"),
+    )
 
 
 def choose_engine(wanted: str = "auto") -> str:
@@ -233,7 +296,22 @@ def reason(graph: DataFrame, engine: str = "auto", work: str | None = None, reas
         raise ValueError("the engine robot needs a folder to work in")
     write_turtle(graph, f"{work}/combined.ttl", {})
     axes = "SubClass EquivalentClass ClassAssertion"
-    done = subprocess.run(["robot", "reason", "--reasoner", reasoner, "--axiom-generators", axes, "--input", f"{work}/combined.ttl", "--output", f"{work}/reasoned.owl"], capture_output=True, text=True)
+    done = subprocess.run(
+        [
+            "robot",
+            "reason",
+            "--reasoner",
+            reasoner,
+            "--axiom-generators",
+            axes,
+            "--input",
+            f"{work}/combined.ttl",
+            "--output",
+            f"{work}/reasoned.owl",
+        ],
+        capture_output=True,
+        text=True,
+    )
     if done.returncode:
         raise RuntimeError(f"the reasoner refused the graph: {(done.stdout + done.stderr).strip()[:2000]}")
     return combine(graph, read_graph(graph.sparkSession, f"{work}/reasoned.owl"))
@@ -246,7 +324,16 @@ def combine(*graphs: DataFrame) -> DataFrame:
     return out.dropDuplicates(["s", "p", "o", "o_kind", "o_lang", "o_dt"])
 
 
-def validate(graph: DataFrame, examples: DataFrame, expected: DataFrame, risk: list[str], base: str, shacl: DataFrame, engine: str = "auto", work: str | None = None) -> DataFrame:
+def validate(
+    graph: DataFrame,
+    examples: DataFrame,
+    expected: DataFrame,
+    risk: list[str],
+    base: str,
+    shacl: DataFrame,
+    engine: str = "auto",
+    work: str | None = None,
+) -> DataFrame:
     """check, status, detail of all checks. shacl: of shacl.check(); engine and work: of reason()."""
     closed = stash(reason(combine(graph, examples), engine, work), "closed")
     out = check_parse(graph)

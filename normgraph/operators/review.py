@@ -51,7 +51,16 @@ def merge_target(record: Row, records: DataFrame, ask: Callable[[str], str], sho
     return next((r["id"] for r in found if str(r["rank"]) == choice), None)
 
 
-def session(records: DataFrame, log: str, reviewer: str, ask: Callable[[str], str], show: Callable[[str], None], chunks: DataFrame | None = None, redo: bool = False, verdicts: list[str] | None = None) -> Counter:
+def session(
+    records: DataFrame,
+    log: str,
+    reviewer: str,
+    ask: Callable[[str], str],
+    show: Callable[[str], None],
+    chunks: DataFrame | None = None,
+    redo: bool = False,
+    verdicts: list[str] | None = None,
+) -> Counter:
     """Asks for a decision on one record after the other until the queue or the reviewer ends, and returns how many of each kind were made.
     chunks (chunk_id, text) is what (v)iew shows. Records come to the driver one at a time."""
     spark, made = records.sparkSession, Counter()
@@ -61,7 +70,9 @@ def session(records: DataFrame, log: str, reviewer: str, ask: Callable[[str], st
     at = 0
 
     def write(record: Row, action: str, **more) -> None:
-        row = {k.split()[0]: None for k in _FIELDS.split(", ")} | {k: record[k] for k in ("id", "term", "entity_type", "critic_verdict")} | {"reviewer": reviewer, "action": action} | more
+        row = {k.split()[0]: None for k in _FIELDS.split(", ")} | {
+            k: record[k] for k in ("id", "term", "entity_type", "critic_verdict")
+        } | {"reviewer": reviewer, "action": action} | more
         row["timestamp"] = spark.range(1).select(now()).first()[0]
         append_decisions(spark.createDataFrame([tuple(row.values())], ", ".join(x for x in _FIELDS.split(", "))), log)
         made[action] += 1

@@ -46,7 +46,9 @@ def targets(graph: DataFrame, shape: Shape) -> DataFrame:
 def _measures(prop: Property, name: str) -> list[Column]:
     """Of a subject's triples, what the property's tests need."""
     here = F.col("p") == prop.path
-    bad = here & ~((F.col("o_kind") == "literal") & F.lower("o_lang").isin([x.lower() for x in prop.language_in])) if prop.language_in else F.lit(False)
+    bad = here & ~(
+        (F.col("o_kind") == "literal") & F.lower("o_lang").isin([x.lower() for x in prop.language_in])
+    ) if prop.language_in else F.lit(False)
     outside = here & ~F.col("o").isin(list(prop.in_values)) if prop.in_values else F.lit(False)
     hit = here & (F.col("o") == F.lit(prop.has_value)) if prop.has_value is not None else F.lit(False)
     return [F.count_if(test).alias(f"{name}_{k}") for k, test in (("n", here), ("languages", bad), ("outside", outside), ("hits", hit))]
@@ -97,7 +99,11 @@ def violations(graph: DataFrame, shapes: list[Shape]) -> DataFrame:
 
 def check(graph: DataFrame, shapes: list[Shape]) -> DataFrame:
     n = violations(graph, shapes).agg(F.count("*").alias("n"))
-    return n.select(F.lit("shacl").alias("check"), F.when(F.col("n") == 0, "pass").otherwise("fail").alias("status"), F.when(F.col("n") == 0, "conforms").otherwise(F.concat("n", F.lit(" violations"))).alias("detail"))
+    return n.select(
+        F.lit("shacl").alias("check"),
+        F.when(F.col("n") == 0, "pass").otherwise("fail").alias("status"),
+        F.when(F.col("n") == 0, "conforms").otherwise(F.concat("n", F.lit(" violations"))).alias("detail"),
+    )
 
 
 def completeness_shapes(base: str) -> list[Shape]:

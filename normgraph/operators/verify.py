@@ -16,7 +16,12 @@ GROUNDING_THRESHOLD, MERGE_THRESHOLD = 95.0, 90.0
 
 def with_chunks(records: DataFrame, chunks: DataFrame) -> DataFrame:
     """Each record with the text, kind and number of its chunk_file's chunk (chunks: file, text, type, number); nulls where there is none."""
-    side = chunks.select(F.col("file").alias("chunk_file"), F.col("text").alias("chunk_text"), F.col("type").alias("chunk_type"), F.col("number").alias("chunk_number"))
+    side = chunks.select(
+        F.col("file").alias("chunk_file"),
+        F.col("text").alias("chunk_text"),
+        F.col("type").alias("chunk_type"),
+        F.col("number").alias("chunk_number"),
+    )
     return join_sized(records, side, "chunk_file", "left")
 
 
@@ -27,7 +32,9 @@ def ground(records: DataFrame, threshold: float = GROUNDING_THRESHOLD) -> DataFr
     rows from a Python UDF, so the two kinds are separate branches. An empty or null quote scores 0. A record without a chunk text
     scores 0 and is not grounded.
     """
-    known = records.withColumns({"_q": F.coalesce(normalise(F.col("source_quote")), F.lit("")), "_t": F.coalesce(normalise(F.col("chunk_text")), F.lit(""))})
+    known = records.withColumns(
+        {"_q": F.coalesce(normalise(F.col("source_quote")), F.lit("")), "_t": F.coalesce(normalise(F.col("chunk_text")), F.lit(""))}
+    )
     absent = F.col("chunk_text").isNull()
     exact = (F.col("_q") != "") & ~absent
     easy = (F.col("_q") == "") | absent | F.contains("_t", "_q")
@@ -36,7 +43,14 @@ def ground(records: DataFrame, threshold: float = GROUNDING_THRESHOLD) -> DataFr
     fuzzy = fuzzy.withColumn("grounding_method", F.when(F.col("grounding_score") >= threshold, "fuzzy"))
     both = settled.unionByName(fuzzy.select(settled.columns))
     at_home = matches_reference(F.col("article_ref"), F.col("chunk_type"), F.col("chunk_number"))
-    why = F.nullif(F.concat_ws("; ", F.when(absent, "chunk not found").when(F.col("grounding_method").isNull(), "quote not found"), F.when(~absent & ~at_home, F.concat(F.lit("reference "), F.coalesce("article_ref", F.lit("")), F.lit(" does not match chunk")))), F.lit(""))
+    why = F.nullif(
+        F.concat_ws(
+            "; ",
+            F.when(absent, "chunk not found").when(F.col("grounding_method").isNull(), "quote not found"),
+            F.when(~absent & ~at_home, F.concat(F.lit("reference "), F.coalesce("article_ref", F.lit("")), F.lit(" does not match chunk"))),
+        ),
+        F.lit(""),
+    )
     out = both.withColumn("grounding_reason", why).withColumn("grounded", F.col("grounding_reason").isNull())
     return out.drop("_q", "_t", "chunk_text", "chunk_type", "chunk_number")
 
@@ -68,7 +82,11 @@ def occurrences(texts: DataFrame, quotes: DataFrame) -> DataFrame:
     for k in sorted(x for x in sizes if x):
         words_of = t.select("id", F.split("t", " ").alias("w")).where(F.size("w") >= k)
         keys = F.array_distinct(_run_keys(F.col("w"), k))
-        found = join_sized(words_of.select("id", F.explode(keys).alias("key")), q.where(F.col("k") == k).select("item", "key"), "key").select("id", "item")
+        found = join_sized(
+            words_of.select("id", F.explode(keys).alias("key")),
+            q.where(F.col("k") == k).select("item", "key"),
+            "key",
+        ).select("id", "item")
         near = found if near is None else near.unionByName(found)
     if near is not None:
         pairs = join_sized(stash(near, "pairs"), q.select("item", "q"), "item")
@@ -135,13 +153,25 @@ def verdict_rank(x: Column) -> Column:
 def deduplicate(records: DataFrame, threshold: float = MERGE_THRESHOLD) -> DataFrame:
     """Merges records of one type and bearer with alike terms. The best (verdict, then confidence, then seq) stands for its group and keeps
     its own article_ref; article_refs (distinct) and sources are in the order of seq; merged_count counts the group. Ordered by the first seq."""
-    keyed = records.withColumns({"_bearer": F.lower(normalise(F.coalesce("bearer", F.lit("")))), "_term": F.lower(normalise(F.coalesce("term", F.lit(""))))})
+    keyed = records.withColumns(
+        {"_bearer": F.lower(normalise(F.coalesce("bearer", F.lit("")))), "_term": F.lower(normalise(F.coalesce("term", F.lit(""))))}
+    )
     led = leader_groups(keyed, ["entity_type", "_bearer"], "_term", "seq", threshold)
     best = F.min_by(F.struct(*records.columns), F.struct(verdict_rank(F.col("critic_verdict")), -F.col("confidence"), "seq"))
     source = F.struct("seq", F.struct("article_ref", "chunk_id", "eli_uri", "source_quote", "critic_verdict", "critic_reason").alias("source"))
-    merged = led.groupBy("entity_type", "_bearer", "leader").agg(best.alias("r"), F.array_sort(F.collect_list(source)).alias("all"), F.count("*").cast("int").alias("merged_count"))
+    merged = led.groupBy("entity_type", "_bearer", "leader").agg(
+        best.alias("r"),
+        F.array_sort(F.collect_list(source)).alias("all"),
+        F.count("*").cast("int").alias("merged_count"),
+    )
     sources = F.transform("all", lambda x: x["source"])
-    return merged.select("r.*", F.array_distinct(F.transform(sources, lambda x: x["article_ref"])).alias("article_refs"), sources.alias("sources"), "merged_count", F.col("leader").alias("first_seq")).orderBy("first_seq")
+    return merged.select(
+        "r.*",
+        F.array_distinct(F.transform(sources, lambda x: x["article_ref"])).alias("article_refs"),
+        sources.alias("sources"),
+        "merged_count",
+        F.col("leader").alias("first_seq"),
+    ).orderBy("first_seq")
 
 
 def verdict_counts(records: DataFrame) -> DataFrame:

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from ..schemas import RDF, XSD
 
-_TOKEN = re.compile(r"""\s+|\#[^\n]*|(?P<t><[^<>\s]*>|"(?:[^"\\]|\\.)*"(?:@[A-Za-z-]+|\^\^(?:<[^>]*>|[\w.-]*:[\w.-]*))?|\?\w+|[\w.-]*:[\w.-]*\w|[\w.-]*:|\d+(?:\.\d+)?|!=|<=|>=|[{}().;,=<>*]|\w+)""")
+_TOKEN = re.compile(
+    r"""\s+|\#[^\n]*|(?P<t><[^<>\s]*>|"(?:[^"\\]|\\.)*"(?:@[A-Za-z-]+|\^\^(?:<[^>]*>|[\w.-]*:[\w.-]*))?|\?\w+|[\w.-]*:[\w.-]*\w|[\w.-]*:|\d+(?:\.\d+)?|!=|<=|>=|[{}().;,=<>*]|\w+)"""
+)
 
 
 @dataclass
@@ -225,7 +227,9 @@ def select(triples: DataFrame, text: str) -> DataFrame:
         if v[1:] not in out.columns:
             raise ValueError(f"{v} is not bound")
     names = out.columns if query.select in ([], ["*"]) else [v[1:] for v in query.select]
-    out = out.select(*(F.col(c) if c in out.columns else F.lit(None).cast("string").alias(c) for c in dict.fromkeys([*names, *(v[1:] for v, _ in query.order)])))
+    out = out.select(
+        *(F.col(c) if c in out.columns else F.lit(None).cast("string").alias(c) for c in dict.fromkeys([*names, *(v[1:] for v, _ in query.order)]))
+    )
     if query.distinct:
         out = out.select(*names).distinct()
     if query.order:

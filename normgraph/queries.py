@@ -50,8 +50,21 @@ def tpch_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, c, o = (read(spark, sf_dir, t) for t in ("nation", "customer", "orders"))
     typed = lambda k: build.iri(RDF + "type", F.lit(BASE + k))
     nations = build.virtual_triples(n, _iri("nation", "n_nationkey"), typed("Nation"), build.literal(RDFS + "label", F.col("n_name"), "en"))
-    customers = build.virtual_triples(c, _iri("customer", "c_custkey"), typed("Customer"), build.literal(RDFS + "label", F.col("c_name"), "en"), build.literal(BASE + "segment", F.col("c_mktsegment")), build.iri(BASE + "inNation", _iri("nation", "c_nationkey")))
-    orders = build.virtual_triples(o, _iri("order", "o_orderkey"), typed("Order"), build.literal(BASE + "priority", F.col("o_orderpriority")), build.iri(BASE + "placedBy", _iri("customer", "o_custkey")))
+    customers = build.virtual_triples(
+        c,
+        _iri("customer", "c_custkey"),
+        typed("Customer"),
+        build.literal(RDFS + "label", F.col("c_name"), "en"),
+        build.literal(BASE + "segment", F.col("c_mktsegment")),
+        build.iri(BASE + "inNation", _iri("nation", "c_nationkey")),
+    )
+    orders = build.virtual_triples(
+        o,
+        _iri("order", "o_orderkey"),
+        typed("Order"),
+        build.literal(BASE + "priority", F.col("o_orderpriority")),
+        build.iri(BASE + "placedBy", _iri("customer", "o_custkey")),
+    )
     return nations.unionByName(customers).unionByName(orders).withColumn("g", F.lit("tpch"))
 
 
@@ -65,47 +78,91 @@ def normalise_text(spark, sf_dir):
 SELECT item_id, doc_id FROM b JOIN d ON contains(t, q) WHERE q <> ''""")
 def ground_exact(spark, sf_dir):
     items, docs = read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents")
-    return verify.occurrences(docs.select(F.col("doc_id").alias("id"), "text"), items.select(F.col("item_id").alias("item"), F.col("text").alias("quote"))).select(F.col("item").alias("item_id"), F.col("id").alias("doc_id"))
+    return verify.occurrences(
+        docs.select(F.col("doc_id").alias("id"), "text"),
+        items.select(F.col("item_id").alias("item"), F.col("text").alias("quote")),
+    ).select(F.col("item").alias("item_id"), F.col("id").alias("doc_id"))
 
 
-@query(f"""WITH k AS (SELECT DISTINCT p_name, lower(p_type) AS t FROM part), ab AS (SELECT p_name, t, p_name AS a, t AS b FROM k WHERE length(p_name) <= length(t) UNION ALL SELECT p_name, t, t, p_name FROM k WHERE length(t) <= length(p_name)),
-w AS (SELECT p_name, t, a, substring(b, greatest(1, e - length(a) + 1), e - greatest(0, e - length(a))) AS b FROM (SELECT *, unnest(range(1, length(a) + length(b))) AS e FROM ab)), s AS (SELECT p_name, t, max({indel_sql('a', 'b')}) AS score FROM w GROUP BY ALL)
+@query(f"""WITH k AS (SELECT DISTINCT p_name, lower(p_type) AS t FROM part), ab AS (SELECT p_name, t, p_name AS a, t AS b FROM k WHERE length(p_name) <= length(t)
+UNION ALL SELECT p_name, t, t, p_name FROM k WHERE length(t) <= length(p_name)),
+w AS (SELECT p_name, t, a, substring(b, greatest(1, e - length(a) + 1), e - greatest(0, e - length(a))) AS b
+FROM (SELECT *, unnest(range(1, length(a) + length(b))) AS e FROM ab)), s AS (SELECT p_name, t, max({indel_sql('a', 'b')}) AS score FROM w GROUP BY ALL)
 SELECT p_partkey, 100.0::DOUBLE AS whole, round_even(score, 1) AS score FROM part JOIN s ON s.p_name = part.p_name AND s.t = lower(p_type)""")
 def ground_fuzzy(spark, sf_dir):
     p = read(spark, sf_dir, "part").withColumn("t", F.lower("p_type"))
-    return p.select("p_partkey", F.bround(partial_ratio_column(F.col("p_type"), F.concat_ws(" ", "p_name", "p_type")), 1).alias("whole"), F.bround(partial_ratio_column(F.col("p_name"), F.col("t")), 1).alias("score"))
+    return p.select(
+        "p_partkey",
+        F.bround(partial_ratio_column(F.col("p_type"), F.concat_ws(" ", "p_name", "p_type")), 1).alias("whole"),
+        F.bround(partial_ratio_column(F.col("p_name"), F.col("t")), 1).alias("score"),
+    )
 
 
 @query(f"""WITH d AS (SELECT *, lower(md5({_NORMAL})) AS k FROM documents LEFT JOIN labels USING (doc_id)), v AS (SELECT *, CASE quality WHEN 1 THEN 0 WHEN 0 THEN 2 ELSE 3 END AS rank FROM d)
-SELECT min(doc_id) AS first_id, arg_min(doc_id, (rank, -n_chars, doc_id)) AS best_id, CAST(count(*) AS INTEGER) AS merged_count, string_agg(source, ',' ORDER BY doc_id) AS sources FROM v GROUP BY lang, k""")
+SELECT min(doc_id) AS first_id, arg_min(doc_id, (rank, -n_chars, doc_id)) AS best_id, CAST(count(*) AS INTEGER) AS merged_count, string_agg(source,
+',' ORDER BY doc_id) AS sources FROM v GROUP BY lang, k""")
 def best_of_group(spark, sf_dir):
     """Documents as records, merged where language and text are equal: the best judged, longest one stands for its group."""
     d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     none = F.lit(None).cast("string")
     verdict = F.when(F.col("quality") == 1, "supported").when(F.col("quality") == 0, "unsupported")
-    records = d.select(F.col("doc_id").alias("seq"), F.col("lang").alias("entity_type"), none.alias("bearer"), F.md5(normalise(F.col("text"))).alias("term"), verdict.alias("critic_verdict"), F.col("n_chars").cast("double").alias("confidence"), F.col("source").alias("article_ref"), none.alias("chunk_id"), none.alias("eli_uri"), none.alias("source_quote"), none.alias("critic_reason"))
+    records = d.select(
+        F.col("doc_id").alias("seq"),
+        F.col("lang").alias("entity_type"),
+        none.alias("bearer"),
+        F.md5(normalise(F.col("text"))).alias("term"),
+        verdict.alias("critic_verdict"),
+        F.col("n_chars").cast("double").alias("confidence"),
+        F.col("source").alias("article_ref"),
+        none.alias("chunk_id"),
+        none.alias("eli_uri"),
+        none.alias("source_quote"),
+        none.alias("critic_reason"),
+    )
     merged = verify.deduplicate(records, 100.0)
-    return merged.select("first_seq", "seq", "merged_count", F.array_join(F.transform("sources", lambda x: x["article_ref"]), ",").alias("sources")).withColumnsRenamed({"first_seq": "first_id", "seq": "best_id"})
-
-
-@query(f"""WITH RECURSIVE u AS (SELECT p_brand AS b, p_name || ' ' || p_size AS t, min(p_partkey) AS lo, array_to_string(list_sort(string_split(p_name || ' ' || p_size, ' ')), ' ') AS st FROM part GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY lo) AS i FROM u),
-al AS (SELECT b, i, list(j) AS js FROM (SELECT y.b, y.i, x.i AS j, {indel_sql('x.st', 'y.st')} AS sim FROM o x JOIN o y ON x.b = y.b AND x.i < y.i AND levenshtein(x.st, y.st) <= 0.1 * (length(x.st) + length(y.st))) WHERE sim >= 90 GROUP BY b, i),
-ld AS (SELECT b, i, [i] AS leaders, i AS lead FROM o WHERE i = 1 UNION ALL SELECT ld.b, o.i, CASE WHEN len(list_intersect(ld.leaders, coalesce(al.js, []))) = 0 THEN list_append(ld.leaders, o.i) ELSE ld.leaders END, coalesce(list_min(list_intersect(ld.leaders, coalesce(al.js, []))), o.i) FROM ld JOIN o ON o.b = ld.b AND o.i = ld.i + 1 LEFT JOIN al ON al.b = o.b AND al.i = o.i)
+    return merged.select(
+        "first_seq",
+        "seq",
+        "merged_count",
+        F.array_join(F.transform("sources", lambda x: x["article_ref"]), ",").alias("sources"),
+    ).withColumnsRenamed({"first_seq": "first_id", "seq": "best_id"})
+
+
+@query(f"""WITH RECURSIVE u AS (SELECT p_brand AS b, p_name || ' ' || p_size AS t, min(p_partkey) AS lo, array_to_string(list_sort(string_split(p_name || ' ' || p_size,
+' ')), ' ') AS st FROM part GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY lo) AS i FROM u),
+al AS (SELECT b, i, list(j) AS js FROM (SELECT y.b, y.i, x.i AS j, {indel_sql('x.st', 'y.st')} AS sim FROM o x
+JOIN o y ON x.b = y.b AND x.i < y.i AND levenshtein(x.st, y.st) <= 0.1 * (length(x.st) + length(y.st))) WHERE sim >= 90 GROUP BY b, i),
+ld AS (SELECT b, i, [i] AS leaders, i AS lead FROM o WHERE i = 1
+UNION ALL SELECT ld.b, o.i, CASE WHEN len(list_intersect(ld.leaders, coalesce(al.js, []))) = 0 THEN list_append(ld.leaders, o.i) ELSE ld.leaders END,
+coalesce(list_min(list_intersect(ld.leaders, coalesce(al.js, []))), o.i) FROM ld JOIN o ON o.b = ld.b AND o.i = ld.i + 1 LEFT
+JOIN al ON al.b = o.b AND al.i = o.i)
 SELECT p_partkey, f.lo AS leader FROM part JOIN o ON o.b = p_brand AND o.t = p_name || ' ' || p_size JOIN ld ON ld.b = o.b AND ld.i = o.i JOIN o f ON f.b = ld.b AND f.i = ld.lead""")
 def dedup_fuzzy(spark, sf_dir):
-    p = read(spark, sf_dir, "part").select("p_partkey", "p_brand", F.lower(normalise(F.concat_ws(" ", "p_name", F.col("p_size").cast("string")))).alias("term"))
+    p = read(spark, sf_dir, "part").select(
+        "p_partkey",
+        "p_brand",
+        F.lower(normalise(F.concat_ws(" ", "p_name", F.col("p_size").cast("string")))).alias("term"),
+    )
     return verify.leader_groups(p, ["p_brand"], "term", "p_partkey").select("p_partkey", "leader")
 
 
-@query("""SELECT p_partkey, substring(sha256('{"applies_to": null, "article_refs": ["' || p_brand || '"], "bearer": null, "definition": "' || p_type || '", "entity_type": "' || p_brand || '", "term": "' || p_name || '"}'), 1, 12) AS id FROM part""")
+@query(
+    """SELECT p_partkey, substring(sha256('{"applies_to": null, "article_refs": ["' || p_brand || '"], "bearer": null, "definition": "' || p_type || '", "entity_type": "' || p_brand || '", "term": "' || p_name || '"}'), 1, 12) AS id FROM part"""
+)
 def stable_record_id(spark, sf_dir):
     none = F.lit(None).cast("string")
-    return read(spark, sf_dir, "part").select("p_partkey", record_id(F.col("p_name"), F.col("p_brand"), F.col("p_type"), none, none, F.array("p_brand")).alias("id"))
+    return read(spark, sf_dir, "part").select(
+        "p_partkey",
+        record_id(F.col("p_name"), F.col("p_brand"), F.col("p_type"), none, none, F.array("p_brand")).alias("id"),
+    )
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as decisions on users; an error takes the decision back."""
-    action = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "view", "accept").when(F.col("event_type") == "click", "edit").when(F.col("event_type") == "signup", "reject").otherwise("merge")
+    action = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "view", "accept").when(F.col("event_type") == "click", "edit").when(
+        F.col("event_type") == "signup",
+        "reject",
+    ).otherwise("merge")
     return read(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), action.alias("action"))
 
 
@@ -124,14 +181,23 @@ SELECT id, min(to_id) AS final FROM c GROUP BY id""")
 def merge_chain(spark, sf_dir):
     """Each order that is not urgent is merged into order key / 3 - 1; keys shrink, so chains end at an urgent or absent order."""
     o = read(spark, sf_dir, "orders").where("o_orderpriority <> '1-URGENT'")
-    return curate.resolve_merges(o.select(F.col("o_orderkey").alias("id"), F.lit("merge").alias("action"), (F.floor(F.col("o_orderkey") / 3) - 1).alias("target"))).select("id", "final")
+    return curate.resolve_merges(
+        o.select(F.col("o_orderkey").alias("id"), F.lit("merge").alias("action"), (F.floor(F.col("o_orderkey") / 3) - 1).alias("target"))
+    ).select("id", "final")
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdict = lambda c: F.when(F.col(c) == 1, "supported").when(F.col(c) == 0, "unsupported")
     both = read(spark, sf_dir, "documents").select("doc_id", "lang").join(read(spark, sf_dir, "labels"), "doc_id", "left")
     second = F.when(F.col("toxic") == 1, "partially").when(F.col("toxic") == 0, "supported")
-    return both.select(F.col("doc_id").alias("id"), "lang", verdict("quality").alias("critic_verdict"), F.array(F.struct(second.alias("critic_verdict"))).alias("sources"), F.col("doc_id").alias("ord"), "toxic")
+    return both.select(
+        F.col("doc_id").alias("id"),
+        "lang",
+        verdict("quality").alias("critic_verdict"),
+        F.array(F.struct(second.alias("critic_verdict"))).alias("sources"),
+        F.col("doc_id").alias("ord"),
+        "toxic",
+    )
 
 
 _PRIORITY = "CASE WHEN quality IS NULL OR toxic IS NULL THEN 0 WHEN quality = 0 THEN 1 WHEN toxic = 1 THEN 2 ELSE 4 END"
@@ -142,36 +208,52 @@ def review_priority(spark, sf_dir):
     return _judged(spark, sf_dir).select("id", curate.priority(F.col("critic_verdict"), F.col("sources")).alias("priority"))
 
 
-@query(f"SELECT doc_id AS id, {_PRIORITY} AS priority, CAST(row_number() OVER (ORDER BY {_PRIORITY}, doc_id) AS INTEGER) AS place FROM documents LEFT JOIN labels USING (doc_id) WHERE doc_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+@query(
+    f"""SELECT doc_id AS id, {_PRIORITY} AS priority, CAST(row_number() OVER (ORDER BY {_PRIORITY}, doc_id) AS INTEGER) AS place FROM documents LEFT
+JOIN labels USING (doc_id) WHERE doc_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')"""
+)
 def review_queue(spark, sf_dir):
     decided = read(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("id")).distinct()
     from pyspark.sql import Window
 
     left = curate.queue(_judged(spark, sf_dir), decided)
     # places are counted within each priority, whose sizes are summed; no task orders all records
-    sizes = left.groupBy("priority").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("priority").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sizes = left.groupBy("priority").agg(F.count("*").alias("n")).withColumn(
+        "before",
+        F.coalesce(F.sum("n").over(Window.orderBy("priority").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+    )
     nth = F.row_number().over(Window.partitionBy("priority").orderBy("ord"))
-    return left.withColumn("nth", nth).join(F.broadcast(sizes), "priority").select("id", "priority", (F.col("nth") + F.col("before")).cast("int").alias("place"))
+    return left.withColumn("nth", nth).join(F.broadcast(sizes), "priority").select(
+        "id",
+        "priority",
+        (F.col("nth") + F.col("before")).cast("int").alias("place"),
+    )
 
 
 @query(f"""WITH {_STATE}, r AS (SELECT doc_id AS id, CASE quality WHEN 1 THEN 'supported' WHEN 0 THEN 'unsupported' ELSE 'none' END AS verdict FROM documents LEFT JOIN labels USING (doc_id))
-SELECT verdict, count(*) FILTER (action = 'accept') AS accept, count(*) FILTER (action = 'edit') AS edit, count(*) FILTER (action = 'reject') AS reject, count(*) FILTER (action = 'merge') AS merge, count(*) FILTER (action IS NULL) AS undecided FROM r LEFT JOIN st USING (id) GROUP BY verdict""")
+SELECT verdict, count(*) FILTER (action = 'accept') AS accept, count(*) FILTER (action = 'edit') AS edit, count(*) FILTER (action = 'reject') AS reject,
+count(*) FILTER (action = 'merge') AS merge, count(*) FILTER (action IS NULL) AS undecided FROM r LEFT JOIN st USING (id) GROUP BY verdict""")
 def status_crosstab(spark, sf_dir):
     return curate.crosstab(_judged(spark, sf_dir), curate.replay(_log(spark, sf_dir)))
 
 
-@query(f"""WITH {_STATE} SELECT count(*) FILTER (d.doc_id IS NOT NULL AND st.id IS NOT NULL) AS decided, count(*) FILTER (st.id IS NULL) AS remaining, count(*) FILTER (d.doc_id IS NULL) AS stale, CAST(0 AS BIGINT) AS orphans FROM documents d FULL JOIN st ON d.doc_id = st.id""")
+@query(
+    f"""WITH {_STATE} SELECT count(*) FILTER (d.doc_id IS NOT NULL AND st.id IS NOT NULL) AS decided, count(*) FILTER (st.id IS NULL) AS remaining, count(*) FILTER (d.doc_id IS NULL) AS stale, CAST(0 AS BIGINT) AS orphans FROM documents d FULL JOIN st ON d.doc_id = st.id"""
+)
 def review_status(spark, sf_dir):
     return curate.status(_judged(spark, sf_dir), curate.replay(_log(spark, sf_dir)), spark.createDataFrame([], "id long"))
 
 
-@query("""WITH c AS (SELECT count(*) AS n, sum(CAST(quality = toxic AS INT)) AS o, CAST(sum(quality) AS DOUBLE) AS q, CAST(sum(toxic) AS DOUBLE) AS t FROM labels), e AS (SELECT *, (q * t + (n - q) * (n - t)) / (CAST(n AS DOUBLE) * n) AS pe, o / CAST(n AS DOUBLE) AS po FROM c)
+@query("""WITH c AS (SELECT count(*) AS n, sum(CAST(quality = toxic AS INT)) AS o, CAST(sum(quality) AS DOUBLE) AS q, CAST(sum(toxic) AS DOUBLE) AS t FROM labels),
+e AS (SELECT *, (q * t + (n - q) * (n - t)) / (CAST(n AS DOUBLE) * n) AS pe, o / CAST(n AS DOUBLE) AS po FROM c)
 SELECT n, round_even(100 * o / CAST(n AS DOUBLE), 1) AS agreement, round_even((po - pe) / (1 - pe), 3) AS kappa FROM e""")
 def rater_kappa(spark, sf_dir):
     return evaluate.kappa(read(spark, sf_dir, "labels"), "quality", "toxic")
 
 
-@query(f"""WITH e AS (SELECT p_partkey AS id, '{BASE}' || CASE WHEN regexp_matches(p_type, '[0-9A-Za-z]') THEN array_to_string(list_transform(list_filter(regexp_split_to_array(p_type, '[^0-9A-Za-z]+'), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), '') ELSE 'Unnamed' END AS name FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id) AS nth FROM e)
+@query(f"""WITH e AS (SELECT p_partkey AS id, '{BASE}' || CASE WHEN regexp_matches(p_type,
+'[0-9A-Za-z]') THEN array_to_string(list_transform(list_filter(regexp_split_to_array(p_type, '[^0-9A-Za-z]+'), lambda w: w <> ''),
+lambda w: upper(w[1]) || w[2:]), '') ELSE 'Unnamed' END AS name FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id) AS nth FROM e)
 SELECT id, CASE WHEN nth > 1 THEN name || '_' || nth ELSE name END AS iri FROM k""")
 def mint_iris(spark, sf_dir):
     e = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("term"), F.col("p_partkey").alias("ord"))
@@ -181,7 +263,8 @@ def mint_iris(spark, sf_dir):
 _GRAPH = f"""g AS (
 SELECT '{BASE}nation_' || n_nationkey AS s, '{RDF}type' AS p, '{BASE}Nation' AS o FROM nation UNION ALL SELECT '{BASE}nation_' || n_nationkey, '{RDFS}label', n_name FROM nation
 UNION ALL SELECT '{BASE}customer_' || c_custkey, '{RDF}type', '{BASE}Customer' FROM customer UNION ALL SELECT '{BASE}customer_' || c_custkey, '{RDFS}label', c_name FROM customer
-UNION ALL SELECT '{BASE}customer_' || c_custkey, '{BASE}segment', c_mktsegment FROM customer UNION ALL SELECT '{BASE}customer_' || c_custkey, '{BASE}inNation', '{BASE}nation_' || c_nationkey FROM customer
+UNION ALL SELECT '{BASE}customer_' || c_custkey, '{BASE}segment', c_mktsegment FROM customer
+UNION ALL SELECT '{BASE}customer_' || c_custkey, '{BASE}inNation', '{BASE}nation_' || c_nationkey FROM customer
 UNION ALL SELECT '{BASE}order_' || o_orderkey, '{RDF}type', '{BASE}Order' FROM orders UNION ALL SELECT '{BASE}order_' || o_orderkey, '{BASE}priority', o_orderpriority FROM orders
 UNION ALL SELECT '{BASE}order_' || o_orderkey, '{BASE}placedBy', '{BASE}customer_' || o_custkey FROM orders)"""
 
@@ -201,13 +284,19 @@ def merge_graphs(spark, sf_dir):
 _PREFIX = f"PREFIX kg: <{BASE}>\nPREFIX rdfs: <{RDFS}>\n"
 
 
-@query(f"SELECT '{BASE}order_' || o_orderkey AS \"order\", c_name AS customer, o_orderpriority AS priority FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
+@query(
+    f"""SELECT '{BASE}order_' || o_orderkey AS \"order\", c_name AS customer, o_orderpriority AS priority FROM orders JOIN customer ON o_custkey = c_custkey
+WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')"""
+)
 def bgp_values(spark, sf_dir):
     text = _PREFIX + 'SELECT ?order ?customer ?priority WHERE { VALUES ?priority { "1-URGENT" "2-HIGH" } ?order a kg:Order ; kg:priority ?priority ; kg:placedBy ?c . ?c rdfs:label ?customer . } ORDER BY ?customer ?order'
     return sparql.select(tpch_graph(spark, sf_dir), text)
 
 
-@query(f"SELECT c_name AS customer, CASE WHEN o_orderkey IS NOT NULL THEN '{BASE}order_' || o_orderkey END AS \"order\" FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT'")
+@query(
+    f"""SELECT c_name AS customer, CASE WHEN o_orderkey IS NOT NULL THEN '{BASE}order_' || o_orderkey END AS \"order\" FROM customer LEFT
+JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT'"""
+)
 def bgp_optional(spark, sf_dir):
     text = _PREFIX + 'SELECT ?customer ?order WHERE { ?c a kg:Customer ; rdfs:label ?customer . OPTIONAL { ?order kg:placedBy ?c ; kg:priority "1-URGENT" } } ORDER BY ?customer'
     return sparql.select(tpch_graph(spark, sf_dir), text)
@@ -221,7 +310,9 @@ def bgp_two_optionals(spark, sf_dir):
     return sparql.select(tpch_graph(spark, sf_dir), text)
 
 
-@query(f"SELECT DISTINCT c_mktsegment AS segment, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment <> 'BUILDING' ORDER BY 2 DESC, 1 LIMIT 40")
+@query(
+    f"SELECT DISTINCT c_mktsegment AS segment, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment <> 'BUILDING' ORDER BY 2 DESC, 1 LIMIT 40"
+)
 def bgp_filter_order_limit(spark, sf_dir):
     """The limit is the query's own."""
     text = _PREFIX + 'SELECT DISTINCT ?segment ?nation WHERE { ?c kg:segment ?segment ; kg:inNation ?n . ?n rdfs:label ?nation FILTER(?segment != "BUILDING") } ORDER BY DESC(?nation) ?segment LIMIT 40'
@@ -231,10 +322,13 @@ def bgp_filter_order_limit(spark, sf_dir):
 def _taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, c = read(spark, sf_dir, "nation"), read(spark, sf_dir, "customer")
     up = lambda df, a, b: build.explode_triples(df, a, build.iri(RDFS + "subClassOf", b))
-    return up(n, _iri("nation", "n_nationkey"), _iri("region", "n_regionkey")).unionByName(up(c, _iri("customer", "c_custkey"), _iri("nation", "c_nationkey")))
+    return up(n, _iri("nation", "n_nationkey"), _iri("region", "n_regionkey")).unionByName(
+        up(c, _iri("customer", "c_custkey"), _iri("nation", "c_nationkey"))
+    )
 
 
-@query("""WITH d AS (SELECT 1 AS depth FROM nation UNION ALL SELECT 2 FROM customer JOIN nation ON c_nationkey = n_nationkey), k AS (SELECT count(*) AS k FROM nation GROUP BY n_regionkey UNION ALL SELECT count(*) FROM customer GROUP BY c_nationkey)
+@query("""WITH d AS (SELECT 1 AS depth FROM nation UNION ALL SELECT 2 FROM customer JOIN nation ON c_nationkey = n_nationkey),
+k AS (SELECT count(*) AS k FROM nation GROUP BY n_regionkey UNION ALL SELECT count(*) FROM customer GROUP BY c_nationkey)
 SELECT (SELECT max(depth) FROM d) AS max_depth, (SELECT round_even(avg(depth), 2) FROM d) AS mean_depth, (SELECT round_even(avg(k), 2) FROM k) AS mean_children""")
 def hierarchy_depth(spark, sf_dir):
     return evaluate.hierarchy(_taxonomy(spark, sf_dir), BASE)
@@ -261,8 +355,11 @@ def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH o AS (SELECT *, o_totalprice > 100000 AS rich, o_orderpriority = '1-URGENT' AS urgent, o_orderstatus <> 'F' AS made FROM orders)
-SELECT count(*) AS entities, CAST(100 AS DOUBLE) AS with_label, CAST(100 AS DOUBLE) AS with_definition, round_even(100.0::DOUBLE * count(*) FILTER (rich) / count(*), 1) AS with_article_ref, count(*) FILTER (made) AS generated_entities,
-round_even(100.0::DOUBLE * count(*) FILTER (made AND rich) / nullif(count(*) FILTER (made), 0), 1) AS generated_with_source_quote, round_even(100.0::DOUBLE * count(*) FILTER (made AND urgent) / nullif(count(*) FILTER (made), 0), 1) AS generated_with_eli_link, round_even(100.0::DOUBLE * count(*) FILTER (urgent) / count(*), 1) AS obligations_with_bearer FROM o""")
+SELECT count(*) AS entities, CAST(100 AS DOUBLE) AS with_label, CAST(100 AS DOUBLE) AS with_definition,
+round_even(100.0::DOUBLE * count(*) FILTER (rich) / count(*), 1) AS with_article_ref, count(*) FILTER (made) AS generated_entities,
+round_even(100.0::DOUBLE * count(*) FILTER (made AND rich) / nullif(count(*) FILTER (made), 0), 1) AS generated_with_source_quote,
+round_even(100.0::DOUBLE * count(*) FILTER (made AND urgent) / nullif(count(*) FILTER (made), 0), 1) AS generated_with_eli_link,
+round_even(100.0::DOUBLE * count(*) FILTER (urgent) / count(*), 1) AS obligations_with_bearer FROM o""")
 def annotation_coverage(spark, sf_dir):
     return evaluate.coverage(_annotated(spark, sf_dir), BASE)
 
@@ -276,17 +373,30 @@ def shape_violations(spark, sf_dir):
     return shacl.violations(_annotated(spark, sf_dir), shacl.completeness_shapes(BASE))
 
 
-@query("SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM part) AS classes, (SELECT count(*) FROM orders) AS individuals, (SELECT count(*) FROM customer) + (SELECT count(*) FROM part) + (SELECT count(*) FROM orders) AS triples")
+@query(
+    """SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM part) AS classes, (SELECT count(*) FROM orders) AS individuals, (SELECT count(*)
+FROM customer) + (SELECT count(*) FROM part) + (SELECT count(*) FROM orders) AS triples"""
+)
 def size_counts(spark, sf_dir):
     a = lambda t, key, kind, k: build.explode_triples(read(spark, sf_dir, t), _iri(kind, key), build.iri(RDF + "type", F.lit(OWL + k)))
-    g = a("customer", "c_custkey", "customer", "Class").unionByName(a("part", "p_partkey", "part", "Class")).unionByName(a("orders", "o_orderkey", "order", "NamedIndividual"))
+    g = a("customer", "c_custkey", "customer", "Class").unionByName(a("part", "p_partkey", "part", "Class")).unionByName(
+        a("orders", "o_orderkey", "order", "NamedIndividual")
+    )
     return build.counts(g).select("classes", "individuals", "triples")
 
 
-@query("SELECT count(*) AS core_classes, count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders)) AS aligned, round_even(100.0::DOUBLE * count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders)) / count(*), 1) AS aligned_percent FROM customer")
+@query(
+    """SELECT count(*) AS core_classes, count(*) FILTER (c_custkey IN (SELECT o_custkey
+FROM orders)) AS aligned, round_even(100.0::DOUBLE * count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders)) / count(*), 1) AS aligned_percent
+FROM customer"""
+)
 def core_reuse(spark, sf_dir):
     core = build.explode_triples(read(spark, sf_dir, "customer"), _iri("customer", "c_custkey"), build.iri(RDF + "type", F.lit(OWL + "Class")))
-    links = build.explode_triples(read(spark, sf_dir, "orders"), _iri("customer", "o_custkey"), build.iri(SKOS + "closeMatch", _iri("order", "o_orderkey")))
+    links = build.explode_triples(
+        read(spark, sf_dir, "orders"),
+        _iri("customer", "o_custkey"),
+        build.iri(SKOS + "closeMatch", _iri("order", "o_orderkey")),
+    )
     return evaluate.reuse(core, links, BASE)
 
 
@@ -300,19 +410,36 @@ kg:UrgentOrder rdfs:subClassOf kg:Order . kg:UrgentCustomer rdfs:subClassOf kg:W
 def _closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sources.rdf import parse_turtle
 
-    axioms = spark.createDataFrame([(*t, "a") for t in parse_turtle(_AXIOMS)], "s string, p string, o string, o_kind string, o_lang string, o_dt string, g string")
+    axioms = spark.createDataFrame(
+        [(*t, "a") for t in parse_turtle(_AXIOMS)],
+        "s string, p string, o string, o_kind string, o_lang string, o_dt string, g string",
+    )
     o, c = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
-    orders = build.explode_triples(o, _iri("order", "o_orderkey"), F.when(F.col("o_orderpriority") == "1-URGENT", build.iri(RDF + "type", F.lit(BASE + "UrgentOrder"))), build.iri(BASE + "placedBy", _iri("customer", "o_custkey")))
-    people = build.explode_triples(c, _iri("customer", "c_custkey"), build.iri(RDF + "type", F.lit(BASE + "Customer")), F.when(F.col("c_mktsegment") == "BUILDING", build.iri(RDF + "type", F.lit(BASE + "BuildingCustomer"))))
+    orders = build.explode_triples(
+        o,
+        _iri("order", "o_orderkey"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", build.iri(RDF + "type", F.lit(BASE + "UrgentOrder"))),
+        build.iri(BASE + "placedBy", _iri("customer", "o_custkey")),
+    )
+    people = build.explode_triples(
+        c,
+        _iri("customer", "c_custkey"),
+        build.iri(RDF + "type", F.lit(BASE + "Customer")),
+        F.when(F.col("c_mktsegment") == "BUILDING", build.iri(RDF + "type", F.lit(BASE + "BuildingCustomer"))),
+    )
     return reason.closure(axioms.drop("g").unionByName(orders).unionByName(people))
 
 
-@query(f"SELECT '{BASE}customer_' || c_custkey AS customer FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+@query(
+    f"SELECT '{BASE}customer_' || c_custkey AS customer FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"
+)
 def rl_classify(spark, sf_dir):
     return _closed(spark, sf_dir).where((F.col("p") == RDF + "type") & (F.col("o") == BASE + "WatchedCustomer")).select(F.col("s").alias("customer"))
 
 
-@query(f"SELECT '{BASE}customer_' || c_custkey AS x FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+@query(
+    f"SELECT '{BASE}customer_' || c_custkey AS x FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"
+)
 def disjoint_violation(spark, sf_dir):
     return reason.clashes(_closed(spark, sf_dir)).select("x").distinct()
 
@@ -323,7 +450,10 @@ def cache_miss(spark, sf_dir):
     return cache_misses(key("documents"), key("labels")).select("doc_id")
 
 
-@query(r"SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '[\s\x0b\x{a0}]+', ' ', 'g')) AS title, CAST(len(regexp_extract_all(html, '<li[ >]')) AS INTEGER) AS items FROM pages")
+@query(
+    r"""SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '[\s\x0b\x{a0}]+', ' ', 'g')) AS title,
+CAST(len(regexp_extract_all(html, '<li[ >]')) AS INTEGER) AS items FROM pages"""
+)
 def page_titles(spark, sf_dir):
     """Title and list items of each page by the tree that the chunk parser builds, unclosed tags included."""
 
@@ -338,38 +468,79 @@ def page_titles(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", "html").mapInPandas(run, "page_id long, title string, items int")
 
 
-@query("""WITH l AS (SELECT conv_id, turn, CASE WHEN role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN role || chr(10) ELSE '' END || CASE WHEN turn % 2 = 1 THEN '  ' ELSE '' END || '[' || conv_id || '(' || turn || ')] ' || text AS line FROM conversations)
+@query("""WITH l AS (SELECT conv_id, turn, CASE WHEN role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN role || chr(10) ELSE '' END || CASE
+WHEN turn % 2 = 1 THEN '  ' ELSE '' END || '[' || conv_id || '(' || turn || ')] ' || text AS line FROM conversations)
 SELECT CAST(conv_id AS VARCHAR) AS chunk_id, 'Annex ' || conv_id || ': Talk' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY turn) AS text FROM l GROUP BY conv_id""")
 def render_turns(spark, sf_dir):
     """Conversations as chunks: their turns are passages, every other one a point, and the roles sections."""
     c, no = read(spark, sf_dir, "conversations"), F.col("conv_id").cast("string")
     odd = F.col("turn") % 2 == 1
-    found = c.select(no.alias("chunk_id"), F.lit("annex").alias("kind"), no.alias("chunk_no"), F.lit("Talk").alias("title"), F.concat(no, F.lit("("), F.col("turn").cast("string"), F.lit(")")).alias("ref"), F.when(odd, "point").otherwise("subparagraph").alias("level"), F.col("role").alias("section"), odd.cast("int").alias("depth"), F.col("turn").cast("int").alias("ord"), "text")
+    found = c.select(
+        no.alias("chunk_id"),
+        F.lit("annex").alias("kind"),
+        no.alias("chunk_no"),
+        F.lit("Talk").alias("title"),
+        F.concat(no, F.lit("("), F.col("turn").cast("string"), F.lit(")")).alias("ref"),
+        F.when(odd, "point").otherwise("subparagraph").alias("level"),
+        F.col("role").alias("section"),
+        odd.cast("int").alias("depth"),
+        F.col("turn").cast("int").alias("ord"),
+        "text",
+    )
     return render(found)
 
 
-@query(f"""WITH p AS (SELECT p_partkey AS id, p_name || ' ' || p_type AS term, p_brand AS entity_type, array_to_string(list_sort(string_split(lower(p_name || ' ' || p_type), ' ')), ' ') AS st FROM part), q AS (SELECT * FROM p WHERE id % 50 = 0),
-s AS (SELECT a, b, {indel_sql('a', 'b')} AS score FROM (SELECT DISTINCT q.st AS a, p.st AS b FROM q, p)), r AS (SELECT q.id AS of_id, p.id, p.term, p.entity_type, score, row_number() OVER (PARTITION BY q.id ORDER BY p.entity_type = q.entity_type DESC, score DESC, p.id) AS rank FROM q JOIN p ON q.id <> p.id JOIN s ON s.a = q.st AND s.b = p.st)
+@query(f"""WITH p AS (SELECT p_partkey AS id, p_name || ' ' || p_type AS term, p_brand AS entity_type,
+array_to_string(list_sort(string_split(lower(p_name || ' ' || p_type), ' ')), ' ') AS st FROM part), q AS (SELECT * FROM p WHERE id % 50 = 0),
+s AS (SELECT a, b, {indel_sql('a', 'b')} AS score FROM (SELECT DISTINCT q.st AS a, p.st AS b FROM q, p)),
+r AS (SELECT q.id AS of_id, p.id, p.term, p.entity_type, score, row_number() OVER (PARTITION BY q.id ORDER BY p.entity_type = q.entity_type DESC, score DESC,
+p.id) AS rank FROM q JOIN p ON q.id <> p.id JOIN s ON s.a = q.st AND s.b = p.st)
 SELECT of_id, CAST(rank AS INTEGER) AS rank, id, term, entity_type, score FROM r WHERE rank <= 8""")
 def merge_suggestions(spark, sf_dir):
     """The eight parts most alike each part whose key is divisible by 50: the stated query set."""
-    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("term"), F.col("p_brand").alias("entity_type"))
+    p = read(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"),
+        F.concat_ws(" ", "p_name", "p_type").alias("term"),
+        F.col("p_brand").alias("entity_type"),
+    )
     return curate.suggestions(p, p.where("id % 50 = 0"), token_sort_ratio_column)
 
 
-@query(f"SELECT p_partkey, CASE WHEN length(p_type) > 12 THEN rtrim(substring(p_type, 1, 11)) || '…' ELSE p_type END AS short, string_split(p_brand, '#')[-1] AS local, array_to_string(list_transform(list_filter(regexp_split_to_array(p_type, '[^0-9A-Za-z]+'), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), '') AS camel FROM part")
+@query(
+    f"""SELECT p_partkey, CASE WHEN length(p_type) > 12 THEN rtrim(substring(p_type, 1, 11)) || '…' ELSE p_type END AS short, string_split(p_brand, '#')[-1] AS local,
+array_to_string(list_transform(list_filter(regexp_split_to_array(p_type, '[^0-9A-Za-z]+'), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), '') AS camel
+FROM part"""
+)
 def label_functions(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", shorten(F.col("p_type"), 12).alias("short"), local_name(F.concat(F.lit(BASE), "p_brand")).alias("local"), camel_case(F.col("p_type")).alias("camel"))
+    return read(spark, sf_dir, "part").select(
+        "p_partkey",
+        shorten(F.col("p_type"), 12).alias("short"),
+        local_name(F.concat(F.lit(BASE), "p_brand")).alias("local"),
+        camel_case(F.col("p_type")).alias("camel"),
+    )
 
 
-@query("SELECT o_orderstatus AS grp, count(*) AS n_files, CASE WHEN sum(CAST(o_totalprice AS BIGINT)) >= 1048576 THEN format('{:.1f} MB', sum(CAST(o_totalprice AS BIGINT)) / 1048576.0::DOUBLE) ELSE format('{:.0f} KB', sum(CAST(o_totalprice AS BIGINT)) / 1024.0::DOUBLE) END AS size FROM orders WHERE CAST(o_totalprice AS BIGINT) > 0 GROUP BY o_orderstatus")
+@query(
+    """SELECT o_orderstatus AS grp, count(*) AS n_files, CASE WHEN sum(CAST(o_totalprice AS BIGINT)) >= 1048576 THEN format('{:.1f} MB',
+sum(CAST(o_totalprice AS BIGINT)) / 1048576.0::DOUBLE) ELSE format('{:.0f} KB', sum(CAST(o_totalprice AS BIGINT)) / 1024.0::DOUBLE) END AS size FROM orders
+WHERE CAST(o_totalprice AS BIGINT) > 0 GROUP BY o_orderstatus"""
+)
 def bundle_manifest(spark, sf_dir):
     o = read(spark, sf_dir, "orders")
-    return manifest(o.select(F.col("o_orderstatus").alias("grp"), F.concat(F.lit("data/"), F.col("o_orderkey").cast("string")).alias("path"), F.round("o_totalprice").cast("long").alias("length")))
+    return manifest(
+        o.select(
+            F.col("o_orderstatus").alias("grp"),
+            F.concat(F.lit("data/"), F.col("o_orderkey").cast("string")).alias("path"),
+            F.round("o_totalprice").cast("long").alias("length"),
+        )
+    )
 
 
-@query(f"""WITH {_STATE} SELECT (SELECT count(*) FROM documents) AS extracted_records, (SELECT count(*) FROM labels WHERE quality = 0) AS grounding_rejected, (SELECT count(*) FROM st) AS decided, (SELECT count(*) FROM st WHERE action = 'accept') AS accepts,
-round_even(100.0::DOUBLE * ((SELECT count(*) FROM documents) - (SELECT count(*) FROM labels WHERE quality = 0)) / (SELECT count(*) FROM documents), 1) AS grounding_pass_percent, round_even(100.0::DOUBLE * (SELECT count(*) FROM st WHERE action = 'accept') / (SELECT count(*) FROM st), 1) AS unchanged_percent""")
+@query(f"""WITH {_STATE} SELECT (SELECT count(*) FROM documents) AS extracted_records, (SELECT count(*) FROM labels
+WHERE quality = 0) AS grounding_rejected, (SELECT count(*) FROM st) AS decided, (SELECT count(*) FROM st WHERE action = 'accept') AS accepts,
+round_even(100.0::DOUBLE * ((SELECT count(*) FROM documents) - (SELECT count(*) FROM labels WHERE quality = 0)) / (SELECT count(*)
+FROM documents), 1) AS grounding_pass_percent, round_even(100.0::DOUBLE * (SELECT count(*) FROM st WHERE action = 'accept') / (SELECT count(*)
+FROM st), 1) AS unchanged_percent""")
 def pipeline_funnel(spark, sf_dir):
     labels = read(spark, sf_dir, "labels")
     state = curate.replay(_log(spark, sf_dir)).withColumn("critic_verdict", F.lit("supported"))
@@ -378,7 +549,10 @@ def pipeline_funnel(spark, sf_dir):
     return out.select("extracted_records", "grounding_rejected", "decided", "accepts", "grounding_pass_percent", "unchanged_percent")
 
 
-@query("SELECT o_custkey, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, round_even(100.0::DOUBLE * count(*) FILTER (o_orderpriority = '1-URGENT') / count(*), 1) AS share FROM orders GROUP BY o_custkey")
+@query(
+    """SELECT o_custkey, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent,
+round_even(100.0::DOUBLE * count(*) FILTER (o_orderpriority = '1-URGENT') / count(*), 1) AS share FROM orders GROUP BY o_custkey"""
+)
 def urgent_share(spark, sf_dir):
     urgent = F.count_if(F.col("o_orderpriority") == "1-URGENT")
     return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(urgent.alias("urgent"), percentage(urgent, F.count("*")).alias("share"))
@@ -389,7 +563,9 @@ def stale_snapshots(spark, sf_dir):
     """Each user's last event as a snapshot's time, held against the last of all."""
     e = read(spark, sf_dir, "events")
     latest = e.agg(F.max("ts").alias("now"))  # one row
-    per = e.groupBy("user_id").agg(F.max("ts").alias("last_at")).withColumns({"html": F.lit("<p>"), "retrieved_at": F.date_format("last_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")})
+    per = e.groupBy("user_id").agg(F.max("ts").alias("last_at")).withColumns(
+        {"html": F.lit("<p>"), "retrieved_at": F.date_format("last_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")}
+    )
     return per.crossJoin(F.broadcast(latest)).select("user_id", "last_at", needs_download(F.col("now")).alias("stale"))
 
 

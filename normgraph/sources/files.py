@@ -69,7 +69,9 @@ def save_snapshot(html: str, url: str, folder: str, retrieved_at: str) -> None:
 def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     """One row: url, html, retrieved_at, sha256; null what is in an empty file."""
     whole = lambda name, to: spark.read.text(f"{folder}/{name}", wholetext=True).agg(F.first("value").alias(to))
-    return whole("source_url.txt", "url").crossJoin(whole("page.html", "html")).crossJoin(whole("last_ingest.txt", "retrieved_at")).withColumn("sha256", F.sha2("html", 256))
+    return whole("source_url.txt", "url").crossJoin(whole("page.html", "html")).crossJoin(
+        whole("last_ingest.txt", "retrieved_at")
+    ).withColumn("sha256", F.sha2("html", 256))
 
 
 def _name() -> Column:
@@ -92,11 +94,19 @@ def numbered_lines(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """value, place: lines that are not blank, by file name and line. Files are numbered by their names and lines within each file, so nothing is
     sorted in one task but the names."""
     lines = spark.read.option("pathGlobFilter", pattern).text(folder)
-    lines = lines.select("value", _name().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).where(F.trim("value") != "")
+    lines = lines.select(
+        "value",
+        _name().alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+    ).where(F.trim("value") != "")
     names = lines.select("file").distinct().withColumn("nth", F.row_number().over(Window.orderBy("file")))
     # a large file is read in blocks, which partitions take in any order; ids rise within a block
     inside = F.row_number().over(Window.partitionBy("file").orderBy("block", "at"))
-    return lines.withColumn("line", inside).join(sized(names), "file").select("value", (F.col("nth").cast("long") * (1 << 32) + F.col("line")).alias("place"))
+    return lines.withColumn("line", inside).join(sized(names), "file").select(
+        "value",
+        (F.col("nth").cast("long") * (1 << 32) + F.col("line")).alias("place"),
+    )
 
 
 def read_records(spark: SparkSession, folder: str, schema: str = EXTRACTED, pattern: str = "*.jsonl") -> DataFrame:
@@ -141,13 +151,19 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
 
 def chunk_file(kind: Column, number: Column) -> Column:
     """art_005.json, annex_III.json."""
-    return F.when(kind == "article", F.concat(F.lit("art_"), F.lpad(number, 3, "0"), F.lit(".json"))).otherwise(F.concat(F.lit("annex_"), number, F.lit(".json")))
+    return F.when(
+        kind == "article",
+        F.concat(F.lit("art_"), F.lpad(number, 3, "0"), F.lit(".json")),
+    ).otherwise(F.concat(F.lit("annex_"), number, F.lit(".json")))
 
 
 def write_chunks(chunks: DataFrame, folder: str) -> None:
     """A JSON document for each chunk, named by chunk_file(); the driver writes them one by one."""
     os.makedirs(folder, exist_ok=True)
-    named = chunks.select(chunk_file(F.col("type"), F.coalesce("article_number", "annex_number")).alias("name"), F.to_json(F.struct("*")).alias("doc"))
+    named = chunks.select(
+        chunk_file(F.col("type"), F.coalesce("article_number", "annex_number")).alias("name"),
+        F.to_json(F.struct("*")).alias("doc"),
+    )
     for row in named.toLocalIterator():
         with open(f"{folder}/{row['name']}", "w", encoding="utf-8") as f:
             f.write(row["doc"])
@@ -192,7 +208,10 @@ def size_text(total: Column) -> Column:
 
 def manifest(files: DataFrame) -> DataFrame:
     """grp, n_files, size of the groups of files (grp, path, length) that are taken."""
-    return files.where(wanted(F.col("path"), F.col("length"))).groupBy("grp").agg(F.count("*").alias("n_files"), size_text(F.sum("length")).alias("size"))
+    return files.where(wanted(F.col("path"), F.col("length"))).groupBy("grp").agg(
+        F.count("*").alias("n_files"),
+        size_text(F.sum("length")).alias("size"),
+    )
 
 
 def bundle(spark: SparkSession, folder: str, out: str, groups: dict[str, list[str]], zipped: bool = False) -> list[str]:
@@ -201,7 +220,11 @@ def bundle(spark: SparkSession, folder: str, out: str, groups: dict[str, list[st
     os.makedirs(out, exist_ok=True)
     here = folder.removeprefix("file://")
     for group, paths in groups.items():
-        found = [r["path"] for r in file_tree(spark, folder).where(wanted(F.col("path"), F.col("length"))).toLocalIterator() if any(r["path"] == p or r["path"].startswith(p.rstrip("/") + "/") for p in paths)]
+        found = [
+            r["path"] for r in file_tree(spark, folder).where(wanted(F.col("path"), F.col("length"))).toLocalIterator() if any(
+                r["path"] == p or r["path"].startswith(p.rstrip("/") + "/") for p in paths
+            )
+        ]
         for p in found:
             os.makedirs(os.path.dirname(f"{out}/{p}") or out, exist_ok=True)
             shutil.copy2(f"{here}/{p}", f"{out}/{p}")

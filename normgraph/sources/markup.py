@@ -206,8 +206,21 @@ def render(found: DataFrame) -> DataFrame:
     before = F.last("section", ignorenulls=True).over(by_chunk.rowsBetween(Window.unboundedPreceding, -1))
     line = F.concat(F.repeat(F.lit("  "), F.when(F.col("level") == "point", F.col("depth")).otherwise(0)), F.lit("["), "ref", F.lit("] "), "text")
     line = F.when((F.col("level") == "paragraph") & (F.col("text") == ""), F.lit(None).cast("string")).otherwise(line)
-    marked = found.withColumn("line", line).withColumn("title_line", F.when(F.col("section").isNotNull() & ~F.col("section").eqNullSafe(before), F.col("section")))
-    lines = F.array_sort(F.collect_list(F.struct("ord", F.concat_ws("\n", "title_line", "line").alias("x"), F.col("line").isNotNull().alias("shown"))))
+    marked = found.withColumn("line", line).withColumn(
+        "title_line",
+        F.when(F.col("section").isNotNull() & ~F.col("section").eqNullSafe(before), F.col("section")),
+    )
+    lines = F.array_sort(
+        F.collect_list(F.struct("ord", F.concat_ws("\n", "title_line", "line").alias("x"), F.col("line").isNotNull().alias("shown")))
+    )
     head = F.concat(F.when(F.first("kind") == "article", "Article ").otherwise("Annex "), F.first("chunk_no"), F.lit(": "), F.first("title"))
     out = marked.groupBy("chunk_id").agg(head.alias("head"), lines.alias("lines"))
-    return out.select("chunk_id", F.concat_ws("\n", "head", F.lit(""), F.array_join(F.transform(F.filter("lines", lambda x: x["shown"]), lambda x: x["x"]), "\n")).alias("text"))
+    return out.select(
+        "chunk_id",
+        F.concat_ws(
+            "\n",
+            "head",
+            F.lit(""),
+            F.array_join(F.transform(F.filter("lines", lambda x: x["shown"]), lambda x: x["x"]), "\n"),
+        ).alias("text"),
+    )

@@ -266,7 +266,10 @@ def _escaped(c):
 def n_triples(graph: DataFrame) -> DataFrame:
     """value: a line for each triple. Blank node labels keep letters, digits and "_" only."""
     node = lambda c: F.when(F.startswith(c, F.lit("_:")), F.concat(F.lit("_:"), F.regexp_replace(F.substring(c, F.lit(3), F.length(c)), r"[^0-9A-Za-z]", "_"))).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
-    tail = F.when(F.col("o_lang") != "", F.concat(F.lit("@"), "o_lang")).when(F.col("o_dt") != "", F.concat(F.lit("^^<"), "o_dt", F.lit(">"))).otherwise("")
+    tail = F.when(F.col("o_lang") != "", F.concat(F.lit("@"), "o_lang")).when(
+        F.col("o_dt") != "",
+        F.concat(F.lit("^^<"), "o_dt", F.lit(">")),
+    ).otherwise("")
     o = F.when(F.col("o_kind") == "literal", F.concat(F.lit('"'), _escaped(F.col("o")), F.lit('"'), tail)).otherwise(node(F.col("o")))
     return graph.select(F.concat_ws(" ", node(F.col("s")), F.concat(F.lit("<"), "p", F.lit(">")), o, F.lit(".")).alias("value")).distinct()
 
@@ -330,7 +333,9 @@ def write_rdf_xml(graph: DataFrame, path: str) -> None:
         return f"    <{name}{more}>{escape(r['o'], {chr(13): '&#13;'})}</{name}>\n"
 
     with open(path, "w", encoding="utf-8") as f:
-        f.write('<?xml version="1.0" encoding="UTF-8"?>\n<rdf:RDF' + "".join(f"\n  xmlns:{v}={quoteattr(k)}" for k, v in sorted(spaces.items())) + ">\n")
+        f.write(
+            '<?xml version="1.0" encoding="UTF-8"?>\n<rdf:RDF' + "".join(f"\n  xmlns:{v}={quoteattr(k)}" for k, v in sorted(spaces.items())) + ">\n"
+        )
         last = None
         for r in graph.select("s", "p", "o", "o_kind", "o_lang", "o_dt").distinct().orderBy("s", "p", "o", "o_lang", "o_dt").toLocalIterator():
             if r["s"] != last:

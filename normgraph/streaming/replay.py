@@ -23,7 +23,9 @@ def _since(decisions: DataFrame) -> DataFrame:
     """id, d (the last decision), undone (the last undo's seq), first (the first seq since that undo), of a batch by itself."""
     undo = F.col("action") == "undo"
     last = decisions.groupBy("id").agg(F.max_by(F.struct(*decisions.columns), "seq").alias("d"), F.max(F.when(undo, F.col("seq"))).alias("undone"))
-    first = decisions.join(last.select("id", "undone"), "id").where(F.col("seq") > F.coalesce("undone", F.lit(-1))).groupBy("id").agg(F.min("seq").alias("first"))
+    first = decisions.join(last.select("id", "undone"), "id").where(
+        F.col("seq") > F.coalesce("undone", F.lit(-1))
+    ).groupBy("id").agg(F.min("seq").alias("first"))
     return last.join(first, "id", "left")
 
 
