@@ -66,7 +66,11 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     """The rows (doc_id, text) dealt into ranges of doc_id and sorted there; the first row of each range also goes, as guest,
     to the range before it (of the first range, to the last), so that each row's successor is in its own partition."""
     at = [k / buckets for k in range(1, buckets)]
-    low, holes, cuts = docs.agg(F.min("doc_id"), F.count_if(F.col("doc_id").isNull()), F.percentile_approx("doc_id", at or [0.5], 100 * buckets)).first()
+    low, holes, cuts = docs.agg(
+        F.min("doc_id"),
+        F.count_if(F.col("doc_id").isNull()),
+        F.percentile_approx("doc_id", at or [0.5], 100 * buckets),
+    ).first()
     cuts = sorted({x for x in cuts or [] if x > low}) if at else []
     # the number of cuts that are at most doc_id, in two steps of the root of their number each; a folded constant, not an expression a cut
     step = max(1, math.isqrt(len(cuts)))
@@ -76,12 +80,27 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     own = F.when(F.col("doc_id").isNull(), 0).otherwise(before + upto(F.slice(table(cuts), before + 1, F.lit(step)))) if cuts else F.lit(0)
     opens = F.col("doc_id").isNull() if holes else F.col("doc_id") == F.lit(low)
     guest = F.when(opens, F.lit(len(cuts))).when(F.col("doc_id").isin(cuts), own - 1)
-    target = F.array_compact(F.array(F.struct(own.alias("bucket"), F.lit(0).alias("guest")), F.when(guest.isNotNull(), F.struct(guest.alias("bucket"), F.lit(1).alias("guest")))))
+    target = F.array_compact(
+        F.array(
+            F.struct(own.alias("bucket"), F.lit(0).alias("guest")),
+            F.when(guest.isNotNull(), F.struct(guest.alias("bucket"), F.lit(1).alias("guest"))),
+        )
+    )
     dealt = docs.select("doc_id", "text", F.explode(target).alias("t")).select("doc_id", "text", "t.bucket", "t.guest")
     return dealt.repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("guest", "doc_id", "text")
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+_SCHEMA = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("n_chars", pa.int64()),
+        ("edited_sha256", pa.string()),
+        ("fingerprint", pa.string()),
+        ("edited_fingerprint", pa.string()),
+        ("near_edited", pa.float64()),
+        ("near_next", pa.float64()),
+    ]
+)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +111,15 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = len(text) // 2
         edited = text[: len(text) - half] + after[1][:half]
         changed = signature(edited)
-        out.add(doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), mark.hex(), changed.hex(), likeness(mark, changed), likeness(mark, after[2]))
+        out.add(
+            doc_id,
+            len(text),
+            hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(),
+            mark.hex(),
+            changed.hex(),
+            likeness(mark, changed),
+            likeness(mark, after[2]),
+        )
 
     for doc_id, text, guest in rows(batches, "doc_id", "text", "guest"):
         now = (doc_id, text or "", signature(text))

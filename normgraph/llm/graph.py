@@ -17,10 +17,16 @@ def components(edges: DataFrame) -> DataFrame:
     both = stash(both, "edges")
     labels = stash(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
+        near = both.join(
+            labels.select(F.col("node").alias("b"), F.col("label").alias("near")),
+            "b",
+        ).groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("to"))
         far = labels.select(F.col("node").alias("to"), F.col("label").alias("far"))
-        new = stash(step.join(far, "to").select("node", F.least("to", "far").alias("label"), (F.least("to", "far") < F.col("old")).alias("moved")), "labels")
+        new = stash(
+            step.join(far, "to").select("node", F.least("to", "far").alias("label"), (F.least("to", "far") < F.col("old")).alias("moved")),
+            "labels",
+        )
         moved = new.where("moved").limit(1).count()
         forget(labels)
         labels = new

@@ -88,13 +88,29 @@ def _sign(runs: int, width: int):
     salt = mix(roots.astype(np.uint64) + np.uint64(1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("set_key", pa.binary()), ("size", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
+        schema = pa.schema(
+            [
+                ("row", pa.int64()),
+                ("doc_id", pa.int64()),
+                ("set_key", pa.binary()),
+                ("size", pa.int64()),
+                ("keys", pa.list_(pa.int64())),
+                ("sketch", pa.binary()),
+            ]
+        )
         out = Sink(schema, 2000)
         for row, doc_id, text in rows(batches, "row", "doc_id", "text"):
             found = shingles(text, width)
             if len(found):
                 minima = minhashes(found)
-                out.add(row, doc_id, xxhash.xxh3_128_digest(found.tobytes()), len(found), mix(minima[roots] ^ salt).view(np.int64), mix(minima).astype(np.uint8).tobytes())
+                out.add(
+                    row,
+                    doc_id,
+                    xxhash.xxh3_128_digest(found.tobytes()),
+                    len(found),
+                    mix(minima[roots] ^ salt).view(np.int64),
+                    mix(minima).astype(np.uint8).tobytes(),
+                )
             else:
                 out.add(row, doc_id, b"", 0, [], b"")
             if out.full:
@@ -294,7 +310,11 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, runs
     """
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = stash(docs.mapInArrow(_sign(runs, width), "row long, doc_id long, set_key binary, size long, keys array<long>, sketch binary"), "signed")
-    sets = signed.groupBy("set_key").agg(F.min_by(F.struct("row", "size", "keys", "sketch"), "row").alias("s"), F.count("*").alias("n_docs"), F.min("doc_id").alias("least"))
+    sets = signed.groupBy("set_key").agg(
+        F.min_by(F.struct("row", "size", "keys", "sketch"), "row").alias("s"),
+        F.count("*").alias("n_docs"),
+        F.min("doc_id").alias("least"),
+    )
     sets = stash(sets.select("set_key", "s.*", "n_docs", "least"), "sets")
     members = signed.select("row", "doc_id", "set_key")
     edges, made = likely_edges(sets.where("size > 0"), depth)
@@ -303,7 +323,12 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, runs
     inside = join_sized(sets.select("row", "size", "n_docs"), likely_groups, "row")
     blocks = inside.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("n_blocks"))
     texts = join_sized(docs.select("row", "text"), inside.select("row", "n_docs", "label"), "row")
-    pairs = blocked(texts, "label", blocks, "row").repartition(partitions(docs.sparkSession), "label", "low", "high").sortWithinPartitions("label", "low", "high")
+    pairs = blocked(texts, "label", blocks, "row").repartition(
+        partitions(docs.sparkSession),
+        "label",
+        "low",
+        "high",
+    ).sortWithinPartitions("label", "low", "high")
     exact = stash(pairs.select("label", "low", "high", "block", "row", "n_docs", "text").mapInArrow(_verify(threshold, width), _VERIFY), "links")
     links = exact.groupBy("row").agg(F.sum("n_linked").alias("n_linked"))
     classes = components(exact.select(F.col("row").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "row")
@@ -313,7 +338,14 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, runs
     known = stash(known.join(names, "label").select("set_key", "n_docs", "n_linked", "class_id", F.col("label").alias("class_row")), "known")
     forget(sets, likely_groups, exact)
     out = members.join(known, "set_key")
-    return out.select("row", "doc_id", "class_id", (F.col("n_linked") + F.col("n_docs") - 1).alias("n_links"), (F.col("n_docs") - 1).alias("n_equal"), "class_row")
+    return out.select(
+        "row",
+        "doc_id",
+        "class_id",
+        (F.col("n_linked") + F.col("n_docs") - 1).alias("n_links"),
+        (F.col("n_docs") - 1).alias("n_equal"),
+        "class_row",
+    )
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

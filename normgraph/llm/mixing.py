@@ -26,7 +26,13 @@ _PHI = 0.6180339887498949
 def sized(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """row (unique), doc_id, source, size in words and the place in the source's pseudo-random order."""
     place = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), place.alias("place"))
+    return docs.select(
+        F.monotonically_increasing_id().alias("row"),
+        "doc_id",
+        "source",
+        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        place.alias("place"),
+    )
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
@@ -38,13 +44,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     hundredths = round(share * 100)
     by_name, by_ratio = Window.orderBy(F.col("source").asc_nulls_last()), Window.orderBy("ratio", F.col("source").asc_nulls_last())
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    s = s.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int")).cast("long"))
+    s = s.withColumn(
+        "weight",
+        F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int")).cast("long"),
+    )
     s = s.withColumn("ratio", epochs * F.col("source_size") / F.col("weight"))
     # words left, in hundredths, and weight left, from this source on
-    left = hundredths * F.sum("source_size").over(Window.partitionBy()) - 100 * epochs * (F.sum("source_size").over(by_ratio.rowsBetween(*_ALL_BEFORE)) - F.col("source_size"))
+    left = hundredths * F.sum("source_size").over(Window.partitionBy()) - 100 * epochs * (
+        F.sum("source_size").over(by_ratio.rowsBetween(*_ALL_BEFORE)) - F.col("source_size")
+    )
     s = s.withColumns({"left": left, "heavy": F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))})
     s = s.withColumn("free", 100 * epochs * F.col("source_size") * F.col("heavy") > F.col("left") * F.col("weight"))
-    first = F.min_by(F.when(F.col("free"), F.struct("left", "heavy")), F.when(F.col("free"), F.struct("ratio", F.col("source").isNull(), "source"))).over(Window.partitionBy())
+    first = F.min_by(
+        F.when(F.col("free"), F.struct("left", "heavy")),
+        F.when(F.col("free"), F.struct("ratio", F.col("source").isNull(), "source")),
+    ).over(Window.partitionBy())
     s = s.withColumn("first", first)
     level = F.col("first.left") * F.col("weight") / (100 * F.col("first.heavy"))
     return s.select("source", "source_size", F.when(F.col("free"), level).otherwise((epochs * F.col("source_size")).cast("double")).alias("target"))
@@ -57,7 +71,10 @@ def placed(sizes: DataFrame) -> DataFrame:
     part = F.conv(F.substring("place", 1, digits), 16, 10).cast("long")
     s = sizes.withColumn("part", part)
     sums = s.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
-    sums = sums.withColumn("part_before", F.sum("part_size").over(Window.partitionBy("source").orderBy("part").rowsBetween(*_ALL_BEFORE)) - F.col("part_size"))
+    sums = sums.withColumn(
+        "part_before",
+        F.sum("part_size").over(Window.partitionBy("source").orderBy("part").rowsBetween(*_ALL_BEFORE)) - F.col("part_size"),
+    )
     inside = Window.partitionBy("source", "part").orderBy("place", "doc_id", "size", "row").rowsBetween(*_ALL_BEFORE)
     s = s.withColumn("in_part", F.sum("size").over(inside) - F.col("size"))
     sums = sums.select(F.col("source").alias("s_source"), F.col("part").alias("s_part"), "part_before")
@@ -76,14 +93,24 @@ def schedule(spark: SparkSession, goals: DataFrame, block: int = BLOCK) -> DataF
     cells = max(1, 4 * count)
     point = F.lit(_PHI) * F.pmod("id", F.lit(1 << 20)) + F.lit((_PHI * (1 << 20)) % 1) * F.shiftright("id", 20)
     slots = spark.range(total).withColumn("point", point - F.floor(point)).withColumn("cell", F.floor(F.col("point") * cells))
-    spread = g.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * cells), F.least(F.floor(F.col("high") * cells), F.lit(cells - 1).cast("long")))))
+    spread = g.withColumn(
+        "cell",
+        F.explode(F.sequence(F.floor(F.col("low") * cells), F.least(F.floor(F.col("high") * cells), F.lit(cells - 1).cast("long")))),
+    )
     dealt = slots.join(spread, "cell").where("point >= low AND point < high").select(F.col("id").alias("slot"), "source", "blocks")
     # ranks of each source's slots, by counts of stretches of slots
     dealt = dealt.withColumn("chunk", F.floor(F.col("slot") / _CHUNK))
     counts = dealt.groupBy("source", "chunk").agg(F.count("*").alias("n"))
-    counts = counts.select(F.col("source").alias("c_source"), F.col("chunk").alias("c_chunk"), (F.sum("n").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(*_ALL_BEFORE)) - F.col("n")).alias("earlier"))
+    counts = counts.select(
+        F.col("source").alias("c_source"),
+        F.col("chunk").alias("c_chunk"),
+        (F.sum("n").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(*_ALL_BEFORE)) - F.col("n")).alias("earlier"),
+    )
     inside = Window.partitionBy("source", "chunk").orderBy("slot")
-    ranked = dealt.withColumn("nth", F.row_number().over(inside) - 1).join(counts, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("chunk") == F.col("c_chunk")))
+    ranked = dealt.withColumn("nth", F.row_number().over(inside) - 1).join(
+        counts,
+        F.col("source").eqNullSafe(F.col("c_source")) & (F.col("chunk") == F.col("c_chunk")),
+    )
     ranked = ranked.withColumn("block", F.col("earlier") + F.col("nth"))
     reached = dealt.groupBy("source").agg(F.count("*").alias("n")).select(F.col("source").alias("r_source"), "n")
     short = g.join(reached, F.col("source").eqNullSafe(F.col("r_source")), "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < blocks")
@@ -93,7 +120,14 @@ def schedule(spark: SparkSession, goals: DataFrame, block: int = BLOCK) -> DataF
     return ranked.where("block < blocks").select("slot", "source", "block").unionByName(late.select("slot", "source", "block"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, block: int = BLOCK, seed: str = "mix") -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    share: float = SHARE,
+    epochs: int = EPOCHS,
+    block: int = BLOCK,
+    seed: str = "mix",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mix of docs (doc_id, text, source; more columns are ignored): the sizes with their targets, the pieces, and the slots.
 
     Pieces: slot, source, block, row, doc_id, epoch (0 for the first reading) and the words [from_word, to_word) that the
@@ -124,7 +158,14 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     """row, doc_id, size, source_size, target, taken of each document."""
     known, pieces, _ = mix(docs, **options)
     sums = pieces.groupBy("row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-    return known.join(sums, "row", "left").select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return known.join(sums, "row", "left").select(
+        "row",
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+    )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -135,7 +176,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     out = docs.select(F.struct("*").alias("d"), F.monotonically_increasing_id().alias("row")).join(reads, "row")
     # epochs of a document are read in order, so only the last one can be cut, at its end
     words = F.filter(F.split("d.text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    cut = F.when(F.col("taken") < F.regexp_count("d.text", F.lit(WORD)), F.array_join(F.slice(words, 1, F.col("taken")), " ")).otherwise(F.col("d.text"))
+    cut = F.when(
+        F.col("taken") < F.regexp_count("d.text", F.lit(WORD)),
+        F.array_join(F.slice(words, 1, F.col("taken")), " "),
+    ).otherwise(F.col("d.text"))
     out = out.withColumn("cut", cut)
     new = {"text": F.col("cut"), "n_chars": F.length("cut").cast("long")}
     return out.select(*(new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col("d")[c].alias(c) for c in docs.columns))

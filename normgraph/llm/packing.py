@@ -24,7 +24,9 @@ from .bpe import default_vocabulary, encoder
 from .common import Sink, join_sized, read, rows, stash
 
 CAPACITY, END_ID = 2048, 1
-_PIECE = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "worker", "class", "local", "bin", "offset", "filled")])
+_PIECE = pa.schema(
+    [(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "worker", "class", "local", "bin", "offset", "filled")]
+)
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -103,14 +105,28 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabu
     closed = join_sized(found.where("bin IS NOT NULL"), bases, "worker").withColumn("sequence_id", F.col("base") + F.col("bin"))
     left = found.where("bin IS NULL").drop("bin", "offset", "filled")
     by_class = Window.partitionBy("class")
-    counts = left.groupBy("class", "worker").agg(F.count("*").alias("n")).select("class", "worker", (F.sum("n").over(by_class.orderBy("worker").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    counts = left.groupBy("class", "worker").agg(F.count("*").alias("n")).select(
+        "class",
+        "worker",
+        (F.sum("n").over(by_class.orderBy("worker").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"),
+    )
     # one row a class: at most 2 * sqrt(capacity)
-    whole = left.groupBy("class").agg(F.floor(F.count("*") / F.first("class")).alias("bins")).select("class", "bins", (F.lit(total) + F.sum("bins").over(Window.orderBy("class").rowsBetween(Window.unboundedPreceding, 0)) - F.col("bins")).alias("base"), (F.lit(total) + F.sum("bins").over(Window.partitionBy())).alias("first"))
+    whole = left.groupBy("class").agg(F.floor(F.count("*") / F.first("class")).alias("bins")).select(
+        "class",
+        "bins",
+        (F.lit(total) + F.sum("bins").over(Window.orderBy("class").rowsBetween(Window.unboundedPreceding, 0)) - F.col("bins")).alias("base"),
+        (F.lit(total) + F.sum("bins").over(Window.partitionBy())).alias("first"),
+    )
     ranked = left.join(counts, ["class", "worker"]).join(F.broadcast(whole), "class").withColumn("rank", F.col("before") + F.col("local"))
     ranked = ranked.withColumn("bin", F.floor(F.col("rank") / F.col("class")))
     full = ranked.where("bin < bins").withColumn("sequence_id", F.col("base") + F.col("bin"))
     inside = Window.partitionBy("sequence_id")
-    shared = full.withColumns({"offset": F.coalesce(F.sum("length").over(inside.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "filled": F.sum("length").over(inside)})
+    shared = full.withColumns(
+        {
+            "offset": F.coalesce(F.sum("length").over(inside.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "filled": F.sum("length").over(inside),
+        }
+    )
 
     def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [b for b in batches if len(b)]

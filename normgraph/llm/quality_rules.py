@@ -69,7 +69,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at = np.flatnonzero(total.sum(0))
     for low in range(0, len(at), 1 << 16):
         part = at[low : low + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[0, part]), pa.array(total[1, part])], names=["bucket", "target", "raw"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(part.astype(np.int32)), pa.array(total[0, part]), pa.array(total[1, part])],
+            names=["bucket", "target", "raw"],
+        )
 
 
 def _share(n: Column) -> Column:
@@ -108,7 +111,11 @@ def weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     counts = stash(each.groupBy("key").agg(F.count("*").alias("n"), F.sum("trusted").alias("t")).where("n > 1"), "shared")
     shared = join_sized(each.drop("trusted"), counts, "key").groupBy("row").agg(F.collect_list("n").alias("n"), F.collect_list("t").alias("t"))
     sized = keyed.select("row", "trusted").join(shared.select("row", _size("n").alias("n"), _size("t").alias("t")), "row", "left")
-    sized = sized.select("row", (F.col("trusted") * _share(F.coalesce("t", F.lit(1)))).alias("target"), _share(F.coalesce("n", F.lit(1))).alias("raw"))
+    sized = sized.select(
+        "row",
+        (F.col("trusted") * _share(F.coalesce("t", F.lit(1)))).alias("target"),
+        _share(F.coalesce("n", F.lit(1))).alias("raw"),
+    )
     out = stash(sized.where("target > 0 OR raw < 1"), "weights")
     forget(keyed, counts)
     return out
@@ -118,8 +125,15 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """The log ratio of each bucket. docs has doc_id and text, trusted the doc_ids of the target; counts cover every document."""
     docs = docs.select("doc_id", "text")
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "text").where("text IS NOT NULL")
-    weighed = join_sized(numbered, weights(docs, trusted), "row", "left").select("text", F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("raw", F.lit(1.0)).alias("raw"))
-    counts = weighed.where("raw > 0").mapInArrow(_count, "bucket int, target double, raw double").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
+    weighed = join_sized(numbered, weights(docs, trusted), "row", "left").select(
+        "text",
+        F.coalesce("target", F.lit(0.0)).alias("target"),
+        F.coalesce("raw", F.lit(1.0)).alias("raw"),
+    )
+    counts = weighed.where("raw > 0").mapInArrow(_count, "bucket int, target double, raw double").groupBy("bucket").agg(
+        F.sum("target").alias("target"),
+        F.sum("raw").alias("raw"),
+    )
     found = counts.toArrow()  # BUCKETS rows at most
     table = np.zeros((2, BUCKETS))
     table[0, found["bucket"].to_numpy()] = found["target"].to_numpy()
@@ -130,7 +144,19 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     return (np.log(table[0] + share) - np.log(table[1] + 1) - np.log(share)).astype(np.float32)
 
 
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("score", pa.float64())])
+_SCHEMA = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("n_words", pa.int64()),
+        ("word_chars", pa.int64()),
+        ("n_symbols", pa.int64()),
+        ("n_dup_lines", pa.int64()),
+        ("n_repeat_words", pa.int64()),
+        ("base_failed", pa.bool_()),
+        ("kept", pa.bool_()),
+        ("score", pa.float64()),
+    ]
+)
 _DDL = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
 
 

@@ -83,7 +83,9 @@ _CELLS = "row long, core long, whole long, base long, first short, last short"
 
 
 def _cells(length: int, width: int):
-    schema = pa.schema([("row", pa.int64()), ("core", pa.int64()), ("whole", pa.int64()), ("base", pa.int64()), ("first", pa.int16()), ("last", pa.int16())])
+    schema = pa.schema(
+        [("row", pa.int64()), ("core", pa.int64()), ("whole", pa.int64()), ("base", pa.int64()), ("first", pa.int16()), ("last", pa.int16())]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
@@ -92,7 +94,10 @@ def _cells(length: int, width: int):
         def take() -> pa.RecordBatch:
             columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 6
             parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c.astype(f.type.to_pandas_dtype())) for c, f in zip(columns, schema, strict=True)],
+                schema=schema,
+            )
 
         digest = xxhash.xxh3_64_intdigest
         for row, text in rows(batches, "row", "text"):
@@ -195,7 +200,17 @@ def _construct(width: int):
 
 
 def _contexts(length: int, width: int):
-    schema = pa.schema([("core", pa.int64()), ("whole", pa.int64()), ("n", pa.int64()), ("first", pa.int16()), ("last", pa.int16()), ("left", pa.binary()), ("right", pa.binary())])
+    schema = pa.schema(
+        [
+            ("core", pa.int64()),
+            ("whole", pa.int64()),
+            ("n", pa.int64()),
+            ("first", pa.int16()),
+            ("last", pa.int16()),
+            ("left", pa.binary()),
+            ("right", pa.binary()),
+        ]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Sink(schema)
@@ -203,7 +218,15 @@ def _contexts(length: int, width: int):
             data = as_bytes(text).tobytes()
             for x in wanted:
                 b = x["base"]
-                out.add(x["core"], x["whole"], x["n"], x["first"], x["last"], data[max(b, 0) : b + width - 1], data[b + length : b + length + width - 1])
+                out.add(
+                    x["core"],
+                    x["whole"],
+                    x["n"],
+                    x["first"],
+                    x["last"],
+                    data[max(b, 0) : b + width - 1],
+                    data[b + length : b + length + width - 1],
+                )
             if out.full:
                 yield out.take()
         yield out.take()
@@ -224,14 +247,20 @@ def spans(docs: DataFrame, length: int = LENGTH, width: int = CELL) -> DataFrame
     if each.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     strings = docs.select("row", "text").join(wanted, "row").select("text", "wanted")
-    strings = stash(strings.mapInArrow(_contexts(length, width), "core long, whole long, n long, first short, last short, left binary, right binary"), "strings")
+    strings = stash(
+        strings.mapInArrow(_contexts(length, width), "core long, whole long, n long, first short, last short, left binary, right binary"),
+        "strings",
+    )
     large = strings.groupBy("core").agg(F.count("*").alias("k")).where(F.col("k") > MOST_CONTEXTS).select("core")
     few = join_sized(strings, large, "core", "left_anti").repartition(partitions(docs.sparkSession), "core").sortWithinPartitions("core")
     ranges = few.mapInArrow(_construct(width), _FOUND)
     # a core in too many contexts for one task: each string's hash is counted
     t = F.col("t").cast("int")
     side = F.lit(width - 1) - F.length("left")  # bytes missing on the left
-    many = join_sized(strings, large, "core", "left_semi").withColumn("t", F.explode(F.sequence(F.col("first").cast("int"), F.col("last").cast("int"))))
+    many = join_sized(strings, large, "core", "left_semi").withColumn(
+        "t",
+        F.explode(F.sequence(F.col("first").cast("int"), F.col("last").cast("int"))),
+    )
     text = F.concat(F.substring(F.col("left"), t - side + 1, F.lit(width)), F.substring(F.col("right"), F.lit(1), t))
     many = many.withColumn("string", F.xxhash64("core", "t", text))
     common = many.groupBy("string").agg(F.sum("n").alias("k")).where("k > 1").select("string")
@@ -266,7 +295,10 @@ def merged(found: DataFrame) -> DataFrame:
     """row, low, high: the spans of found united, within each part of the rows' order and then over the parts, so a text with very many spans is
     spread over tasks first."""
     n = partitions(found.sparkSession)
-    near = found.repartition(n, "row", F.expr("low DIV 65536")).sortWithinPartitions("row", "low").mapInArrow(_merged, "row long, low long, high long")
+    near = found.repartition(n, "row", F.expr("low DIV 65536")).sortWithinPartitions("row", "low").mapInArrow(
+        _merged,
+        "row long, low long, high long",
+    )
     return near.repartition(n, "row").sortWithinPartitions("row", "low").mapInArrow(_merged, "row long, low long, high long")
 
 
@@ -301,14 +333,30 @@ def digest(docs: DataFrame, length: int = LENGTH, width: int = CELL, passage: in
     shared = stash(short.groupBy("row").agg(F.sum(F.col("high") - F.col("low")).alias("n_passage_bytes")), "passages")
     marked = _with_spans(docs, length, width).join(shared, "row", "left")
     marked = marked.select("d.doc_id", "text", "spans", F.coalesce("n_passage_bytes", F.lit(0)).alias("n_passage_bytes"))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_passage_bytes", pa.int64())])
+    schema = pa.schema(
+        [
+            ("doc_id", pa.int64()),
+            ("n_bytes", pa.int64()),
+            ("n_removed", pa.int64()),
+            ("n_spans", pa.int64()),
+            ("kept_sha256", pa.string()),
+            ("n_passage_bytes", pa.int64()),
+        ]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Sink(schema)
         for doc_id, text, found, passages in rows(batches, "doc_id", "text", "spans", "n_passage_bytes"):
             data = as_bytes(text).tobytes()
             gone = removed(len(data), found)
-            out.add(doc_id, len(data), int((gone[1::2] - gone[::2]).sum()), len(gone) // 2, hashlib.sha256(kept_bytes(data, gone)).hexdigest(), passages)
+            out.add(
+                doc_id,
+                len(data),
+                int((gone[1::2] - gone[::2]).sum()),
+                len(gone) // 2,
+                hashlib.sha256(kept_bytes(data, gone)).hexdigest(),
+                passages,
+            )
             if out.full:
                 yield out.take()
         yield out.take()
@@ -320,7 +368,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, width: int = CELL) ->
     """docs with the repeated bytes taken out of text; what a cut leaves of a character goes too, and n_chars (if docs has it) follows."""
     columns = docs.columns
     # the texts of the marked rows alone go through Python; the other columns, whatever their names, wait beside them
-    marked = _with_spans(docs, length, width).select(F.struct(*(F.col(f"d.`{c}`") for c in columns if c != "text"), F.lit(1).alias("__more__")).alias("d"), "text", "spans")
+    marked = _with_spans(docs, length, width).select(
+        F.struct(*(F.col(f"d.`{c}`") for c in columns if c != "text"), F.lit(1).alias("__more__")).alias("d"),
+        "text",
+        "spans",
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,7 +385,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, width: int = CELL) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, batch.schema.field(1).type)], names=["d", "text"])
 
     out = marked.mapInArrow(run, StructType([marked.schema["d"], marked.schema["text"]]))
-    return out.select(*(F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"d.`{c}`").alias(c) for c in columns))
+    return out.select(
+        *(
+            F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"d.`{c}`").alias(c) for c in columns
+        )
+    )
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,7 +56,13 @@ def holds(rule: tuple[Bound, ...], x: np.ndarray) -> np.ndarray:
     return out
 
 
-def grow(x: np.ndarray, cuts: list[np.ndarray], binned: np.ndarray, residual: np.ndarray, depth: int) -> list[tuple[tuple[Bound, ...], np.ndarray, bool]]:
+def grow(
+    x: np.ndarray,
+    cuts: list[np.ndarray],
+    binned: np.ndarray,
+    residual: np.ndarray,
+    depth: int,
+) -> list[tuple[tuple[Bound, ...], np.ndarray, bool]]:
     """Nodes of a least-squares tree, without its root: the path, the rows, whether it is a leaf."""
     least = max(5, len(x) // 500)
 

@@ -53,7 +53,21 @@ def base_counts(text: str | None) -> tuple[np.ndarray, int, int, int, int, int]:
 
 
 #: Names of what features() returns, in order.
-FEATURES = ("n_words", "word_length", "symbol_share", "upper_share", "digit_share", "punct_share", "dup_line_share", "repeat_share", "distinct_share", "top_word_share", "same_next_share", "line_words", "stop_share")
+FEATURES = (
+    "n_words",
+    "word_length",
+    "symbol_share",
+    "upper_share",
+    "digit_share",
+    "punct_share",
+    "dup_line_share",
+    "repeat_share",
+    "distinct_share",
+    "top_word_share",
+    "same_next_share",
+    "line_words",
+    "stop_share",
+)
 
 
 def features(text: str | None) -> tuple[float, ...]:

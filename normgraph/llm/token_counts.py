@@ -53,7 +53,15 @@ def allocate(n_bytes: np.ndarray, bounds: np.ndarray, rule: str = "first") -> tu
 _SCHEMA = "section int, field string, start_char long, n_chars long, n_tokens double, n_crossing long"
 
 
-def attribute_tokens(docs: DataFrame, key: str = "doc_id", fields: tuple[str, ...] = ("text",), by: str = "line", rule: str = "first", separator: str = "\n\n", vocabulary: str | None = None) -> DataFrame:
+def attribute_tokens(
+    docs: DataFrame,
+    key: str = "doc_id",
+    fields: tuple[str, ...] = ("text",),
+    by: str = "line",
+    rule: str = "first",
+    separator: str = "\n\n",
+    vocabulary: str | None = None,
+) -> DataFrame:
     """A row for each section: key, section (from 0), field, start_char and n_chars in the document, n_tokens, n_crossing.
 
     The document is the fields, joined by separator. by "field" makes each field a section, "line" each line of each field;
@@ -75,7 +83,15 @@ def attribute_tokens(docs: DataFrame, key: str = "doc_id", fields: tuple[str, ..
             columns = [np.concatenate(c) if c else np.empty(0) for c in (list(x) for x in zip(*parts, strict=True))] if parts else [np.empty(0)] * 6
             section, field, start, chars, tokens, crossing = columns
             names = pa.array([fields[int(i)] for i in field], pa.string())
-            out = [pa.array(keys, arrow_kind), pa.array(section.astype(np.int32)), names, pa.array(start.astype(np.int64)), pa.array(chars.astype(np.int64)), pa.array(tokens.astype(float)), pa.array(crossing.astype(np.int64))]
+            out = [
+                pa.array(keys, arrow_kind),
+                pa.array(section.astype(np.int32)),
+                names,
+                pa.array(start.astype(np.int64)),
+                pa.array(chars.astype(np.int64)),
+                pa.array(tokens.astype(float)),
+                pa.array(crossing.astype(np.int64)),
+            ]
             keys.clear()
             parts.clear()
             return pa.RecordBatch.from_arrays(out, names=[key, "section", "field", "start_char", "n_chars", "n_tokens", "n_crossing"])

@@ -237,7 +237,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
                 yield out.take()
         yield out.take()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(MODULUS, HELD_OUT).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        held_out(MODULUS, HELD_OUT).alias("held_out"),
+        "text",
+    ).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

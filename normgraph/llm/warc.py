@@ -38,8 +38,14 @@ def with_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     pages = pages.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": F.sha2(F.col("html").cast("binary"), 256)})
     long = F.col("payload_bytes") >= least_bytes
-    first = pages.where(long).groupBy(F.col("payload_digest").alias("_key")).agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    keyed = pages.withColumn("_key", F.when(long, F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
+    first = pages.where(long).groupBy(F.col("payload_digest").alias("_key")).agg(
+        F.min("page_id").alias("first_id"),
+        F.count("*").alias("n"),
+    ).where("n > 1").drop("n")
+    keyed = pages.withColumn(
+        "_key",
+        F.when(long, F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))),
+    )
     joined = join_sized(keyed, stash(first, "digests"), "_key", "left", BROADCAST_DIGESTS)
     return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))).drop("first_id", "_key")
 
@@ -47,7 +53,10 @@ def with_revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame
 def record_text() -> Column:
     """A WARC record of a row of with_revisits(), without the blank line that ends it."""
     revisit = F.col("refers_to").isNotNull()
-    at = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(86_400 * 365))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    at = F.date_format(
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(86_400 * 365))),
+        "yyyy-MM-dd'T'HH:mm:ss'Z'",
+    )
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     parts = [
         F.lit("WARC/1.1\r\n"),
@@ -68,7 +77,10 @@ def record_text() -> Column:
 
 def write_archives(pages: DataFrame, path: str, records_per_archive: int = 20_000) -> None:
     """Archives (gzip) of the rows of with_revisits() under path."""
-    pages.select(record_text().alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_archive).text(path)
+    pages.select(record_text().alias("value")).write.option("lineSep", END).option("compression", "gzip").option(
+        "maxRecordsPerFile",
+        records_per_archive,
+    ).text(path)
 
 
 class _Records:
@@ -158,7 +170,20 @@ def loser_tree(runs: list[list[tuple]]) -> Iterator[tuple]:
             node //= 2
 
 
-_ENTRY = pa.schema([("url_key", pa.string()), ("captured", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("ordinal", pa.int64())])
+_ENTRY = pa.schema(
+    [
+        ("url_key", pa.string()),
+        ("captured", pa.string()),
+        ("page_id", pa.int64()),
+        ("url", pa.string()),
+        ("record_type", pa.string()),
+        ("payload_bytes", pa.int64()),
+        ("payload_digest", pa.string()),
+        ("refers_to", pa.int64()),
+        ("archive", pa.string()),
+        ("ordinal", pa.int64()),
+    ]
+)
 ENTRY = "url_key string, captured string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, archive string, ordinal long"
 
 

@@ -20,7 +20,9 @@ LONG = "word" * 100_000 + " " + "tail of a very long text " * 400
 
 def _docs(spark, texts, extra=False):
     df = spark.createDataFrame([(i, t, "en", f"s{i % 3}" if i % 7 else None, len(t or "")) for i, t in enumerate(texts)], DOCS)
-    return df.withColumns({"row": F.lit("x"), "rank": F.lit(1), "label": F.lit("y"), "key": F.lit(0), "y": F.lit(2), "size": F.lit(3)}) if extra else df
+    return df.withColumns(
+        {"row": F.lit("x"), "rank": F.lit(1), "label": F.lit("y"), "key": F.lit(0), "y": F.lit(2), "size": F.lit(3)}
+    ) if extra else df
 
 
 def _prose(seed, n):
@@ -28,7 +30,20 @@ def _prose(seed, n):
     return " ".join(f"w{x}" for x in rng.integers(0, 500, n))
 
 
-TEXTS = [None, "", " \n\t", "one", "one two three four", _prose(0, 300), _prose(0, 300), _prose(1, 40), "Grüße aus Köln — çà et là\n" * 6, LONG, "a b c d e f g h " * 9, "line one\nline one\nx\n\nx"]
+TEXTS = [
+    None,
+    "",
+    " \n\t",
+    "one",
+    "one two three four",
+    _prose(0, 300),
+    _prose(0, 300),
+    _prose(1, 40),
+    "Grüße aus Köln — çà et là\n" * 6,
+    LONG,
+    "a b c d e f g h " * 9,
+    "line one\nline one\nx\n\nx",
+]
 
 
 @pytest.fixture(scope="module")
@@ -131,7 +146,15 @@ def test_the_estimate_is_unbiased():
 
 def test_archives(spark, tmp_path):
     html = ["<p>é" + "x" * 200, None, "<p>é" + "x" * 200, "short", "short", "<p>é" + "x" * 200, "a\r\n\r\nWARC/1.1\r\n" + "y" * 300]
-    rows = [(i, u, h) for i, (h, u) in enumerate(zip(html, ["http://b.org/1", None, "https://www.a.org/z?Q=1", "http://a.org/z", "bad url \n", "http://b.org/1", "http://[bad"], strict=True))]
+    rows = [
+        (i, u, h) for i, (h, u) in enumerate(
+            zip(
+                html,
+                ["http://b.org/1", None, "https://www.a.org/z?Q=1", "http://a.org/z", "bad url \n", "http://b.org/1", "http://[bad"],
+                strict=True,
+            )
+        )
+    ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("archive", F.lit("clash"))
     out = warc.capture_history(pages, f"file://{tmp_path}/w")
     got = {r["page_id"]: r for r in out.collect()}
@@ -202,13 +225,20 @@ def test_very_long_runs(spark):
 
     reference, encoder = Tokenizer.from_file(bpe.default_vocabulary()), bpe.encoder(bpe.default_vocabulary())
     runs = [c * 2_000_000 for c in (" ", "\n", "a", "!")] + [" \n\u3000" * 400_000]
-    texts = [*runs, f"a{runs[0]}b{runs[1]}", f"{runs[0]}<|endoftext|>{runs[1]}'ll{runs[4]}é", " " * (bpe.LONG_RUN - 1) + "x" + " " * bpe.LONG_RUN + "\n"]
+    texts = [
+        *runs,
+        f"a{runs[0]}b{runs[1]}",
+        f"{runs[0]}<|endoftext|>{runs[1]}'ll{runs[4]}é",
+        " " * (bpe.LONG_RUN - 1) + "x" + " " * bpe.LONG_RUN + "\n",
+    ]
     want = [reference.encode(t, add_special_tokens=False).ids for t in texts]
     for text, ids in zip(texts, want, strict=True):
         assert encoder.encode(text).tolist() == ids
     few = _docs(spark, texts[:2])
     assert {r["doc_id"]: r["doc_tokens"] for r in packing.pack(few).collect()} == {0: len(want[0]) + 1, 1: len(want[1]) + 1}
-    total = {r["doc_id"]: r["n"] for r in token_counts.attribute_tokens(few, by="field").groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()}
+    total = {
+        r["doc_id"]: r["n"] for r in token_counts.attribute_tokens(few, by="field").groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).collect()
+    }
     assert total == {0: len(want[0]), 1: len(want[1])}
 
 
@@ -292,7 +322,15 @@ def _targets(sizes):
 
 def test_mixing(spark, none):
     rng = np.random.default_rng(1)
-    rows = [(i, _prose(i, int(rng.integers(0, 400))) if i % 11 else None, "en", [None, "a", "b", "hot", "hot", "hot", "É"][int(rng.integers(0, 7))] if i > 3 else "tiny", 0) for i in range(300)]
+    rows = [
+        (
+            i,
+            _prose(i, int(rng.integers(0, 400))) if i % 11 else None,
+            "en",
+            [None, "a", "b", "hot", "hot", "hot", "É"][int(rng.integers(0, 7))] if i > 3 else "tiny",
+            0,
+        ) for i in range(300)
+    ]
     docs = spark.createDataFrame(rows, DOCS).withColumns({"row": F.lit(1), "block": F.lit(2)})
     got = mixing.taken_words(docs, block=64).collect()
     sizes = defaultdict(int)
@@ -305,7 +343,9 @@ def test_mixing(spark, none):
         taken[s] += r["taken"]
         assert r["taken"] <= 2 * r["size"] and abs(r["target"] - goal[s]) < 1e-6 and r["source_size"] == sizes[s]
     assert all(int(goal[s]) == taken[s] for s in sizes)
-    assert {(r["doc_id"], r["taken"]) for r in got} == {(r["doc_id"], r["taken"]) for r in mixing.taken_words(docs.repartition(5), block=64).collect()}
+    assert {(r["doc_id"], r["taken"]) for r in got} == {
+        (r["doc_id"], r["taken"]) for r in mixing.taken_words(docs.repartition(5), block=64).collect()
+    }
     slots = sorted((r["slot"], r["source"]) for r in mixing.mix(docs, block=64)[2].collect())
     total = sum(goal.values())
     for s in goal:  # every stretch of the schedule has the sources in their shares
@@ -439,7 +479,9 @@ def test_the_logistic_fit_is_at_its_minimum(spark, monkeypatch):
     assert np.allclose(again, weights, atol=1e-4)
     t = texts[0]
     found, n = np.unique(toxicity.buckets(t), return_counts=True)
-    assert abs(toxicity.score(t, (weights * ratios).astype(np.float32), offset) - 1 / (1 + np.exp(-(np.log1p(n) @ (weights * ratios)[found] + offset)))) < 1e-5
+    assert abs(
+        toxicity.score(t, (weights * ratios).astype(np.float32), offset) - 1 / (1 + np.exp(-(np.log1p(n) @ (weights * ratios)[found] + offset)))
+    ) < 1e-5
     a, b = (toxicity.fit(train.withColumn("y", F.col("y") * k)) for k in (1, 7))
     assert np.array_equal(a[0], b[0]) and a[1] == b[1]
 
@@ -460,7 +502,12 @@ def test_rules_are_what_the_columns_hold(spark):
     """Each path, checked bound by bound, against the compiled column."""
     texts = [_prose(i, 60) if i % 3 else " ".join(f"W{x}%%%" for x in range(i % 50 + 10)) for i in range(120)]
     model = rule_ensemble.train(_docs(spark, texts), _labels(spark, [(i, int(i % 3 > 0), 0) for i in range(120)]))
-    got = {r["doc_id"]: r["score"] for r in rule_ensemble.with_features(_docs(spark, texts), "doc_id").select("doc_id", model.column().alias("score")).collect()}
+    got = {
+        r["doc_id"]: r["score"] for r in rule_ensemble.with_features(_docs(spark, texts), "doc_id").select(
+            "doc_id",
+            model.column().alias("score"),
+        ).collect()
+    }
     for i, t in enumerate(texts):
         x = stats.features(t)
         z = model.offset + sum(w for path, w in zip(model.rules, model.weights, strict=True) if all((x[f] > cut) == above for f, above, cut in path))

@@ -46,7 +46,9 @@ def _corpus():
 def docs(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("docs") / "d.parquet")
     texts = _corpus()
-    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCS).withColumns({"row": F.lit(1), "label": F.lit(2), "a": F.lit(3), "d": F.lit(4), "key": F.lit("k")})
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCS).withColumns(
+        {"row": F.lit(1), "label": F.lit(2), "a": F.lit(3), "d": F.lit(4), "key": F.lit("k")}
+    )
     df.repartition(5).write.parquet(path)
     return spark.read.parquet(path)
 
@@ -188,10 +190,27 @@ def test_pipeline(spark, tmp_path):
     from normgraph.llm import bpe, stats
 
     texts = [t for t in _corpus() if t is None or len(t) < 20_000] + ["junk%%% ***junk " * 30]
-    table = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts, "lang": ["en"] * len(texts), "source": [f"s{i % 4}" for i in range(len(texts))], "n_chars": pa.array([len(t or "") for t in texts], pa.int64())})
+    table = pa.table(
+        {
+            "doc_id": pa.array(range(len(texts)), pa.int64()),
+            "text": texts,
+            "lang": ["en"] * len(texts),
+            "source": [f"s{i % 4}" for i in range(len(texts))],
+            "n_chars": pa.array([len(t or "") for t in texts], pa.int64()),
+        }
+    )
     pq.write_table(table, tmp_path / "documents.parquet")
     good_ids = range(6, len(texts) - 1, 2)
-    pq.write_table(pa.table({"doc_id": pa.array(good_ids, pa.int64()), "quality": pa.array([1] * len(good_ids), pa.int32()), "toxic": pa.array([0] * len(good_ids), pa.int32())}), tmp_path / "labels.parquet")
+    pq.write_table(
+        pa.table(
+            {
+                "doc_id": pa.array(good_ids, pa.int64()),
+                "quality": pa.array([1] * len(good_ids), pa.int32()),
+                "toxic": pa.array([0] * len(good_ids), pa.int32()),
+            }
+        ),
+        tmp_path / "labels.parquet",
+    )
     found, frame = [], spark.read.parquet(str(tmp_path / "documents.parquet"))
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, frame, str(tmp_path))
@@ -236,10 +255,20 @@ def test_the_pipeline_on_odd_tables(spark, tmp_path):
 
     labels = spark.createDataFrame([(1, 1, 0), (None, 1, None), (7, None, None)], "doc_id long, quality int, toxic int")
     long, other = " ".join(_words(1, 3000)), " ".join(_words(2, 80))
-    rows = [(1, long, "en", "a", 1, 5), (1, long, "en", "a", 1, 5), (None, other, None, None, None, None), (None, other, None, None, None, 2), (4, None, "en", "a", 0, 1), (5, "", "en", "a", 0, 1), (6, "few words", "en", "a", 9, 1)]
+    rows = [
+        (1, long, "en", "a", 1, 5),
+        (1, long, "en", "a", 1, 5),
+        (None, other, None, None, None, None),
+        (None, other, None, None, None, 2),
+        (4, None, "en", "a", 0, 1),
+        (5, "", "en", "a", 0, 1),
+        (6, "few words", "en", "a", 9, 1),
+    ]
     more = DOCS + ", row long"
     for name, some in (("none", []), ("odd", rows)):
-        spark.createDataFrame(some, more).withColumns({"__spans__": F.lit("x"), "label": F.lit(1), "key": F.lit(2)}).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame(some, more).withColumns(
+            {"__spans__": F.lit("x"), "label": F.lit(1), "key": F.lit(2)}
+        ).write.parquet(str(tmp_path / name / "documents.parquet"))
         labels.where("doc_id > 0" if some else "false").write.parquet(str(tmp_path / name / "labels.parquet"))
         out = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
         assert {r["doc_id"] for r in out} == ({1, None} if some else set())
