@@ -45,7 +45,10 @@ def test_scans_and_sinks(spark, tmp_path):
     got = [r["term"] for r in files.read_records(spark, str(tmp_path / "x"), EXTRACTED).orderBy("seq").collect()]
     assert got == [f"{n}{i}" for n in ("a.jsonl", "b.jsonl") for i in range(3)]
     assert files.read_decisions(spark, str(tmp_path / "no")).count() == 0
-    chunk = spark.createDataFrame([("art_5", "article", "5", None), ("anx_III", "annex", None, "III")], "id string, type string, article_number string, annex_number string")
+    chunk = spark.createDataFrame(
+        [("art_5", "article", "5", None), ("anx_III", "annex", None, "III")],
+        "id string, type string, article_number string, annex_number string",
+    )
     files.write_chunks(chunk, str(tmp_path / "chunks"))
     assert sorted(os.listdir(tmp_path / "chunks")) == ["annex_III.json", "art_005.json"]
     assert {r["file"] for r in files.read_chunks(spark, str(tmp_path / "chunks")).collect()} == {"annex_III.json", "art_005.json"}
@@ -62,7 +65,9 @@ def test_the_log_of_many_files_is_read_in_order(spark, tmp_path):
     line = lambda id, action, **more: json.dumps({"id": id, "action": action, "reason": "x" * 500} | more) + "\n"
     os.makedirs(tmp_path / "log")
     (tmp_path / "log" / "2026-01.json").write_text("".join(line(f"p{i}", "accept") for i in range(90)) + line("a", "accept"))
-    (tmp_path / "log" / "2026-02.json").write_text("".join(line(f"q{i}", "accept") for i in range(900)) + line("a", "reject") + "\n" + line("p3", "undo", seq=1))
+    (tmp_path / "log" / "2026-02.json").write_text(
+        "".join(line(f"q{i}", "accept") for i in range(900)) + line("a", "reject") + "\n" + line("p3", "undo", seq=1)
+    )
     keys = {"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "1"}
     before = {k: spark.conf.get(k) for k in keys}
     try:
@@ -128,7 +133,10 @@ def test_bundle(spark, tmp_path):
 
 
 def test_extraction_is_cached_and_isolated(spark):
-    chunks = spark.createDataFrame([("c1", "f1", "e", "[5(1)] A provider shall keep records."), ("c2", "f2", "e", "boom")], "chunk_id string, chunk_file string, eli_uri string, text string")
+    chunks = spark.createDataFrame(
+        [("c1", "f1", "e", "[5(1)] A provider shall keep records."), ("c2", "f2", "e", "boom")],
+        "chunk_id string, chunk_file string, eli_uri string, text string",
+    )
 
     def model(chunk, text):
         if text == "boom":

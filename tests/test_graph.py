@@ -26,7 +26,25 @@ def _graph(spark, text, scope="g"):
 
 
 def _entity(id, term, kind, ord, bearer=None, applies=None, label=None):
-    return (id, term, kind, label or term, f"{term} defined", bearer, applies, ["Art. 5(1)"], [("Art. 5(1)", "art_5", "http://e/art_5", "quote")], 0.9, "supported", "model", "accepted", "me", "now", [], ord)
+    return (
+        id,
+        term,
+        kind,
+        label or term,
+        f"{term} defined",
+        bearer,
+        applies,
+        ["Art. 5(1)"],
+        [("Art. 5(1)", "art_5", "http://e/art_5", "quote")],
+        0.9,
+        "supported",
+        "model",
+        "accepted",
+        "me",
+        "now",
+        [],
+        ord,
+    )
 
 
 def _entities(spark, rows):
@@ -63,18 +81,43 @@ def test_a_broken_file_fails(spark):
 
 def test_minting(spark):
     core = _graph(spark, CORE)
-    e = _entities(spark, [_entity("1", "Provider", "Actor", 0), _entity("2", "risk file", "Requirement", 1), _entity("3", "Risk File", "Obligation", 2), _entity("4", "high-risk AI system", "AISystemCategory", 3), _entity("5", "ProviderRole", "Actor", 4), _entity("6", "?!", "Actor", 5)])
+    e = _entities(
+        spark,
+        [
+            _entity("1", "Provider", "Actor", 0),
+            _entity("2", "risk file", "Requirement", 1),
+            _entity("3", "Risk File", "Obligation", 2),
+            _entity("4", "high-risk AI system", "AISystemCategory", 3),
+            _entity("5", "ProviderRole", "Actor", 4),
+            _entity("6", "?!", "Actor", 5),
+        ],
+    )
     got = {r["id"]: r["iri"].removeprefix(BASE) for r in build.mint(e, core).collect()}
     assert got == {"1": "Provider", "2": "RiskFile", "3": "RiskFile_2", "4": "HighRiskAISystem", "5": "ProviderRole", "6": "Unnamed"}
 
 
 def test_generated_graph(spark):
     core = _graph(spark, CORE)
-    e = _entities(spark, [_entity("1", "provider", "Actor", 0), _entity("2", "keep records", "Obligation", 1, "Provider", "high-risk AI systems"), _entity("3", "report", "Obligation", 2, "nobody"), _entity("4", "high-risk AI system", "AISystemCategory", 3), _entity("5", "odd", "Strange", 4)])
+    e = _entities(
+        spark,
+        [
+            _entity("1", "provider", "Actor", 0),
+            _entity("2", "keep records", "Obligation", 1, "Provider", "high-risk AI systems"),
+            _entity("3", "report", "Obligation", 2, "nobody"),
+            _entity("4", "high-risk AI system", "AISystemCategory", 3),
+            _entity("5", "odd", "Strange", 4),
+        ],
+    )
     graph, warnings = build.generate(e, core)
     got = _rows(graph)
     assert {("Provider", "type", OWL + "Class"), ("Provider", "subClassOf", "OperatorRole"), ("Provider", "equivalentClass", "ProviderRole")} <= got
-    assert {("KeepRecords", "type", "Obligation"), ("KeepRecords", "type", OWL + "NamedIndividual"), ("KeepRecords", "obligationOf", "Provider"), ("Provider", "type", OWL + "NamedIndividual"), ("KeepRecords", "appliesToSystem", "HighRiskAISystem")} <= got
+    assert {
+        ("KeepRecords", "type", "Obligation"),
+        ("KeepRecords", "type", OWL + "NamedIndividual"),
+        ("KeepRecords", "obligationOf", "Provider"),
+        ("Provider", "type", OWL + "NamedIndividual"),
+        ("KeepRecords", "appliesToSystem", "HighRiskAISystem"),
+    } <= got
     assert ("http://e/art_5", "label", "Art. 5") in got and ("KeepRecords", "definition", "keep records defined") in got
     assert ("HighRiskAISystem", "articleRef", "Art. 5(1)") in got and ("HighRiskAISystem", "label", "high-risk AI system") not in got
     assert {(r["kind"], r["text"]) for r in warnings.collect()} == {("bearer", "nobody"), ("entity_type", "Strange")}
@@ -85,10 +128,17 @@ def test_generated_graph(spark):
 
 
 def test_questions(spark):
-    g = _graph(spark, HEAD + 'k:a a k:T ; rdfs:label "A" ; k:p k:x, k:y . k:b a k:T ; rdfs:label "B" ; k:q k:z . k:c a k:T ; rdfs:label "C" ; k:p k:x ; k:q k:w, k:x .')
+    g = _graph(
+        spark,
+        HEAD + 'k:a a k:T ; rdfs:label "A" ; k:p k:x, k:y . k:b a k:T ; rdfs:label "B" ; k:q k:z . k:c a k:T ; rdfs:label "C" ; k:p k:x ; k:q k:w, k:x .',
+    )
     ask = lambda text: [tuple((v or "").removeprefix(BASE) for v in r) for r in sparql.select(g, f"PREFIX k: <{BASE}> PREFIX rdfs: <{RDFS}> " + text).collect()]
-    assert ask("SELECT ?l ?o WHERE { ?s a k:T ; rdfs:label ?l . OPTIONAL { ?s k:p ?o } } ORDER BY ?l ?o") == [("A", "x"), ("A", "y"), ("B", ""), ("C", "x")]
-    assert ask("SELECT ?l ?o WHERE { ?s a k:T ; rdfs:label ?l . OPTIONAL { ?s k:p ?o } OPTIONAL { ?s k:q ?o } } ORDER BY ?l ?o") == [("A", "x"), ("A", "y"), ("B", "z"), ("C", "x")]
+    assert ask(
+        "SELECT ?l ?o WHERE { ?s a k:T ; rdfs:label ?l . OPTIONAL { ?s k:p ?o } } ORDER BY ?l ?o"
+    ) == [("A", "x"), ("A", "y"), ("B", ""), ("C", "x")]
+    assert ask(
+        "SELECT ?l ?o WHERE { ?s a k:T ; rdfs:label ?l . OPTIONAL { ?s k:p ?o } OPTIONAL { ?s k:q ?o } } ORDER BY ?l ?o"
+    ) == [("A", "x"), ("A", "y"), ("B", "z"), ("C", "x")]
     assert ask('SELECT ?l WHERE { VALUES ?o { k:x k:z } ?s k:p ?o ; rdfs:label ?l . FILTER(?l != "A") }') == [("C",)]
     assert ask("SELECT DISTINCT ?s WHERE { ?s ?p k:x } ORDER BY DESC(?s) LIMIT 1") == [("c",)]
     assert ask('SELECT ?s WHERE { ?s rdfs:label "A" }') == [("a",)] and ask("SELECT ?s WHERE { ?s a k:None }") == []
@@ -104,7 +154,11 @@ def test_closure_classifies(spark):
     assert reason.clashes(closed).count() == 0
     risk = [BASE + x for x in ("AnnexSystem", "HighRiskAISystem", "ProhibitedAISystem")]
     expect = lambda *rows: spark.createDataFrame([(BASE + a, [BASE + x for x in b]) for a, b in rows], "individual string, classes array<string>")
-    assert reason.check_classification(closed, expect(("cv", ["AnnexSystem", "HighRiskAISystem"]), ("social", ["ProhibitedAISystem"]), ("chat", [])), risk).first()["status"] == "pass"
+    assert reason.check_classification(
+        closed,
+        expect(("cv", ["AnnexSystem", "HighRiskAISystem"]), ("social", ["ProhibitedAISystem"]), ("chat", [])),
+        risk,
+    ).first()["status"] == "pass"
     assert reason.check_classification(closed, expect(("chat", ["ProhibitedAISystem"])), risk).first()["status"] == "fail"
     assert reason.check_classification(closed, expect(("cv", [])), risk).first()["status"] == "fail"
     both = reason.closure(reason.combine(_graph(spark, CORE, "c"), _graph(spark, PEOPLE + "k:cv k:usesPractice k:scoring .", "p")))
@@ -118,14 +172,20 @@ def test_nothing(spark):
 
 
 def test_shapes(spark):
-    g = _graph(spark, HEAD + 'k:a k:curationStatus "accepted" ; rdfs:label "A"@en ; skos:definition "d"@en ; k:articleRef "r" ; k:sourceQuote "q" ; k:hasLegalSource k:l .\nk:b k:curationStatus "odd", "edited" ; rdfs:label "B"@de .\nk:c a k:Obligation . k:d a k:Obligation ; k:obligationOf k:a . k:h k:curationStatus "hand-authored" ; rdfs:label "H"@en ; skos:definition "d"@en .')
+    g = _graph(
+        spark,
+        HEAD + 'k:a k:curationStatus "accepted" ; rdfs:label "A"@en ; skos:definition "d"@en ; k:articleRef "r" ; k:sourceQuote "q" ; k:hasLegalSource k:l .\nk:b k:curationStatus "odd", "edited" ; rdfs:label "B"@de .\nk:c a k:Obligation . k:d a k:Obligation ; k:obligationOf k:a . k:h k:curationStatus "hand-authored" ; rdfs:label "H"@en ; skos:definition "d"@en .',
+    )
     got = sorted((r["shape"], r["focus"].removeprefix(BASE)) for r in shacl.violations(g, shacl.completeness_shapes(BASE)).collect())
     assert got == [("annotated", "b")] * 4 + [("obligation", "c"), ("traceable", "b")]
     assert shacl.check(g.where("s LIKE '%a'"), shacl.completeness_shapes(BASE)).first()["status"] == "pass"
 
 
 def test_measures(spark):
-    g = _graph(spark, HEAD + "k:a rdfs:subClassOf k:b . k:b rdfs:subClassOf k:c . k:d rdfs:subClassOf k:b . k:x rdfs:subClassOf k:y . k:y rdfs:subClassOf k:x .")
+    g = _graph(
+        spark,
+        HEAD + "k:a rdfs:subClassOf k:b . k:b rdfs:subClassOf k:c . k:d rdfs:subClassOf k:b . k:x rdfs:subClassOf k:y . k:y rdfs:subClassOf k:x .",
+    )
     h = evaluate.hierarchy(g, BASE).first()
     assert (h["max_depth"], h["mean_depth"], h["mean_children"]) == (2, 1.8, 1.25)
     pairs = lambda rows: evaluate.kappa(spark.createDataFrame(rows, "first string, second string")).first()
@@ -158,7 +218,18 @@ def test_depths_of_diamonds_and_cycles(spark):
         return {n: depth(n, frozenset()) for n in parents}
 
     got = lambda pairs: {r["node"]: r["depth"] for r in evaluate.depths(spark.createDataFrame(pairs, "child string, parent string").coalesce(1)).collect()}
-    odd = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "top"), ("top", "over"), ("x", "a"), ("x", "leaf"), ("self", "self"), ("y", "self"), ("z", "top")]
+    odd = [
+        ("a", "b"),
+        ("b", "c"),
+        ("c", "a"),
+        ("c", "top"),
+        ("top", "over"),
+        ("x", "a"),
+        ("x", "leaf"),
+        ("self", "self"),
+        ("y", "self"),
+        ("z", "top"),
+    ]
     assert got(odd) == true(odd)
     ladder = [(f"{i}{side}", f"{i + 1}{other}") for i in range(25) for side in "lr" for other in "lr"]
     assert got(ladder) == {f"{i}{side}": 25 - i for i in range(25) for side in "lr"}
@@ -206,7 +277,10 @@ def test_engines_and_pictures(spark, tmp_path, monkeypatch):
 
 def test_a_property_that_makes_axioms(spark):
     """A subproperty of subClassOf gives classes, whose members follow in the next pass."""
-    g = _graph(spark, HEAD + "k:kindOf rdfs:subPropertyOf rdfs:subClassOf . k:A k:kindOf k:B . k:B rdfs:subClassOf k:C . k:x a k:A . k:Z owl:unionOf ( k:C k:D ) .")
+    g = _graph(
+        spark,
+        HEAD + "k:kindOf rdfs:subPropertyOf rdfs:subClassOf . k:A k:kindOf k:B . k:B rdfs:subClassOf k:C . k:x a k:A . k:Z owl:unionOf ( k:C k:D ) .",
+    )
     assert {("x", "type", "B"), ("x", "type", "C"), ("x", "type", "Z"), ("A", "subClassOf", "C")} <= _rows(reason.closure(g))
 
 

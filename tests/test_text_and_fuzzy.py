@@ -37,15 +37,29 @@ def test_percentage_rounds_ties_to_even(spark):
 
 
 def test_a_reference_belongs_to_its_chunk(spark):
-    cases = [("Art. 5(1)", "article", "5", True), ("Art. 50(1)", "article", "5", False), ("Art. 5", "article", "5", True), ("Annex III(3)", "annex", "III", True), ("Annex II(3)", "annex", "III", False), ("Annex III", "annex", "II", False)]
+    cases = [
+        ("Art. 5(1)", "article", "5", True),
+        ("Art. 50(1)", "article", "5", False),
+        ("Art. 5", "article", "5", True),
+        ("Annex III(3)", "annex", "III", True),
+        ("Annex II(3)", "annex", "III", False),
+        ("Annex III", "annex", "II", False),
+    ]
     for ref, kind, number, hit in cases:
         assert _one(spark, matches_reference(F.col("r"), F.col("k"), F.col("n")), r=ref, k=kind, n=number) is hit
 
 
 def test_ids_are_digests_of_sorted_json(spark):
-    row = spark.createDataFrame([("té\"rm", "Actor", "d\n\x01", None, None, ["b", "a"])], "t string, e string, d string, b string, a string, r array<string>")
+    row = spark.createDataFrame(
+        [("té\"rm", "Actor", "d\n\x01", None, None, ["b", "a"])],
+        "t string, e string, d string, b string, a string, r array<string>",
+    )
     got = row.select(record_id(*(F.col(c) for c in "tedbar")).alias("x")).first()["x"]
-    text = json.dumps({"term": "té\"rm", "entity_type": "Actor", "definition": "d\n\x01", "bearer": None, "applies_to": None, "article_refs": ["a", "b"]}, ensure_ascii=False, sort_keys=True)
+    text = json.dumps(
+        {"term": "té\"rm", "entity_type": "Actor", "definition": "d\n\x01", "bearer": None, "applies_to": None, "article_refs": ["a", "b"]},
+        ensure_ascii=False,
+        sort_keys=True,
+    )
     assert got == hashlib.sha256(text.encode()).hexdigest()[:12]
     key = row.select(cache_key(F.col("t"), "m", False, {"b": 1, "a": 2}, "p").alias("x")).first()["x"]
     assert key == hashlib.sha256(json.dumps(["m", False, {"b": 1, "a": 2}, "p", "té\"rm"], ensure_ascii=False, sort_keys=True).encode()).hexdigest()

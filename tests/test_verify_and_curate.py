@@ -22,7 +22,18 @@ def _ground(spark, rows, kind="article", number="5"):
 def test_grounding(spark):
     quote = "establish a \"risk management system\" and keep\nit up   to date"
     typo = "keep it up to date throughout the whle life of the system concerned"
-    got = _ground(spark, [_record(0, quote=quote), _record(1, quote=typo), _record(2, quote="deployers have to think about hazards"), _record(3, quote="  "), _record(4, quote=quote, ref="Art. 50(1)"), _record(5, quote=quote, ref="Art. 5"), _record(6, quote=None)])
+    got = _ground(
+        spark,
+        [
+            _record(0, quote=quote),
+            _record(1, quote=typo),
+            _record(2, quote="deployers have to think about hazards"),
+            _record(3, quote="  "),
+            _record(4, quote=quote, ref="Art. 50(1)"),
+            _record(5, quote=quote, ref="Art. 5"),
+            _record(6, quote=None),
+        ],
+    )
     assert (got[0]["grounding_method"], got[0]["grounding_score"], got[0]["grounded"]) == ("exact", 100.0, True)
     assert got[1]["grounding_method"] == "fuzzy" and 95 <= got[1]["grounding_score"] < 100 and got[1]["grounded"]
     assert not got[2]["grounded"] and got[2]["grounding_reason"] == "quote not found"
@@ -32,7 +43,10 @@ def test_grounding(spark):
 
 
 def test_records_without_a_chunk_are_rejected(spark):
-    got = _ground(spark, [_record(0, quote="risk management system"), _record(1, quote="risk management system", file="gone.json"), _record(2, quote=None, file=None)])
+    got = _ground(
+        spark,
+        [_record(0, quote="risk management system"), _record(1, quote="risk management system", file="gone.json"), _record(2, quote=None, file=None)],
+    )
     assert sorted(got) == [0, 1, 2] and got[0]["grounded"]
     for k in (1, 2):
         assert not got[k]["grounded"] and got[k]["grounding_reason"] == "chunk not found" and got[k]["grounding_score"] == 0 and got[k]["grounding_method"] is None
@@ -60,17 +74,35 @@ def test_groups_follow_their_leader_and_not_a_chain(spark):
 
 
 def _log(spark, rows):
-    full = [(i, r[0], "t", "Actor", r[3] if len(r) > 3 else "supported", "me", r[1], r[4] if len(r) > 4 else None, r[2] if len(r) > 2 else None, None, "2024-01-01T00:00:00+00:00") for i, r in enumerate(rows)]
+    full = [
+        (
+            i,
+            r[0],
+            "t",
+            "Actor",
+            r[3] if len(r) > 3 else "supported",
+            "me",
+            r[1],
+            r[4] if len(r) > 4 else None,
+            r[2] if len(r) > 2 else None,
+            None,
+            "2024-01-01T00:00:00+00:00",
+        ) for i, r in enumerate(rows)
+    ]
     return spark.createDataFrame(full, DECISIONS)
 
 
 def test_replay_keeps_places(spark):
-    state = curate.replay(_log(spark, [("a", "accept"), ("b", "accept"), ("a", "reject"), ("b", "undo"), ("c", "accept"), ("b", "edit"), ("d", "undo")])).orderBy("ord").collect()
+    state = curate.replay(
+        _log(spark, [("a", "accept"), ("b", "accept"), ("a", "reject"), ("b", "undo"), ("c", "accept"), ("b", "edit"), ("d", "undo")])
+    ).orderBy("ord").collect()
     assert [(r["id"], r["action"]) for r in state] == [("a", "reject"), ("c", "accept"), ("b", "edit")]
 
 
 def test_merge_chains(spark):
-    state = curate.replay(_log(spark, [("a", "accept"), ("b", "merge", "a"), ("c", "merge", "b"), ("x", "merge", "y"), ("y", "merge", "x"), ("z", "merge", "x")]))
+    state = curate.replay(
+        _log(spark, [("a", "accept"), ("b", "merge", "a"), ("c", "merge", "b"), ("x", "merge", "y"), ("y", "merge", "x"), ("z", "merge", "x")])
+    )
     got = {r["id"]: r["final"] for r in curate.resolve_merges(state).collect()}
     assert got == {"b": "a", "c": "a", "x": None, "y": None, "z": None}
 
@@ -78,8 +110,21 @@ def test_merge_chains(spark):
 def test_curated_view(spark):
     schema = JUDGED + ", article_refs array<string>, sources array<struct<article_ref:string,chunk_id:string,eli_uri:string,source_quote:string,critic_verdict:string,critic_reason:string>>, id string, ord long"
     row = lambda i, id, ref: (*_record(i, f"term {id}", ref=ref, bearer="who"), "supported", "", [ref], [(ref, "c", "e", f"q{id}", "supported", "")], id, i)
-    records = spark.createDataFrame([row(0, "a", "Art. 1"), row(1, "b", "Art. 2"), row(2, "c", "Art. 1"), row(3, "d", "Art. 4"), row(4, "e", "Art. 5")], schema)
-    log = _log(spark, [("a", "edit", None, "supported", {"bearer": ["who", None], "label": ["x", "new"]}), ("b", "merge", "a"), ("c", "merge", "b"), ("d", "reject"), ("e", "merge", "d"), ("gone", "accept")])
+    records = spark.createDataFrame(
+        [row(0, "a", "Art. 1"), row(1, "b", "Art. 2"), row(2, "c", "Art. 1"), row(3, "d", "Art. 4"), row(4, "e", "Art. 5")],
+        schema,
+    )
+    log = _log(
+        spark,
+        [
+            ("a", "edit", None, "supported", {"bearer": ["who", None], "label": ["x", "new"]}),
+            ("b", "merge", "a"),
+            ("c", "merge", "b"),
+            ("d", "reject"),
+            ("e", "merge", "d"),
+            ("gone", "accept"),
+        ],
+    )
     state = curate.replay(log)
     entities, orphans = curate.build(records, state)
     (e,) = entities.collect()
@@ -94,7 +139,14 @@ def test_curated_view(spark):
 
 def test_queue_order(spark):
     source = "array<struct<critic_verdict:string>>"
-    rows = [("s", "supported", [("supported",)], 0), ("p", "partially", [("partially",)], 1), ("m", "supported", [("partially",)], 2), ("u", "supported", [("unsupported",)], 3), ("n", None, [], 4), ("d", None, None, 5)]
+    rows = [
+        ("s", "supported", [("supported",)], 0),
+        ("p", "partially", [("partially",)], 1),
+        ("m", "supported", [("partially",)], 2),
+        ("u", "supported", [("unsupported",)], 3),
+        ("n", None, [], 4),
+        ("d", None, None, 5),
+    ]
     records = spark.createDataFrame(rows, f"id string, critic_verdict string, sources {source}, ord long")
     decided = spark.createDataFrame([("d",)], "id string")
     assert [r["id"] for r in curate.queue(records, decided).collect()] == ["n", "u", "m", "p", "s"]
@@ -107,7 +159,10 @@ def test_changes_and_suggestions(spark):
     new = spark.createDataFrame([("a", "t", "Actor", "l2", "d", None, None), ("b", "t", "Actor", "l", "d", None, None)], schema)
     got = {r["id"]: (r["changes"], r["action"]) for r in curate.changes(old, new).collect()}
     assert got == {"a": ({"label": ["l", "l2"], "bearer": ["b", None]}, "edit"), "b": ({}, "accept")}
-    records = spark.createDataFrame([(str(i), f"term {i}", "Actor" if i % 2 else "Authority") for i in range(20)], "id string, term string, entity_type string")
+    records = spark.createDataFrame(
+        [(str(i), f"term {i}", "Actor" if i % 2 else "Authority") for i in range(20)],
+        "id string, term string, entity_type string",
+    )
     from normgraph.functions.fuzzy import token_sort_ratio_column
 
     best = curate.suggestions(records, records.where("id = '1'"), token_sort_ratio_column).orderBy("rank").collect()
@@ -116,10 +171,26 @@ def test_changes_and_suggestions(spark):
 
 def test_quotes_are_found_wherever_they_start(spark):
     texts = ["the cat sat on a mat by the door of the house", "a cat", "", None, "he cat sat on a mat", "one two three four five six seven"]
-    quotes = ["e cat sat on a ma", "cat", "the cat sat on a mat by", "two  three", "ne two three four five six seve", "", None, "a", "three four five x", "at sat"]
-    got = verify.occurrences(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), spark.createDataFrame(list(enumerate(quotes)), "item long, quote string")).collect()
+    quotes = [
+        "e cat sat on a ma",
+        "cat",
+        "the cat sat on a mat by",
+        "two  three",
+        "ne two three four five six seve",
+        "",
+        None,
+        "a",
+        "three four five x",
+        "at sat",
+    ]
+    got = verify.occurrences(
+        spark.createDataFrame(list(enumerate(texts)), "id long, text string"),
+        spark.createDataFrame(list(enumerate(quotes)), "item long, quote string"),
+    ).collect()
     clean = lambda x: " ".join((x or "").split())
-    assert sorted((r["item"], r["id"]) for r in got) == sorted((i, k) for i, q in enumerate(quotes) for k, t in enumerate(texts) if clean(q) and clean(q) in clean(t))
+    assert sorted((r["item"], r["id"]) for r in got) == sorted(
+        (i, k) for i, q in enumerate(quotes) for k, t in enumerate(texts) if clean(q) and clean(q) in clean(t)
+    )
 
 
 def test_leaders_against_their_definition(spark):
@@ -128,7 +199,11 @@ def test_leaders_against_their_definition(spark):
     from normgraph.functions.fuzzy import token_sort_ratio
 
     rng = random.Random(3)
-    terms = [" ".join(rng.choice(("risk", "risks", "system", "systems", "high", "notified body", "é")) for _ in range(rng.randint(1, 5))) for _ in range(150)]
+    terms = [
+        " ".join(
+            rng.choice(("risk", "risks", "system", "systems", "high", "notified body", "é")) for _ in range(rng.randint(1, 5))
+        ) for _ in range(150)
+    ]
     rows = [(k, f"b{k % 2}", t) for k, t in enumerate(terms)]
     want, leaders = {}, {}
     for k, block, t in rows:
@@ -149,7 +224,20 @@ def test_a_session_from_the_terminal(spark, tmp_path):
     (tmp_path / "verified").mkdir()
     (tmp_path / "chunks").mkdir()
     (tmp_path / "chunks" / "c.json").write_text(json.dumps({"id": "c1", "type": "article", "text": "the whole article"}))
-    rows = [{"term": f"duty {x}", "entity_type": "Obligation", "label": x, "definition": "d", "article_ref": "Art. 1", "source_quote": f"q{x}", "bearer": "b", "confidence": 0.9, "chunk_id": "c1", "critic_verdict": v} for x, v in (("one", None), ("two", "unsupported"), ("three", "partially"), ("four", "supported"))]
+    rows = [
+        {
+            "term": f"duty {x}",
+            "entity_type": "Obligation",
+            "label": x,
+            "definition": "d",
+            "article_ref": "Art. 1",
+            "source_quote": f"q{x}",
+            "bearer": "b",
+            "confidence": 0.9,
+            "chunk_id": "c1",
+            "critic_verdict": v,
+        } for x, v in (("one", None), ("two", "unsupported"), ("three", "partially"), ("four", "supported"))
+    ]
     (tmp_path / "verified" / "r.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
     paths = {"records": "verified", "log": "log", "entities": "out", "chunks": "chunks"}
     (tmp_path / "c.yaml").write_text("curate:\n" + "".join(f"  {k}: {tmp_path / v}\n" for k, v in paths.items()))
@@ -158,7 +246,11 @@ def test_a_session_from_the_terminal(spark, tmp_path):
     run()
     assert "the whole article" in said and "This session: 1 accept, 1 edit, 1 undo, 1 reject, 1 merge" in said
     log = {r["term"]: r for r in curate.replay(files.read_decisions(spark, str(tmp_path / "log"))).collect()}
-    assert {t: r["action"] for t, r in log.items()} == {"duty one": "accept", "duty two": "reject", "duty three": "merge"} and log["duty two"]["reason"] == "weak"
+    assert {t: r["action"] for t, r in log.items()} == {
+        "duty one": "accept",
+        "duty two": "reject",
+        "duty three": "merge",
+    } and log["duty two"]["reason"] == "weak"
     edits = [r for r in files.read_decisions(spark, str(tmp_path / "log")).where("action = 'edit'").collect()]
     assert edits[0]["changes"] == {"entity_type": ["Obligation", "Requirement"], "bearer": ["b", None]}
     said.clear()
