@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+#: Letters of a text from which on its windows are looked at together.
+LONG = 256
+
 
 def _masks(a: str) -> dict[str, int]:
     out: dict[str, int] = {}
@@ -44,6 +48,8 @@ def partial_ratio(a: str, b: str) -> float:
         return 0.0 if b else 100.0
     if a in b:
         return 100.0
+    if len(b) > LONG:
+        return _partial_long(a, b)
     masks, best = _masks(a), 0.0
     need, have, common = Counter(a), Counter(), 0
     for end in range(1, len(b) + n):
@@ -64,6 +70,26 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
+def _partial_long(a: str, b: str) -> float:
+    """partial_ratio() of a against a longer b: the windows' letters in common are counted at once, and windows are aligned from the most promising
+    on until none of the rest can beat the best."""
+    n, m = len(a), len(b)
+    points = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), "<u4")
+    ends = np.arange(1, m + n)
+    low, high = np.maximum(0, ends - n), np.minimum(ends, m)
+    common = np.zeros(len(ends), np.int64)
+    for letter, need in Counter(a).items():
+        seen = np.concatenate([[0], np.cumsum(points == ord(letter))])
+        common += np.minimum(seen[high] - seen[low], need)
+    bound = 200 * common / (n + high - low)
+    masks, best = _masks(a), 0.0
+    for i in np.argsort(-bound, kind="stable"):
+        if bound[i] <= best:
+            break
+        best = max(best, 200 * _lcs(masks, n, b[low[i] : high[i]]) / (n + int(high[i] - low[i])))
+    return best
+
+
 def partial_ratio_windows(a: str, b: str) -> float:
     """The same for strings of one length, seen from the other: windows of b against a."""
     masks, n = _masks(a), len(a)

@@ -91,3 +91,10 @@ def test_similarity_against_the_definition(a, b):
 
 def test_token_order_does_not_matter():
     assert fuzzy.token_sort_ratio("risk management system", "system risk management") == 100
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("abc é", min_size=1, max_size=12), st.text("abcd é", min_size=13, max_size=60))
+def test_long_texts_score_as_short_ones(a, b):
+    if a not in b:
+        assert abs(fuzzy._partial_long(a, b) - fuzzy.partial_ratio(a, b)) < 1e-9
