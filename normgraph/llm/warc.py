@@ -2,8 +2,8 @@
 
 Archives are written by Spark's text writer: a record is header, blank line and payload, and the writer's line
 separator is the blank line that ends each record. So they can go to any store Spark writes, under its commit protocol.
-They are read back by its text reader, a line at a time, so no archive is held whole. (Lines end with "\n" alone there; the reader takes a longer
-separator for less than it is where its buffer ends inside one.)
+They are read back by its text reader, a line at a time, so no archive is held whole. (Lines end with "\n" alone there: with a longer separator the
+reader gave pieces that did not add up to the archive in a test.)
 Each archive's index entries, sorted by URL key and timestamp, are a run. Ranges of the whole key, as many as hold RANGE_ROWS entries each,
 go to a task each; Spark's external sort hands it the runs' slices one after the other, and a tree of losers merges them. The ranges in order
 hold one globally ordered capture history.
