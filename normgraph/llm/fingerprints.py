@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,32 +63,76 @@ def likeness(a: bytes, b: bytes) -> float:
     return min(1.0, max(0.0, (same - 2**-8) / (1 - 2**-8)))
 
 
+#: Ranges' worth of rows from which on those of one doc_id are spread over ranges of their own.
+HOT = 3
+
+
+def _splits(docs: DataFrame, hot: dict[int | None, int]) -> dict[int | None, list[int]]:
+    """Of each doc_id in hot, spread over so many equal stretches of the hash h, the least h in each stretch that has rows."""
+    if not hot:
+        return {}
+    known = [(k, n) for k, n in hot.items() if k is not None]
+    pieces = F.when(F.col("doc_id").isNull(), F.lit(hot.get(None)))
+    for k, n in known:
+        pieces = pieces.when(F.col("doc_id") == k, F.lit(n))
+    stretch = F.floor((F.col("h") / float(1 << 64) + 0.5) * F.col("pieces"))
+    some = docs.withColumn("pieces", pieces).where("pieces IS NOT NULL").groupBy("doc_id", stretch.alias("stretch")).agg(F.min("h").alias("h"))
+    out: dict[int | None, list[int]] = {}
+    for r in some.collect():  # a row a stretch, a few for each range at most
+        out.setdefault(r["doc_id"], []).append(r["h"])
+    return {k: sorted(v) for k, v in out.items()}
+
+
 def with_next(docs: DataFrame, buckets: int) -> DataFrame:
-    """The rows (doc_id, text) dealt into ranges of doc_id and sorted there; the first row of each range also goes, as guest,
-    to the range before it (of the first range, to the last), so that each row's successor is in its own partition."""
+    """The rows (doc_id, text) dealt into ranges of (doc_id, hash of the text) and sorted there; the first row of each range also goes, as guest,
+    to the range before it (of the first range, to the last), so that each row's successor is in its own partition. A doc_id, or null, that many
+    rows have is spread over ranges by the hash; copies of one text under one doc_id stay together."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     at = [k / buckets for k in range(1, buckets)]
-    low, holes, cuts = docs.agg(
+    low, holes, n, found = docs.agg(
         F.min("doc_id"),
         F.count_if(F.col("doc_id").isNull()),
+        F.count("*"),
         F.percentile_approx("doc_id", at or [0.5], 100 * buckets),
     ).first()
-    cuts = sorted({x for x in cuts or [] if x > low}) if at else []
-    # the number of cuts that are at most doc_id, in two steps of the root of their number each; a folded constant, not an expression a cut
-    step = max(1, math.isqrt(len(cuts)))
+    often = {k: c for k, c in Counter(found or [] if at else []).items() if c >= HOT}
+    if holes * buckets >= HOT * n > 0 and at:
+        often[None] = math.ceil(holes * buckets / n)
+    splits = _splits(docs, often)
+    inner = {k: v[1:] for k, v in splits.items()}  # where ranges open inside a doc_id
+    cuts = sorted({x for x in found or [] if x > low}) if at else []
+    nulls = len(inner.get(None, ()))
+    values = sorted(cuts + [k for k, v in inner.items() if k is not None for _ in v])  # a doc_id for each range that it opens
+    last = nulls + len(values)
     table = lambda x: F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>")
-    upto = lambda part: F.size(F.filter(part, lambda x: x <= F.col("doc_id")))
-    before = step * upto(table(cuts[step - 1 :: step]))
-    own = F.when(F.col("doc_id").isNull(), 0).otherwise(before + upto(F.slice(table(cuts), before + 1, F.lit(step)))) if cuts else F.lit(0)
+    upto = lambda part, x: F.size(F.filter(part, lambda y: y <= x))
+    own = F.lit(nulls)
+    if values:  # in two steps of the root of their number each; a folded constant, not an expression a cut
+        step = max(1, math.isqrt(len(values)))
+        before = step * upto(table(values[step - 1 :: step]), F.col("doc_id"))
+        own = nulls + before + upto(F.slice(table(values), before + 1, F.lit(step)), F.col("doc_id"))
     opens = F.col("doc_id").isNull() if holes else F.col("doc_id") == F.lit(low)
-    guest = F.when(opens, F.lit(len(cuts))).when(F.col("doc_id").isin(cuts), own - 1)
+    first = F.col("doc_id").isin([c for c in cuts if c not in splits])
+    # what the hash decides: how many of a doc_id's inner ranges lie after a row, and whether the row opens one
+    after, opening = F.lit(0), F.lit(False)
+    for k, hashes in splits.items():
+        here = F.col("doc_id").isNull() if k is None else F.col("doc_id") == k
+        if inner[k]:
+            after = F.when(here, len(inner[k]) - upto(table(inner[k]), F.col("h"))).otherwise(after)
+        opening = F.when(here, F.col("h").isin(inner[k] + ([hashes[0]] if k in cuts else []))).otherwise(opening)
+    for k in (None, low):
+        if k in splits and (k is None) == bool(holes):
+            opens = opens & (F.col("h") == splits[k][0])
+    own = F.when(F.col("doc_id").isNull(), F.lit(nulls)).otherwise(own) - after
+    guest = F.when(opens, F.lit(last)).when(first | opening, own - 1)
     target = F.array_compact(
         F.array(
             F.struct(own.alias("bucket"), F.lit(0).alias("guest")),
             F.when(guest.isNotNull(), F.struct(guest.alias("bucket"), F.lit(1).alias("guest"))),
         )
     )
-    dealt = docs.select("doc_id", "text", F.explode(target).alias("t")).select("doc_id", "text", "t.bucket", "t.guest")
-    return dealt.repartitionById(len(cuts) + 1, F.col("bucket")).sortWithinPartitions("guest", "doc_id", "text")
+    dealt = docs.select("doc_id", "text", "h", F.explode(target).alias("t")).select("doc_id", "text", "h", "t.bucket", "t.guest")
+    return dealt.repartitionById(last + 1, F.col("bucket")).sortWithinPartitions("guest", "doc_id", "h", "text")
 
 
 _SCHEMA = pa.schema(
@@ -139,7 +184,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, with their likeness.
 
     docs has doc_id and text; other columns are ignored. A null text is an empty one. Rows are in the order of
-    (doc_id, text), a null doc_id first; rows with one doc_id follow each other, and each gives a row. An empty table gives none.
+    doc_id, null first; rows with one doc_id follow each other in the order of a hash of their text, and each gives a row. An empty table gives none.
     """
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -123,14 +123,21 @@ def test_signatures_are_those_of_the_plain_form():
 
 
 @pytest.mark.parametrize("buckets", [1, 2, 7, 40])
-def test_every_row_meets_its_successor(spark, buckets):
-    df = spark.createDataFrame([(3 * i, str(i)) for i in range(50)] + [(None, "n"), (9, "again")], "doc_id long, text string").repartition(3)
-    order = [r["text"] for r in df.orderBy("doc_id", "text").collect()]
-    after = {}
+@pytest.mark.parametrize("hot", [[], [None], [9], [0], [147], [None, 0, 9, 30]])
+def test_every_row_meets_its_successor(spark, buckets, hot):
+    """Also where one doc_id, null included, has a third of the rows, which are spread."""
+    rows = [(3 * i, str(i)) for i in range(50)] + [(None, "n"), (9, "again")] + [(k, f"hot {k} {i}") for k in hot for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = [r["text"] for r in df.orderBy("doc_id", F.xxhash64("text")).collect()]
+    after, largest = {}, 0
     for part in fingerprints.with_next(df, buckets).rdd.glom().collect():
-        rows = [r for r in part if not r["guest"]] + [r for r in part if r["guest"]][:1]
-        after |= {a["text"]: b["text"] for a, b in zip(rows, rows[1:], strict=False)}
+        own = [r for r in part if not r["guest"]]
+        largest = max(largest, len(own))
+        both = own + [r for r in part if r["guest"]][:1]
+        after |= {a["text"]: b["text"] for a, b in zip(both, both[1:], strict=False)}
     assert after == dict(zip(order, [*order[1:], order[0]], strict=True))
+    if buckets == 40:
+        assert largest <= 12
 
 
 def test_the_estimate_is_unbiased():
