@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fuzzy import partial_ratio_column, token_sort_ratio
-from ..functions.text import matches_reference, normalise
+from ..functions.text import clean, matches_reference, normalise
 from ..plans.tables import join_sized, sized, stash
 
 GROUNDING_THRESHOLD, MERGE_THRESHOLD = 95.0, 90.0
@@ -119,6 +119,10 @@ def leader_groups(records: DataFrame, block: list[str], term: str, order: str, t
 
     Records of one term always join one group, so only a block's distinct terms, at their first places, meet in a task; there a term is compared only with the
     leaders whose letters could make it alike."""
+    if threshold == 100:
+        # alike is the same tokens then, whatever their order: such records are one group each, and no two terms need be compared
+        tokens = F.array_join(F.array_sort(F.split(clean(F.coalesce(F.col(term), F.lit(""))), " ")), " ")
+        return records.withColumn("leader", F.min(order).over(Window.partitionBy(*block, tokens)).cast("long"))
     terms = records.groupBy(*block, term).agg(F.min(order).alias("_first"))
 
     def lead(part: pd.DataFrame) -> pd.DataFrame:

@@ -286,3 +286,10 @@ def test_routing_broadcasts_no_chunk(spark, monkeypatch):
     kept, rejected = verify.route(verify.ground(verify.with_chunks(spark.createDataFrame(rows, JUDGED), chunks)))
     assert sorted((r["seq"], r["critic_verdict"]) for r in kept.collect()) == [(0, "supported"), (3, "supported")]
     assert sorted((r["seq"], r["critic_verdict"]) for r in rejected.collect()) == [(1, None), (2, None)]
+
+
+def test_groups_of_equal_tokens_need_no_comparison(spark):
+    rows = [(7, "a", "b  a"), (3, "a", "x"), (5, "a", "a b"), (4, None, "a b"), (9, "a", None), (8, "a", ""), (6, "a", "a b b"), (2, None, "b a")]
+    got = verify.leader_groups(spark.createDataFrame(rows, "seq long, block string, term string"), ["block"], "term", "seq", 100.0)
+    assert "Pandas" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["seq"]: r["leader"] for r in got.collect()} == {7: 5, 5: 5, 3: 3, 4: 2, 2: 2, 9: 8, 8: 8, 6: 6}
