@@ -203,7 +203,10 @@ def file_tree(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def size_text(total: Column) -> Column:
-    return F.when(total >= 1 << 20, F.format_string("%.1f MB", total / (1 << 20))).otherwise(F.format_string("%.0f KB", total / 1024))
+    """Ties go to even, as bundle() prints them; format_string() alone would round them up."""
+    return F.when(total >= 1 << 20, F.format_string("%.1f MB", F.bround(total / (1 << 20), 1))).otherwise(
+        F.format_string("%.0f KB", F.bround(total / 1024, 0))
+    )
 
 
 def manifest(files: DataFrame) -> DataFrame:

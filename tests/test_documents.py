@@ -175,3 +175,23 @@ def test_log_stream(spark, tmp_path):
     q = stream.counts(stream.read_log(spark, log)).writeStream.outputMode("complete").format("memory").queryName("actions").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT sum(n) AS n FROM actions").first()["n"] == 5
+
+
+def test_sizes_are_rounded_to_even(spark):
+    totals = [512, 1536, 2560, 2561, (1 << 20) + (1 << 18), (1 << 20) + 3 * (1 << 18), (1 << 20) + (1 << 18) + 1, 12478115533, 1 << 20, 1048575]
+    plain = lambda n: f"{n / (1 << 20):.1f} MB" if n >= 1 << 20 else f"{n / 1024:.0f} KB"
+    got = spark.createDataFrame([(n,) for n in totals], "n long").select("n", files.size_text(F.col("n")).alias("x")).collect()
+    assert {r["n"]: r["x"] for r in got} == {n: plain(n) for n in totals}
+
+
+def test_manifest_of_prices_between_two_numbers(spark, tmp_path):
+    import duckdb
+
+    from normgraph import queries
+
+    rows = [(1, "A", 0.5), (2, "A", 1024.5), (3, "A", 512.0), (4, "B", 2.5), (5, "B", 3.5), (6, "C", 1310720.5)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    got = queries.bundle_manifest(spark, str(tmp_path)).select("grp", "n_files", "size").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(queries.SQL["bundle_manifest"]).fetchall())
