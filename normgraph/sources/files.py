@@ -150,10 +150,11 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
 
 
 def chunk_file(kind: Column, number: Column) -> Column:
-    """art_005.json, annex_III.json."""
+    """art_005.json, art_1005.json, annex_III.json."""
+    padded = F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)  # lpad() cuts what is longer
     return F.when(
         kind == "article",
-        F.concat(F.lit("art_"), F.lpad(number, 3, "0"), F.lit(".json")),
+        F.concat(F.lit("art_"), padded, F.lit(".json")),
     ).otherwise(F.concat(F.lit("annex_"), number, F.lit(".json")))
 
 

@@ -195,3 +195,12 @@ def test_manifest_of_prices_between_two_numbers(spark, tmp_path):
     con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     got = queries.bundle_manifest(spark, str(tmp_path)).select("grp", "n_files", "size").collect()
     assert sorted(map(tuple, got)) == sorted(con.execute(queries.SQL["bundle_manifest"]).fetchall())
+
+
+def test_chunks_of_long_numbers_have_files_of_their_own(spark, tmp_path):
+    numbers = ["7", "100", "1001", "1002", "10015"]
+    rows = [(f"art_{n}", "article", n, None, f"text {n}") for n in numbers]
+    chunks = spark.createDataFrame(rows, "id string, type string, article_number string, annex_number string, text string")
+    files.write_chunks(chunks, str(tmp_path / "chunks"))
+    got = files.read_chunks(spark, f"file://{tmp_path}/chunks").select("id", "file", "text").collect()
+    assert {r["id"]: (r["file"], r["text"]) for r in got} == {f"art_{n}": (f"art_{n.zfill(3)}.json", f"text {n}") for n in numbers}
