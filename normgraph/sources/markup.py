@@ -72,9 +72,10 @@ class _Builder(HTMLParser):
         self.at.children.append(data)
 
 
-def tree(html: str) -> Node:
+def tree(html: str, as_written: bool = False) -> Node:
+    """as_written: character references in titles and text stay as they stand, cut or whole, instead of what they stand for."""
     builder = _Builder()
-    builder.feed(html or "")
+    builder.feed((html or "").replace("&", "&amp;") if as_written else html or "")
     builder.close()
     return builder.root
 

@@ -204,3 +204,18 @@ def test_chunks_of_long_numbers_have_files_of_their_own(spark, tmp_path):
     files.write_chunks(chunks, str(tmp_path / "chunks"))
     got = files.read_chunks(spark, f"file://{tmp_path}/chunks").select("id", "file", "text").collect()
     assert {r["id"]: (r["file"], r["text"]) for r in got} == {f"art_{n}": (f"art_{n.zfill(3)}.json", f"text {n}") for n in numbers}
+
+
+def test_titles_with_cut_and_other_references(spark, tmp_path):
+    import duckdb
+
+    from normgraph import queries
+
+    titles = ["a &amp; b &amp", "say &quot;x&quot; &quo", "5 &lt; 6 &#38; &nbsp;", "&amp;amp; &am", " two\n\t \xa0words\u2003", "in\u2003side &copy", "", "&amp;lt;"]
+    rows = [(k, f"<html><head><title>{t}</title></head><body><ul><li>x<li class='a'>y &amp; z</ul></body></html>") for k, t in enumerate(titles)]
+    spark.createDataFrame([*rows, (98, "<p>no title"), (99, None)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = queries.page_titles(spark, str(tmp_path)).select("page_id", "title", "items").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(queries.SQL["page_titles"]).fetchall())
+    assert markup.tree("<p>a &amp; b &quot;").text() == 'a & b "'
