@@ -293,3 +293,40 @@ def test_groups_of_equal_tokens_need_no_comparison(spark):
     got = verify.leader_groups(spark.createDataFrame(rows, "seq long, block string, term string"), ["block"], "term", "seq", 100.0)
     assert "Pandas" not in got._jdf.queryExecution().executedPlan().toString()
     assert {r["seq"]: r["leader"] for r in got.collect()} == {7: 5, 5: 5, 3: 3, 4: 2, 2: 2, 9: 8, 8: 8, 6: 6}
+
+
+def test_suggestions_compare_each_term_once(spark):
+    """Against all pairs: types of many records, of few, of none and null ones, terms that many records have, in either case."""
+    import random
+
+    from normgraph.functions.fuzzy import token_sort_ratio, token_sort_ratio_column
+
+    rng, words = random.Random(7), ["risk", "Risk", "system", "duty", "of", "care"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(1, 3))), rng.choice(["A"] * 30 + ["B"] * 30 + ["C", "D", None])) for i in rng.sample(range(1000), 400)]
+    rows += [(1000 + i, "the same term", "A") for i in range(200)] + [(2000, "Care of", "E"), (2001, None, "A")]
+    asked = [r for r in rows if r[0] % 10 == 0 or r[2] in (None, "C", "D")]
+    known = {None: 2, True: 0, False: 1}  # nulls come last
+    want = {}
+    for q, t, kind in asked:
+        scored = []
+        for i, u, other in rows:
+            if i != q:
+                score = None if t is None or u is None else token_sort_ratio(t.lower(), u.lower())
+                same = None if kind is None or other is None else kind == other
+                scored.append((known[same], score is None, -(score or 0), i, score))
+        want |= {(q, n + 1): (x[3], x[4]) for n, x in enumerate(sorted(scored)[:8])}
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(a, b):
+        @F.udf("int")
+        def see(_):
+            calls.add(1)
+            return 0
+
+        return token_sort_ratio_column(a, b) + see(b)
+
+    schema = "id long, term string, entity_type string"
+    records = spark.createDataFrame(rows, schema)
+    got = curate.suggestions(records, spark.createDataFrame(asked, schema), counted).collect()
+    assert {(r["of_id"], r["rank"]): (r["id"], r["score"]) for r in got} == want
+    assert 0 < calls.value < len(rows) * len(asked) / 3
