@@ -31,19 +31,23 @@ def ground(records: DataFrame, threshold: float = GROUNDING_THRESHOLD) -> DataFr
     """Adds grounded, grounding_method, grounding_score and grounding_reason to rows of with_chunks().
 
     A quote that is a substring of the normalised chunk is exact and never reaches the fuzzy score: `when` does not keep
-    rows from a Python UDF, so the two kinds are separate branches. An empty or null quote scores 0. A record without a chunk text
-    scores 0 and is not grounded.
+    rows from a Python UDF, so such rows go there with nulls, and each text is read and normalised once. An empty or null quote scores 0. A record
+    without a chunk text scores 0 and is not grounded.
     """
     known = records.withColumns(
         {"_q": F.coalesce(normalise(F.col("source_quote")), F.lit("")), "_t": F.coalesce(normalise(F.col("chunk_text")), F.lit(""))}
     )
     absent = F.col("chunk_text").isNull()
     exact = (F.col("_q") != "") & ~absent
-    easy = (F.col("_q") == "") | absent | F.contains("_t", "_q")
-    settled = known.where(easy).withColumns({"grounding_method": F.when(exact, "exact"), "grounding_score": F.when(exact, 100.0).otherwise(0.0)})
-    fuzzy = known.where(~easy).withColumn("grounding_score", F.bround(partial_ratio_column(F.col("_q"), F.col("_t")), 1))
-    fuzzy = fuzzy.withColumn("grounding_method", F.when(F.col("grounding_score") >= threshold, "fuzzy"))
-    both = settled.unionByName(fuzzy.select(settled.columns))
+    known = known.withColumn("_easy", (F.col("_q") == "") | absent | F.contains("_t", "_q"))
+    hard = lambda c: F.when(~F.col("_easy"), F.col(c))
+    known = known.withColumn("_ratio", F.bround(partial_ratio_column(hard("_q"), hard("_t")), 1))
+    both = known.withColumns(
+        {
+            "grounding_method": F.when(F.col("_easy"), F.when(exact, "exact")).when(F.col("_ratio") >= threshold, "fuzzy"),
+            "grounding_score": F.when(F.col("_easy"), F.when(exact, 100.0).otherwise(0.0)).otherwise(F.col("_ratio")),
+        }
+    )
     at_home = matches_reference(F.col("article_ref"), F.col("chunk_type"), F.col("chunk_number"))
     why = F.nullif(
         F.concat_ws(
@@ -54,7 +58,7 @@ def ground(records: DataFrame, threshold: float = GROUNDING_THRESHOLD) -> DataFr
         F.lit(""),
     )
     out = both.withColumn("grounding_reason", why).withColumn("grounded", F.col("grounding_reason").isNull())
-    return out.drop("_q", "_t", "chunk_text", "chunk_type", "chunk_number")
+    return out.drop("_q", "_t", "_easy", "_ratio", "chunk_text", "chunk_type", "chunk_number")
 
 
 #: Words of a quote by which texts are looked up; quotes too short for that are held against every text.
