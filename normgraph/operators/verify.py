@@ -17,14 +17,15 @@ GROUNDING_THRESHOLD, MERGE_THRESHOLD = 95.0, 90.0
 def with_chunks(records: DataFrame, chunks: DataFrame) -> DataFrame:
     """Each record with the text, kind and number of its chunk_file's chunk (chunks: file, text, type, number); nulls where there is none.
 
-    Chunks carry whole texts, so however few rows they are, no count has them broadcast by the driver."""
+    Chunks carry whole texts, so however few rows they are, no count has them broadcast by the driver, and no estimate of Spark's: that is of the size of
+    files, in which copies of a text take next to no room."""
     side = chunks.select(
         F.col("file").alias("chunk_file"),
         F.col("text").alias("chunk_text"),
         F.col("type").alias("chunk_type"),
         F.col("number").alias("chunk_number"),
     )
-    return records.join(side, "chunk_file", "left")
+    return records.join(side.hint("merge"), "chunk_file", "left")
 
 
 def ground(records: DataFrame, threshold: float = GROUNDING_THRESHOLD) -> DataFrame:

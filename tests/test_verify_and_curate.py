@@ -288,6 +288,22 @@ def test_routing_broadcasts_no_chunk(spark, monkeypatch):
     assert sorted((r["seq"], r["critic_verdict"]) for r in rejected.collect()) == [(1, None), (2, None)]
 
 
+def test_copies_in_small_files_are_not_broadcast(spark, tmp_path):
+    """A megabyte of copies in a file of some kilobytes, far below the size up to which Spark broadcasts."""
+    from normgraph import whole
+
+    text = " ".join(f"duty {i} of the provider" for i in range(200))
+    spark.range(240).selectExpr("id doc_id", f"'{text}' text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    quoted = whole._quoted(spark, str(tmp_path))
+    assert "Broadcast" not in quoted._jdf.queryExecution().executedPlan().toString()
+    assert quoted.where("chunk_text IS NOT NULL").count() == 200
+    # kept: of each 12 documents those whose quote is verbatim or off by a letter and whose reference is at home, of numbers 0, 2, 6 and 8
+    assert {(r["route"], r["critic_verdict"], r["n"]) for r in whole.routed_records(spark, str(tmp_path)).collect()} == {
+        ("kept", "supported", 80),
+        ("rejected", None, 160),
+    }
+
+
 def test_groups_of_equal_tokens_need_no_comparison(spark):
     rows = [(7, "a", "b  a"), (3, "a", "x"), (5, "a", "a b"), (4, None, "a b"), (9, "a", None), (8, "a", ""), (6, "a", "a b b"), (2, None, "b a")]
     got = verify.leader_groups(spark.createDataFrame(rows, "seq long, block string, term string"), ["block"], "term", "seq", 100.0)
