@@ -45,12 +45,19 @@ def hold_settings(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later steps restart from it if an executor is lost."""
+#: On a folder of the local file system Hadoop starts a chmod process for each file, for each file of checksums and for each task's folder, and such a
+#: process is for a moment a second one with all of the executor's memory. So tables have no files of checksums; the pages' own are verified instead.
+_WRITE = {"compression": "zstd", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+_READ = {"parquet.page.verify-checksum.enabled": "true"}
+
+
+def stash(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: later steps restart from it if an executor is lost. narrow: few bytes from each of many
+    tasks, which a shuffle puts into as few files as their size asks for; the order of rows is lost."""
     hold_settings(df.sparkSession)
     path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.hint("rebalance") if narrow else df).write.options(**_WRITE).parquet(path)
+    back = df.sparkSession.read.options(**_READ).schema(df.schema).parquet(path)
     back._stash_path = path
     return back
 

@@ -265,10 +265,10 @@ def spans(docs: DataFrame, length: int = LENGTH, width: int = CELL) -> DataFrame
     many = many.withColumn("string", F.xxhash64("core", "t", text))
     common = many.groupBy("string").agg(F.sum("n").alias("k")).where("k > 1").select("string")
     rest = many.join(common, "string").select("core", "whole", t.cast("short").alias("first"), t.cast("short").alias("last"))
-    ranges = stash(ranges.unionByName(rest), "ranges")
+    ranges = stash(ranges.unionByName(rest), "ranges", narrow=True)
     inside = varied.drop("first", "last").join(ranges, ["core", "whole"])
     ends = lambda df: df.select("row", (F.col("base") + F.col("first")).alias("low"), (F.col("base") + F.col("last") + length).alias("high"))
-    out = stash(ends(known.where("NOT varied")).unionByName(ends(inside)), "spans")
+    out = stash(ends(known.where("NOT varied")).unionByName(ends(inside)), "spans", narrow=True)
     forget(found, twice, varied, each, strings, ranges)
     return out
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from normgraph.llm import graph, jaccard_join, queries, repeats
+from normgraph.llm import common, graph, jaccard_join, queries, repeats
 from normgraph.llm.shingles import shingles
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -274,6 +275,40 @@ def test_the_pipeline_on_odd_tables(spark, tmp_path):
         assert {r["doc_id"] for r in out} == ({1, None} if some else set())
 
 
+def _files(monkeypatch, module):
+    """Of each table that the module writes from now on, the most files."""
+    found, stash = {}, module.stash
+
+    def run(df, name, *args, **options):
+        out = stash(df, name, *args, **options)
+        found[name] = max(found.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(module, "stash", run)
+    return found
+
+
+def test_tables_have_no_checksum_files_but_are_verified(spark):
+    df = common.stash(spark.range(0, 4000, 1, 2), "t")
+    names = [f.removeprefix("file://") for f in df.inputFiles()]
+    folder = Path(names[0]).parent
+    assert len(names) == 2 and df.count() == 4000 and not list(folder.glob(".*.crc"))
+    data = bytearray(Path(names[0]).read_bytes())
+    chunk = pq.ParquetFile(names[0]).metadata.row_group(0).column(0)
+    data[chunk.data_page_offset + chunk.total_compressed_size - 5] ^= 1
+    Path(names[0]).write_bytes(data)
+    with pytest.raises(Exception, match="(?i)page integrity|checksum|encountered error while reading"):
+        df.agg(F.sum("id")).collect()
+    common.forget(df)
+    assert not folder.exists()
+
+
+def test_few_files_of_narrow_rows_repeats(docs, monkeypatch):
+    found = _files(monkeypatch, repeats)
+    repeats.without_repeats(docs).count()
+    assert found["ranges"] == found["spans"] == 1
+
+
 def test_registered():
     import __spark_entry__ as entry
 
