@@ -202,7 +202,7 @@ def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _edges(found: DataFrame) -> DataFrame:
     dealt = found.select("key", "a", "sketch").repartition(partitions(found.sparkSession), "key").sortWithinPartitions("key")
-    return stash(dealt.mapInArrow(_compare, "a long, b long"), "paths")
+    return stash(dealt.mapInArrow(_compare, "a long, b long"), "paths", narrow=True)
 
 
 def blocked(df: DataFrame, group: str, blocks: DataFrame, by: str) -> DataFrame:
@@ -329,7 +329,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, runs
         "low",
         "high",
     ).sortWithinPartitions("label", "low", "high")
-    exact = stash(pairs.select("label", "low", "high", "block", "row", "n_docs", "text").mapInArrow(_verify(threshold, width), _VERIFY), "links")
+    exact = stash(pairs.select("label", "low", "high", "block", "row", "n_docs", "text").mapInArrow(_verify(threshold, width), _VERIFY), "links", narrow=True)
     links = exact.groupBy("row").agg(F.sum("n_linked").alias("n_linked"))
     classes = components(exact.select(F.col("row").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "row")
     known = sets.select("set_key", "row", "n_docs", "least").join(links, "row", "left").join(classes, "row", "left")

@@ -309,6 +309,12 @@ def test_few_files_of_narrow_rows_repeats(docs, monkeypatch):
     assert found["ranges"] == found["spans"] == 1
 
 
+def test_few_files_of_narrow_rows_join(docs, monkeypatch):
+    found = _files(monkeypatch, jaccard_join)
+    jaccard_join.join(docs).count()
+    assert found["paths"] == found["links"] == 1
+
+
 def test_registered():
     import __spark_entry__ as entry
 
