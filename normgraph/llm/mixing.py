@@ -135,7 +135,7 @@ def mix(
     a source of its own, rows with one doc_id are documents of their own, an empty table gives an empty mix.
     """
     spark = docs.sparkSession
-    sizes = stash(sized(docs, seed), "sizes")
+    sizes = stash(sized(docs, seed), "sizes", narrow=True)
     goals = targets(sizes, weights, share, epochs)
     slots = schedule(spark, goals, block)
     g = goals.select(F.col("source").alias("g_source"), "source_size", "target")

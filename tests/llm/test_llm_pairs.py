@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from normgraph.llm import common, graph, jaccard_join, queries, repeats
+from normgraph.llm import common, graph, jaccard_join, mixing, queries, repeats
 from normgraph.llm.shingles import shingles
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -315,6 +315,12 @@ def test_few_files_of_narrow_rows_join(docs, monkeypatch):
     assert found["paths"] == found["links"] == 1
 
 
+def test_few_files_of_narrow_rows_mix(docs, monkeypatch):
+    found = _files(monkeypatch, mixing)
+    mixing.taken_words(docs).count()
+    assert found["sizes"] == 1
+
+
 def test_registered():
     import __spark_entry__ as entry
 
